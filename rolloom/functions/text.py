@@ -34,8 +34,8 @@ def collapse_space(c: Column) -> Column:
 
 
 def strip_ansi(c: Column) -> Column:
-    """Drop colour codes and carriage returns."""
-    return F.regexp_replace(c, ANSI_OR_CR, "")
+    """Drop colour codes and carriage returns; plain text skips the regular expression."""
+    return F.when(c.contains("\x1b") | c.contains("\r"), F.regexp_replace(c, ANSI_OR_CR, "")).otherwise(c)
 
 
 def normalize_answer(c: Column) -> Column:

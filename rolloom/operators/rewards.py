@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.functions.text import END_MARKER, START_MARKER, exact_match, strip_ansi, test_section
+from rolloom.functions.text import END_MARKER, START_MARKER, exact_match, py_words, strip_ansi, test_section
 
 # Status words, parser names and scores.
 STATUS_WORDS = ["FAILED", "PASSED", "SKIPPED", "ERROR", "XFAIL"]
@@ -15,8 +15,6 @@ PARSERS = ["parse_log_pytest", "parse_log_pytest_v2", "pytest"]
 SUCCESS_STATUSES = ["PASSED", "XFAIL"]
 NO_REWARD_SCORE = -100.0
 
-_STARTS = "^(" + "|".join(STATUS_WORDS) + ")"
-_ENDS = "(" + "|".join(STATUS_WORDS) + r")\z"
 _CONTROL = "".join(chr(i) for i in range(1, 32))
 
 
@@ -42,60 +40,73 @@ def log_lines(outputs: DataFrame, text: str = "output") -> DataFrame:
 def section_lines(lines: DataFrame) -> DataFrame:
     """Test-section lines of logs stored one line per row (``run_id, pos, line``).
 
-    Three minima per run locate the section, so no log is ever assembled: the first
-    start marker, the first end marker and the next marker after the start.
+    Three minima over the few marker lines locate each section, so no log is ever
+    assembled: the first start marker, any end marker, the next marker after the start.
     """
-    lines = lines.withColumn("line", strip_ansi(F.col("line")))
-    has_start, has_end = F.col("line").contains(START_MARKER), F.col("line").contains(END_MARKER)
-    bounds = lines.where(has_start | has_end).groupBy("run_id").agg(
-        F.min(F.when(has_start, F.col("pos"))).alias("s"), F.max(F.when(has_end, F.col("pos"))).alias("_any_end")
+    n_starts = F.size(F.split("line", START_MARKER)) - 1
+    marks = (
+        lines.where(F.col("line").contains(START_MARKER) | F.col("line").contains(END_MARKER))
+        .withColumn("line", strip_ansi(F.col("line")))
+        .select(
+            "run_id",
+            "pos",
+            (n_starts > 0).alias("is_start"),
+            F.col("line").contains(END_MARKER).alias("is_end"),
+            # a second marker on the line of the first one ends the section at once
+            ((n_starts > 1) | F.split_part("line", F.lit(START_MARKER), F.lit(2)).contains(END_MARKER)).alias("closes_itself"),
+        )
     )
-    bounds = bounds.where(F.col("s").isNotNull() & F.col("_any_end").isNotNull()).drop("_any_end")
-    inside = lines.join(bounds, "run_id").where(F.col("pos") >= F.col("s"))
-    # the first line keeps only what follows the marker
-    after = F.split_part("line", F.lit(START_MARKER), F.lit(2))
-    later_marker = F.when(F.col("pos") == F.col("s"), after.contains(END_MARKER) | (F.size(F.split("line", START_MARKER)) > 2))
-    later_marker = later_marker.otherwise(F.col("line").contains(END_MARKER) | F.col("line").contains(START_MARKER))
-    stops = inside.where(later_marker).groupBy("run_id").agg(F.min("pos").alias("e"))
-    cut = F.when(F.col("pos") == F.col("s"), after).otherwise(F.col("line"))
-    head = F.split_part(F.split_part(cut, F.lit(END_MARKER), F.lit(1)), F.lit(START_MARKER), F.lit(1))
+    starts = marks.groupBy("run_id").agg(
+        F.min(F.when(F.col("is_start"), F.col("pos"))).alias("s"), F.max("is_end").alias("_any_end")
+    )
+    starts = starts.where(F.col("s").isNotNull() & F.col("_any_end")).drop("_any_end")
+    later = (F.col("pos") > F.col("s")) | ((F.col("pos") == F.col("s")) & F.col("closes_itself"))
+    bounds = marks.join(starts, "run_id").groupBy("run_id").agg(F.min("s").alias("s"), F.min(F.when(later, F.col("pos"))).alias("e"))
+    after = F.when(F.col("pos") == F.col("s"), F.split_part("line", F.lit(START_MARKER), F.lit(2))).otherwise(F.col("line"))
+    head = F.split_part(F.split_part("line", F.lit(END_MARKER), F.lit(1)), F.lit(START_MARKER), F.lit(1))
     return (
-        inside.join(stops, "run_id", "left")
-        .where(F.col("e").isNull() | (F.col("pos") <= F.col("e")))
-        .select("run_id", "pos", F.when(F.col("pos") == F.col("e"), head).otherwise(cut).alias("line"))
+        lines.join(bounds, "run_id")
+        .where((F.col("pos") >= F.col("s")) & (F.col("e").isNull() | (F.col("pos") <= F.col("e"))))
+        .withColumn("line", strip_ansi(F.col("line")))
+        .withColumn("line", after)
+        .select("run_id", "pos", F.when(F.col("pos") == F.col("e"), head).otherwise(F.col("line")).alias("line"))
     )
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"(?U)[\s\x1c-\x1f\x85]+"), lambda w: w != "")
-
-
-def _line_status(line: Column, parser: Column) -> Column:
-    """``struct<test,status>`` of one line, null when the line reports nothing."""
-    known = parser.isin(PARSERS)
-    v2 = parser == "parse_log_pytest_v2"
-    bare = F.when(v2, F.translate(F.regexp_replace(line, r"\[(\d+)m", ""), _CONTROL, "")).otherwise(line)
-    starts, ends = bare.rlike(_STARTS), bare.rlike(_ENDS)
-    tidy = F.when(starts & bare.startswith("FAILED"), F.replace(bare, F.lit(" - "), F.lit(" "))).otherwise(bare)
-    words = _words(tidy)
-    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    found = F.size(words) >= 2
-    return (
-        F.when(~F.coalesce(known, F.lit(False)), F.raise_error(F.concat(F.lit("unknown log parser "), F.coalesce(parser, F.lit("null")))))
-        .when(starts & found, F.struct(second.alias("test"), first.alias("status")))
-        .when(v2 & ~starts & ends & found, F.struct(first.alias("test"), second.alias("status")))
-    )
+def _any_of(test: Callable[[str], Column]) -> Column:
+    out = test(STATUS_WORDS[0])
+    for word in STATUS_WORDS[1:]:
+        out = out | test(word)
+    return out
 
 
 def parse_statuses(lines: DataFrame, parser: str | Column = "parse_log_pytest") -> DataFrame:
     """``run_id, test, status`` with the last line of a test winning.
 
-    ``parser`` is a name or a column of names (one per line's run); the aggregate
-    combines on the map side, so a huge log costs no huge group.
+    ``parser`` is a name or a column of names (one per line's run); an unknown name is
+    an error. Lines without a status word are dropped before they are split, and the
+    final aggregate combines on the map side, so a huge log costs no huge group.
     """
-    parser = F.lit(parser) if isinstance(parser, str) else parser
-    found = lines.select("run_id", "pos", _line_status(F.col("line"), F.lower(F.trim(parser))).alias("f")).where("f is not null")
-    return found.groupBy("run_id", F.col("f.test").alias("test")).agg(F.max_by("f.status", "pos").alias("status"))
+    parser = F.lower(F.trim(F.lit(parser) if isinstance(parser, str) else parser))
+    known = F.coalesce(parser.isin(PARSERS), F.lit(False))
+    fail = F.raise_error(F.concat(F.lit("unknown log parser "), F.coalesce(parser, F.lit("null")))).cast("boolean")
+    line = F.col("line")
+    uncoloured = F.when(line.contains("["), F.regexp_replace(line, r"\[(\d+)m", "")).otherwise(line)
+    bare = F.when(F.col("_v2"), F.translate(uncoloured, _CONTROL, "")).otherwise(line)
+    tidy = F.when(F.col("_bare").startswith("FAILED"), F.replace("_bare", F.lit(" - "), F.lit(" "))).otherwise(F.col("_bare"))
+    first, second = F.get("_words", F.lit(0)), F.get("_words", F.lit(1))
+    staged = (
+        lines.select("run_id", "pos", "line", F.when(known, parser == "parse_log_pytest_v2").otherwise(fail).alias("_v2"))
+        .select("run_id", "pos", "_v2", bare.alias("_bare"))
+        .withColumn("_starts", _any_of(F.col("_bare").startswith))
+        .where(F.col("_starts") | (F.col("_v2") & _any_of(F.col("_bare").endswith)))
+        .select("run_id", "pos", "_starts", py_words(tidy).alias("_words"))
+        .where(F.size("_words") >= 2)
+        .select(
+            "run_id", "pos", F.when(F.col("_starts"), second).otherwise(first).alias("test"), F.when(F.col("_starts"), first).otherwise(second).alias("status")
+        )
+    )
+    return staged.groupBy("run_id", "test").agg(F.max_by("status", "pos").alias("status"))
 
 
 def coarse_status(status: Column) -> Column:

@@ -9,6 +9,7 @@ from rolloom.functions.text import END_MARKER, START_MARKER
 from rolloom.operators import reports, rewards
 from rolloom.operators.ordered import number_within
 from rolloom.plans.registry import query, table
+from rolloom.session import checkpointed
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag"]
 
@@ -41,7 +42,7 @@ def test_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("x"),
     ).select("run_id", "x.pos", "x.line")
-    return body.unionByName(frame)
+    return checkpointed(body.unionByName(frame), "test-logs")  # read several times below
 
 
 def _parsers(lines: DataFrame) -> DataFrame:
