@@ -65,14 +65,20 @@ def _running(df, keys, order, sums, lasts):
     return joined.withColumns(out).drop(*inputs, *[f"_k_{k}" for k in keys], "_k_chunk", *[f"_p_{n}" for n in {**sums, **lasts}])
 
 
+def running_in(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, *, sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Like :func:`running` for any order; ``bucket`` must not decrease along ``order``."""
+    return _running(df.withColumn("_chunk", bucket), keys, list(order), sums or {}, lasts or {}).drop("_chunk")
+
+
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "rn") -> DataFrame:
     """1-based row number per key by ``order``.
 
     ``bucket`` must not decrease along ``order`` (for example the hour of a leading
     timestamp); it bounds how many rows of a hot key one task sorts.
     """
-    chunked = df.withColumn("_chunk", bucket)
-    return _running(chunked, keys, list(order), {name: F.lit(1)}, {}).drop("_chunk")
+    return running_in(df, keys, order, bucket, sums={name: F.lit(1)})
 
 
 def number_rows(df: DataFrame, order: str, name: str = "rn", buckets: int = 1000) -> DataFrame:

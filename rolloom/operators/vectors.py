@@ -260,6 +260,7 @@ def topk_in_cells(queries: DataFrame, passages: DataFrame, k: int, broadcast_byt
     ``queries(qid, qvec, cell)``, ``passages(id, vec, cell)``. Queries are broadcast when
     their measured size fits the bound; otherwise both sides are blocked.
     """
+    queries, passages = queries.select("qid", "qvec", "cell"), passages.select("id", "vec", "cell")
     size = queries.agg(F.sum(F.size("qvec") * 8 + 16)).first()[0] or 0
     hits = _local_topk(queries, passages, k) if size <= broadcast_bytes else _block_topk(queries, passages, k, block_rows)
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
