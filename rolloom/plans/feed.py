@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOP_SQL = """
 WITH p AS (SELECT event_type || '-' || (user_id % 20) AS query, 'paper ' || event_id AS title, CASE WHEN event_id % 3 = 0 THEN '' ELSE props END AS summary, strftime(ts, '%Y-%m-%d') AS published,
-  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS updated, 'user ' || user_id AS authors, 'abs/' || lpad(event_id::VARCHAR, 12, '0') AS abs_url, date_trunc('second', ts) AS at FROM events),
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS updated, 'user ' || user_id AS authors, 'abs/' || lpad(event_id::VARCHAR, 12, '0') AS abs_url, date_trunc('second', ts) AS tm FROM events),
 c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY updated DESC, abs_url) AS c FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c) AS rank FROM c WHERE c <= 36 AND at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 9 DAY),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c) AS rank FROM c WHERE c <= 36 AND tm >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 9 DAY),
 top AS (SELECT * FROM r WHERE rank <= 12)
 """
 
@@ -82,6 +83,13 @@ def atom_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<entry><title>"), F.when(F.col("lang") == "de", " ").otherwise(F.concat(F.lit(" Doc  "), key)), F.lit("</title><summary>"), flat,
         F.lit("</summary><published>2024-01-01T00:00:00Z</published><updated>2024-01-02T00:00:00Z</updated><id>http://example.org/abs/"), key, F.lit("</id>"), authors, links, F.lit("</entry>"),
     )
+
+    def as_feed(frames):
+        """One feed document per output file."""
+        yield pd.DataFrame({"value": ['<feed xmlns="http://www.w3.org/2005/Atom">']})
+        yield from frames
+        yield pd.DataFrame({"value": ["</feed>"]})
+
     path = work_path(spark, "feed")
-    d.select(entry.alias("value")).write.text(path)
+    d.select(entry.alias("value")).mapInPandas(as_feed, "value string").write.text(path)
     return feeds.atom_papers(files.read_atom(spark, path))

@@ -35,7 +35,7 @@ def follows(path: str) -> bool:
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     """One change to report; only ``append`` reads bytes."""
 
     run_id: str
@@ -47,8 +47,28 @@ class FileRange(InputPartition):
     range_end: int
     updated_at: float
 
-    def __post_init__(self):
+
+class FileRanges(InputPartition):
+    """Changes read by one task: many small ones, or a few ranges of a fast-growing log."""
+
+    def __init__(self, items: list[FileRange]):
         super().__init__(None)
+        self.items = items
+
+
+def _packed(ranges: list[FileRange], limit: int) -> list[InputPartition]:
+    """Pack changes in order into tasks of at most ``limit`` bytes and 1,000 changes."""
+    out: list[InputPartition] = []
+    batch: list[FileRange] = []
+    size = 0
+    for r in ranges:
+        n = r.end - r.start if r.action == "append" else 0
+        if batch and (size + n > limit or len(batch) >= 1000):
+            out.append(FileRanges(batch))
+            batch, size = [], 0
+        batch.append(r)
+        size += n
+    return [*out, FileRanges(batch)] if batch else out
 
 
 def _aligned(data: bytes, lead: int, is_last: bool, size: int) -> bytes:
@@ -110,10 +130,14 @@ class RunLogReader(DataSourceStreamReader):
             out.append(FileRange(run, path, "log" if follows(path) else "file", "deleted", 0, 0, 0, 0.0))
         for run in sorted(set(start["runs"]) - set(end["runs"])):
             out.append(FileRange(run, "", "run", "deleted", 0, 0, 0, 0.0))
-        return out
+        return _packed(out, self.range_bytes)
+
+    def read(self, partition: FileRanges) -> Iterator[tuple]:
+        for p in partition.items:
+            yield self._report(p)
 
-    def read(self, partition: FileRange) -> Iterator[tuple]:
-        p, text = partition, ""
+    def _report(self, p: FileRange) -> tuple:
+        text = ""
         if p.action == "append" and p.end > p.start:
             system, base = _open(self.root)
             with system.open_input_file(f"{base}/{p.run_id}/{p.path}") as f:
@@ -121,7 +145,7 @@ class RunLogReader(DataSourceStreamReader):
                 last = p.end >= p.range_end
                 data = f.read(p.end - p.start + (0 if last else 3))
             text = _aligned(data, p.start, last, p.end - p.start).decode("utf-8", errors="replace")
-        yield (p.run_id, p.path, p.kind, p.action, p.start, p.end, p.range_end, p.updated_at, text)
+        return (p.run_id, p.path, p.kind, p.action, p.start, p.end, p.range_end, p.updated_at, text)
 
 
 class RunLogSource(DataSource):
