@@ -224,6 +224,10 @@ def _merge(qids, rows, s, i, k):
     return firsts[r], s, i
 
 
+def _blocks(n: str) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
+
+
 def _block_topk(queries: DataFrame, passages: DataFrame, k: int, block_rows: int) -> DataFrame:
     """Top-k per block pair: both sides of each cell are split into blocks of bounded size.
 
@@ -234,9 +238,9 @@ def _block_topk(queries: DataFrame, passages: DataFrame, k: int, block_rows: int
     n_p = passages.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_pb"))
     grid = n_q.join(n_p, "cell")
     q = queries.join(grid, "cell").withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("n_qb")))
-    q = q.select("qid", "qvec", "cell", "_qb", F.explode(F.sequence(F.lit(0), F.col("n_pb") - 1)).cast("bigint").alias("_pb"))
+    q = q.select("qid", "qvec", "cell", "_qb", F.explode(_blocks("n_pb")).alias("_pb"))
     p = passages.join(grid, "cell").withColumn("_pb", F.pmod(F.xxhash64("id"), F.col("n_pb")))
-    p = p.select("id", "vec", "cell", "_pb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)).cast("bigint").alias("_qb"))
+    p = p.select("id", "vec", "cell", "_pb", F.explode(_blocks("n_qb")).alias("_qb"))
     schema = T.StructType(
         [T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", passages.schema["id"].dataType), T.StructField("score", T.DoubleType())]
     )
