@@ -357,9 +357,14 @@ def parse_run_log(lines: DataFrame, min_level: str = "TRACE") -> DataFrame:
 
 
 def _record_lines(lines: DataFrame) -> DataFrame:
-    is_head = F.col("line").rlike(HEADER)
-    numbered = running(lines.withColumn("_is_head", is_head), ["run_id", "source"], "pos", sums={"record_id": F.col("_is_head").cast("int")})
-    at = running(numbered, ["run_id", "source"], "pos", lasts={"_head_pos": F.when(F.col("_is_head"), F.col("pos"))})
+    heads = lines.withColumn("_is_head", F.col("line").rlike(HEADER))
+    at = running(
+        heads,
+        ["run_id", "source"],
+        "pos",
+        sums={"record_id": F.col("_is_head").cast("int")},
+        lasts={"_head_pos": F.when(F.col("_is_head"), F.col("pos"))},
+    )
 
     def field(i: int) -> Column:
         return F.when(F.col("_is_head"), F.trim(F.regexp_extract("line", HEADER, i)))

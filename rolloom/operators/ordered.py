@@ -1,10 +1,10 @@
 """Ordered per-key computations that survive a hot key.
 
-A plain ``Window.partitionBy(key).orderBy(pos)`` sorts a whole key in one task.
-These helpers first cut each key into chunks of consecutive positions. Chunks are
-spread over tasks; only one summary row per chunk travels to the second, per-key
-window, whose result is joined back. The data side is shuffled once by
-``(key, chunk)``; summaries, carry join and local window all reuse that shuffle.
+A plain ``Window.partitionBy(key).orderBy(pos)`` sorts a whole key in one task. That is
+used only after a count shows that no key has more than ``CHUNK_ROWS`` rows. Otherwise
+each key is cut into chunks of consecutive positions, spread over tasks; only one
+summary row per chunk travels to the second, per-key window, and its result is joined
+back by ``(key, chunk)``.
 """
 
 from __future__ import annotations
@@ -28,14 +28,14 @@ def running(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add running sums and last non-null values per key, inclusive of the current row.
 
-    ``pos`` is an integer position, unique within the key.
+    ``pos`` is an integer position, unique within the key. ``small`` passes on an
+    earlier :func:`small_keys` answer.
     """
-    return _running(
-        df.withColumn("_chunk", F.floor(F.col(pos) / chunk_rows)), keys, [pos], sums or {}, lasts or {}
-    ).drop("_chunk")
+    return running_in(df, keys, [pos], F.floor(F.col(pos) / chunk_rows), sums=sums, lasts=lasts, chunk_rows=chunk_rows, small=small)
 
 
 def _running(df, keys, order, sums, lasts):
@@ -65,20 +65,43 @@ def _running(df, keys, order, sums, lasts):
     return joined.withColumns(out).drop(*inputs, *[f"_k_{k}" for k in keys], "_k_chunk", *[f"_p_{n}" for n in {**sums, **lasts}])
 
 
+def small_keys(df: DataFrame, keys: Sequence[str], limit: int = CHUNK_ROWS) -> bool:
+    """Whether every key has at most ``limit`` rows; reads the key columns only."""
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= limit
+
+
 def running_in(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, *, sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    *,
+    sums: Mapping[str, Column] | None = None,
+    lasts: Mapping[str, Column] | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Like :func:`running` for any order; ``bucket`` must not decrease along ``order``."""
-    return _running(df.withColumn("_chunk", bucket), keys, list(order), sums or {}, lasts or {}).drop("_chunk")
-
-
-def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "rn") -> DataFrame:
+    sums, lasts = sums or {}, lasts or {}
+    if small is None:
+        small = small_keys(df, keys, chunk_rows)
+    if small:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        values = {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}
+        return df.withColumns(values | {n: F.last(c, ignorenulls=True).over(w) for n, c in lasts.items()})
+    return _running(df.withColumn("_chunk", bucket), keys, list(order), sums, lasts).drop("_chunk")
+
+
+def number_within(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "rn", chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """1-based row number per key by ``order``.
 
     ``bucket`` must not decrease along ``order`` (for example the hour of a leading
     timestamp); it bounds how many rows of a hot key one task sorts.
     """
-    return running_in(df, keys, order, bucket, sums={name: F.lit(1)})
+    return running_in(df, keys, order, bucket, sums={name: F.lit(1)}, chunk_rows=chunk_rows)
 
 
 def number_rows(df: DataFrame, order: str, name: str = "rn", buckets: int = 1000) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from rolloom.functions import jsonv
 from rolloom.functions.text import py_strip, strip_ansi
-from rolloom.operators.ordered import running
+from rolloom.operators.ordered import running, small_keys
 
 # Sentences, limits and tool names that decide results.
 EMPTY_OBSERVATION = "Your command ran successfully and did not produce any output."
@@ -161,11 +161,12 @@ def token_offsets(turns: DataFrame) -> DataFrame:
             "_own": own,
         }
     )
+    small = small_keys(turns, ["run_id"])
     seen = running(
-        turns, ["run_id"], "turn", sums={"p_end": F.col("p_n"), "r_end": F.col("r_n"), "_seen": F.col("_own")}
+        turns, ["run_id"], "turn", sums={"p_end": F.col("p_n"), "r_end": F.col("r_n"), "_seen": F.col("_own")}, small=small
     )
     padded = F.when((F.col("kind") == "tool") & (F.col("_seen") > 0), F.col("r_n")).otherwise(F.col("_own"))
-    return running(seen.withColumn("lp_n", padded), ["run_id"], "turn", sums={"lp_end": F.col("lp_n")}).drop("_own", "_seen")
+    return running(seen.withColumn("lp_n", padded), ["run_id"], "turn", sums={"lp_end": F.col("lp_n")}, small=small).drop("_own", "_seen")
 
 
 def flag_token_limit(turns: DataFrame, max_model_len: int) -> DataFrame:

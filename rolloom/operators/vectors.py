@@ -99,6 +99,8 @@ def embed(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.nda
 
 def training_sample(passages: DataFrame, n: int = TRAINING_SAMPLES, seed: int = 0) -> DataFrame:
     """Exactly ``min(n, rows)`` passages in the order of a seeded hash."""
+    if passages.count() <= n:
+        return passages
     hashed = passages.withColumn("_h", F.xxhash64("id", F.lit(seed)))
     return number_rows(hashed, "_h", "_rn").where(F.col("_rn") <= n).drop("_rn", "_h")
 

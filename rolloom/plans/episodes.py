@@ -16,7 +16,7 @@ MAX_TURNS = 20
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as the steps of a run, in time order."""
     e = table(spark, sf_dir, "events")
-    e = number_within(e, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "step_idx")
+    e = number_within(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "step_idx")
     kind = F.col("event_type")
     return e.select(
         F.col("user_id").alias("run_id"),

@@ -7,42 +7,34 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.text import END_MARKER, START_MARKER
 from rolloom.operators import reports, rewards
-from rolloom.operators.ordered import number_within
 from rolloom.plans.registry import query, table
-from rolloom.session import checkpointed
-
-_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag"]
-
 
 def _status():
     return F.when(F.col("l_returnflag") == "A", "PASSED").when(F.col("l_returnflag") == "N", "FAILED").otherwise("SKIPPED")
 
 
-def test_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _position():
+    """Order of an order's lines as one number: line, part, supplier, status."""
+    code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return F.col("l_linenumber") * F.lit(10**18) + F.col("l_partkey") * F.lit(10**9) + F.col("l_suppkey") * 4 + code
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log per order, one row per line: markers around a status line per line item.
 
     Half of the orders use the newer line format; even orders never print the end marker.
     """
-    li = number_within(table(spark, sf_dir, "lineitem").select("l_orderkey", *_ORDER), ["l_orderkey"], _ORDER, F.col("l_linenumber"), "pos")
+    li = table(spark, sf_dir, "lineitem")
     test = F.concat(F.lit("test_"), F.pmod("l_partkey", F.lit(5)).cast("string"))
     newer = F.pmod("l_orderkey", F.lit(4)) >= 2
     old = F.concat_ws(" ", _status(), test, F.when(F.col("l_returnflag") == "N", F.concat(F.lit("- "), F.col("l_returnflag"))))
     new = F.concat(test, F.lit(" "), _status(), F.lit("[0m"))
-    body = li.select(F.col("l_orderkey").alias("run_id"), "pos", F.when(newer, new).otherwise(old).alias("line"))
-    sizes = body.groupBy("run_id").agg(F.count("*").alias("n"))
-    frame = sizes.select(
-        "run_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit("PASSED before_start").alias("line")),
-                F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(f"+ : '{START_MARKER}'").alias("line")),
-                F.struct(
-                    (F.col("n") + 1).alias("pos"), F.when(F.pmod("run_id", F.lit(2)) == 1, f"+ : '{END_MARKER}'").otherwise("stopped").alias("line")
-                ),
-            )
-        ).alias("x"),
-    ).select("run_id", "x.pos", "x.line")
-    return checkpointed(body.unionByName(frame), "test-logs")  # read several times below
+    body = li.select(F.col("l_orderkey").alias("run_id"), _position().alias("pos"), F.when(newer, new).otherwise(old).alias("line"))
+    end = F.when(F.pmod("run_id", F.lit(2)) == 1, f"+ : '{END_MARKER}'").otherwise("stopped")
+    rows = [(-1, F.lit("PASSED before_start")), (0, F.lit(f"+ : '{START_MARKER}'")), (9 * 10**18, end)]
+    frame = F.array(*[F.struct(F.lit(p).cast("bigint").alias("pos"), line.alias("line")) for p, line in rows])
+    runs = li.select(F.col("l_orderkey").alias("run_id")).distinct()
+    return body.unionByName(runs.select("run_id", F.explode(frame).alias("x")).select("run_id", "x.*"))
 
 
 def _parsers(lines: DataFrame) -> DataFrame:
@@ -72,7 +64,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATUS_SQL = """
 WITH o AS (SELECT l_orderkey AS run_id, 'test_' || (l_partkey % 5) AS test,
   CASE l_returnflag WHEN 'A' THEN 'PASSED' WHEN 'N' THEN 'FAILED' ELSE 'SKIPPED' END AS status,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_returnflag) AS pos FROM lineitem),
+  l_linenumber * 1000000000000000000 + l_partkey * 1000000000 + l_suppkey * 4 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS pos FROM lineitem),
 statuses AS (SELECT run_id, test, arg_max(status, pos) AS status FROM o WHERE run_id % 2 = 1 GROUP BY ALL),
 runs AS (SELECT DISTINCT run_id, run_id % 2 = 1 AS found FROM o),
 req AS (SELECT run_id, found, 'test_' || k AS test, k < 2 AS f2p, run_id % 7 = 0 AS fail_only FROM runs, (SELECT unnest(range(5)) AS k)),
@@ -82,7 +74,7 @@ j AS (SELECT req.*, s.status FROM req LEFT JOIN statuses s USING (run_id, test))
 
 @query("pytest_status", _STATUS_SQL + "SELECT * FROM statuses")
 def pytest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsers(test_log_lines(spark, sf_dir))
+    return _parsers(log_lines(spark, sf_dir))
 
 
 @query(
@@ -94,7 +86,7 @@ SELECT run_id, found AS found_eval_status, count(*) FILTER (found AND f2p AND ok
 FROM (SELECT *, CASE WHEN fail_only THEN coalesce(status, '') <> 'FAILED' ELSE coalesce(status, '') IN ('PASSED', 'XFAIL') END AS ok FROM j) GROUP BY run_id, found""",
 )
 def swe_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statuses = _parsers(test_log_lines(spark, sf_dir))
+    statuses = _parsers(log_lines(spark, sf_dir))
     return rewards.score_swe(statuses, _required(spark, sf_dir), _found(spark, sf_dir))
 
 
@@ -107,7 +99,7 @@ SELECT run_id, found AS found_eval_status, count(*) FILTER (f2p AND status = 'PA
   count(*) FILTER (NOT f2p AND status = 'PASSED') AS p2p_success, count(*) FILTER (NOT f2p AND status = 'FAILED') AS p2p_failure FROM j GROUP BY run_id, found)""",
 )
 def live_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statuses = _parsers(test_log_lines(spark, sf_dir))
+    statuses = _parsers(log_lines(spark, sf_dir))
     return rewards.score_swe_live(statuses, _required(spark, sf_dir), _found(spark, sf_dir))
 
 

@@ -29,7 +29,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     texts = F.when(kind == "view", F.array(F.concat(head, message), F.concat(F.lit("payload "), "props"))).otherwise(F.array(F.concat(head, message)))
     e = e.withColumn("_t", texts)
-    e = running_in(e, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), sums={"_end": F.size("_t")})
+    e = running_in(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), sums={"_end": F.size("_t")})
     source = F.when(F.pmod("user_id", F.lit(10)) == 9, "verify.log").otherwise("run.log")
     lines = e.select(
         F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), source.alias("source"), (F.col("_end") - F.size("_t") + 1).alias("_first"), "ts", F.posexplode("_t").alias("_i", "line")

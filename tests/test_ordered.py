@@ -15,6 +15,8 @@ def test_running_matches_a_plain_loop_across_chunks(spark):
     df = spark.createDataFrame(_rows(), "k string, pos int, v int")
     out = running(df, ["k"], "pos", sums={"s": F.coalesce("v", F.lit(0))}, lasts={"l": F.col("v")}, chunk_rows=16)
     got = {(r.k, r.pos): (r.s, r.l) for r in out.collect()}
+    plain = running(df, ["k"], "pos", sums={"s": F.coalesce("v", F.lit(0))}, lasts={"l": F.col("v")})
+    assert {(r.k, r.pos): (r.s, r.l) for r in plain.collect()} == got
     want, state = {}, {}
     for k, p, v in sorted(_rows(), key=lambda r: (r[0], r[1])):
         s, last = state.get(k, (0, None))
@@ -33,6 +35,8 @@ def test_running_keeps_null_keys_and_input_columns(spark):
 def test_number_within_and_number_rows(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 1000).alias("v"))
     n = number_within(df, ["k"], ["v"], F.floor(F.col("v") / 10)).collect()
+    chunked = number_within(df, ["k"], ["v"], F.floor(F.col("v") / 10), chunk_rows=100).collect()
+    assert sorted(map(tuple, n)) == sorted(map(tuple, chunked))
     for k in range(3):
         mine = sorted((r.v, r.rn) for r in n if r.k == k)
         assert [x[1] for x in mine] == list(range(1, len(mine) + 1))
