@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolloom.functions.jsonv import let
 from rolloom.functions.text import END_MARKER, START_MARKER, exact_match, py_words, strip_ansi, test_section
 
 # Status words, parser names and scores.
@@ -80,33 +81,45 @@ def _any_of(test: Callable[[str], Column]) -> Column:
     return out
 
 
+def _line_status(line: Column, v2: Column) -> Column:
+    """``struct<test,status>`` of a line, or null.
+
+    Each step is bound once: the optimizer copies this expression into the filter it
+    pushes below the joins, so repeated sub-expressions would be paid many times.
+    """
+
+    def report(words: Column, status_first: Column) -> Column:
+        first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+        test, status = F.when(status_first, second).otherwise(first), F.when(status_first, first).otherwise(second)
+        return F.when(F.size(words) >= 2, F.struct(test.alias("test"), status.alias("status")))
+
+    def tidy(bare: Column) -> Column:
+        starts = _any_of(bare.startswith)
+        spaced = F.when(bare.startswith("FAILED"), F.replace(bare, F.lit(" - "), F.lit(" "))).otherwise(bare)
+        return F.when(starts, let(py_words(spaced), lambda w: report(w, F.lit(True)))).when(
+            v2 & _any_of(bare.endswith), let(py_words(bare), lambda w: report(w, F.lit(False)))
+        )
+
+    def clean(text: Column) -> Column:
+        uncoloured = F.when(text.contains("["), F.regexp_replace(text, r"\[(\d+)m", "")).otherwise(text)
+        return let(F.when(v2, F.translate(uncoloured, _CONTROL, "")).otherwise(text), tidy)
+
+    return let(line, clean)
+
+
 def parse_statuses(lines: DataFrame, parser: str | Column = "parse_log_pytest") -> DataFrame:
     """``run_id, test, status`` with the last line of a test winning.
 
     ``parser`` is a name or a column of names (one per line's run); an unknown name is
-    an error. Lines without a status word are dropped before they are split, and the
-    final aggregate combines on the map side, so a huge log costs no huge group.
+    an error. The final aggregate combines on the map side, so a huge log costs no huge
+    group.
     """
     parser = F.lower(F.trim(F.lit(parser) if isinstance(parser, str) else parser))
     known = F.coalesce(parser.isin(PARSERS), F.lit(False))
     fail = F.raise_error(F.concat(F.lit("unknown log parser "), F.coalesce(parser, F.lit("null")))).cast("boolean")
-    line = F.col("line")
-    uncoloured = F.when(line.contains("["), F.regexp_replace(line, r"\[(\d+)m", "")).otherwise(line)
-    bare = F.when(F.col("_v2"), F.translate(uncoloured, _CONTROL, "")).otherwise(line)
-    tidy = F.when(F.col("_bare").startswith("FAILED"), F.replace("_bare", F.lit(" - "), F.lit(" "))).otherwise(F.col("_bare"))
-    first, second = F.get("_words", F.lit(0)), F.get("_words", F.lit(1))
-    staged = (
-        lines.select("run_id", "pos", "line", F.when(known, parser == "parse_log_pytest_v2").otherwise(fail).alias("_v2"))
-        .select("run_id", "pos", "_v2", bare.alias("_bare"))
-        .withColumn("_starts", _any_of(F.col("_bare").startswith))
-        .where(F.col("_starts") | (F.col("_v2") & _any_of(F.col("_bare").endswith)))
-        .select("run_id", "pos", "_starts", py_words(tidy).alias("_words"))
-        .where(F.size("_words") >= 2)
-        .select(
-            "run_id", "pos", F.when(F.col("_starts"), second).otherwise(first).alias("test"), F.when(F.col("_starts"), first).otherwise(second).alias("status")
-        )
-    )
-    return staged.groupBy("run_id", "test").agg(F.max_by("status", "pos").alias("status"))
+    v2 = F.when(known, parser == "parse_log_pytest_v2").otherwise(fail)
+    found = lines.select("run_id", "pos", _line_status(F.col("line"), v2).alias("f")).where(F.col("f").isNotNull())
+    return found.groupBy("run_id", F.col("f.test").alias("test")).agg(F.max_by("f.status", "pos").alias("status"))
 
 
 def coarse_status(status: Column) -> Column:
