@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rolloom.functions.text import py_words
 from rolloom.operators.ordered import join_lines, running
 
 # Markers, file names, labels and limits.
@@ -379,7 +378,3 @@ def record_text(lines: DataFrame, part_rows: int = 10_000) -> DataFrame:
     ordered = r.withColumns({"_n": F.col("pos") - F.col("_head_pos") + 1, "_m": msg})
     return join_lines(ordered, ["run_id", "source", "record_id"], "_n", "_m", "message", part_rows=part_rows)
 
-
-def search_words(text: Column) -> Column:
-    """Lower-cased keywords of a search box."""
-    return py_words(F.lower(text))

@@ -92,10 +92,9 @@ def limit_samples(samples: DataFrame, n: int, order: str) -> DataFrame:
 
 def assign_chunks(samples: DataFrame, order: str, workers: int = 8) -> DataFrame:
     """Contiguous ceil-sized chunks: adds ``chunk`` 0..workers-1."""
-    total = samples.agg(F.count("*").alias("_total"))
-    numbered = number_rows(samples, order, "_rn").crossJoin(F.broadcast(total))  # one-row side
-    size = F.floor((F.col("_total") - 1) / workers) + 1
-    return numbered.withColumn("chunk", F.floor((F.col("_rn") - 1) / size).cast("int")).drop("_rn", "_total")
+    size = (samples.count() - 1) // workers + 1
+    numbered = number_rows(samples, order, "_rn")
+    return numbered.withColumn("chunk", F.floor((F.col("_rn") - 1) / max(size, 1)).cast("int")).drop("_rn")
 
 
 def union_results(*parts: DataFrame) -> DataFrame:

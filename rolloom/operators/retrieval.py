@@ -92,9 +92,8 @@ def url_index(corpus: DataFrame) -> DataFrame:
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
     """Documents and unique urls."""
-    urls = corpus.where(_has_url()).groupBy("url").agg(F.count("*").alias("_n")).agg(F.count("*").alias("n_urls"))
-    docs = corpus.agg(F.count("*").alias("n_docs"))
-    return docs.crossJoin(F.broadcast(urls))  # one row each
+    per_url = corpus.groupBy(F.when(_has_url(), F.col("url")).alias("url")).agg(F.count("*").alias("_n"))
+    return per_url.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_docs"), F.count("url").alias("n_urls"))
 
 
 def crawl(requests: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.operators import toolcalls, trajectories, rewards, reports
-from rolloom.plans.registry import query, table
+from rolloom.plans.registry import as_long, query, table
 
 N_GOLD = 40
 _LOW = "abcdefghijklmnopqrstuvwxyz"
@@ -49,46 +49,35 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TRANSCRIPTS_SQL = """
+def _sql_call(name: str, answer: str) -> str:
+    """SQL text of a call's JSON."""
+    return f"""('{{"name":"{name}","arguments":' || CAST(json_object('answer', {answer}) AS VARCHAR) || '}}')"""
+
+
+def _sql_tag(body: str) -> str:
+    """SQL text of a tagged call."""
+    return f"('<tool_call>' || chr(10) || {body} || chr(10) || '</tool_call>')"
+
+
+_FIN = _sql_call("finish", "gold")
+_LOUD = f"'The ' || translate(gold, '{_LOW}', '{_LOW.upper()}') || '!!'"
+TRANSCRIPTS_SQL = f"""
 transcripts AS (
   SELECT conv_id AS run_id, turn, gold, item_id, shape,
     text || chr(10) || CASE shape
-      WHEN 0 THEN tag(fin(gold))
-      WHEN 1 THEN tag(fin('The ' || translate(gold, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!!'))
+      WHEN 0 THEN {_sql_tag(_FIN)}
+      WHEN 1 THEN {_sql_tag(_sql_call("finish", _LOUD))}
       WHEN 2 THEN '<tool_call>' || chr(10) || '<function=finish>' || chr(10) || '<parameter=answer>' || chr(10) || gold
                   || chr(10) || '</parameter>' || chr(10) || '</function>' || chr(10) || '</tool_call>'
       WHEN 3 THEN ''
-      WHEN 4 THEN tag(fin(gold)) || tag(fin(gold))
-      WHEN 5 THEN '<tool_call>' || fin(gold)
-      WHEN 6 THEN tag('{"name":' || gold)
-      ELSE tag('{"name":"look_up","arguments":' || CAST(json_object('answer', gold) AS VARCHAR) || '}') END AS text
+      WHEN 4 THEN {_sql_tag(_FIN)} || {_sql_tag(_FIN)}
+      WHEN 5 THEN '<tool_call>' || {_FIN}
+      WHEN 6 THEN {_sql_tag("""'{"name":' || gold""")}
+      ELSE {_sql_tag(_sql_call("look_up", "gold"))} END AS text
   FROM (SELECT c.conv_id, c.turn, c.text, b.text AS gold, b.item_id, (c.conv_id + c.turn) % 8 AS shape
         FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40 WHERE c.role = 'assistant'))
 """
 
-
-def _inline(sql: str) -> str:
-    """Expand the two text helpers of the derivation, so the SQL needs no macros."""
-    import re
-
-    out = re.sub(r"fin\(((?:[^()]|\([^()]*\))*)\)", r"""('{"name":"finish","arguments":' || CAST(json_object('answer', \1) AS VARCHAR) || '}')""", sql)
-    while True:
-        m = re.search(r"\btag\(", out)
-        if not m:
-            return out
-        depth, i = 1, m.end()
-        in_text = False
-        while depth:
-            ch = out[i]
-            in_text = in_text ^ (ch == "'")
-            depth += 0 if in_text else (ch == "(") - (ch == ")")
-            i += 1
-        body = out[m.end() : i - 1]
-        out = out[: m.start()] + "('<tool_call>' || chr(10) || " + body + " || chr(10) || '</tool_call>')" + out[i:]
-
-
-TRANSCRIPTS_SQL = _inline(_TRANSCRIPTS_SQL)
-
 # Hermes outcome of the eight shapes, decided by the text alone
 _HERMES_SQL = f"""
 WITH {TRANSCRIPTS_SQL},
@@ -140,9 +129,10 @@ FROM audit""",
 )
 def toolcall_hermes_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = toolcalls.parse_hermes_calls(transcripts(spark, sf_dir))
-    return parsed.select(
+    shown = parsed.select(
         "run_id", "turn", "error_class", "n_calls", "content", toolcalls.argument("answer").alias("answer"), toolcalls.error_message().alias("error_message")
     )
+    return as_long(shown, "n_calls")
 
 
 def xml_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +229,7 @@ scored AS (SELECT run_id, answer, CASE WHEN answer IS NOT NULL AND """
     + _NORM.format(x="answer")
     + " = "
     + _NORM.format(x="gold")
-    + " THEN 1.0 ELSE 0.0 END AS score FROM answers)"
+    + " THEN 1e0 ELSE 0e0 END AS score FROM answers)"
 )
 
 

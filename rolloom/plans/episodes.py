@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolloom.functions.text import completion_tokens
 from rolloom.operators import reports, trajectories
 from rolloom.operators.ordered import number_within
-from rolloom.plans.registry import query, table
+from rolloom.plans.registry import as_long, query, table
 
 MAX_TURNS = 20
 
@@ -167,7 +167,7 @@ def api_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = trajectories.normalize_api_messages(api_messages(spark, sf_dir))
     return n.select(
         "run_id", "turn", "role", "content", F.coalesce(F.size("tool_calls"), F.lit(0)).alias("n_calls"), "tool_call_id", "name",
-        completion_tokens(F.col("content")).alias("completion_tokens"),
+        completion_tokens(F.col("content")).cast("bigint").alias("completion_tokens"),
     )
 
 
@@ -220,7 +220,7 @@ SELECT run_id, len(p2) AS n_prompt, CAST(coalesce(list_sum(list_transform(p2, la
   CAST(CASE WHEN none THEN 0 ELSE list_sum(list_transform(m2, lambda x, i: x * i)) END AS BIGINT) AS mask_sum,
   CASE WHEN none THEN 0.0 WHEN run_id % 2 = 0 THEN round(list_sum(list_transform(lp2, lambda x, i: x * i)), 3) END AS logprob_sum,
   CASE WHEN none THEN 512 WHEN run_id % 2 = 0 THEN len(lp2) END AS n_logprobs,
-  CASE WHEN none THEN 0.0 ELSE 0.5 END AS reward_score, a AS num_turns,
+  CASE WHEN none THEN 0e0 ELSE 5e-1 END AS reward_score, a AS num_turns,
   CASE WHEN none OR run_id % 3 = 0 THEN 1 ELSE 0 END AS traj_masked,
   CASE WHEN none THEN 'no_response' WHEN run_id % 3 = 0 THEN 'max_step_limit' ELSE 'finished' END AS traj_exit_reason
 FROM dummy"""
@@ -235,7 +235,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), zero, lambda acc, x: acc + x)
 
     zero = F.lit(0).cast("bigint")
-    return rows.select(
+    flat = rows.select(
         "run_id",
         F.size("prompt_ids").alias("n_prompt"), weighted("prompt_ids", zero).alias("prompt_sum"),
         F.size("response_ids").alias("n_response"), weighted("response_ids", zero).alias("response_sum"),
@@ -244,6 +244,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("response_logprobs").isNotNull(), F.size("response_logprobs")).alias("n_logprobs"),
         "reward_score", "num_turns", "traj_masked", "traj_exit_reason",
     )
+    return as_long(flat, "n_prompt", "n_response", "n_logprobs", "num_turns")
 
 
 @query(

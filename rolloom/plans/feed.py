@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.operators import feeds
-from rolloom.plans.registry import query, table
+from rolloom.plans.registry import as_long, query, table
 from rolloom.session import work_path
 from rolloom.sources import files
 
@@ -36,7 +36,8 @@ top AS (SELECT * FROM r WHERE rank <= 12)
 
 @query("recent_top_papers", _TOP_SQL + "SELECT query, title, updated, abs_url, rank FROM top")
 def recent_top_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.top_papers(papers(spark, sf_dir), 12, F.lit(NOW), 9).select("query", "title", "updated", "abs_url", "rank")
+    top = feeds.top_papers(papers(spark, sf_dir), 12, F.lit(NOW), 9)
+    return as_long(top.select("query", "title", "updated", "abs_url", "rank"), "rank")
 
 
 @query(

@@ -222,7 +222,7 @@ def mean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "reward_routing",
     _ORDERS_SQL
-    + """SELECT name, count(*) AS n, round(sum(score), 2) AS score FROM (
+    + """SELECT name, count(*) AS n, round(CAST(sum(score) AS DOUBLE), 2) AS score FROM (
   SELECT CASE run_id % 6 WHEN 0 THEN 'swe_bench' WHEN 1 THEN 'swe_rebench' WHEN 2 THEN 'r2e_gym' WHEN 3 THEN 'search' WHEN 4 THEN 'swe_bench_live' END AS name,
     CASE run_id % 6 WHEN 5 THEN -100.0 WHEN 3 THEN CASE WHEN eval_completed THEN 1.0 ELSE 0.0 END ELSE CASE WHEN resolved THEN 1.0 ELSE 0.0 END END AS score FROM r)
 GROUP BY name""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolloom.functions.text import count_matches
 from rolloom.operators import monitor
 from rolloom.operators.ordered import running_in
-from rolloom.plans.registry import query, table
+from rolloom.plans.registry import as_long, query, table
 from rolloom.session import checkpointed
 
 TAIL = 1_500
@@ -154,7 +154,7 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("recent_file_events", f"WITH {_SNAP_SQL} SELECT run_id, path, action, row_number() OVER (PARTITION BY run_id ORDER BY updated_at DESC, path) AS recency FROM events_out QUALIFY recency <= 10")
 def recent_file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = monitor.file_events(*snapshots(spark, sf_dir), F.lit(99999999.0))
-    return monitor.recent_file_events(ev, 10).select("run_id", "path", "action", "recency")
+    return as_long(monitor.recent_file_events(ev, 10).select("run_id", "path", "action", "recency"), "recency")
 
 
 @query("removed_runs", f"WITH {_SNAP_SQL} SELECT DISTINCT run_id FROM prev WHERE run_id NOT IN (SELECT run_id FROM cur)")
@@ -189,7 +189,7 @@ def run_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, files, tail = statuses(spark, sf_dir)
     created = monitor.file_events(files.limit(0), files, F.lit(0.0))
     cards = monitor.run_cards(status, files, tail, created)
-    return cards.select("run_id", "status", "status_label", "file_count", F.md5("log_excerpt").alias("excerpt_md5"), "n_logs", F.coalesce(F.size("recent_file_events"), F.lit(0)).alias("n_events"))
+    return cards.select("run_id", "status", "status_label", "file_count", F.md5("log_excerpt").alias("excerpt_md5"), "n_logs", F.coalesce(F.size("recent_file_events"), F.lit(0)).cast("bigint").alias("n_events"))
 
 
 # --- lines ------------------------------------------------------------------
@@ -220,7 +220,7 @@ SELECT run_id, source, pos, kind, block, 'log-line' || CASE WHEN contains(line,
 )
 def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = monitor.classify_lines(log_lines(spark, sf_dir))
-    return c.select("run_id", "source", "pos", "kind", "block", "classes", count_matches(F.col("line"), "st").alias("n_matches"))
+    return c.select("run_id", "source", "pos", "kind", "block", "classes", count_matches(F.col("line"), "st").cast("bigint").alias("n_matches"))
 
 
 @query(

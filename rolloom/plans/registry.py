@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def as_long(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns as 64-bit integers, the type SQL counts have."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One benchmark table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

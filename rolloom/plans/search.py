@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.operators import retrieval, vectors
-from rolloom.plans.registry import query, table
+from rolloom.plans.registry import as_long, query, table
 from rolloom.session import work_path
 from rolloom.sources import files, sinks
 
@@ -42,7 +42,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id
 
 @query("topk_exact", _PAIRS_SQL + "SELECT qid, id, score, rank FROM ranked WHERE rank <= 5")
 def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.topk_exact(_queries(spark, sf_dir), _vectors(spark, sf_dir), 5)
+    return as_long(vectors.topk_exact(_queries(spark, sf_dir), _vectors(spark, sf_dir), 5), "rank")
 
 
 def _index(spark: SparkSession, sf_dir: str, nlist: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +58,7 @@ def _index(spark: SparkSession, sf_dir: str, nlist: int = 16) -> tuple[DataFrame
 def topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probing every cell equals the exact search."""
     centroids, assigned = _index(spark, sf_dir)
-    return vectors.topk_ivf(_queries(spark, sf_dir), assigned, centroids, 5, nprobe=16)
+    return as_long(vectors.topk_ivf(_queries(spark, sf_dir), assigned, centroids, 5, nprobe=16), "rank")
 
 
 @query(
@@ -106,7 +106,7 @@ def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retrieve_dedup", _RETRIEVE_SQL + "SELECT qid, id, url, title, score, rank FROM hits")
 def retrieve_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _retrieved(spark, sf_dir).select("qid", "id", "url", "title", "score", "rank")
+    return as_long(_retrieved(spark, sf_dir).select("qid", "id", "url", "title", "score", "rank"), "rank")
 
 
 @query(
@@ -120,7 +120,7 @@ SELECT qid, md5(coalesce(r, 'No results found for this query.')) AS result_md5,
 def hits_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _requests(spark, sf_dir).select("qid")
     out = retrieval.format_hits(asked, _retrieved(spark, sf_dir))
-    return out.select("qid", F.md5("result").alias("result_md5"), F.length("result").alias("n_chars"))
+    return out.select("qid", F.md5("result").alias("result_md5"), F.length("result").cast("bigint").alias("n_chars"))
 
 
 # --- urls -------------------------------------------------------------------
