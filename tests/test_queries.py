@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_module
+from rolloom.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-Q, O = entry_module.queries(), entry_module.oracle_sql()
+Q, O = catalogue.QUERIES, catalogue.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="benchmark tables are not here")
 
 
