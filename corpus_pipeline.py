@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolloom.llm import bpe
+from rolloom.llm import bpe, langid, minhash
 from rolloom.session import work_path
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts in a language; texts that are null or have no letter go."""
+    fold = F.coalesce(langid.remainder("doc_id", 4), F.lit(0))
+    model = langid.train(docs.where(fold != 2))
+    told = langid.predict(docs, model, docs.columns, lang_pred="_lang_pred", score="_lang_score")
+    return told.where(F.col("_lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return minhash.keep_one(docs)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of what is left; nothing is filtered."""
     return bpe.digests(docs, bpe.default_path())
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
     ("bpe", encode_tokens),
 ]
 

@@ -7,18 +7,26 @@ two of ten million different words meet with a chance near 3e-6.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text handled at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 3 << 20
 #: Bytes hashed at once inside a slice.
 BLOCK_BYTES = 1 << 20
 
+#: Characters with the property White_Space.
+WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 IS_SPACE = np.zeros(256, bool)
@@ -148,3 +156,49 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the parts of ``values`` between bounds; empty parts give 0."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def letter_classes() -> np.ndarray:
+    """Class of every code point: 1 letter, 2 number, 3 white space, 0 other."""
+    table = np.zeros(0x110000, np.uint8)
+    for cp in range(0x110000):
+        kind = unicodedata.category(chr(cp))[0]
+        if kind in "LN":
+            table[cp] = 1 if kind == "L" else 2
+    table[WHITE_SPACE] = 3
+    return table
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """Code points of valid UTF-8 bytes."""
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+
+
+def map_text(
+    df: DataFrame,
+    text: str,
+    keep: list[str],
+    added: dict[str, str],
+    start: Callable[[], Callable[[pa.Array], list]],
+    most: int = SLICE_BYTES,
+) -> DataFrame:
+    """Columns ``keep`` of every row with columns computed from its text.
+
+    ``start`` runs once per task and returns a function from a text column to one array
+    or list per added column. Slices of at most ``most`` bytes of text bound the memory.
+    """
+    fields = [df.schema[c] for c in keep]
+    extra = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in added.items()))
+    names = [f"k{i}" for i in range(len(keep))]
+    inner = StructType([StructField(n, f.dataType, True) for n, f in zip(names, fields, strict=True)] + [StructField(f"a{i}", f.dataType, True) for i, f in enumerate(extra.fields)])
+    types = [to_arrow_type(f.dataType) for f in extra.fields]
+
+    def run(batches):
+        each = start()
+        for batch in batches:
+            for part in slices(batch, "t", most):
+                made = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(each(part.column(len(names))), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *made], inner.names)
+
+    out = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("t")).mapInArrow(run, inner)
+    return out.toDF(*keep, *added)

@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm.arrow_text import gathered, lookup, slices, span_hashes, utf8
+from rolloom.llm.arrow_text import code_points, gathered, letter_classes, lookup, map_text, span_hashes, utf8
 
 _NONE = np.int32(2**31 - 1)
-_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
-#: Characters with the property White_Space.
-_WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_LETTER, _SPACE = 1, 3
 #: Pretokens kept per task between slices.
 CACHE = 1 << 20
 
 
-def character_classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space or other."""
-    table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind in "LN":
-            table[cp] = _LETTER if kind == "L" else _NUMBER
-    table[_WHITE] = _SPACE
-    return table
-
-
 def _byte_letters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -58,7 +44,7 @@ class Vocabulary:
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or spec["normalizer"] or pre["add_prefix_space"] or not pre["use_regex"]:
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        self.classes = character_classes()
+        self.classes = letter_classes()
         letters = _byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         ids = model["vocab"]
@@ -145,7 +131,7 @@ class Vocabulary:
         n = len(lead)
         if not n:
             return lead
-        code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        code = code_points(data)
         kind = self.classes[code]
         border = np.zeros(n + 1, bool)
         border[np.searchsorted(lead, offsets[:-1])] = True
@@ -243,64 +229,63 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encoded(spark: SparkSession, path: str):
-    shared = spark.sparkContext.broadcast(Vocabulary(path))
+def _shared(spark: SparkSession, path: str):
+    """The vocabulary as a broadcast of plain arrays, and how a task gets it back."""
+    arrays = spark.sparkContext.broadcast(vars(Vocabulary(path)))
 
-    def each(batches: Iterator[pa.RecordBatch], column: str):
-        vocabulary, cache = shared.value, {}
-        for batch in batches:
-            for part in slices(batch, column):
-                ids, counts = vocabulary.encode(*utf8(part.column(column)), cache)
-                yield vocabulary, part, ids, np.concatenate([[0], np.cumsum(counts)])
+    def get() -> Vocabulary:
+        vocabulary = Vocabulary.__new__(Vocabulary)
+        vars(vocabulary).update(arrays.value)
+        return vocabulary
 
-    return each
+    return get
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token ids of every text: the key and ``ids``, in document order of tokens."""
-    each = _encoded(docs.sparkSession, path)
+    get = _shared(docs.sparkSession, path)
+
+    def start():
+        vocabulary, cache = get(), {}
+
+        def each(column):
+            ids, counts = vocabulary.encode(*utf8(column), cache)
+            bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            return [pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int32()))]
 
-    def run(batches):
-        for _, part, ids, bounds in each(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(bounds.astype(np.int32), ids)], ["_key", "ids"])
+        return each
 
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, ids array<int>")
-    return out.withColumnRenamed("_key", key)
+    return map_text(docs, text, [key], {"ids": "array<int>"}, start)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Texts of token ids: the key and ``text``. Bytes that are no UTF-8 become U+FFFD; null ids give an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    get = _shared(encoded.sparkSession, path)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]):
+        vocabulary = get()
         for batch in batches:
-            lists = batch.column(1)
-            texts = [shared.value.decode(np.asarray(v.values, np.int64)).decode("utf-8", "replace") if v.is_valid and len(v) else "" for v in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_key", "text"])
+            texts = [vocabulary.decode(v.values.to_numpy()).decode("utf-8", "replace") if v.is_valid and len(v) else "" for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "t"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    out = encoded.select(F.col(key).alias("_key"), F.col(ids).alias("_ids")).mapInArrow(run, f"_key {kind}, text string")
-    return out.withColumnRenamed("_key", key)
+    return encoded.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInArrow(run, f"k {kind}, t string").toDF(key, "text")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row the key, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; the text is encoded, and the ids decoded again."""
-    each = _encoded(docs.sparkSession, path)
-
-    def run(batches):
-        for vocabulary, part, ids, bounds in each(batches, "_text"):
-            listed, decoded = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                own = ids[a:b]
-                listed.append(hashlib.sha256(vocabulary.listed(own)).hexdigest())
-                back = vocabulary.decode(own)
-                decoded.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
-            columns = [part.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["_key", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
-        run, f"_key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
-    return out.withColumnRenamed("_key", key)
+    get = _shared(docs.sparkSession, path)
+
+    def start():
+        vocabulary, cache = get(), {}
+
+        def each(column):
+            ids, counts = vocabulary.encode(*utf8(column), cache)
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            listed = [hashlib.sha256(vocabulary.listed(own)).hexdigest() for own in parts]
+            decoded = [hashlib.sha256(vocabulary.decode(own).decode("utf-8", "replace").encode()).hexdigest() for own in parts]
+            return [counts.astype(np.int64), listed, decoded]
+
+        return each
+
+    return map_text(docs, text, [key], {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, start)
