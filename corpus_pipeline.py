@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, langid, minhash
+from rolloom.llm import bpe, decontaminate, langid, minhash
 from rolloom.session import work_path
 
 
@@ -22,6 +22,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return minhash.keep_one(docs)
 
 
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of ``benchmark``, as it is or with other slots, go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of what is left; nothing is filtered."""
     return bpe.digests(docs, bpe.default_path())
@@ -30,6 +35,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language_id", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
     ("bpe", encode_tokens),
 ]
 
