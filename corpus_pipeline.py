@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, decontaminate, langid, minhash
+from rolloom.llm import bpe, decontaminate, langid, minhash, secrets
 from rolloom.session import work_path
 
 
@@ -27,6 +27,11 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reported secrets are masked in the texts; every document stays."""
+    return secrets.masked(docs, n_chars="n_chars")
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of what is left; nothing is filtered."""
     return bpe.digests(docs, bpe.default_path())
@@ -36,6 +41,7 @@ STAGES = [
     ("language_id", identify_language),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_benchmark_leaks),
+    ("secrets", mask_secrets),
     ("bpe", encode_tokens),
 ]
 
