@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, decontaminate, langid, minhash, secrets
+from rolloom.llm import bpe, decontaminate, hmm, langid, minhash, secrets
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -37,3 +37,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_duplicates")
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
+
+
+@query("op10_hidden_markov_scores")
+def op10_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("learn", F.coalesce(langid.remainder("doc_id", 7) != 2, F.lit(True)))
+    return hmm.score(docs, "learn").withColumn("held_out", ~F.col("learn")).drop("learn")
