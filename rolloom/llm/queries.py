@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, decontaminate, hmm, langid, minhash, secrets
+from rolloom.llm import bpe, decontaminate, hmm, langid, minhash, quality, secrets
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -39,6 +39,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
 
 
+@query("op9_decision_list")
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = langid.remainder("doc_id", 5) == 0
+    found, _ = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return found
+
+
 @query("op10_hidden_markov_scores")
 def op10_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("learn", F.coalesce(langid.remainder("doc_id", 7) != 2, F.lit(True)))
