@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, decontaminate, hmm, langid, minhash, quality, secrets
+from rolloom.llm import bpe, decontaminate, hmm, langid, minhash, quality, secrets, toxicity
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -17,6 +17,14 @@ def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", "kind")
 
 
+@query("op3_toxicity_scores")
+def op3_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(langid.remainder("doc_id", 5) == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    model = toxicity.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, ["doc_id", "held_out"])
+
+
 @query("op5_bpe_digests")
 def op5_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
