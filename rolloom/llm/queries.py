@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, decontaminate, hmm, langid, minhash, quality, secrets, toxicity
+from rolloom.llm import bpe, decontaminate, hmm, html_text, langid, minhash, quality, secrets, toxicity
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -17,6 +17,11 @@ def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", "kind")
 
 
+@query("op2_page_text")
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op3_toxicity_scores")
 def op3_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(langid.remainder("doc_id", 5) == 0, F.lit(False))
