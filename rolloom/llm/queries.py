@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, decontaminate, hmm, html_text, langid, minhash, quality, secrets, toxicity
+from rolloom.llm import bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,6 +30,12 @@ def op3_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
 
+@query("op4_license_paragraphs")
+def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 @query("op5_bpe_digests")
 def op5_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
