@@ -7,18 +7,22 @@ arrives first, and a shingle stops when its next arrival is later than every reg
 (early termination). Equal registers estimate the probability Jaccard similarity.
 
 Texts with the same words are one node. Nodes that agree in all registers of a band share
-a bucket. Links are found in two steps, without writing all pairs of a bucket:
-
-1. every node is compared with the smallest node of each of its buckets;
-2. then, inside buckets that still span several components, nodes outside the component
-   of the bucket's smallest node are compared with the nodes of other components.
-
-A pair not compared is therefore in one component already. A bit per register discards
-pairs far below the threshold; the rest are verified on their exact shingles: a link needs
-a probability Jaccard or a plain shingle Jaccard of at least ``threshold``. With 25 bands
-of 5 rows a pair at 0.8 is missed with a chance of 5e-5. Classes are the connected
-components of the links. Nodes are 64-bit hashes of word sequences: among 10^9 different
-texts one wrong meeting has a chance of 3 in 100.
+a bucket; they are the candidates. Links are found without writing all pairs of a bucket:
+
+1. shingles that only one candidate has bound how similar it can be to any other; nodes
+   that cannot reach the threshold leave;
+2. every node is compared with the hub of each of its buckets, the node with the smallest
+   share of such shingles;
+3. inside buckets that still span several components, nodes outside the hub's component
+   are compared with the nodes of other components.
+
+A pair not compared is in one component already, or below the threshold: the bound of (1)
+is applied to each pair, as is a bit per register (a pair at 0.8 fails that one with a
+chance below 10^-6). The rest are verified: a link needs a Jaccard similarity of the exact
+shingle sets of at least ``threshold``. With 25 bands of 5 rows a pair at 0.8 is missed
+with a chance of 5e-5. Classes are the connected components of the links. Nodes are 64-bit
+hashes of word sequences: among 10^9 different texts one wrong meeting has a chance of 3
+in 100.
 
 Null and empty texts are one node without words; they form a class of their own. Repeated
 rows and equal texts share a class. A null ``doc_id`` takes part like any other and comes
@@ -30,7 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.llm.arrow_text import Words, map_text, mix, words
@@ -130,61 +134,41 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def _shingle_sets():
     def each(column: pa.Array):
         w = words(pc.utf8_lower(column))
-        n = len(w.offsets) - 1
-        rows, hashes, weights = weighted(*shingles(w))
-        cuts = np.searchsorted(rows, np.arange(n + 1))
-        own = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return [[hashes[s].tobytes() for s in own], [weights[s].tobytes() if (weights[s] > 1).any() else b"" for s in own]]
+        rows, hashes, _ = weighted(*shingles(w))
+        cuts = np.searchsorted(rows, np.arange(len(w.offsets))).astype(np.int32)
+        return [pa.ListArray.from_arrays(cuts, pa.array(hashes.view(np.int64)))]
 
     return each
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """Plain Jaccard and probability Jaccard of two sorted shingle sets with weights."""
-    both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    plain = len(both) / max(len(a) + len(b) - len(both), 1)
-    if not len(both):
-        return 0.0, 0.0
-    xa, xb = wa[ia], wb[ib]
-    order = np.argsort(xa / xb)
-    xa, xb, ratio = xa[order], xb[order], (xa / xb)[order]
-    only_a, only_b = wa.sum() - xa.sum(), wb.sum() - xb.sum()
-    first = np.searchsorted(ratio, ratio, side="left")
-    ca, cb = np.concatenate([[0.0], np.cumsum(xa)]), np.concatenate([[0.0], np.cumsum(xb)])
-    above, below = ca[-1] - ca[first] + only_a, cb[first] + only_b
-    return plain, float((1.0 / (above / xa + below / xb)).sum())
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a``, ``b`` whose exact similarity reaches the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb")
+def _may_link(threshold: float) -> Column:
+    """Whether nodes ``a`` and ``b`` can be near: by their registers' bits, and by the shingles that no other candidate has.
 
-    def run(batches):
-        def loaded(s, w):
-            s = np.frombuffer(s.as_py(), np.uint64)
-            return s, np.frombuffer(w.as_py(), np.float64) if len(w.as_py()) else np.ones(len(s))
+    Of ``n`` shingles, the ``u`` that no other candidate has are outside the other text.
+    """
+    differ = F.bit_count(F.col("a.bits0").bitwiseXOR(F.col("b.bits0"))) + F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1")))
+    shared = F.least(F.col("a.n") - F.col("a.u"), F.col("b.n") - F.col("b.u"))
+    union = F.greatest(F.col("a.n") + F.col("b.u"), F.col("b.n") + F.col("a.u"))
+    return (differ <= REGISTERS - LEAST_BITS) & (shared >= threshold * union)
 
-        for batch in batches:
-            ok = [max(similarity(*loaded(*x), *loaded(*y))) >= threshold for x, y in zip(zip(batch[2], batch[3], strict=True), zip(batch[4], batch[5], strict=True), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch[0].filter(pa.array(ok, pa.bool_())), batch[1].filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+def _near(a: str, b: str, threshold: float) -> Column:
+    """Whether two shingle sets have a Jaccard similarity of at least the threshold."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= threshold * (F.size(a) + F.size(b) - both)
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs whose registers' bits agree often enough."""
-    left = nodes.select(F.col("node").alias("a"), F.col("bits0").alias("p0"), F.col("bits1").alias("p1"))
-    right = nodes.select(F.col("node").alias("b"), F.col("bits0").alias("q0"), F.col("bits1").alias("q1"))
-    differ = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
-    return pairs.join(left, "a").join(right, "b").where(differ <= REGISTERS - least).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a``, ``b`` whose shingle sets have a Jaccard similarity of at least the threshold."""
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").where(_near("sa", "sb", threshold)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: the key, ``node``, ``class_id`` (the class's least key), ``class_rows``, ``n_keep``.
+    """One row per input row: the key, ``h``, ``node``, ``class_id`` (the class's least key), ``class_rows``, ``n_keep``, ``keep_node``.
 
-    ``n_keep`` is how many rows of the input have the class's least key and that node.
+    ``h`` is a hash of the text; ``n_keep`` rows of the input have the class's least key and the node ``keep_node``.
     """
     rows = checkpointed(sketch(docs, key, text), "sketch")
     per_key = rows.groupBy("node", "id").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"))
@@ -192,41 +176,44 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     nodes = checkpointed(per_key.groupBy("node").agg(F.min(lead).alias("lead"), F.sum("n").alias("rows")).select("node", "lead.*", "rows"), "nodes")
 
     members = rows.where("n_words > 0").select("node", F.explode("bands").alias("band")).distinct()
-    buckets = members.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = checkpointed(members.join(buckets, "band").select("band", "node", "centre"), "buckets")
-
-    star = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    first = checkpointed(_plausible(star, nodes, LEAST_BITS), "pairs")
-    sets = _sets(docs, key, text, first, nodes)
-    links = checkpointed(_verified(first, sets, threshold), "links")
+    shared = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    crowded = checkpointed(members.join(shared, "band"), "buckets")
+    sets = _sets(docs, key, text, crowded, nodes)
+    own = sets.select("node", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
+    facts = sets.select("node", F.size("s").cast("bigint").alias("n")).join(own, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    facts = facts.where(F.col("n") - F.col("u") >= threshold * F.col("n")).join(nodes.select("node", "bits0", "bits1"), "node")
+    crowd = checkpointed(crowded.join(facts, "node").select("band", F.struct((F.col("u") / F.col("n")).alias("alone"), "node", "n", "u", "bits0", "bits1").alias("a")), "crowd")
+
+    hubs = crowd.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("size")).where("size > 1").select("band", "b")
+    star = crowd.join(hubs, "band").where((F.col("a.node") != F.col("b.node")) & _may_link(threshold)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    links = checkpointed(_verified(star, sets, threshold), "links")
     roots = components(links)
 
-    placed = members.join(roots, "node", "left").select("band", "node", "centre", F.coalesce("root", "node").alias("root"))
-    of_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-    placed = checkpointed(placed.join(of_centre, "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre")).join(nodes.select("node", "bits0", "bits1"), "node"), "placed")
-    odd = placed.where("root <> centre_root").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("bits0").alias("p0"), F.col("bits1").alias("p1"))
-    other = placed.where("node <> centre").join(odd.select("band").distinct(), "band", "left_semi").select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("bits0").alias("q0"), F.col("bits1").alias("q1"))
-    differ = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
-    close = (odd["band"] == other["band"]) & (F.col("ra") != F.col("rb")) & (F.col("a") != F.col("b")) & (differ <= REGISTERS - LEAST_BITS)
-    rest = odd.join(other, close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = checkpointed(rest, "rest")
-    more = checkpointed(_verified(rest, _sets(docs, key, text, rest, nodes), threshold), "more")
-    roots = components(links.union(more))
+    placed = crowd.join(roots.select(F.col("node").alias("_n"), "root"), F.col("a.node") == F.col("_n"), "left").select("band", "a", F.coalesce("root", "a.node").alias("root"))
+    of_hub = hubs.join(roots.select(F.col("node").alias("_n"), "root"), F.col("b.node") == F.col("_n"), "left").select("band", F.col("b.node").alias("hub"), F.coalesce("root", "b.node").alias("hub_root"))
+    placed = checkpointed(placed.join(of_hub, "band"), "placed")
+    odd = placed.where("root <> hub_root").select("band", "a", F.col("root").alias("ra"))
+    other = placed.where(F.col("a.node") != F.col("hub")).join(odd.select("band").distinct(), "band", "left_semi").select(F.col("band").alias("_band"), F.col("a").alias("b"), F.col("root").alias("rb"))
+    odd = odd.join(sets.select(F.col("node").alias("_na"), F.col("s").alias("sa")), F.col("a.node") == F.col("_na"))
+    other = other.join(sets.select(F.col("node").alias("_nb"), F.col("s").alias("sb")), F.col("b.node") == F.col("_nb"))
+    # the exact test is part of the join, so that only links leave it
+    cross = (F.col("band") == F.col("_band")) & (F.col("ra") != F.col("rb")) & _may_link(threshold) & _near("sa", "sb", threshold)
+    more = odd.join(other, cross).select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
+    roots = components(links.union(checkpointed(more, "more")))
 
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min(F.struct("missing", "id", "n", "node")).alias("least"), F.sum("rows").alias("class_rows"))
-    by_node = placed.select("node", "root").join(classes, "root").select("node", "least.id", "class_rows", F.col("least.n").alias("n_keep"), F.col("least.node").alias("keep_node"))
-    by_node = by_node.withColumnRenamed("id", "class_id")
+    by_node = placed.select("node", "root").join(classes, "root").select("node", F.col("least.id").alias("class_id"), "class_rows", F.col("least.n").alias("n_keep"), F.col("least.node").alias("keep_node"))
     out = rows.select("id", "h", "node").join(by_node, "node")
     return out.select(F.col("id").alias(key), "h", "node", "class_id", "class_rows", "n_keep", "keep_node")
 
 
-def _sets(docs: DataFrame, key: str, text: str, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Exact shingle sets of the nodes in pairs, read from the row that stands for each node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "id", "h"), "node")
+def _sets(docs: DataFrame, key: str, text: str, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and its shingles ``s``, read from the row that stands for each node."""
+    wanted = members.select("node").distinct().join(nodes.select("node", "id", "h"), "node")
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).withColumn("th", F.xxhash64(F.coalesce("t", F.lit(""))))
     found = texts.join(wanted, texts["doc"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["h"])).select("node", "t")
-    return checkpointed(map_text(found, "t", ["node"], {"s": "binary", "w": "binary"}, _shingle_sets).dropDuplicates(["node"]), "sets")
+    return checkpointed(map_text(found, "t", ["node"], {"s": "array<bigint>"}, _shingle_sets).dropDuplicates(["node"]), "sets")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
