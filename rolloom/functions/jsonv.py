@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _MAP = "map<string,string>"
@@ -28,8 +28,12 @@ def strict_json(text: Column) -> Column:
     """VARIANT of exactly one JSON value, else null.
 
     ``try_parse_json`` stops after the first value; wrapping the text in an array
-    with a closing element makes trailing garbage visible.
+    with a closing element makes trailing garbage visible. Of duplicate keys the last
+    counts, which the parser does only under a session setting: it is set here.
     """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",null]")))
     return let(wrapped, lambda w: F.when(_at(w, "$[1]").isNotNull() & _at(w, "$[2]").isNull(), _at(w, "$[0]")))
 

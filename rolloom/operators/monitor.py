@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rolloom.operators.ordered import join_lines, running
+from rolloom.operators.ordered import running
 
 # Markers, file names, labels and limits.
 STATUS_LABELS = {"queued": "Queued", "running": "Running", "verify": "Verify", "completed": "Completed"}
@@ -284,7 +284,8 @@ def log_pages(lines: DataFrame, size: int = PAGE_BYTES, before: DataFrame | None
     """One page of text per log, ending at ``before(run_id, source, before)`` or at the end.
 
     The page starts after the first newline of its byte window, except at the start of
-    the file; a window without a newline keeps its partial line. A page is at most
+    the file; a window without a newline keeps its partial line. Bytes of a character that
+    the window cuts become the replacement character. A page is at most
     ``size`` bytes, which bounds the collect.
     """
     keys = ["run_id", "source"]
@@ -305,7 +306,7 @@ def log_pages(lines: DataFrame, size: int = PAGE_BYTES, before: DataFrame | None
     piece = F.substring(raw, (lo + 1).cast("int"), (hi - lo).cast("int"))
     cut = at.where(F.col("end") > F.col("_from")).select(*keys, "pos", piece.alias("piece"))
     parts = F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h"))))
-    texts = cut.groupBy(*keys).agg(F.decode(F.unhex(F.array_join(F.transform(parts, lambda p: p["h"]), "")), "UTF-8").alias("text"))
+    texts = cut.groupBy(*keys).agg(F.make_valid_utf8(F.unhex(F.array_join(F.transform(parts, lambda p: p["h"]), "")).cast("string")).alias("text"))
     edges = at.groupBy(*keys).agg(F.min("_from").alias("start_offset"))
     out = wanted.join(edges, keys, "left").join(texts, keys, "left")
     start = F.coalesce("start_offset", F.col("_a"))
@@ -344,7 +345,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 def parse_run_log(lines: DataFrame, min_level: str = "TRACE") -> DataFrame:
     """Log records: dated header fields plus the number of continuation lines.
 
-    Lines before the first header belong to no record. ``record_text`` joins the texts.
+    Lines before the first header belong to no record. ``record_lines`` has the texts.
     """
     heads = _record_lines(lines)
     head = F.col("_is_head")
@@ -371,10 +372,9 @@ def _record_lines(lines: DataFrame) -> DataFrame:
     return at.where(F.col("record_id") > 0).withColumns({"time": field(1), "name": field(2), "level": field(3)})
 
 
-def record_text(lines: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Message of each record with its continuation lines, in parts of bounded size."""
+def record_lines(lines: DataFrame) -> DataFrame:
+    """Message lines of each record, numbered from 1: one row per line, however long a record is."""
     r = _record_lines(lines)
     msg = F.when(F.col("_is_head"), F.regexp_extract("line", HEADER, 4)).otherwise(F.col("line"))
-    ordered = r.withColumns({"_n": F.col("pos") - F.col("_head_pos") + 1, "_m": msg})
-    return join_lines(ordered, ["run_id", "source", "record_id"], "_n", "_m", "message", part_rows=part_rows)
+    return r.select("run_id", "source", "record_id", (F.col("pos") - F.col("_head_pos") + 1).alias("line_no"), msg.alias("line"))
 

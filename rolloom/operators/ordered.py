@@ -1,10 +1,9 @@
 """Ordered per-key computations that survive a hot key.
 
-A plain ``Window.partitionBy(key).orderBy(pos)`` sorts a whole key in one task. That is
-used only after a count shows that no key has more than ``CHUNK_ROWS`` rows. Otherwise
-each key is cut into chunks of consecutive positions, spread over tasks; only one
-summary row per chunk travels to the second, per-key window, and its result is joined
-back by ``(key, chunk)``.
+A plain ``Window.partitionBy(key).orderBy(pos)`` sorts a whole key in one task. Here each
+key is cut into chunks of consecutive positions, spread over tasks; only one summary row
+per chunk travels to the second, per-key window, and its result is joined back by
+``(key, chunk)``. The same steps run at every size.
 """
 
 from __future__ import annotations
@@ -28,14 +27,12 @@ def running(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
-    small: bool | None = None,
 ) -> DataFrame:
     """Add running sums and last non-null values per key, inclusive of the current row.
 
-    ``pos`` is an integer position, unique within the key. ``small`` passes on an
-    earlier :func:`small_keys` answer.
+    ``pos`` is an integer position, unique within the key.
     """
-    return running_in(df, keys, [pos], F.floor(F.col(pos) / chunk_rows), sums=sums, lasts=lasts, chunk_rows=chunk_rows, small=small)
+    return running_in(df, keys, [pos], F.floor(F.col(pos) / chunk_rows), sums=sums, lasts=lasts)
 
 
 def _running(df, keys, order, sums, lasts):
@@ -65,10 +62,17 @@ def _running(df, keys, order, sums, lasts):
     return joined.withColumns(out).drop(*inputs, *[f"_k_{k}" for k in keys], "_k_chunk", *[f"_p_{n}" for n in {**sums, **lasts}])
 
 
-def small_keys(df: DataFrame, keys: Sequence[str], limit: int = CHUNK_ROWS) -> bool:
-    """Whether every key has at most ``limit`` rows; reads the key columns only."""
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) <= limit
+def ranges(df: DataFrame, order: str, name: str, buckets: int = 1000) -> DataFrame:
+    """Add the number of the quantile range that ``order``, read as a double, falls in.
+
+    The ranges hold about equally many rows, whatever the distribution is; equal values
+    share one.
+    """
+    as_double = df.withColumn("_d", F.col(order).cast("double"))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(as_double.approxQuantile("_d", probs, 0.25 / buckets)))
+    splits = [float("-inf"), *cuts, float("inf")]
+    return Bucketizer(splits=splits, inputCol="_d", outputCol=name, handleInvalid="keep").transform(as_double).drop("_d")
 
 
 def running_in(
@@ -79,29 +83,17 @@ def running_in(
     *,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
-    chunk_rows: int = CHUNK_ROWS,
-    small: bool | None = None,
-) -> DataFrame:
-    """Like :func:`running` for any order; ``bucket`` must not decrease along ``order``."""
-    sums, lasts = sums or {}, lasts or {}
-    if small is None:
-        small = small_keys(df, keys, chunk_rows)
-    if small:
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        values = {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}
-        return df.withColumns(values | {n: F.last(c, ignorenulls=True).over(w) for n, c in lasts.items()})
-    return _running(df.withColumn("_chunk", bucket), keys, list(order), sums, lasts).drop("_chunk")
-
-
-def number_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "rn", chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """1-based row number per key by ``order``.
+    """Like :func:`running` for any order; ``bucket`` must not decrease along ``order``.
 
-    ``bucket`` must not decrease along ``order`` (for example the hour of a leading
-    timestamp); it bounds how many rows of a hot key one task sorts.
+    A bucket bounds how many rows of a hot key one task sorts.
     """
-    return running_in(df, keys, order, bucket, sums={name: F.lit(1)}, chunk_rows=chunk_rows)
+    return _running(df.withColumn("_chunk", bucket), keys, list(order), sums or {}, lasts or {}).drop("_chunk")
+
+
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "rn") -> DataFrame:
+    """1-based row number per key by ``order``; ``bucket`` as in :func:`running_in`."""
+    return running_in(df, keys, order, bucket, sums={name: F.lit(1)})
 
 
 def number_rows(df: DataFrame, order: str, name: str = "rn", buckets: int = 1000) -> DataFrame:
@@ -110,11 +102,7 @@ def number_rows(df: DataFrame, order: str, name: str = "rn", buckets: int = 1000
     The column's quantiles give at most ``buckets`` ranges, so the table of range
     sizes is small however large the input is; no task sees more than one range.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(order, probs, 0.25 / buckets)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    as_double = df.withColumn("_d", F.col(order).cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="_d", outputCol="_chunk").transform(as_double).drop("_d")
+    ranged = ranges(df, order, "_chunk", buckets)
     sizes = ranged.groupBy("_chunk").agg(F.count("*").alias("_n"))
     # at most `buckets` rows: safe to number in one task and to broadcast
     starts = sizes.select(
@@ -127,17 +115,3 @@ def number_rows(df: DataFrame, order: str, name: str = "rn", buckets: int = 1000
         .withColumn(name, inside + F.col("_before"))
         .drop("_chunk", "_s", "_before")
     )
-
-
-def join_lines(
-    df: DataFrame, keys: Sequence[str], pos: str, text: str, name: str, sep: str = "\n", part_rows: int = 10_000
-) -> DataFrame:
-    """Join lines in order into text parts of at most ``part_rows`` lines each.
-
-    ``pos`` is 1-based within the key. A key with few lines yields one part; a huge
-    one yields several, whose texts joined by ``sep`` are the whole.
-    """
-    part = F.floor((F.col(pos) - 1) / part_rows).alias("part_no")
-    line = F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))
-    grouped = df.groupBy(*keys, part).agg(F.array_sort(F.collect_list(line)).alias("_lines"))
-    return grouped.select(*keys, "part_no", F.array_join(F.transform("_lines", lambda s: s["t"]), sep).alias(name))

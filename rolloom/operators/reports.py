@@ -53,8 +53,8 @@ def verify_failures(results: DataFrame, name: str = "instance_id") -> DataFrame:
 
 
 def attach_results(samples: DataFrame, results: DataFrame, key: str = "run_id") -> DataFrame:
-    """Pair samples with their results by run id."""
-    return samples.join(results, key)
+    """Pair samples with their results by run id; a sample without a result stays, with nulls."""
+    return samples.join(results, key, "left")
 
 
 def repeat_rollouts(samples: DataFrame, n: int) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql.window import Window as W
 
 from rolloom.functions.text import py_strip
 from rolloom.operators import vectors
-from rolloom.operators.ordered import CHUNK_ROWS, join_lines, number_within
+from rolloom.operators.ordered import CHUNK_ROWS, number_within
 
 # Result sentences.
 MISSING_TEXT = "Text field missing"
 NO_RESULTS = "No results found for this query."
-QUERY_SEPARATOR = "\n---\n"
+QUERY_RULE = "---"
 
 
 def _has_url(c: str = "url") -> Column:
@@ -58,9 +58,11 @@ def retrieve(requests: DataFrame, passages: DataFrame, corpus: DataFrame, search
 def format_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Result text per query; a query without hits gets the fixed sentence.
 
-    A query has at most its ``topk`` hits, so the collected group is bounded.
+    The body is the first of ``content``, ``text`` and ``snippet`` that is there. A query
+    has at most its ``topk`` hits, so the collected group is bounded.
     """
-    snippet = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit("No snippet provided"))
+    bodies = [F.nullif(F.col(c), F.lit("")) for c in ("content", "text", "snippet") if c in hits.columns]
+    snippet = F.coalesce(*bodies, F.lit("No snippet provided"))
     entry = F.concat(
         F.col("rank").cast("string"), F.lit(". url: "), F.coalesce("url", F.lit("No URL provided")), F.lit("\nTitle: "), F.coalesce("title", F.lit("No title provided")),
         F.lit("\n"), F.coalesce(F.concat(F.lit("Score: "), F.col("score").cast("string"), F.lit("\n")), F.lit("")), F.lit("Snippet: "), snippet, F.lit("\n"),
@@ -73,8 +75,14 @@ def format_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def join_queries(formatted: DataFrame, request: str, pos: str) -> DataFrame:
-    """Texts of a request's queries in order, separated by a rule."""
-    return join_lines(formatted, [request], pos, "result", "result", QUERY_SEPARATOR)
+    """Texts of a request's queries in order, with a rule between them: one row per text or rule.
+
+    ``pos`` numbers a request's queries from 1.
+    """
+    place = F.col(pos).cast("bigint") * 2
+    text = F.struct((place - 1).alias("line_no"), F.col("result").alias("line"))
+    rule = F.struct((place - 2).alias("line_no"), F.lit(QUERY_RULE).alias("line"))
+    return formatted.select(request, F.inline(F.when(F.col(pos) > 1, F.array(rule, text)).otherwise(F.array(text))))
 
 
 # --- url lookup -------------------------------------------------------------
@@ -113,8 +121,8 @@ def crawl(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     return sized.join(numbered, "url", "left").select("request_no", "url", "n_passages", result.alias("result"), "passage_no", "text")
 
 
-def format_crawl(rows: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Text per requested url, in parts of at most ``part_rows`` lines."""
+def format_crawl(rows: DataFrame) -> DataFrame:
+    """Lines of the text per requested url: ``request_no, line_no, line``, one row each at every size."""
     head = F.array(
         F.struct(F.lit(1).alias("p"), F.concat(F.lit("url: "), F.col("url")).alias("t")),
         F.struct(F.lit(2).alias("p"), F.concat(F.lit("Result: "), F.col("result")).alias("t")),
@@ -126,4 +134,4 @@ def format_crawl(rows: DataFrame, part_rows: int = 10_000) -> DataFrame:
     text = F.concat(F.lit("Passage "), F.col("passage_no").cast("string"), F.lit(": "), F.col("text"))
     last = F.when(F.col("passage_no") == F.col("n_passages"), py_strip(text)).otherwise(text)
     body = rows.where(F.col("passage_no").isNotNull()).select("request_no", (F.col("passage_no") + 3).alias("line_no"), last.alias("line"))
-    return join_lines(top.unionByName(body), ["request_no"], "line_no", "line", "result_text", part_rows=part_rows)
+    return top.unionByName(body)

@@ -182,16 +182,18 @@ def score_swe_live(statuses: DataFrame, tests: DataFrame, found: DataFrame) -> D
 
 
 def _short_names(statuses: DataFrame) -> DataFrame:
-    """Cut names at the first ``" - "``; of colliding names the one sorting last wins."""
+    """Drop colours from names and cut them at the first ``" - "``; of colliding names the one sorting last wins."""
+    plain = statuses.withColumn("test", strip_ansi(F.col("test")))
     short = F.split_part("test", F.lit(" - "), F.lit(1))
-    return statuses.groupBy("run_id", short.alias("test")).agg(F.max_by("status", "test").alias("status"))
+    return plain.groupBy("run_id", short.alias("_short")).agg(F.max_by("status", "test").alias("status")).withColumnRenamed("_short", "test")
 
 
-def score_r2e(parsed: DataFrame, expected: DataFrame) -> DataFrame:
+def score_r2e(parsed: DataFrame, expected: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Compare parsed with expected statuses (both ``run_id, test, status``) per run.
 
     Resolved when both sides have equally many names and every non-empty parsed
-    name is expected with the same status.
+    name is expected with the same status. With ``runs(run_id)`` every run has a row, also
+    one without any name on either side.
     """
     p = _short_names(parsed).withColumnRenamed("status", "p_status")
     e = _short_names(expected).withColumnRenamed("status", "e_status")
@@ -200,6 +202,8 @@ def score_r2e(parsed: DataFrame, expected: DataFrame) -> DataFrame:
     per_run = both.groupBy("run_id").agg(
         F.count("p_status").alias("n_parsed"), F.count("e_status").alias("n_expected"), F.count_if(wrong).alias("n_wrong")
     )
+    if runs is not None:
+        per_run = runs.select("run_id").distinct().join(per_run, "run_id", "left").fillna(0, ["n_parsed", "n_expected", "n_wrong"])
     return per_run.withColumn("found_eval_status", F.col("n_parsed") > 0).withColumn(
         "resolved", (F.col("n_parsed") == F.col("n_expected")) & (F.col("n_wrong") == 0)
     )

@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from rolloom.operators.ordered import number_rows
-from rolloom.session import BROADCAST_BYTES
+from rolloom.session import checkpointed
 
 # Defaults of index building and serving.
 NLIST = 16_384
@@ -32,9 +31,10 @@ OVERFETCH_FACTOR, OVERFETCH_MIN = 2, 6
 E5_PREFIXES = {True: "query: ", False: "passage: "}
 BGE_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 
-SCORE_DIGITS = 6
-#: Rows per side of one block when the query side is too large to broadcast.
+SCORE_DIGITS, CELL_DIGITS = 6, 12
+#: Rows per side of one block, and of one tile of scores inside it.
 BLOCK_ROWS = 20_000
+TILE_QUERIES, TILE_VECTORS = 1_024, 4_096
 
 
 def l2_normalize(vec: Column) -> Column:
@@ -69,15 +69,11 @@ def pool(method: str, tokens: Column, mask: Column, pooled: Column | None = None
     if method != "mean":
         raise NotImplementedError("Pooling method not implemented!")
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def mean(tok: pd.Series, keep: pd.Series) -> pd.Series:
-        def one(t, m):
-            m = np.asarray(m, dtype=np.float64)
-            return (np.stack(t).astype(np.float64) * m[:, None]).sum(axis=0) / m.sum()
-
-        return pd.Series([one(t, m) for t, m in zip(tok, keep, strict=True)])
-
-    return mean(tokens, mask)
+    kept = F.aggregate(mask, F.lit(0.0), lambda a, m: a + m.cast("double"))
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+    weighted = F.zip_with(tokens, mask, lambda t, m: F.transform(t, lambda x: x.cast("double") * m.cast("double")))
+    total = F.aggregate(weighted, zero, lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / kept)
 
 
 def embed(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str, out: str = "embedding", batch: int = 2048) -> DataFrame:
@@ -97,70 +93,49 @@ def embed(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.nda
 # --- coarse cells -----------------------------------------------------------
 
 
-def training_sample(passages: DataFrame, n: int = TRAINING_SAMPLES, seed: int = 0) -> DataFrame:
-    """Exactly ``min(n, rows)`` passages in the order of a seeded hash."""
-    if passages.count() <= n:
+def training_sample(passages: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """Exactly ``min(n, rows)`` passages in the order of a seeded hash; all of them without ``n``.
+
+    ``TRAINING_SAMPLES`` is the size that the index builder documents.
+    """
+    if n is None:
         return passages
     hashed = passages.withColumn("_h", F.xxhash64("id", F.lit(seed)))
     return number_rows(hashed, "_h", "_rn").where(F.col("_rn") <= n).drop("_rn", "_h")
 
 
 def train_cells(sample: DataFrame, nlist: int = NLIST, seed: int = 0, vec: str = "embedding") -> DataFrame:
-    """Centroids ``cell, centroid`` by distributed k-means under cosine distance."""
-    dim = len(sample.select(vec).first()[0])
-    if nlist * dim * 8 > BROADCAST_BYTES:
-        raise ValueError(f"{nlist} centroids of {dim} dimensions exceed the broadcast bound")
+    """Centroids ``cell, centroid`` by distributed k-means under cosine distance.
+
+    Seeds are drawn at random: the default seeding ends in a step on the driver that takes
+    hours for many thousand cells.
+    """
     feats = sample.select(array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine").fit(feats)
+    model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", initMode="random").fit(feats)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return sample.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
 
 
-def _matrix(column) -> np.ndarray:
-    """Equal-length float lists of an Arrow column as a 2-d double array."""
-    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(arr), -1) if len(arr) else flat.reshape(0, 0)
-
+def nearest_cells(df: DataFrame, centroids: DataFrame, n: int, vec: str = "embedding", key: str = "id") -> DataFrame:
+    """``key`` and ``cell``: the ``n`` best cells of each row; ties go to the lowest cell.
 
-def _centroids(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids as arrays; ``train_cells`` bounds their size."""
-    t = centroids.orderBy("cell").toArrow()
-    m = _matrix(t["centroid"])
-    if m.nbytes > BROADCAST_BYTES:
-        raise ValueError("centroids exceed the broadcast bound")
-    return t["cell"].to_numpy(), m
-
-
-def nearest_cells(df: DataFrame, centroids: DataFrame, n: int, vec: str = "embedding") -> DataFrame:
-    """Each row once per one of its ``n`` best cells; ties go to the lowest cell."""
-    cells, mat = _centroids(centroids)
-    shared = df.sparkSession.sparkContext.broadcast((cells, mat))
-    n = min(n, len(cells))
-    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, mat = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s = np.round(_matrix(b.column(vec)) @ mat.T, 12)
-            best = np.argmax(s, axis=1)[:, None] if n == 1 else np.argsort(-s, axis=1, kind="stable")[:, :n]
-            out = b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells[best.ravel()], pa.int32())], names=[*b.schema.names, "cell"])
-
-    return df.mapInArrow(run, schema)
+    Cells are searched like passages, block by block, so neither side must fit anywhere;
+    vectors are not repeated per cell.
+    """
+    asked = df.select(F.col(key).alias("qid"), F.col(vec).alias("qvec"))
+    cells = centroids.select(F.col("cell").cast("bigint").alias("id"), F.col("centroid").alias("vec"))
+    return topk_exact(asked, cells, n, digits=CELL_DIGITS).select(F.col("qid").alias(key), F.col("id").cast("int").alias("cell"))
 
 
-def assign_cells(passages: DataFrame, centroids: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Passages with their best cell."""
-    return nearest_cells(passages, centroids, 1, vec)
+def assign_cells(passages: DataFrame, centroids: DataFrame, vec: str = "embedding", key: str = "id") -> DataFrame:
+    """Passages with their best cell; ``key`` is unique."""
+    return passages.join(nearest_cells(passages, centroids, 1, vec, key), key)
 
 
 # --- top-k ------------------------------------------------------------------
 
 
-def _best(qids, scores, ids, rows, k):
+def _best(rows, scores, ids, k):
     """Keep the ``k`` best (score, id) per query row of a flat candidate list."""
     order = np.lexsort((ids, -scores, rows))
     rows, scores, ids = rows[order], scores[order], ids[order]
@@ -170,75 +145,43 @@ def _best(qids, scores, ids, rows, k):
     return rows[keep], scores[keep], ids[keep]
 
 
-def _candidates(q: np.ndarray, v: np.ndarray, k: int):
-    """Positions and scores of each query's k best vectors, all ties of the k-th included."""
-    s = np.round(q @ v.T, SCORE_DIGITS)
-    if s.shape[1] > k:
-        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-        r, c = np.nonzero(s >= kth[:, None])
-    else:
-        r, c = np.nonzero(np.ones_like(s, dtype=bool))
-    return r, c, s[r, c]
-
-
-def _ids(column) -> np.ndarray:
-    a = column.to_numpy(zero_copy_only=False)
-    return a.astype(str) if a.dtype == object else a
+def _candidates(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, digits: int):
+    """Rows, scores and ids of each query's ``k`` best vectors, tile by tile.
 
-
-def _local_topk(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    """Per-partition top-k against broadcast queries."""
-    t = queries.toArrow()  # the caller checked its size
-    shared = queries.sparkSession.sparkContext.broadcast((_ids(t["qid"].combine_chunks()), _matrix(t["qvec"]), t["cell"].to_numpy()))
-    out_schema = T.StructType(
-        [T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", passages.schema["id"].dataType), T.StructField("score", T.DoubleType())]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qm, qcell = shared.value
-        kept = None
-        names = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            names = b.schema
-            ids, v, cell = _ids(b.column("id")), _matrix(b.column("vec")), b.column("cell").to_numpy(zero_copy_only=False)
-            found = [] if kept is None else [kept]
-            for c in np.unique(cell):
-                qs, ps = np.flatnonzero(qcell == c), np.flatnonzero(cell == c)
-                if len(qs):
-                    r, col, s = _candidates(qm[qs], v[ps], k)
-                    found.append((qs[r], s, ids[ps][col]))
-            if found:
-                rows, s, i = (np.concatenate(x) for x in zip(*found, strict=True))
-                # one query may probe several cells: rank by query, not by probe row
-                kept = _merge(qids, rows, s, i, k)
-        if kept is not None and names is not None:
-            rows, s, i = kept
-            yield pa.RecordBatch.from_arrays([pa.array(qids[rows]), pa.array(i), pa.array(s)], names=["qid", "id", "score"])
-
-    return passages.mapInArrow(run, out_schema)
-
-
-def _merge(qids, rows, s, i, k):
-    firsts, code = np.unique(qids, return_index=True)[1], np.unique(qids, return_inverse=True)[1]
-    r, s, i = _best(qids, s, i, code[rows], k)
-    return firsts[r], s, i
+    One tile of scores is all that is ever held; after each tile a query keeps its k best.
+    """
+    found = []
+    for i in range(0, len(q), TILE_QUERIES):
+        rows, scores, best = np.zeros(0, np.int64), np.zeros(0), ids[:0]
+        for j in range(0, len(v), TILE_VECTORS):
+            s = np.round(q[i : i + TILE_QUERIES] @ v[j : j + TILE_VECTORS].T, digits)
+            if s.shape[1] > k:
+                kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                r, c = np.nonzero(s >= kth[:, None])
+            else:
+                r, c = np.nonzero(np.ones_like(s, dtype=bool))
+            rows, scores, best = _best(np.concatenate([rows, r]), np.concatenate([scores, s[r, c]]), np.concatenate([best, ids[j + c]]), k)
+        found.append((rows + i, scores, best))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _blocks(n: str) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
 
 
-def _block_topk(queries: DataFrame, passages: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Top-k per block pair: both sides of each cell are split into blocks of bounded size.
+def topk_in_cells(queries: DataFrame, passages: DataFrame, k: int, block_rows: int = BLOCK_ROWS, digits: int = SCORE_DIGITS) -> DataFrame:
+    """Best ``k`` passages per query among shared cells: ``qid, id, score, rank``.
 
-    A cell with a third of all passages becomes many blocks; each block pair is one
-    group and returns at most k rows per query.
+    ``queries(qid, qvec, cell)``, ``passages(id, vec, cell)``. Both sides of each cell are
+    split into blocks of bounded size, at every size of the input: a cell with a third of
+    all passages becomes many blocks, each pair of blocks is one group, and it returns at
+    most k rows per query.
     """
+    queries, passages = queries.select("qid", "qvec", "cell"), passages.select("id", "vec", "cell")
     n_q = queries.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_qb"))
     n_p = passages.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_pb"))
-    grid = n_q.join(n_p, "cell")
+    # one row per cell
+    grid = checkpointed(n_q.join(n_p, "cell"), "grid")
     q = queries.join(grid, "cell").withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("n_qb")))
     q = q.select("qid", "qvec", "cell", "_qb", F.explode(_blocks("n_pb")).alias("_pb"))
     p = passages.join(grid, "cell").withColumn("_pb", F.pmod(F.xxhash64("id"), F.col("n_pb")))
@@ -252,30 +195,20 @@ def _block_topk(queries: DataFrame, passages: DataFrame, k: int, block_rows: int
             return pd.DataFrame({"qid": [], "id": [], "score": []})
         ids = right["id"].to_numpy()
         ids = ids.astype(str) if ids.dtype == object else ids
-        r, c, s = _candidates(np.stack(left["qvec"]).astype(np.float64), np.stack(right["vec"]).astype(np.float64), k)
-        rows, s, i = _best(None, s, ids[c], r, k)
+        rows, s, i = _candidates(np.stack(left["qvec"]).astype(np.float64), np.stack(right["vec"]).astype(np.float64), ids, k, digits)
         return pd.DataFrame({"qid": left["qid"].to_numpy()[rows], "id": i, "score": s})
 
     keys = ["cell", "_qb", "_pb"]
-    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(pair, schema)
-
-
-def topk_in_cells(queries: DataFrame, passages: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Best ``k`` passages per query among shared cells: ``qid, id, score, rank``.
-
-    ``queries(qid, qvec, cell)``, ``passages(id, vec, cell)``. Queries are broadcast when
-    their measured size fits the bound; otherwise both sides are blocked.
-    """
-    queries, passages = queries.select("qid", "qvec", "cell"), passages.select("id", "vec", "cell")
-    size = queries.agg(F.sum(F.size("qvec") * 8 + 16)).first()[0] or 0
-    hits = _local_topk(queries, passages, k) if size <= broadcast_bytes else _block_topk(queries, passages, k, block_rows)
+    hits = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(pair, schema)
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def topk_exact(queries: DataFrame, passages: DataFrame, k: int, **bounds) -> DataFrame:
     """Exact top-k by inner product: ``queries(qid, qvec)``, ``passages(id, vec)``."""
-    return topk_in_cells(queries.withColumn("cell", F.lit(0)), passages.withColumn("cell", F.lit(0)), k, **bounds)
+    # one cell for all, as a value the optimizer does not see through: the joins stay equi-joins
+    one = lambda c: F.pmod(F.xxhash64(c), F.lit(1)).cast("int")
+    return topk_in_cells(queries.withColumn("cell", one("qid")), passages.withColumn("cell", one("id")), k, **bounds)
 
 
 def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int, nprobe: int = NPROBE_SERVE, **bounds) -> DataFrame:
@@ -284,9 +217,9 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: i
     ``assigned`` is usually read from a table partitioned by cell: the probed cells,
     at most ``nlist`` of them, become a filter that prunes its folders.
     """
-    probes = nearest_cells(queries, centroids, nprobe, "qvec")
+    probes = checkpointed(nearest_cells(queries, centroids, nprobe, "qvec", "qid"), "probes")
     probed = [r[0] for r in probes.select("cell").distinct().collect()]  # at most nlist values
-    return topk_in_cells(probes, assigned.where(F.col("cell").isin(probed)), k, **bounds)
+    return topk_in_cells(probes.join(queries, "qid"), assigned.where(F.col("cell").isin(probed)), k, **bounds)
 
 
 def check_index(sample: DataFrame, assigned: DataFrame, centroids: DataFrame, nprobe: int = NPROBE_CHECK) -> DataFrame:

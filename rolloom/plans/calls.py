@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from rolloom.operators import toolcalls, trajectories, rewards, reports
 from rolloom.plans.registry import as_long, query, table
 
-N_GOLD = 40
 _LOW = "abcdefghijklmnopqrstuvwxyz"
 
 
+def n_items(spark: SparkSession, sf_dir: str) -> int:
+    """How many benchmark items there are; ids run from 0."""
+    return table(spark, sf_dir, "benchmark").count()
+
+
 def _tag(body: Column) -> Column:
     return F.concat(F.lit("<tool_call>\n"), body, F.lit("\n</tool_call>"))
 
@@ -29,7 +33,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     gold = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
-    t = turns.withColumn("item_id", F.col("conv_id") % N_GOLD).join(gold, "item_id")
+    t = turns.withColumn("item_id", F.col("conv_id") % n_items(spark, sf_dir)).join(gold, "item_id")
     loud = F.concat(F.lit("The "), F.translate("gold", _LOW, _LOW.upper()), F.lit("!!"))
     finish = _tag(_call("finish", "answer", F.col("gold")))
     xml = F.concat(F.lit("<tool_call>\n<function=finish>\n<parameter=answer>\n"), F.col("gold"), F.lit("\n</parameter>\n</function>\n</tool_call>"))
@@ -75,7 +79,7 @@ transcripts AS (
       WHEN 6 THEN {_sql_tag("""'{"name":' || gold""")}
       ELSE {_sql_tag(_sql_call("look_up", "gold"))} END AS text
   FROM (SELECT c.conv_id, c.turn, c.text, b.text AS gold, b.item_id, (c.conv_id + c.turn) % 8 AS shape
-        FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40 WHERE c.role = 'assistant'))
+        FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark) WHERE c.role = 'assistant'))
 """
 
 # Hermes outcome of the eight shapes, decided by the text alone
@@ -246,7 +250,7 @@ def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     answers = trajectories.extract_answer(steps)
     gold = table(spark, sf_dir, "benchmark").select("item_id", F.array("text").alias("targets"))
-    runs = answers.withColumn("item_id", F.col("run_id") % N_GOLD).join(gold, "item_id")
+    runs = answers.withColumn("item_id", F.col("run_id") % n_items(spark, sf_dir)).join(gold, "item_id")
     return rewards.score_search(runs.select("run_id", "answer"), runs.select("run_id", "targets"))
 
 
@@ -259,9 +263,9 @@ def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     "final_answer_score",
     _SCORES_SQL
     + """,
-per_task AS (SELECT run_id % 40 AS item_id, avg(score) AS r, count(*) AS n FROM scored GROUP BY 1)
+per_task AS (SELECT run_id % (SELECT count(*) FROM benchmark) AS item_id, avg(score) AS r, count(*) AS n FROM scored GROUP BY 1)
 SELECT round(avg(r), 9) AS avg_at_n, count(*) AS n_tasks, min(n) AS min_n, max(n) AS max_n FROM per_task""",
 )
 def final_answer_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scored_runs(spark, sf_dir).withColumn("item_id", F.col("run_id") % N_GOLD)
+    scored = scored_runs(spark, sf_dir).withColumn("item_id", F.col("run_id") % n_items(spark, sf_dir))
     return reports.avg_at_n(scored, "item_id").withColumn("avg_at_n", F.round("avg_at_n", 9))

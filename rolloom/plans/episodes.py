@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.text import completion_tokens
 from rolloom.operators import reports, trajectories
-from rolloom.operators.ordered import number_within
+from rolloom.operators.ordered import number_within, ranges
 from rolloom.plans.registry import as_long, query, table
 
 MAX_TURNS = 20
@@ -16,7 +16,8 @@ MAX_TURNS = 20
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as the steps of a run, in time order."""
     e = table(spark, sf_dir, "events")
-    e = number_within(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "step_idx")
+    e = ranges(e.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), "_us", "_range", 200)
+    e = number_within(e, ["user_id"], ["ts", "event_id"], F.col("_range"), "step_idx")
     kind = F.col("event_type")
     return e.select(
         F.col("user_id").alias("run_id"),

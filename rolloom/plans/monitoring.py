@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.text import count_matches
 from rolloom.operators import monitor
-from rolloom.operators.ordered import running_in
+from rolloom.operators.ordered import ranges, running_in
 from rolloom.plans.registry import as_long, query, table
 from rolloom.session import checkpointed
 
@@ -29,7 +29,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     texts = F.when(kind == "view", F.array(F.concat(head, message), F.concat(F.lit("payload "), "props"))).otherwise(F.array(F.concat(head, message)))
     e = e.withColumn("_t", texts)
-    e = running_in(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), sums={"_end": F.size("_t")})
+    e = ranges(e.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), "_us", "_range", 200)
+    e = running_in(e, ["user_id"], ["ts", "event_id"], F.col("_range"), sums={"_end": F.size("_t")})
     source = F.when(F.pmod("user_id", F.lit(10)) == 9, "verify.log").otherwise("run.log")
     lines = e.select(
         F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), source.alias("source"), (F.col("_end") - F.size("_t") + 1).alias("_first"), "ts", F.posexplode("_t").alias("_i", "line")
@@ -162,10 +163,11 @@ def removed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.removed_runs(*snapshots(spark, sf_dir))
 
 
-@query("event_cursor", "SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 4000) WHERE event_id > 9000")
+@query("event_cursor", "SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 4000) WHERE event_id > (SELECT max(event_id) - 1000 FROM events)")
 def event_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return monitor.events_after(monitor.recent_events(e), 9000)
+    newest = e.agg(F.max("event_id")).first()[0] or 0
+    return monitor.events_after(monitor.recent_events(e), newest - 1000)
 
 
 @query(
@@ -197,15 +199,16 @@ def run_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "log_parse",
-    f"""WITH {LINES_SQL}, h AS (SELECT *, regexp_matches(line, '^\\d{{4}}-\\d{{2}}-\\d{{2}} ') AS hd FROM lines), r AS (SELECT *, sum(CAST(hd AS INT)) OVER (PARTITION BY run_id ORDER BY pos) AS record_id FROM h)
-SELECT run_id, source, CAST(record_id AS BIGINT) AS record_id, max(CASE WHEN hd THEN substr(line, 1, 19) END) AS time, max(CASE WHEN hd THEN trim(split_part(line, ' | ', 2)) END) AS name,
-  max(CASE WHEN hd THEN trim(split_part(line, ' | ', 3)) END) AS level, count(*) AS n_lines, string_agg(CASE WHEN hd THEN split_part(line, ' | ', 4) ELSE line END, chr(10) ORDER BY pos) AS message
-FROM r GROUP BY run_id, source, record_id HAVING level = 'INFO' OR level = 'ERROR'""",
+    f"""WITH {LINES_SQL}, h AS (SELECT *, regexp_matches(line, '^\\d{{4}}-\\d{{2}}-\\d{{2}} ') AS hd FROM lines), r AS (SELECT *, sum(CAST(hd AS INT)) OVER (PARTITION BY run_id ORDER BY pos) AS record_id FROM h),
+t AS (SELECT run_id, source, CAST(record_id AS BIGINT) AS record_id, max(CASE WHEN hd THEN substr(line, 1, 19) END) AS time, max(CASE WHEN hd THEN trim(split_part(line, ' | ', 2)) END) AS name,
+  max(CASE WHEN hd THEN trim(split_part(line, ' | ', 3)) END) AS level, count(*) AS n_lines FROM r GROUP BY run_id, source, record_id HAVING level = 'INFO' OR level = 'ERROR')
+SELECT t.*, pos - min(CASE WHEN hd THEN pos END) OVER (PARTITION BY r.run_id, r.source, r.record_id) + 1 AS line_no, CASE WHEN hd THEN split_part(line, ' | ', 4) ELSE line END AS line
+FROM t JOIN r USING (run_id, source, record_id)""",
 )
 def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = log_lines(spark, sf_dir)
     keys = ["run_id", "source", "record_id"]
-    return monitor.parse_run_log(lines, "INFO").join(monitor.record_text(lines).drop("part_no"), keys)
+    return as_long(monitor.parse_run_log(lines, "INFO").join(monitor.record_lines(lines), keys), "line_no")
 
 
 @query(

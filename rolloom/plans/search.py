@@ -18,7 +18,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a passage of a page's host; each seventeenth has no url."""
     e = table(spark, sf_dir, "embeddings")
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", _HOST, 1).alias("host"), "html")
-    j = e.withColumn("page_id", F.pmod("vec_id", F.lit(50))).join(p, "page_id")
+    j = e.withColumn("page_id", F.pmod("vec_id", F.lit(p.count()))).join(p, "page_id")
     return j.select(
         F.col("vec_id").alias("id"), F.when(F.pmod("vec_id", F.lit(17)) != 0, F.col("host")).alias("url"),
         F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"), F.col("html").alias("text"), F.col("embedding").alias("vec"),
@@ -46,19 +46,39 @@ def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str, nlist: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Train, assign, write and read back an index."""
+    """Train on half of the vectors, assign, write and read back an index."""
     v = _vectors(spark, sf_dir)
-    centroids = vectors.train_cells(vectors.training_sample(v).withColumnRenamed("vec", "embedding"), nlist)
+    sample = vectors.training_sample(v, max(nlist, v.count() // 2))
+    return _stored(spark, vectors.train_cells(sample.withColumnRenamed("vec", "embedding"), nlist), v)
+
+
+def _stored(spark: SparkSession, centroids: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame]:
     path = work_path(spark, "index")
     sinks.write_index(centroids, vectors.assign_cells(v, centroids, "vec"), path)
     return spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/passages")
 
 
-@query("topk_ivf", _PAIRS_SQL + "SELECT qid, id, score, rank FROM ranked WHERE rank <= 5")
+def _ruled_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An index whose centroids are the first sixteen vectors, so that SQL has the same cells."""
+    v = _vectors(spark, sf_dir)
+    first = v.where("id < 16").select(F.col("id").cast("int").alias("cell"), F.col("vec").cast("array<double>").alias("centroid"))
+    return _stored(spark, first, v)
+
+
+_IVF_SQL = """
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT v.id, c.id AS cell, row_number() OVER (PARTITION BY v.id ORDER BY round(list_dot_product(v.e, c.e), 12) DESC, c.id) AS place FROM v, v c WHERE c.id < 16),
+probes AS (SELECT id AS qid, cell FROM near WHERE place <= 4), cells AS (SELECT id, cell FROM near WHERE place = 1),
+pairs AS (SELECT qid, c.id, round(list_dot_product(q.e, v.e), 6) AS score FROM probes JOIN cells c USING (cell) JOIN v q ON q.id = qid JOIN v ON v.id = c.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pairs)
+"""
+
+
+@query("topk_ivf", _IVF_SQL + "SELECT qid, id, score, rank FROM ranked WHERE rank <= 5")
 def topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probing every cell equals the exact search."""
-    centroids, assigned = _index(spark, sf_dir)
-    return as_long(vectors.topk_ivf(_queries(spark, sf_dir), assigned, centroids, 5, nprobe=16), "rank")
+    """Search in four of sixteen cells."""
+    centroids, assigned = _ruled_index(spark, sf_dir)
+    return as_long(vectors.topk_ivf(_queries(spark, sf_dir), assigned, centroids, 5, nprobe=4), "rank")
 
 
 @query(
@@ -71,10 +91,15 @@ def index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.check_index(_vectors(spark, sf_dir), assigned, centroids, nprobe=4)
 
 
-@query("ivf_recall")
+@query(
+    "ivf_recall",
+    _IVF_SQL
+    + """, exact AS (SELECT q.id AS qid, v.id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.e, v.e), 6) DESC, v.id) AS rank FROM v q, v)
+SELECT count(*) AS n, round(avg(CASE WHEN r.id IS NULL THEN 0 ELSE 1 END), 4) AS recall FROM exact x LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r ON r.qid = x.qid AND r.id = x.id WHERE x.rank <= 5""",
+)
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact top 5 found when four of sixteen cells are probed."""
-    centroids, assigned = _index(spark, sf_dir)
+    centroids, assigned = _ruled_index(spark, sf_dir)
     q = _queries(spark, sf_dir)
     near = vectors.topk_ivf(q, assigned, centroids, 5, nprobe=4).select("qid", "id", F.lit(1).alias("hit"))
     exact = vectors.topk_exact(q, _vectors(spark, sf_dir), 5).select("qid", "id")
@@ -85,7 +110,7 @@ _RETRIEVE_SQL = (
     _PAIRS_SQL
     + """,
 p AS (SELECT v.vec_id AS id, CASE WHEN v.vec_id % 17 <> 0 THEN regexp_extract(pg.url, 'https?://([^/:?#]+)', 1) END AS url, 'label ' || v.label AS title, pg.html AS text
-  FROM embeddings v JOIN pages pg ON pg.page_id = v.vec_id % 50),
+  FROM embeddings v JOIN pages pg ON pg.page_id = v.vec_id % (SELECT count(*) FROM pages)),
 k AS (SELECT vec_id AS qid, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE CAST(vec_id % 3 AS BIGINT) * 4 END AS k, vec_id % 2 = 0 AS sc FROM embeddings),
 h AS (SELECT r.*, p.url, p.title, p.text, k.k, k.sc FROM ranked r JOIN k USING (qid) JOIN p ON p.id = r.id WHERE rank <= greatest(2 * k.k, 6) AND p.url IS NOT NULL),
 u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY qid, url ORDER BY rank) = 1),
@@ -163,22 +188,17 @@ def corpus_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request per page's host, and per page an unknown host."""
-    p = table(spark, sf_dir, "pages")
-    return p.select(
-        F.explode(
-            F.array(
-                F.struct((F.col("page_id") * 2).alias("request_no"), F.regexp_extract("url", _HOST, 1).alias("url")),
-                F.struct((F.col("page_id") * 2 + 1).alias("request_no"), F.concat(F.lit("unknown-"), F.col("page_id").cast("string")).alias("url")),
-            )
-        ).alias("r")
-    ).select("r.*")
+    """One request per host, numbered by its first page, and per page one for an unknown host."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", _HOST, 1).alias("url"))
+    known = p.groupBy("url").agg((F.min("page_id") * 2).alias("request_no")).select("request_no", "url")
+    unknown = p.select((F.col("page_id") * 2 + 1).alias("request_no"), F.concat(F.lit("unknown-"), F.col("page_id").cast("string")).alias("url"))
+    return known.union(unknown)
 
 
 _CRAWL_SQL = (
     _CORPUS_SQL
     + """,
-r AS (SELECT pos * 2 AS request_no, url FROM c UNION ALL SELECT pos * 2 + 1, 'unknown-' || pos FROM c),
+r AS (SELECT min(pos) * 2 AS request_no, url FROM c GROUP BY url UNION ALL SELECT pos * 2 + 1, 'unknown-' || pos FROM c),
 n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS passage_no, count(*) OVER (PARTITION BY url) AS n_passages FROM c),
 j AS (SELECT r.request_no, r.url, coalesce(n.n_passages, 0) AS n_passages, CASE WHEN n.url IS NULL THEN 'No passages found for URL: ' ELSE 'Found ' || n_passages || ' passages for URL: ' END || r.url AS result, passage_no, text
   FROM r LEFT JOIN n ON n.url = r.url)
@@ -195,13 +215,15 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "crawl_text",
     _CRAWL_SQL
-    + """SELECT request_no, CAST(0 AS BIGINT) AS part_no, md5(rtrim('url: ' || any_value(url) || chr(10) || 'Result: ' || any_value(result) ||
-  CASE WHEN any_value(n_passages) = 0 THEN '' ELSE chr(10) || 'Passages: ' || any_value(n_passages) || chr(10) || string_agg('Passage ' || passage_no || ': ' || text, chr(10) ORDER BY passage_no) END, chr(10) || ' ')) AS text_md5
-FROM j GROUP BY request_no""",
+    + """, w AS (SELECT request_no, 1 AS line_no, 'url: ' || any_value(url) AS line FROM j GROUP BY request_no
+  UNION ALL SELECT request_no, 2, 'Result: ' || any_value(result) FROM j GROUP BY request_no
+  UNION ALL SELECT request_no, 3, 'Passages: ' || any_value(n_passages) FROM j WHERE n_passages > 0 GROUP BY request_no
+  UNION ALL SELECT request_no, passage_no + 3, CASE WHEN passage_no = n_passages THEN rtrim('Passage ' || passage_no || ': ' || text, chr(10) || ' ') ELSE 'Passage ' || passage_no || ': ' || text END FROM j WHERE passage_no IS NOT NULL)
+SELECT request_no, CAST(line_no AS BIGINT) AS line_no, md5(line) AS line_md5 FROM w""",
 )
 def crawl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.crawl(crawl_requests(spark, sf_dir), corpus(spark, sf_dir))
-    return retrieval.format_crawl(rows).select("request_no", "part_no", F.md5("result_text").alias("text_md5"))
+    return retrieval.format_crawl(rows).select("request_no", "line_no", F.md5("line").alias("line_md5"))
 
 
 # --- encoders ---------------------------------------------------------------

@@ -147,7 +147,7 @@ def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     events = f"{out}/events/batch_id={batch_id}"
     batch.withColumn("seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(events)
     stored = spark.read.parquet(events)
-    newest = stored.where(F.col("event_type") != "status_changed").withColumn("seq", F.col("seq") + F.lit(batch_id) * F.lit(1 << 40))
+    newest = stored.where(F.col("event_type") != "status_changed").withColumn("seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("seq").alias("row")))
     older = [v for v in _versions(spark, f"{out}/runs") if v < batch_id]
     current = spark.read.parquet(f"{out}/runs/batch_id={older[-1]}") if older else newest.limit(0)
     merged = monitor.merge_runs(current, newest)

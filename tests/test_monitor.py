@@ -83,6 +83,22 @@ def test_pages_rebuild_the_log(spark, size):
     assert "".join(pages) == text
 
 
+def test_a_page_end_inside_a_character(spark):
+    lines = _lines(spark, {("a", "run.log"): "日本語\n"})
+    before = spark.createDataFrame([("a", "run.log", 4)], "run_id string, source string, before bigint")
+    page = monitor.log_pages(lines, 100, before).first()
+    assert page.text == "日\ufffd" and page.end_offset == 4
+
+
+def test_a_record_of_many_lines_stays_whole(spark):
+    head = spark.createDataFrame([("a", "run.log", 1, "2026-01-01 00:00:00 | runtime      | INFO     | first")], "run_id string, source string, pos bigint, line string")
+    body = spark.range(2, 12_003).selectExpr("'a' AS run_id", "'run.log' AS source", "id AS pos", "concat('line ', id) AS line")
+    lines = head.union(body)
+    assert monitor.parse_run_log(lines).first().n_lines == 12_002
+    got = monitor.record_lines(lines).selectExpr("count(*) AS n", "count(DISTINCT line_no) AS d", "max(line_no) AS m").first()
+    assert (got.n, got.d, got.m) == (12_002, 12_002, 12_002)
+
+
 def test_blocks_records_and_matches(spark):
     log = "orphan\n2026-01-01 00:00:00 | interaction  | INFO     | 🤖 MODEL INPUT\nbody\nTHOUGHT: x\nmore\n2026-01-01 00:00:01 | runtime      | ERROR    | bad\ntrace\n"
     lines = _lines(spark, {("a", "run.log"): log})
@@ -93,7 +109,7 @@ def test_blocks_records_and_matches(spark):
     rec = by(monitor.parse_run_log(lines), "record_id")
     assert (rec[1]["name"], rec[1]["level"], rec[1]["n_lines"]) == ("interaction", "INFO", 4)
     assert [r.record_id for r in monitor.parse_run_log(lines, "ERROR").collect()] == [2]
-    assert by(monitor.record_text(lines), "record_id")[2]["message"] == "bad\ntrace"
+    assert [r.line for r in monitor.record_lines(lines).where("record_id = 2").orderBy("line_no").collect()] == ["bad", "trace"]
     n = spark.createDataFrame([("AaAa",), ("",)], "t string").select(count_matches(F.col("t"), "aa").alias("n")).collect()
     assert [r.n for r in n] == [2, 0]
 

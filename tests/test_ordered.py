@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rolloom.operators.ordered import join_lines, number_rows, number_within, running
+from rolloom.operators.ordered import number_rows, number_within, ranges, running
 
 
 def _rows():
@@ -35,7 +35,8 @@ def test_running_keeps_null_keys_and_input_columns(spark):
 def test_number_within_and_number_rows(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 1000).alias("v"))
     n = number_within(df, ["k"], ["v"], F.floor(F.col("v") / 10)).collect()
-    chunked = number_within(df, ["k"], ["v"], F.floor(F.col("v") / 10), chunk_rows=100).collect()
+    ranged = ranges(df, "v", "_r", 7)
+    chunked = number_within(ranged, ["k"], ["v"], F.col("_r")).drop("_r").collect()
     assert sorted(map(tuple, n)) == sorted(map(tuple, chunked))
     for k in range(3):
         mine = sorted((r.v, r.rn) for r in n if r.k == k)
@@ -44,8 +45,7 @@ def test_number_within_and_number_rows(spark):
     assert [x[1] for x in g] == list(range(1, 1001))
 
 
-def test_join_lines_parts_make_up_the_whole(spark):
-    df = spark.range(1, 26).select(F.lit("a").alias("k"), F.col("id").alias("n"), F.concat(F.lit("line"), F.col("id").cast("string")).alias("t"))
-    parts = join_lines(df, ["k"], "n", "t", "text", part_rows=10).orderBy("part_no").collect()
-    assert [p.part_no for p in parts] == [0, 1, 2]
-    assert "\n".join(p.text for p in parts) == "\n".join(f"line{i}" for i in range(1, 26))
+def test_ranges_bound_a_skewed_order(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2900, F.col("id") / 1e6).otherwise(F.col("id")).alias("v"))
+    sizes = [r["count"] for r in ranges(df, "v", "_r", 30).groupBy("_r").count().collect()]
+    assert max(sizes) < 3000 / 10

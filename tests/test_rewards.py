@@ -105,6 +105,12 @@ def test_swe_live_and_r2e_rules(spark):
     exp = spark.createDataFrame([("a", "t0 - x", "PASSED"), ("a", "t1", "XFAIL"), ("b", "t0", "FAILED"), ("c", "t0", "FAILED"), ("c", "t9", "FAILED")], "run_id string, test string, status string")
     r2e = {k: v["resolved"] for k, v in by(rewards.score_r2e(st, exp), "run_id").items()}
     assert r2e["a"] and not r2e["b"] and not r2e["c"] and not r2e["d"]
+    shape = "run_id string, test string, status string"
+    coloured = spark.createDataFrame([("x", "\x1b[32mt1\x1b[0m", "PASSED")], shape)
+    plain = spark.createDataFrame([("x", "t1 - y", "PASSED")], shape)
+    runs = spark.createDataFrame([("x",), ("none",)], "run_id string")
+    both = by(rewards.score_r2e(coloured, plain, runs), "run_id")
+    assert both["x"]["resolved"] and both["none"]["n_parsed"] == 0 and not both["none"]["found_eval_status"]
 
 
 def test_routing(spark):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rolloom.operators import toolcalls as tc
 from tests.conftest import by
@@ -132,3 +133,11 @@ def test_parser_registry(spark):
     tc.register_parser("other", tc.parse_hermes_calls)
     assert tc.parse_calls(df, "other").count() == 1
     tc._PARSERS.pop("other")
+
+
+def test_of_duplicate_json_keys_the_last_counts(spark):
+    from rolloom.functions.jsonv import member_text, strict_json
+
+    df = spark.createDataFrame([('{"answer":"x","answer":"y"}',)], "t string")
+    assert df.select(F.try_variant_get(strict_json(F.col("t")), "$.answer", "string").alias("a")).first().a == "y"
+    assert df.select(strict_json(F.lit("{} x")).isNull().alias("a"), member_text(F.col("t"), "answer").isNotNull().alias("b")).first().a

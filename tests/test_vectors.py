@@ -29,12 +29,24 @@ def _lists(hits):
     return out
 
 
-def test_broadcast_and_block_paths_equal_brute_force(spark):
+def test_blocks_and_tiles_equal_brute_force(spark, monkeypatch):
     v, df = _data(spark)
     q = df.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     want = _brute(v, 5)
     assert _lists(vectors.topk_exact(q, df, 5)) == want
-    assert _lists(vectors.topk_exact(q, df, 5, broadcast_bytes=0, block_rows=60)) == want
+    assert _lists(vectors.topk_exact(q, df, 5, block_rows=60)) == want
+    ids = np.arange(len(v))
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 37)
+    monkeypatch.setattr(vectors, "TILE_VECTORS", 53)
+    rows, _, best = vectors._candidates(v, v, ids, 5, 6)
+    assert {i: best[rows == i].tolist() for i in range(len(v))} == want
+
+
+def test_search_plans_have_no_nested_loop(spark):
+    _, df = _data(spark, 30)
+    q = df.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    plan = vectors.topk_exact(q, df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_text_ids(spark):
@@ -43,7 +55,7 @@ def test_text_ids(spark):
     q = s.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     want = {f"p{i:03d}": [f"p{j:03d}" for j in js] for i, js in _brute(v, 3).items()}
     assert _lists(vectors.topk_exact(q, s, 3)) == want
-    assert _lists(vectors.topk_exact(q, s, 3, broadcast_bytes=0, block_rows=9)) == want
+    assert _lists(vectors.topk_exact(q, s, 3, block_rows=9)) == want
 
 
 def test_ivf_over_all_cells_equals_exact_and_prunes_folders(spark, tmp_path):
@@ -55,7 +67,7 @@ def test_ivf_over_all_cells_equals_exact_and_prunes_folders(spark, tmp_path):
     assert sinks.write_index(cents, assigned, str(tmp_path / "ix"))
     stored = spark.read.parquet(str(tmp_path / "ix" / "passages"))
     assert _lists(vectors.topk_ivf(q, stored, cents, 4, nprobe=8)) == _brute(v, 4)
-    assert _lists(vectors.topk_ivf(q, stored, cents, 4, nprobe=8, broadcast_bytes=0, block_rows=50)) == _brute(v, 4)
+    assert _lists(vectors.topk_ivf(q, stored, cents, 4, nprobe=8, block_rows=50)) == _brute(v, 4)
     one = vectors.topk_ivf(q.where("qid = 0"), stored, cents, 4, nprobe=1)
     assert "PartitionFilters: [isnotnull" in one._jdf.queryExecution().toString() or "PartitionFilters: [cell" in one._jdf.queryExecution().toString()
     rep = vectors.check_index(df, stored, cents, nprobe=2).first()
@@ -101,17 +113,18 @@ def test_retrieve_never_repeats_a_url_and_uses_own_k(spark):
         assert all((r.score is not None) == (qid % 3 == 0) for r in rows)
 
 
-def test_crawl_parts_and_missing_text(spark):
+def test_crawl_lines_and_missing_text(spark):
     corpus = spark.createDataFrame([(i, "hot" if i % 3 else "u", None if i == 4 else f" text{i} ") for i in range(30)] + [(99, None, "x"), (98, "", "y")], "pos bigint, url string, text string")
     req = spark.createDataFrame([(0, "u"), (1, "hot"), (2, "none"), (3, "hot")], "request_no bigint, url string")
     rows = retrieval.crawl(req, corpus)
     hot = [r.text for r in sorted(rows.where("request_no = 3").collect(), key=lambda r: r.passage_no)]
     assert hot == [retrieval.MISSING_TEXT if i == 4 else f" text{i} " for i in range(30) if i % 3]
-    whole = by(retrieval.format_crawl(rows), "request_no")
-    assert whole[2]["result_text"] == "url: none\nResult: No passages found for URL: none"
-    assert whole[0]["result_text"].startswith("url: u\nResult: Found 10 passages for URL: u\nPassages: 10\nPassage 1:  text0 \n")
-    parts = retrieval.format_crawl(rows, part_rows=4).where("request_no = 1").orderBy("part_no").collect()
-    assert len(parts) == 6 and "\n".join(p.result_text for p in parts) == whole[1]["result_text"]
+    lines = {}
+    for r in sorted(retrieval.format_crawl(rows).collect(), key=lambda r: (r.request_no, r.line_no)):
+        lines.setdefault(r.request_no, []).append(r.line)
+    assert lines[2] == ["url: none", "Result: No passages found for URL: none"]
+    assert lines[0][:4] == ["url: u", "Result: Found 10 passages for URL: u", "Passages: 10", "Passage 1:  text0 "] and lines[0][-1] == "Passage 10:  text27"
+    assert len(lines[1]) == 23 and lines[1] == lines[3]
     assert retrieval.corpus_stats(corpus).first().asDict() == {"n_docs": 32, "n_urls": 2}
     assert retrieval.url_index(corpus).where("url = 'u'").count() == 10
 
@@ -122,4 +135,8 @@ def test_hits_text(spark):
     assert got[1]["result"] == "Found 2 results:\n1. url: u\nTitle: T\nScore: 0.5\nSnippet: body\n\n2. url: w\nTitle: No title provided\nSnippet: No snippet provided"
     assert got[2]["result"] == retrieval.NO_RESULTS
     numbered = spark.createDataFrame([(7, 1, "a"), (7, 2, "b")], "request int, pos int, result string")
-    assert retrieval.join_queries(numbered, "request", "pos").first()["result"] == "a\n---\nb"
+    assert [r.line for r in retrieval.join_queries(numbered, "request", "pos").orderBy("line_no").collect()] == ["a", "---", "b"]
+    bodies = spark.createDataFrame([(3, 1, "u", "T", "", "short", None, "long")], "qid int, rank int, url string, title string, text string, snippet string, score double, content string")
+    asked = spark.createDataFrame([(3,)], "qid int")
+    assert retrieval.format_hits(asked, bodies).first()["result"].endswith("Snippet: long")
+    assert retrieval.format_hits(asked, bodies.drop("content")).first()["result"].endswith("Snippet: short")
