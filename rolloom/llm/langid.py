@@ -196,7 +196,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
                 p = _softmax(z.astype(np.float64) * heat)
                 best = p.argmax(1)
                 names += [languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
-                scores.append(np.where(has, p[np.arange(len(p)), best], 0.0))
+                # matrix products round by their position in a batch; equal texts get equal scores
+                scores.append(np.where(has, np.round(p[np.arange(len(p)), best], 9), 0.0))
             return [names, np.concatenate(scores)]
 
         return each

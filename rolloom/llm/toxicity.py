@@ -4,7 +4,8 @@ Features are the words of a text, in lower case and without outer punctuation, a
 first 4, 5 and 6 letters (invented or inflected insults share stems); a text has a feature
 or has it not. The most telling ones are chosen by their label counts. Fitting minimises
 log loss, a ridge term, and the squared change of a text's logit when its identity terms
-are swapped for other groups' terms, so that naming a group does not raise a score.
+are swapped for other groups' terms or for a neutral word, so that naming a group does not
+raise a score.
 
 Fitting reads a bounded sample of labelled rows, ``POSITIVES`` and ``NEGATIVES`` at most,
 thinned by a hash of the key; it is broadcast to find its texts, whose whole length is
@@ -146,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _swaps(rows, terms: list, feature: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text with identity terms: the features its swapped version gains, and those it loses."""
+    """Per text with identity terms: the features its swapped versions gain, and those they lose."""
     place = [(g, i, np.searchsorted(feature, f)) for g, i, f in terms]
     lines: dict[int, list[np.ndarray]] = {}
     for g, _, at in place:
@@ -165,6 +166,8 @@ def _swaps(rows, terms: list, feature: np.ndarray) -> list[tuple[np.ndarray, np.
             lose |= set(lines[g][i].tolist())
             gain |= set(other.tolist())
         out.append((np.array(sorted(gain - have)), np.array(sorted((lose & have) - gain))))
+        # and with a neutral word, which no feature stands for
+        out.append((np.zeros(0, np.int64), np.array(sorted(lose & have))))
     return out
 
 
