@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,10 @@ def verify_report(results: DataFrame) -> DataFrame:
     )
 
 
-def verify_failures(results: DataFrame, name: str = "instance_id") -> DataFrame:
-    """Names of failed instances, one row each (a list of them could outgrow any row)."""
+def verify_failures(results: DataFrame, name: str = "instance_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Names of failed instances and the columns ``keep``, one row each (a list of them could outgrow any row)."""
     c = failure_class()
-    return results.select(c.alias("failure_class"), name).where(F.col("failure_class") != "success")
+    return results.select(c.alias("failure_class"), name, *keep).where(F.col("failure_class") != "success")
 
 
 def attach_results(samples: DataFrame, results: DataFrame, key: str = "run_id") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rolloom.functions.jsonv import let
 from rolloom.functions.text import END_MARKER, START_MARKER, exact_match, py_words, strip_ansi, test_section
@@ -41,8 +43,9 @@ def log_lines(outputs: DataFrame, text: str = "output") -> DataFrame:
 def section_lines(lines: DataFrame) -> DataFrame:
     """Test-section lines of logs stored one line per row (``run_id, pos, line``).
 
-    Three minima over the few marker lines locate each section, so no log is ever
-    assembled: the first start marker, any end marker, the next marker after the start.
+    The few marker lines locate each section, so no log is ever assembled: the first start
+    marker, any end marker, and the next marker after the start. One pass over the lines
+    finds them, a second one cuts.
     """
     n_starts = F.size(F.split("line", START_MARKER)) - 1
     marks = (
@@ -57,12 +60,10 @@ def section_lines(lines: DataFrame) -> DataFrame:
             ((n_starts > 1) | F.split_part("line", F.lit(START_MARKER), F.lit(2)).contains(END_MARKER)).alias("closes_itself"),
         )
     )
-    starts = marks.groupBy("run_id").agg(
-        F.min(F.when(F.col("is_start"), F.col("pos"))).alias("s"), F.max("is_end").alias("_any_end")
-    )
-    starts = starts.where(F.col("s").isNotNull() & F.col("_any_end")).drop("_any_end")
+    own = W.partitionBy("run_id")
+    marks = marks.withColumns({"s": F.min(F.when(F.col("is_start"), F.col("pos"))).over(own), "_any_end": F.max("is_end").over(own)})
     later = (F.col("pos") > F.col("s")) | ((F.col("pos") == F.col("s")) & F.col("closes_itself"))
-    bounds = marks.join(starts, "run_id").groupBy("run_id").agg(F.min("s").alias("s"), F.min(F.when(later, F.col("pos"))).alias("e"))
+    bounds = marks.where(F.col("s").isNotNull() & F.col("_any_end")).groupBy("run_id").agg(F.min("s").alias("s"), F.min(F.when(later, F.col("pos"))).alias("e"))
     after = F.when(F.col("pos") == F.col("s"), F.split_part("line", F.lit(START_MARKER), F.lit(2))).otherwise(F.col("line"))
     head = F.split_part(F.split_part("line", F.lit(END_MARKER), F.lit(1)), F.lit(START_MARKER), F.lit(1))
     return (
@@ -84,8 +85,7 @@ def _any_of(test: Callable[[str], Column]) -> Column:
 def _line_status(line: Column, v2: Column) -> Column:
     """``struct<test,status>`` of a line, or null.
 
-    Each step is bound once: the optimizer copies this expression into the filter it
-    pushes below the joins, so repeated sub-expressions would be paid many times.
+    Each step is bound once, so that no sub-expression is repeated.
     """
 
     def report(words: Column, status_first: Column) -> Column:
@@ -118,8 +118,10 @@ def parse_statuses(lines: DataFrame, parser: str | Column = "parse_log_pytest")
     known = F.coalesce(parser.isin(PARSERS), F.lit(False))
     fail = F.raise_error(F.concat(F.lit("unknown log parser "), F.coalesce(parser, F.lit("null")))).cast("boolean")
     v2 = F.when(known, parser == "parse_log_pytest_v2").otherwise(fail)
-    found = lines.select("run_id", "pos", _line_status(F.col("line"), v2).alias("f")).where(F.col("f").isNotNull())
-    return found.groupBy("run_id", F.col("f.test").alias("test")).agg(F.max_by("f.status", "pos").alias("status"))
+    # a generator drops lines without a status, so that each line is parsed once
+    one = F.filter(F.array(_line_status(F.col("line"), v2)), lambda f: f.isNotNull())
+    found = lines.select("run_id", "pos", F.inline(one))
+    return found.groupBy("run_id", "test").agg(F.max_by("status", "pos").alias("status"))
 
 
 def coarse_status(status: Column) -> Column:
@@ -243,3 +245,29 @@ def score(rows: DataFrame, name: str = "reward_name") -> DataFrame:
     for reward, build in _REWARDS.items():
         chain = chain.when(F.col(name) == reward, build())
     return rows.withColumn("score", chain.otherwise(F.raise_error(F.concat(F.lit("unknown reward "), F.col(name))).cast("double")))
+
+
+_GRADERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_grader(name: str, grade_runs: Callable[[DataFrame], DataFrame]) -> None:
+    """Register how runs with a reward name are graded: from ``run_id`` and the runs' other columns to ``run_id, score``."""
+    if name in _GRADERS and _GRADERS[name] is not grade_runs:
+        raise ValueError(f"grader {name!r} is already registered")
+    _GRADERS[name] = grade_runs
+
+
+def grade(runs: DataFrame, graders: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, name: str = "reward_name") -> DataFrame:
+    """``run_id``, reward name and ``score`` of every run: each grader gets its own runs, from logs or answers to scores.
+
+    A run without a reward name scores -100, one that its grader returns no row for 0.0; an
+    unknown name is an error. ``graders`` adds to the registered ones.
+    """
+    known = {**_GRADERS, **(graders or {})}
+    scored = [fn(runs.where(F.col(name) == reward)).select("run_id", F.col("score").cast("double").alias("score")) for reward, fn in known.items()]
+    if not scored:
+        scored = [runs.select("run_id", F.lit(0.0).alias("score")).limit(0)]
+    every = reduce(DataFrame.union, scored)
+    unknown = F.raise_error(F.concat(F.lit("unknown reward "), F.col(name))).cast("double")
+    score_ = F.when(F.col(name).isNull(), F.lit(NO_REWARD_SCORE)).when(F.col(name).isin(*known), F.coalesce("score", F.lit(0.0))).otherwise(unknown)
+    return runs.select("run_id", name).join(every, "run_id", "left").select("run_id", name, score_.alias("score"))

@@ -9,6 +9,8 @@ from rolloom.functions.text import completion_tokens
 from rolloom.operators import reports, trajectories
 from rolloom.operators.ordered import number_within, ranges
 from rolloom.plans.registry import as_long, query, table
+from rolloom.session import work_path
+from rolloom.sources import sinks
 
 MAX_TURNS = 20
 
@@ -230,7 +232,11 @@ FROM dummy"""
 
 @query("training_rows", _ROWS_SQL)
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trajectories.to_training_rows(token_turns(spark, sf_dir), token_episodes(spark, sf_dir), 400, 1500, mask_abnormal=True)
+    return _flat_rows(trajectories.to_training_rows(token_turns(spark, sf_dir), token_episodes(spark, sf_dir), 400, 1500, mask_abnormal=True))
+
+
+def _flat_rows(rows: DataFrame) -> DataFrame:
+    """Sizes and position-weighted sums of the arrays of training rows."""
 
     def weighted(c: str, zero) -> Column:
         return F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), zero, lambda acc, x: acc + x)
@@ -278,3 +284,41 @@ def turn_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     extras = trajectories.merge_extra(t).select("run_id", F.col("extra")["role"].alias("first_role"), "max_global_steps")
     return extras.join(trajectories.sum_preempted(t), "run_id")
+
+
+@query(
+    "failed_runs",
+    """SELECT conv_id AS run_id, least(count(*), 4) AS n_prompt, 100 AS n_response, 700 AS pad_sum, 0.0 AS reward_score, 1 AS traj_masked, 'agent_loop_failed' AS traj_exit_reason
+FROM conversations GROUP BY conv_id""",
+)
+def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a run whose loop failed; its turn numbers stand for the prompt."""
+    prompts = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.array_sort(F.collect_list("turn")).alias("prompt_ids"))
+    rows = trajectories.failed_rows(prompts, 4, 100, pad_id=7)
+    total = F.aggregate("response_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    flat = rows.select("run_id", F.size("prompt_ids").alias("n_prompt"), F.size("response_ids").alias("n_response"), total.alias("pad_sum"), "reward_score", "traj_masked", "traj_exit_reason")
+    return as_long(flat, "n_prompt", "n_response", "traj_masked")
+
+
+@query(
+    "routed_experts",
+    """SELECT run_id, least(n, 40) AS n_kept, least(n, 40) * (least(n, 40) + 1) // 2 AS expert_sum FROM (
+  SELECT conv_id AS run_id, count(*) + count(*) FILTER (role = 'assistant') AS n FROM conversations GROUP BY conv_id)""",
+)
+def routed_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty expert ids per run, cut to its prompt (all turns) and response (assistant turns)."""
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(
+        F.collect_list("turn").alias("prompt_ids"), F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("response_ids")
+    )
+    cut = trajectories.cut_routed_experts(c.withColumn("routed_experts", F.sequence(F.lit(1), F.lit(40))))
+    total = F.aggregate("routed_experts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return as_long(cut.select("run_id", F.size("routed_experts").alias("n_kept"), total.alias("expert_sum")), "n_kept")
+
+
+@query("rollout_files", _ROWS_SQL)
+def rollout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows written as rollouts and read back."""
+    rows = trajectories.to_training_rows(token_turns(spark, sf_dir), token_episodes(spark, sf_dir), 400, 1500, mask_abnormal=True)
+    path = work_path(spark, "rollouts")
+    sinks.write_rollouts(rows, path)
+    return _flat_rows(spark.read.parquet(path))

@@ -191,10 +191,9 @@ def verify_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("task__"), F.col("c_custkey").cast("string")).alias("task"), F.col("c_nationkey").cast("bigint").alias("nation")
     )
-    paired = reports.attach_results(samples, order_results(spark, sf_dir), "task")
+    paired = reports.attach_results(samples, order_results(spark, sf_dir), "task").where(F.col("run_id").isNotNull())
     named = paired.withColumn("instance_id", F.concat_ws("#", "task", "run_id"))
-    failed = reports.verify_failures(named)
-    return failed.join(named.select("instance_id", "nation"), "instance_id").select("failure_class", "instance_id", "nation")
+    return reports.verify_failures(named, keep=["nation"])
 
 
 @query(
@@ -241,3 +240,38 @@ def reward_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return rewards.score(rows).groupBy(F.col("reward_name").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"))
+
+
+@query(
+    "reward_grading",
+    _STATUS_SQL
+    + """, swe AS (SELECT run_id, found AND bool_and(CASE WHEN fail_only THEN coalesce(status, '') <> 'FAILED' ELSE coalesce(status, '') IN ('PASSED', 'XFAIL') END) AS ok FROM j GROUP BY run_id, found),
+live AS (SELECT run_id, found AND count(*) FILTER (status = 'FAILED') = 0 AND count(*) FILTER (f2p AND status = 'PASSED') > 0 AS ok FROM j GROUP BY run_id, found)
+SELECT run_id, CASE run_id % 5 WHEN 0 THEN 'swe_rebench' WHEN 1 THEN 'swe_bench_live' WHEN 2 THEN 'swe_bench' WHEN 3 THEN 'search' END AS reward_name,
+  CASE WHEN run_id % 5 = 4 THEN -100.0 WHEN run_id % 5 = 3 THEN CASE WHEN run_id % 2 = 0 THEN 1.0 ELSE 0.0 END WHEN (CASE WHEN run_id % 5 = 1 THEN live.ok ELSE swe.ok END) THEN 1.0 ELSE 0.0 END AS score
+FROM runs JOIN swe USING (run_id) JOIN live USING (run_id)""",
+)
+def reward_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four kinds of rewards in one table, each graded from its runs' logs or answers."""
+    fifth = F.pmod("run_id", F.lit(5))
+    names = ["swe_rebench", "swe_bench_live", "swe_bench", "search"]
+    named = F.when(fifth == 0, names[0])
+    for i, n in enumerate(names[1:], 1):
+        named = named.when(fifth == i, n)
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id")).distinct().withColumn("reward_name", named)
+
+    def tests(rule):
+        def graded(own: DataFrame) -> DataFrame:
+            mine = lambda df: df.join(own.select("run_id"), "run_id", "left_semi")
+            resolved = rule(_parsers(mine(log_lines(spark, sf_dir))), mine(_required(spark, sf_dir)), mine(_found(spark, sf_dir)))
+            return resolved.select("run_id", F.col("resolved").cast("double").alias("score"))
+
+        return graded
+
+    def answers(own: DataFrame) -> DataFrame:
+        order = F.concat(F.lit("order "), F.col("run_id").cast("string"))
+        given = own.select("run_id", F.when(F.pmod("run_id", F.lit(2)) == 0, F.concat(F.lit("The "), F.upper(order))).otherwise("none").alias("answer"))
+        return rewards.score_search(given, own.select("run_id", F.array(order).alias("targets")))
+
+    graders = {"swe_rebench": tests(rewards.score_swe), "swe_bench": tests(rewards.score_swe), "swe_bench_live": tests(rewards.score_swe_live), "search": answers}
+    return rewards.grade(runs, graders)

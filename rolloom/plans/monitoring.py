@@ -112,6 +112,18 @@ def run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_rows(s.withColumn("_key", key), "_key", "place").select("run_id", "status", "place")
 
 
+@query("oldest_runs", f"WITH {LINES_SQL} SELECT run_id, created_at FROM status ORDER BY created_at, run_id LIMIT 20")
+def oldest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty oldest runs."""
+    return monitor.order_runs(statuses(spark, sf_dir)[0]).select("run_id", "created_at").limit(20)
+
+
+@query("display_runs", f"WITH {LINES_SQL} SELECT run_id, status FROM status ORDER BY CAST(status = 'completed' AS INT), created_at, run_id LIMIT 20")
+def display_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty runs shown first: completed ones last, else oldest first."""
+    return monitor.order_for_display(statuses(spark, sf_dir)[0]).select("run_id", "status").limit(20)
+
+
 @query(
     "run_search",
     f"""WITH {LINES_SQL},

@@ -146,3 +146,19 @@ def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sample_limit", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100")
 def sample_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.limit_samples(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, "doc_id")
+
+
+@query("task_files", "SELECT doc_id, md5(text) AS question_md5, lang FROM documents")
+def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw tasks written as JSON lines and read back."""
+    path = work_path(spark, "tasks")
+    table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"), "lang").write.json(path)
+    return files.read_tasks(spark, path, "doc_id bigint, question string, lang string").select("doc_id", F.md5("question").alias("question_md5"), "lang")
+
+
+@query("passage_files", "SELECT CAST(page_id AS VARCHAR) AS id, url, md5(html) AS text_md5 FROM pages")
+def passage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages written as Parquet and read back."""
+    path = work_path(spark, "passages")
+    table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "url", F.col("html").alias("text")).write.parquet(path)
+    return files.read_passages(spark, path, "id string, url string, text string").select("id", "url", F.md5("text").alias("text_md5"))
