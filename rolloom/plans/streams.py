@@ -83,12 +83,13 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_events",
     f"""WITH {LINES_SQL},
-n AS (SELECT run_id, count(*) FILTER (ts < TIMESTAMP '2024-01-16') > 0 AS b0, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') > 0 OR CAST(substr(run_id, 5) AS BIGINT) % 4 = 0 AS b1 FROM lines GROUP BY run_id)
+n AS (SELECT run_id, count(*) FILTER (ts < TIMESTAMP '2024-01-16') > 0 AS b0, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') > 0 AS l1, CAST(substr(run_id, 5) AS BIGINT) % 4 = 0 AS f1 FROM lines GROUP BY run_id)
 SELECT event_type, batch_id, n FROM (
   SELECT 'run_update' AS event_type, 0 AS batch_id, count(*) FILTER (b0) AS n FROM n
-  UNION ALL SELECT 'run_update', 1, count(*) FILTER (b1) FROM n)""",
+  UNION ALL SELECT 'run_update', 1, count(*) FILTER (l1 OR f1) FROM n UNION ALL SELECT 'log_append', 0, count(*) FILTER (b0) FROM n
+  UNION ALL SELECT 'log_append', 1, count(*) FILTER (l1) FROM n UNION ALL SELECT 'file_changed', 1, count(*) FILTER (f1) FROM n)""",
 )
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run updates per batch; status changes are checked against the batch twin in the tests."""
+    """Run updates, log appends and file changes per batch; status changes are checked in the tests."""
     ev = monitor_stream.stored_events_after(monitor_stream.stored_events(spark, followed(spark, sf_dir)), -1, -1)
-    return ev.where("event_type = 'run_update'").groupBy("event_type", "batch_id").agg(F.count("*").alias("n"))
+    return ev.where("event_type IN ('run_update', 'log_append', 'file_changed')").groupBy("event_type", "batch_id").agg(F.count("*").alias("n"))

@@ -14,7 +14,7 @@ from rolloom.sources import tail
 
 UPDATE_SCHEMA = (
     "run_id string, event_type string, status string, current_step bigint, file_count bigint, "
-    "tail string, updated_at double"
+    "tail string, updated_at double, path string, action string"
 )
 
 
@@ -60,21 +60,27 @@ class RunState(StatefulProcessor):
         out: list[tuple] = []
         changed = False
         removed = False
+        appended: dict[str, str] = {}
+        touched: list[tuple[str, str]] = []
         for r in frame.itertuples():
             updated = max(updated, float(r.updated_at))
             if r.kind == "run":
                 removed = r.action == "deleted"
             elif r.action == "deleted":
                 changed = True
+                touched.append((r.path, "deleted"))
                 self.tails.removeKey((r.path,))
                 self.files.removeKey((r.path,))
             elif r.kind == "log":
                 old = self.tails.getValue((r.path,))
                 text = (old[0] if old else "") + r.text
                 self.tails.updateValue((r.path,), (text[-self.max_chars :],))
-                changed = changed or r.end > r.start
+                if r.end > r.start:
+                    changed = True
+                    appended[r.path] = (appended.get(r.path, "") + r.text)[-self.max_chars :]
             else:
                 changed = True
+                touched.append((r.path, "modified" if self.files.containsKey((r.path,)) else "created"))
                 self.files.updateValue((r.path,), (int(r.end),))
         if removed:
             for p in list(self.tails.keys()):
@@ -82,7 +88,7 @@ class RunState(StatefulProcessor):
             for p in list(self.files.keys()):
                 self.files.removeKey(p)
             self.status.clear()
-            yield pd.DataFrame([(run_id, "run_removed", None, None, 0, None, updated)], columns=_COLUMNS)
+            yield pd.DataFrame([(run_id, "run_removed", None, None, 0, None, updated, None, None)], columns=_COLUMNS)
             return
         names = {p[0] for p in self.files.keys()} | {p[0] for p in self.tails.keys()}
         found = self.tails.getValue((monitor.RUN_LOG,))
@@ -98,7 +104,11 @@ class RunState(StatefulProcessor):
         else:
             status = "queued"
         steps = re.findall(monitor.STEP_PATTERN, log)
-        row = (status, int(steps[-1]) if steps else None, len(names), log, updated)
+        step = int(steps[-1]) if steps else None
+        row = (status, step, len(names), log, updated, None, None)
+        # appended text is as bounded as a tail; a batch has one event per log and per changed file
+        out += [(run_id, "log_append", status, step, len(names), text, updated, path, None) for path, text in appended.items()]
+        out += [(run_id, "file_changed", status, step, len(names), None, updated, path, action) for path, action in touched]
         if status != before:
             changed = True
             out.append((run_id, "status_changed", *row))
@@ -112,11 +122,13 @@ class RunState(StatefulProcessor):
         pass
 
 
-_COLUMNS = ["run_id", "event_type", "status", "current_step", "file_count", "tail", "updated_at"]
+_COLUMNS = ["run_id", "event_type", "status", "current_step", "file_count", "tail", "updated_at", "path", "action"]
 
 
 def run_updates(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) -> DataFrame:
-    """``status_changed``, ``run_update`` and ``run_removed`` events per run.
+    """``log_append``, ``file_changed``, ``status_changed``, ``run_update`` and ``run_removed`` events per run.
+
+    The ``tail`` of a ``log_append`` is what its log gained, up to ``max_chars``.
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
@@ -147,7 +159,7 @@ def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     events = f"{out}/events/batch_id={batch_id}"
     batch.withColumn("seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(events)
     stored = spark.read.parquet(events)
-    newest = stored.where(F.col("event_type") != "status_changed").withColumn("seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("seq").alias("row")))
+    newest = stored.where(F.col("event_type").isin("run_update", "run_removed")).drop("path", "action").withColumn("seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("seq").alias("row")))
     older = [v for v in _versions(spark, f"{out}/runs") if v < batch_id]
     current = spark.read.parquet(f"{out}/runs/batch_id={older[-1]}") if older else newest.limit(0)
     merged = monitor.merge_runs(current, newest)

@@ -45,6 +45,10 @@ def test_follow_growth_truncation_deletion_and_removal(spark, tmp_path):
     changes = [(r.run_id, r.batch_id, r.status) for r in ev.where("event_type = 'status_changed'").orderBy("batch_id", "run_id").collect()]
     assert changes == [("a", 0, "running"), ("v", 0, "running"), ("v", 1, "completed"), ("v", 2, "queued")]
     assert ev.where("event_type = 'run_removed'").count() == 1
+    files = [(r.run_id, r.batch_id, r.path, r.action) for r in ev.where("event_type = 'file_changed'").orderBy("batch_id", "path").collect()]
+    assert files == [("v", 1, "interaction_result.json", "created"), ("v", 2, "interaction_result.json", "deleted"), ("v", 2, "run.log", "deleted")]
+    grown = [(r.run_id, r.batch_id, r.path, r.tail) for r in ev.where("event_type = 'log_append' AND batch_id > 0").orderBy("batch_id").collect()]
+    assert [g[:3] for g in grown] == [("a", 1, "run.log"), ("a", 2, "run.log")] and grown[1][3] == "STEP 9\n"
     assert ms.stored_events_after(ev, 1, 1 << 60).where("batch_id < 2").count() == 0
 
 
