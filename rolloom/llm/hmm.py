@@ -7,12 +7,14 @@ counts of all other words reach their texts by a join, so no count is dropped.
 
 The model has ``STATES`` latent states. A state emits one of the ``HEAD`` most frequent
 words, the end, or a rare word. Which rare word it is depends on the training counts, and
-for unseen words, with the share that words seen once have, on a byte bigram model of
-spellings; so every text has a probability. Baum-Welch runs over all training texts: each task sums expected counts of
-its pieces of ``PIECE`` tokens, the sums are added up by a shuffle on the word, and the
-bounded totals (``HEAD`` times ``STATES`` numbers) give the next parameters on the driver.
-The first round takes its states from each piece's most frequent corpus word. Scores use
-whole texts: the scaled forward recursion gives the exact likelihood.
+for unseen words, with the share that words seen once have, on a model of spellings:
+trigrams of 64 byte classes, and bytes by class; so every text has a probability.
+
+Baum-Welch runs over all training texts: each task sums expected counts of its pieces of
+``PIECE`` tokens, the sums are added up by a shuffle on the word, and the bounded totals
+(``HEAD`` times ``STATES`` numbers) give the next parameters on the driver. The first round
+takes its states from each piece's most frequent corpus word. Scores use whole texts: the
+scaled forward recursion gives the exact likelihood.
 
 Null and empty texts have the end token alone. Repeated rows count and are scored each. A
 row with a null key trains the model and is carried. Without training texts every count is
@@ -34,8 +36,15 @@ from rolloom.session import checkpointed
 STATES, HEAD, BASE_HEAD, PIECE, ROUNDS = 8, 1 << 16, 1 << 18, 64, 2
 #: Weight of the overall word distribution in a state's emissions, in tokens.
 PRIOR = 500.0
-_EDGE = 256
-_SYMBOLS = 251
+_CLASSES = 64
+#: Class of each byte: 0 is the edge of a word, then a-z, digits, marks, and bytes of other characters.
+_CLASS = np.zeros(256, np.int64)
+_CLASS[:128] = 31
+_CLASS[97:123] = np.arange(1, 27)
+_CLASS[48:58] = 27
+_CLASS[[46, 44, 33]] = 28, 29, 30
+_CLASS[128:192] = 33 + np.arange(64) % 31
+_CLASS[192:] = 32
 
 
 @dataclass
@@ -48,7 +57,7 @@ class Vocabulary:
     ends: int
     tokens: int
     types: int
-    spelling: np.ndarray
+    spelling: tuple[np.ndarray, np.ndarray]
     rare: int
     unseen: float
 
@@ -60,8 +69,8 @@ def _counter():
         if not len(w.hash):
             return [[[] for _ in range(n)]]
         hashes, first, counts = np.unique(w.hash, return_index=True, return_counts=True)
-        pairs = _bigrams(w.data, w.start[first], w.end[first])[0]
-        codes, seen = np.unique(pairs, return_counts=True)
+        codes, last, _ = _trigrams(w.data, w.start[first], w.end[first])
+        codes, seen = np.unique(np.concatenate([codes, _CLASSES**3 + last.astype(np.int64)]), return_counts=True)
         kind = np.concatenate([np.zeros(len(hashes), np.int8), np.ones(len(codes), np.int8)])
         structs = pa.StructArray.from_arrays(
             [pa.array(kind), pa.array(np.concatenate([hashes.view(np.int64), codes])), pa.array(np.concatenate([counts, seen]))], ["kind", "w", "c"]
@@ -72,31 +81,46 @@ def _counter():
     return each
 
 
-def _bigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the byte bigrams of words, with an edge before and after, and where each word begins."""
+def _trigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the class trigrams of words, with edges around them; the last byte of each trigram (0 at the end edge); where each word begins."""
     length = end - start
-    own = gathered(data, start, length).astype(np.int64)
+    own = gathered(data, start, length)
     n = len(start)
     first = np.cumsum(length) - length + np.arange(n)
-    before = np.full(len(own) + n, _EDGE, np.int64)
-    after = np.full(len(own) + n, _EDGE, np.int64)
+    kinds, bytes_ = np.zeros(len(own) + n, np.int64), np.zeros(len(own) + n, np.uint8)
     inner = np.ones(len(own) + n, bool)
-    inner[first] = False
-    before[inner] = own
-    outer = np.ones(len(own) + n, bool)
-    outer[first + length] = False
-    after[outer] = own
-    return before * 257 + after, first
+    inner[first + length] = False
+    kinds[inner], bytes_[inner] = _CLASS[own], own
+    one, two = np.zeros_like(kinds), np.zeros_like(kinds)
+    one[1:], two[2:] = kinds[:-1], kinds[:-2]
+    one[first], two[first] = 0, 0
+    second = first[length > 0] + 1
+    two[second] = 0
+    return (two * _CLASSES + one) * _CLASSES + kinds, bytes_, first
+
+
+def spelling_model(counts: np.ndarray, of_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probabilities of class trigrams, smoothed by bigrams and single classes, and of bytes in their class."""
+    three = counts.reshape(_CLASSES, _CLASSES, _CLASSES)
+    two, one = three.sum(0), three.sum((0, 1)) + 0.5
+    p1 = one / one.sum()
+    p2 = (two + 5 * p1) / (two.sum(1, keepdims=True) + 5)
+    p3 = (three + 5 * p2) / (three.sum(2, keepdims=True) + 5)
+    some = of_bytes + 0.5
+    total = np.bincount(_CLASS, some, _CLASSES)
+    inside = np.log10(some / total[_CLASS])
+    inside[0] = 0.0  # stands for the edge
+    return np.log10(p3).ravel(), inside
 
 
 def count_words(training: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Counts of all training words (``w``, ``c``) and of byte bigrams of words (``w``, ``c``)."""
+    """Counts of all training words (``w``, ``c``), and of class trigrams and bytes in different words of a slice."""
     found = map_text(training, text, [], {"found": "array<struct<kind:tinyint,w:bigint,c:bigint>>"}, _counter)
     counts = checkpointed(found.select(F.inline("found")).groupBy("kind", "w").agg(F.sum("c").alias("c")), "words")
     return counts.where("kind = 0").select("w", "c"), counts.where("kind = 1").select("w", "c")
 
 
-def vocabulary(counts: DataFrame, bigrams: DataFrame, ends: int, base_head: int = BASE_HEAD, head: int = HEAD) -> Vocabulary:
+def vocabulary(counts: DataFrame, spellings: DataFrame, ends: int, base_head: int = BASE_HEAD, head: int = HEAD) -> Vocabulary:
     """The most frequent words, at most ``base_head``: all words above some count.
 
     ``rare`` is how many training tokens are not among the first ``head`` words, and
@@ -116,10 +140,11 @@ def vocabulary(counts: DataFrame, bigrams: DataFrame, ends: int, base_head: int
     hashes, many = hashes[order], many[order]
     place = np.empty(len(hashes), np.int32)
     place[np.lexsort((hashes, -many))] = np.arange(len(hashes))
-    table = np.zeros((257, 257))
-    for r in bigrams.collect():
-        table[r["w"] // 257, r["w"] % 257] = r["c"]
-    spelling = np.log10((table + 0.05) / (table.sum(1, keepdims=True) + 0.05 * _SYMBOLS)).ravel()
+    # at most one row per trigram and byte
+    seen = spellings.toPandas()
+    table = np.zeros(_CLASSES**3 + 256)
+    table[seen["w"].to_numpy(np.int64)] = seen["c"].to_numpy(float)
+    spelling = spelling_model(table[: _CLASSES**3], table[_CLASSES**3 :])
     rare = int(totals[0]) - int(many[place < head].sum())
     unseen = min(0.5, (int(totals[2]) + 1) / (rare + 2))
     return Vocabulary(hashes, many, place, ends, int(totals[0]) + ends, int(totals[1]) + (1 if ends else 0), spelling, rare, unseen)
@@ -154,8 +179,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list[str], text: str = "tex
             far = np.flatnonzero(~found)
             spelled = np.zeros(0)
             if len(far):
-                codes, first = _bigrams(w.data, w.start[far], w.end[far])
-                spelled = np.add.reduceat(spelling[codes], first)
+                codes, last, first = _trigrams(w.data, w.start[far], w.end[far])
+                spelled = np.add.reduceat(spelling[0][codes] + spelling[1][last], first)
             with_end = np.insert(ids, bounds[1:], head + 1).astype(np.int32)
             lists = pa.ListArray.from_arrays((bounds + np.arange(n + 1)).astype(np.int32), pa.array(with_end))
             structs = pa.StructArray.from_arrays([pa.array(w.hash[far].view(np.int64)), pa.array(spelled.astype(np.float32))], ["w", "spelled"])
@@ -307,8 +332,8 @@ def score(docs: DataFrame, training: str, key: str = "doc_id", text: str = "text
     ``base_score`` (add-one unigram) and ``score`` (the model), both log10 probabilities.
     """
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(training), F.lit(False)).alias("learn"), F.col(text).alias("t"))
-    counts, bigrams = count_words(rows.where("learn"), "t")
-    vocab = vocabulary(counts, bigrams, rows.where("learn").count(), base_head, head)
+    counts, spellings = count_words(rows.where("learn"), "t")
+    vocab = vocabulary(counts, spellings, rows.where("learn").count(), base_head, head)
     numbered = encode(rows, vocab, ["id", "learn"], "t", head).withColumn("row", F.monotonically_increasing_id())
     encoded = checkpointed(numbered, "encoded")
     model = fit(encoded.where("learn"), states, head, rounds)
