@@ -129,6 +129,7 @@ def _outcome(df: DataFrame, no_call: Column, unclosed: Column) -> DataFrame:
                 "tool": F.when(good, F.col("_call.name")).otherwise(F.col("_bad.name")),
                 "arguments": F.when(good, F.col("_call.args")),
                 "detail": F.when(good, None).otherwise(F.col("_bad.detail")),
+                "value": F.when(good, None).otherwise(F.col("_bad.value")),
             }
         )
         .drop("_calls", "_bad", "_call")
@@ -142,6 +143,15 @@ def _content(text: Column) -> Column:
 # --- Hermes dialect ---------------------------------------------------------
 
 
+def _type_name(kind: Column) -> Column:
+    """Name that Python gives the type of a JSON value."""
+    names = {"array": "list", "object": "dict", "string": "str", "null": "NoneType"}
+    out = kind
+    for k, n in names.items():
+        out = F.when(kind == k, n).otherwise(out)
+    return out
+
+
 def _hermes_call(raw: Column, names: Column) -> Column:
     def facts(v: Column) -> Column:
         return F.struct(
@@ -172,6 +182,9 @@ def _hermes_call(raw: Column, names: Column) -> Column:
             F.when((s["kind"] == "object") & (s["name_kind"] == "string"), s["name"]).alias("name"),
             a["text"].alias("args"),
             F.lit(None).cast("string").alias("detail"),
+            _type_name(
+                F.when(error == "not_object", s["kind"]).when(error == "name_not_string", s["name_kind"]).when(error == "arguments_not_object", a["kind"])
+            ).alias("value"),
         )
 
     return jsonv.let(jsonv.strict_json(raw), lambda v: jsonv.let(facts(v), with_args))
@@ -237,7 +250,7 @@ def _xml_typed(value: Column, kind: Column, name: Column) -> Column:
         .when(kind.rlike("^(int|uint|long|short|unsigned)"), _xml_integer(value, name))
         .when(kind.rlike("^(num|float)"), _xml_number(value, name))
         .when(is_bool & low.isin("true", "false"), _xml_result(None, name, "bool", low))
-        .when(is_bool, _xml_result("not_bool", name, None, value))
+        .when(is_bool, _xml_result("not_bool", name, None, low))
         .when(kind.isin("object", "array", "arr") | kind.rlike("^(dict|list)"), _xml_nested(value, name))
         .otherwise(_xml_result(None, name, None, None, value))
     )
@@ -317,7 +330,7 @@ def parse_xml_calls(
                 F.when(p["literal"].isNotNull() & f.isNull(), "bad_literal").otherwise(p["error"]).alias("error"),
                 p["key"].alias("key"),
                 F.coalesce(jsonv.json_kind(jsonv.strict_json(f)), p["kind"]).alias("kind"),
-                F.coalesce(text_, p["text"], F.lit("null")).alias("text"),
+                F.coalesce(text_, F.when(p["literal"].isNotNull() & f.isNull(), p["literal"]), p["text"], F.lit("null")).alias("text"),
             )
 
         return jsonv.let(found, merged)
@@ -326,12 +339,13 @@ def parse_xml_calls(
         def keep(settled: Column) -> Column:
             bad = F.try_element_at(F.filter(settled, lambda p: p["error"].isNotNull()), F.lit(1))
             return jsonv.let(
-                F.struct(F.coalesce(f["error"], bad["error"]).alias("error"), bad["key"].alias("key")),
+                F.struct(F.coalesce(f["error"], bad["error"]).alias("error"), bad["key"].alias("key"), bad["text"].alias("text")),
                 lambda b: F.struct(
                     b["error"].alias("error"),
                     f["name"].alias("name"),
                     F.when(b["error"].isNull(), last_values(settled)).alias("args"),
                     F.when(f["error"].isNull(), b["key"]).alias("detail"),
+                    F.when(f["error"].isNull(), b["text"]).alias("value"),
                 ),
             )
 
@@ -372,6 +386,7 @@ def parse_structured_calls(
             c["name"].alias("name"),
             F.when(error.isNull(), args).alias("args"),
             F.lit(None).cast("string").alias("detail"),
+            F.lit(None).cast("string").alias("value"),
         )
 
     given = F.coalesce(F.col(calls), F.array().cast(df.schema[calls].dataType))
@@ -398,16 +413,29 @@ def parse_calls(df: DataFrame, parser: str, tools: Mapping[str, Mapping[str, str
 # --- audit views ------------------------------------------------------------
 
 
-def error_message(tools: Mapping[str, Mapping[str, str]] = TOOLS) -> Column:
-    """Feedback sentence for ``error_class``; JSON decoder positions are not reproduced."""
+# The format hint of the JSON dialect.
+HERMES_HINT = 'Expected format:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
+
+
+def error_message(tools: Mapping[str, Mapping[str, str]] = TOOLS, hint: str | None = None) -> Column:
+    """Feedback sentence for ``error_class``, with the offending value and what is allowed.
+
+    ``hint`` (``HERMES_HINT``) follows the sentences about a call's form. JSON decoder
+    positions are not reproduced.
+    """
     # Sentences shown to the model.
-    allowed = str(_check(tools))
+    shown = f" {hint}" if hint else ""
     call = F.concat(F.lit("'"), F.col("tool"), F.lit("'"))
     param = F.concat(F.lit("'"), F.col("detail"), F.lit("'"))
+    listed = F.create_map(*[F.lit(x) for n in _check(tools) for x in (n, str(list(tools[n])))])[F.col("tool")]
     e = F.col("error_class")
+
+    def wrong(what: str) -> Column:
+        return F.concat(F.lit("Invalid action: value '"), F.col("value"), F.lit("' of parameter "), param, F.lit(f" {what} in tool call "), call, F.lit("."))
+
     return (
-        F.when(e == "no_call", "No function call found in the response.")
-        .when(e == "unclosed_call", "Unclosed tool call: missing </tool_call>.")
+        F.when(e == "no_call", f"No function call found in the response.{shown}")
+        .when(e == "unclosed_call", f"Unclosed tool call: missing </tool_call>.{shown}")
         .when(e == "too_many_calls", F.format_string("Number of tool calls %d exceeds max_parallel_calls 1.", F.col("n_calls")))
         .when(e == "no_function_name", "Invalid function call format: Cannot find function name.")
         .when(
@@ -415,24 +443,27 @@ def error_message(tools: Mapping[str, Mapping[str, str]] = TOOLS) -> Column:
             F.concat(
                 F.lit("Invalid action: function "),
                 call,
-                F.lit(f" is not defined in the tools list.\nAllowed functions should be one of: {allowed}."),
+                F.lit(f" is not defined in the tools list.\nAllowed functions should be one of: {_check(tools)}."),
             ),
         )
         .when(e == "no_parameter_name", F.concat(F.lit("Invalid function call format: Cannot find parameter name in tool call "), call, F.lit(".")))
         .when(
             e == "unknown_parameter",
-            F.concat(F.lit("Invalid action: parameter "), param, F.lit(" is not defined in the parameters for function "), call, F.lit(".")),
+            F.concat(
+                F.lit("Invalid action: parameter "), param, F.lit(" is not defined in the parameters for function "), call,
+                F.lit(".\nAllowed parameters for function "), call, F.lit(": "), listed, F.lit("."),
+            ),
         )
-        .when(e == "not_int", F.concat(F.lit("Invalid action: parameter "), param, F.lit(" is not an integer in tool call "), call, F.lit(".")))
-        .when(e == "not_float", F.concat(F.lit("Invalid action: parameter "), param, F.lit(" is not a float in tool call "), call, F.lit(".")))
-        .when(e == "not_bool", F.concat(F.lit("Invalid action: parameter "), param, F.lit(" is not a boolean in tool call "), call, F.lit(".")))
-        .when(e == "bad_literal", F.concat(F.lit("Invalid action: parameter "), param, F.lit(" is not valid in tool call "), call, F.lit(".")))
-        .when(e == "bad_json", "Invalid tool_call JSON.")
-        .when(e == "not_object", "Invalid tool_call: expected a JSON object.")
-        .when(e == "missing_name", "Invalid tool_call: missing 'name' field.")
-        .when(e == "name_not_string", "Invalid tool_call: 'name' must be a string.")
+        .when(e == "not_int", wrong("is not an integer"))
+        .when(e == "not_float", wrong("is not a float"))
+        .when(e == "not_bool", wrong("is not a boolean (`true` of `false`)"))
+        .when(e == "bad_literal", wrong("is not valid"))
+        .when(e == "bad_json", f"Invalid tool_call JSON.{shown}")
+        .when(e == "not_object", F.concat(F.lit("Invalid tool_call: expected a JSON object, got "), F.col("value"), F.lit(f".{shown}")))
+        .when(e == "missing_name", f"Invalid tool_call: missing 'name' field.{shown}")
+        .when(e == "name_not_string", F.concat(F.lit("Invalid tool_call: 'name' must be a string, got "), F.col("value"), F.lit(".")))
         .when(e == "bad_argument_json", F.concat(F.lit("Invalid arguments JSON for "), call, F.lit(".")))
-        .when(e == "arguments_not_object", F.concat(F.lit("Invalid arguments for "), call, F.lit(": expected a JSON object.")))
+        .when(e == "arguments_not_object", F.concat(F.lit("Invalid arguments for "), call, F.lit(": expected a JSON object, got "), F.col("value"), F.lit(".")))
         .when(e == "structured_bad_json", F.concat(F.lit("Invalid action: arguments for function "), call, F.lit(" are not valid JSON.")))
     )
 

@@ -141,3 +141,23 @@ def test_of_duplicate_json_keys_the_last_counts(spark):
     df = spark.createDataFrame([('{"answer":"x","answer":"y"}',)], "t string")
     assert df.select(F.try_variant_get(strict_json(F.col("t")), "$.answer", "string").alias("a")).first().a == "y"
     assert df.select(strict_json(F.lit("{} x")).isNull().alias("a"), member_text(F.col("t"), "answer").isNotNull().alias("b")).first().a
+
+
+def test_feedback_names_values_and_what_is_allowed(spark):
+    from rolloom.operators import toolcalls as tc
+
+    def told(texts, parse, hint=None):
+        df = parse(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+        return [r.m for r in df.select("i", tc.error_message(hint=hint).alias("m")).orderBy("i").collect()]
+
+    wrap = lambda name, key, value: f"<tool_call>\n<function={name}>\n<parameter={key}>\n{value}\n</parameter>\n</function>\n</tool_call>"
+    got = told([wrap("search", "topk", "abc"), wrap("search", "nope", "1"), wrap("search", "query_list", "[1,"), "no call"], tc.parse_xml_calls)
+    assert got[0] == "Invalid action: value 'abc' of parameter 'topk' is not an integer in tool call 'search'."
+    assert got[1] == f"Invalid action: parameter 'nope' is not defined in the parameters for function 'search'.\nAllowed parameters for function 'search': {list(tc.TOOLS['search'])}."
+    assert got[2] == "Invalid action: value '[1,' of parameter 'query_list' is not valid in tool call 'search'." and got[3] == "No function call found in the response."
+    body = lambda x: f"<tool_call>{x}</tool_call>"
+    got = told(["none", body("[1]"), body("{}"), body('{"name": 3}'), body('{"name":"finish","arguments":[1]}')], tc.parse_hermes_calls, tc.HERMES_HINT)
+    assert got == [
+        f"No function call found in the response. {tc.HERMES_HINT}", f"Invalid tool_call: expected a JSON object, got list. {tc.HERMES_HINT}", f"Invalid tool_call: missing 'name' field. {tc.HERMES_HINT}",
+        "Invalid tool_call: 'name' must be a string, got int.", "Invalid arguments for 'finish': expected a JSON object, got list.",
+    ]
