@@ -96,6 +96,10 @@ def literals_to_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda a: None if a is None else [_literal_to_json(t) for t in a])
 
 
+# a filter on an outcome must not be pushed below the decoder, where it cannot be evaluated
+literals_to_json = literals_to_json.asNondeterministic()
+
+
 # --- shared shape -----------------------------------------------------------
 
 

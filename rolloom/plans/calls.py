@@ -122,19 +122,19 @@ def toolcall_hermes_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT run_id, turn, CASE WHEN error_class <> 'ok' THEN error_class END AS error_class, n_calls,
   CASE WHEN error_class = 'ok' THEN split_part(text, '<tool_call>', 1) END AS content,
   CASE WHEN error_class = 'ok' THEN json_extract_string(raws[1], '$.arguments.answer') END AS answer,
-  CASE error_class WHEN 'no_call' THEN 'No function call found in the response.'
-    WHEN 'unclosed_call' THEN 'Unclosed tool call: missing </tool_call>.'
+  CASE error_class WHEN 'no_call' THEN 'No function call found in the response. ' || hint
+    WHEN 'unclosed_call' THEN 'Unclosed tool call: missing </tool_call>. ' || hint
     WHEN 'too_many_calls' THEN 'Number of tool calls ' || n_calls || ' exceeds max_parallel_calls 1.'
-    WHEN 'bad_json' THEN 'Invalid tool_call JSON.'
+    WHEN 'bad_json' THEN 'Invalid tool_call JSON. ' || hint
     WHEN 'unknown_function' THEN 'Invalid action: function ''look_up'' is not defined in the tools list.' || chr(10)
       || 'Allowed functions should be one of: [''execute_bash'', ''finish'', ''search'', ''search_arxiv'', ''str_replace_editor'', ''submit''].'
     END AS error_message
-FROM audit""",
+FROM audit, (SELECT 'Expected format:' || chr(10) || '<tool_call>' || chr(10) || '{"name": <function-name>, "arguments": <args-json-object>}' || chr(10) || '</tool_call>' AS hint)""",
 )
 def toolcall_hermes_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = toolcalls.parse_hermes_calls(transcripts(spark, sf_dir))
     shown = parsed.select(
-        "run_id", "turn", "error_class", "n_calls", "content", toolcalls.argument("answer").alias("answer"), toolcalls.error_message().alias("error_message")
+        "run_id", "turn", "error_class", "n_calls", "content", toolcalls.argument("answer").alias("answer"), toolcalls.error_message(hint=toolcalls.HERMES_HINT).alias("error_message")
     )
     return as_long(shown, "n_calls")
 
@@ -185,6 +185,24 @@ def toolcall_xml_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "toolcall_feedback",
+    """
+WITH t AS (SELECT *, (conv_id + turn) % 8 AS shape FROM conversations)
+SELECT conv_id AS run_id, turn, CASE shape
+  WHEN 1 THEN 'Invalid action: value ''' || turn || '.5'' of parameter ''topk'' is not an integer in tool call ''search''.'
+  WHEN 3 THEN 'Invalid action: parameter ''cmd'' is not defined in the parameters for function ''execute_bash''.' || chr(10) || 'Allowed parameters for function ''execute_bash'': [''command''].'
+  WHEN 5 THEN 'Invalid action: function ''look_up'' is not defined in the tools list.' || chr(10)
+    || 'Allowed functions should be one of: [''execute_bash'', ''finish'', ''search'', ''search_arxiv'', ''str_replace_editor'', ''submit''].'
+  ELSE 'Invalid action: value ''[' || text || ''' of parameter ''query_list'' is not valid in tool call ''search''.' END AS error_message
+FROM t WHERE shape IN (1, 3, 5, 6)""",
+)
+def toolcall_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence that each failing XML turn is answered with."""
+    p = toolcalls.parse_xml_calls(xml_transcripts(spark, sf_dir))
+    return p.where(F.col("error_class").isNotNull()).select("run_id", "turn", toolcalls.error_message().alias("error_message"))
+
+
 @query(
     "toolcall_actions",
     """
