@@ -13,8 +13,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep texts in a language; texts that are null or have no letter go."""
     fold = F.coalesce(langid.remainder("doc_id", 4), F.lit(0))
     model = langid.train(docs.where(fold != 2))
-    told = langid.predict(docs, model, docs.columns, lang_pred="_lang_pred", score="_lang_score")
-    return told.where(F.col("_lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    found, score = (next(f"{n}{i}" for i in range(len(docs.columns) + 1) if f"{n}{i}" not in docs.columns) for n in ("lang_pred", "score"))
+    told = langid.predict(docs, model, docs.columns, lang_pred=found, score=score)
+    return told.where(F.col(found) != langid.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,11 +225,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     found = near_duplicates(docs, key, text, threshold)
     same = F.col(key).eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keep_node"))
     kept = checkpointed(found.where(same).select(F.col(key).alias("_id"), F.col("h").alias("_h"), "node", "n_keep").distinct(), "kept")
-    tagged = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    # whole rows travel in one column, so that no column of theirs can clash
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("id"), hashed.alias("h"))
 
     def rows(which: DataFrame) -> DataFrame:
-        return tagged.join(which, tagged[key].eqNullSafe(which["_id"]) & (tagged["_th"] == which["_h"]))
+        return packed.join(which, packed["id"].eqNullSafe(which["_id"]) & (packed["h"] == which["_h"]))
 
-    single = rows(kept.where("n_keep = 1")).select(*docs.columns)
-    repeated = rows(kept.where("n_keep > 1")).dropDuplicates(["node"]).select(*docs.columns)
+    single = rows(kept.where("n_keep = 1")).select("row.*")
+    repeated = rows(kept.where("n_keep > 1")).dropDuplicates(["node"]).select("row.*")
     return single.union(repeated)

@@ -2,6 +2,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -16,11 +17,14 @@ def test_stages_keep_columns_and_effects(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     extra = spark.createDataFrame([(None, None, None, None, None), (-1, "!!! 12", "en", "s", 6), (-2, "", "en", "s", 0)], docs.schema)
     docs = docs.union(extra).union(docs.limit(2))
+    for clash in ("_th", "_id", "node", "row", "id", "h", "t", "lang_pred0", "score0", "_cuts", "new", "class_id"):
+        docs = docs.withColumn(clash, F.concat(F.lit("own "), F.col("doc_id").cast("string")))
     counts = []
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DIR)
         if name != "bpe":
             assert out.columns == docs.columns
+            assert out.where("doc_id IS NOT NULL AND (row <> concat('own ', doc_id) OR node <> concat('own ', doc_id) OR lang_pred0 <> concat('own ', doc_id) OR _th <> row OR h <> row OR id <> row)").count() == 0
             out = spark.createDataFrame(out.toPandas(), docs.schema) if name != "language_id" else out
         counts.append(out.count())
         docs = out
