@@ -11,36 +11,48 @@ from pyspark.sql import functions as F
 from rolloom.plans.monitoring import LINES_SQL, log_lines
 from rolloom.plans.registry import query, table
 from rolloom.session import work_path
-from rolloom.sources.tail import _open
+from rolloom.sources.tail import _open, qualified
 from rolloom.streaming import monitor_stream
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TAIL = 1_500
 
 
-def write_logs(lines: DataFrame, root: str, append: bool) -> None:
+def write_logs(lines: DataFrame, root: str) -> None:
     """Write each run's lines to its log file, as the run's own logger would: one writer per file.
 
-    Rows stream through in order and are never collected.
+    Rows stream through in order and are never collected. A file is written whole under
+    another name and renamed, so a retried task leaves the same file.
     """
+    root = qualified(lines.sparkSession, root)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
+        import uuid
 
         system, base = _open(root)
-        at, out = None, None
+        at, out, draft = None, None, ""
+
+        def finish() -> None:
+            out.close()
+            path = f"{base}/{at[0]}/{at[1]}"
+            if system.get_file_info(path).is_file:
+                system.delete_file(path)
+            system.move(draft, path)
+
         for f in frames:
             for (run_id, source), g in f.groupby(["run_id", "source"], sort=False):
                 if at != (run_id, source):
                     if out is not None:
-                        out.close()
+                        finish()
                     at = (run_id, source)
-                    path = f"{base}/{run_id}/{source}"
-                    system.create_dir(os.path.dirname(path), recursive=True)
-                    out = system.open_append_stream(path) if append else system.open_output_stream(path)
+                    system.create_dir(f"{base}/{run_id}", recursive=True)
+                    system.create_dir(os.path.dirname(f"{base}-drafts/x"), recursive=True)
+                    draft = f"{base}-drafts/{uuid.uuid4().hex}"
+                    out = system.open_output_stream(draft)
                 out.write("".join(line + "\n" for line in g["line"]).encode())
         if out is not None:
-            out.close()
+            finish()
         yield pd.DataFrame({"done": [True]})
 
     ordered = lines.repartition("run_id", "source").sortWithinPartitions("run_id", "source", "pos")
@@ -58,12 +70,12 @@ def followed(spark: SparkSession, sf_dir: str) -> str:
         root, out, ckpt = f"{base}/logs", f"{base}/out", f"{base}/ckpt"
         lines = log_lines(spark, sf_dir)
         early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-        write_logs(lines.where(early), root, append=False)
+        write_logs(lines.where(early), root)
         monitor_stream.follow(spark, root, out, ckpt, max_chars=TAIL).awaitTermination()
-        write_logs(lines.where(~early), root, append=True)
+        write_logs(lines, root)  # each log as it is now: longer than before
         results = table(spark, sf_dir, "events").where(F.pmod("user_id", F.lit(4)) == 0).select("user_id").distinct()
         results = results.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), F.lit("interaction_result.json").alias("source"), F.lit(1).alias("pos"), F.lit("{}").alias("line"))
-        write_logs(results, root, append=False)
+        write_logs(results, root)
         monitor_stream.follow(spark, root, out, ckpt, max_chars=TAIL).awaitTermination()
         return out
     finally:

@@ -20,9 +20,17 @@ SCHEMA = (
 RANGE_BYTES = 8 * 1024 * 1024
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """A path with its scheme; one without is on the default file system, as Spark reads it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(root: str):
     from pyarrow import fs
 
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
     if "://" in root:
         return fs.FileSystem.from_uri(root)
     return fs.LocalFileSystem(), root

@@ -24,7 +24,7 @@ def file_changes(spark: SparkSession, root: str, **options: str) -> DataFrame:
     reader = spark.readStream.format("run_log_tail")
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load(root)
+    return reader.load(tail.qualified(spark, root))
 
 
 def slim(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) -> DataFrame:
@@ -139,31 +139,56 @@ def run_updates(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) ->
     )
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+#: Parts of the run table; a batch rewrites only the parts whose runs changed.
+BUCKETS = 64
+
+
+def _folder(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _numbered(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``name=number`` folders below a path."""
+    system, folder = _folder(spark, path)
     if not system.exists(folder):
         return []
     names = [s.getPath().getName() for s in system.listStatus(folder)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
+    return sorted(int(n.split("=")[1]) for n in names if "=" in n)
+
+
+def _newest(spark: SparkSession, runs: str, buckets: list[int], before: int | None = None) -> list[str]:
+    """Folder of the newest version of each bucket, older than batch ``before`` if given."""
+    out = []
+    for b in buckets:
+        versions = [v for v in _numbered(spark, f"{runs}/bucket={b}") if before is None or v < before]
+        out += [f"{runs}/bucket={b}/batch_id={versions[-1]}"] if versions else []
+    return out
 
 
 def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """``foreachBatch`` sink: the event log of this batch and the merged run table.
+    """``foreachBatch`` sink: the event log of this batch and the merged parts of the run table.
 
-    Both land in folders named by the batch and are overwritten, so a retried batch
-    leaves the same result. Events are ordered by ``(batch_id, seq)``.
+    Only buckets with changed runs are read and written; versions below the newest two of
+    such a bucket are deleted. Folders are named by the batch and are overwritten, so a
+    retried batch leaves the same result. Events are ordered by ``(batch_id, seq)``.
     """
     spark = batch.sparkSession
-    events = f"{out}/events/batch_id={batch_id}"
+    events, runs = f"{out}/events/batch_id={batch_id}", f"{out}/runs"
     batch.withColumn("seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(events)
-    stored = spark.read.parquet(events)
-    newest = stored.where(F.col("event_type").isin("run_update", "run_removed")).drop("path", "action").withColumn("seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("seq").alias("row")))
-    older = [v for v in _versions(spark, f"{out}/runs") if v < batch_id]
-    current = spark.read.parquet(f"{out}/runs/batch_id={older[-1]}") if older else newest.limit(0)
-    merged = monitor.merge_runs(current, newest)
-    merged.write.mode("overwrite").parquet(f"{out}/runs/batch_id={batch_id}")
+    order = F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("seq").alias("row"))
+    newest = spark.read.parquet(events).where(F.col("event_type").isin("run_update", "run_removed")).drop("path", "action").withColumn("seq", order)
+    newest = newest.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).cast("int"))
+    touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    older = _newest(spark, runs, touched, batch_id)
+    current = spark.read.option("basePath", runs).parquet(*older).drop("batch_id") if older else newest.limit(0)
+    merged = monitor.merge_runs(current, newest).withColumn("batch_id", F.lit(batch_id))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(runs)
+    for b in touched:
+        for old in [v for v in _numbered(spark, f"{runs}/bucket={b}") if v <= batch_id][:-2]:
+            system, folder = _folder(spark, f"{runs}/bucket={b}/batch_id={old}")
+            system.delete(folder, True)
 
 
 def follow(spark: SparkSession, root: str, out: str, checkpoint: str, *, once: bool = True, max_chars: int = monitor.MAX_TAIL_CHARS, interval: str = "1 second", **options: str):
@@ -176,10 +201,11 @@ def follow(spark: SparkSession, root: str, out: str, checkpoint: str, *, once: b
 
 def latest_runs(spark: SparkSession, out: str) -> DataFrame:
     """Newest version of the run table, removed runs left out."""
-    v = _versions(spark, f"{out}/runs")
-    if not v:
+    runs = f"{out}/runs"
+    newest = _newest(spark, runs, _numbered(spark, runs))
+    if not newest:
         raise FileNotFoundError(f"no run table below {out}")
-    return spark.read.parquet(f"{out}/runs/batch_id={v[-1]}").where(F.col("event_type") != "run_removed")
+    return spark.read.option("basePath", runs).parquet(*newest).drop("bucket", "batch_id").where(F.col("event_type") != "run_removed")
 
 
 def stored_events(spark: SparkSession, out: str) -> DataFrame:
