@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.plans.monitoring import LINES_SQL, log_lines
-from rolloom.plans.registry import query, table
+from rolloom.plans.episodes import event_steps
+from rolloom.plans.registry import as_long, query, table
 from rolloom.session import work_path
+from rolloom.sources import files
 from rolloom.sources.tail import _open, qualified
 from rolloom.streaming import monitor_stream
 
@@ -105,3 +107,26 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run updates, log appends and file changes per batch; status changes are checked in the tests."""
     ev = monitor_stream.stored_events_after(monitor_stream.stored_events(spark, followed(spark, sf_dir)), -1, -1)
     return ev.where("event_type IN ('run_update', 'log_append', 'file_changed')").groupBy("event_type", "batch_id").agg(F.count("*").alias("n"))
+
+
+@query("run_directories", f"WITH {LINES_SQL} SELECT run_id, source AS path, CAST(sum(strlen(line) + 1) AS BIGINT) AS size FROM lines GROUP BY run_id, source")
+def run_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run directories with their logs, scanned."""
+    root = work_path(spark, "run-dirs")
+    write_logs(log_lines(spark, sf_dir), root)
+    return files.scan_runs(spark, root).select("run_id", "path", "size")
+
+
+@query("trajectory_files", "SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord, event_id AS step_idx, event_type AS action, value AS execution_time FROM events")
+def trajectory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a trajectory file, one step a line, read back as steps."""
+    steps = event_steps(spark, sf_dir)
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("action"))
+    last = steps.groupBy("run_id").agg(F.max("step_idx").alias("last"))
+    body = steps.join(e, "event_id").join(last, "run_id")
+    step = F.to_json(F.struct(F.col("event_id").alias("step_idx"), "action", "execution_time"))
+    line = F.concat(F.when(F.col("step_idx") == 1, '{"trajectory":[').otherwise(","), step, F.when(F.col("step_idx") == F.col("last"), "]}").otherwise(""))
+    rows = body.select(F.col("run_id").cast("string").alias("run_id"), F.lit("interaction_result.json").alias("source"), F.col("step_idx").alias("pos"), line.alias("line"))
+    root = work_path(spark, "trajectories")
+    write_logs(rows, root)
+    return as_long(files.read_trajectories(spark, root).select("run_id", "ord", "step_idx", "action", "execution_time"), "ord", "step_idx")
