@@ -34,6 +34,8 @@ _SYMBOLS = 128
 _BEGIN = (0, _SYMBOLS, _SYMBOLS + _SYMBOLS**2)
 _CODES = _SYMBOLS + _SYMBOLS**2 + _SYMBOLS**3
 _ROWS = 256
+#: Bytes of text handled at once: n-gram arrays take about a hundred times as much.
+_SLICE = 1 << 20
 UNKNOWN = "und"
 
 
@@ -132,7 +134,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
         return Model([], np.full(_CODES, -1, np.int32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0)
     each_n = max(4, landmarks // len(found))
     first = drawn.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("h", "text"))).where(F.col("rank") <= each_n)
-    marks = [np.array(r[1], np.int64) for r in map_text(first, "text", ["label", "h"], {"codes": "array<int>"}, codes_of).select("label", "codes", "h").orderBy("label", "h").collect() if r[1]]
+    marks = [np.array(r[1], np.int64) for r in map_text(first, "text", ["label", "h"], {"codes": "array<int>"}, codes_of, _SLICE).select("label", "codes", "h").orderBy("label", "h").collect() if r[1]]
     used = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
     position = np.full(_CODES, -1, np.int32)
     position[used] = np.arange(len(used))
@@ -153,7 +155,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
 
         return each
 
-    got = map_text(drawn, "text", ["label", "h"], {"k": "array<float>"}, kernel_of).orderBy("label", "h").collect()
+    got = map_text(drawn, "text", ["label", "h"], {"k": "array<float>"}, kernel_of, _SLICE).orderBy("label", "h").collect()
     y = np.array([found.index(r["label"]) for r in got])
     kernel = np.array([r["k"] for r in got], np.float64)
     # Nyström features: kernel values times the inverse root of the landmarks' own kernel
@@ -202,7 +204,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
 
         return each
 
-    return map_text(docs, text, keep, {lang_pred: "string", score: "double"}, start)
+    return map_text(docs, text, keep, {lang_pred: "string", score: "double"}, start, _SLICE)
 
 
 def remainder(key: str, n: int) -> Column:
