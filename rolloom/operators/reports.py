@@ -80,6 +80,17 @@ def episode_metrics(steps: DataFrame) -> DataFrame:
     )
 
 
+def episode_totals(metrics: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Add the whole episode's seconds and its reward from ``episodes(run_id, execution_time, reward_score)``."""
+    own = episodes.select("run_id", F.col("execution_time").alias("episode_seconds"), F.col("reward_score").alias("reward"))
+    return metrics.join(own, "run_id", "left")
+
+
+def turn_usage(steps: DataFrame) -> DataFrame:
+    """Tokens and seconds of each turn; a closing row without a call has none."""
+    return steps.select("run_id", "step_idx", "ord", "prompt_tokens", "completion_tokens", "generate_seconds", F.col("execution_time").alias("tool_seconds"))
+
+
 def tool_call_counts(steps: DataFrame) -> DataFrame:
     """Calls and tool seconds per tool."""
     return steps.where(F.col("tool").isNotNull()).groupBy("tool").agg(

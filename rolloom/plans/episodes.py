@@ -322,3 +322,26 @@ def rollout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "rollouts")
     sinks.write_rollouts(rows, path)
     return _flat_rows(spark.read.parquet(path))
+
+
+@query(
+    "episode_totals",
+    _CLOSE_SQL
+    + """, w AS (SELECT user_id AS run_id, round(sum(value), 4) AS episode_seconds, CAST(max(event_id) % 2 AS DOUBLE) AS reward FROM events GROUP BY user_id)
+SELECT run_id, count(*) AS num_turns, any_value(episode_seconds) AS episode_seconds, any_value(reward) AS reward FROM closed JOIN w USING (run_id) GROUP BY run_id""",
+)
+def episode_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each run with the seconds of all its events and a reward."""
+    whole = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(
+        F.round(F.sum("value"), 4).alias("execution_time"), F.pmod(F.max("event_id"), F.lit(2)).cast("double").alias("reward_score")
+    )
+    metrics = reports.episode_metrics(closed_steps(spark, sf_dir)).select("run_id", "num_turns")
+    return reports.episode_totals(metrics, whole)
+
+
+@query(
+    "turn_usage",
+    _CLOSE_SQL + "SELECT run_id, step_idx, ord, CAST(length(props) AS BIGINT) AS prompt_tokens, event_id AS completion_tokens, value / 2 AS generate_seconds, value AS tool_seconds FROM closed",
+)
+def turn_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_long(reports.turn_usage(closed_steps(spark, sf_dir)), "ord", "step_idx", "prompt_tokens", "completion_tokens")

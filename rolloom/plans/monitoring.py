@@ -206,6 +206,15 @@ def run_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select("run_id", "status", "status_label", "file_count", F.md5("log_excerpt").alias("excerpt_md5"), "n_logs", F.coalesce(F.size("recent_file_events"), F.lit(0)).cast("bigint").alias("n_events"))
 
 
+@query(
+    "run_sources",
+    f"WITH {LINES_SQL} SELECT run_id, path AS key, CASE WHEN path = 'run.log' THEN 'Run log' ELSE 'Verify log' END AS label, size FROM files WHERE path LIKE '%.log'",
+)
+def run_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of each run as its card lists them."""
+    return monitor.log_sources(run_files(spark, sf_dir, log_lines(spark, sf_dir)))
+
+
 # --- lines ------------------------------------------------------------------
 
 
