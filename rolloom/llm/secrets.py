@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rolloom.session import checkpointed
+
 #: Characters between parts of one credential, and characters per block of the interval join.
 SCOPE, BLOCK = 300, 512
 #: The patterns of strong spans, in the order their kinds are listed.
@@ -80,7 +82,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """All reported spans: ``id``, ``h``, ``kind`` (number in ``KINDS``), ``s``, ``e``; once for repeated rows."""
-    parts = candidates(docs, key, text)
+    # few rows, used on both sides of the join and besides: found once
+    parts = checkpointed(candidates(docs, key, text), "parts")
     role = F.when(F.col("kind").isin(0, 2, 4), "secret").when(F.col("kind").isin(1, 3), "identifier").otherwise("endpoint")
     parts = parts.withColumn("role", role)
     weak = parts.where(F.col("kind") >= STRONG)
@@ -122,19 +125,21 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: st
     runs = runs.withColumn("run", F.sum("fresh").over(own.rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.groupBy("id", "h", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     cuts = runs.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_cuts")).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "_cuts")
-    joined = docs.join(cuts, docs[key].eqNullSafe(cuts["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == cuts["_h"]), "left")
+    # whole rows travel in one column, so that no column of theirs can clash
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("id"), hashed.alias("h"), F.col(text).alias("t"))
+    joined = packed.join(cuts, packed["id"].eqNullSafe(cuts["_id"]) & (packed["h"] == cuts["_h"]), "left")
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_cuts", lambda x: x["e"]))
-    ends = F.concat(F.transform("_cuts", lambda x: x["s"]), F.array(F.char_length(text).cast("bigint")))
-    kept = F.zip_with(begins, ends, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int")))
-    new = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, MASK))
-    out = joined.withColumn("_new", new)
+    ends = F.concat(F.transform("_cuts", lambda x: x["s"]), F.array(F.char_length("t").cast("bigint")))
+    kept = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("t"), (a + 1).cast("int"), (b - a).cast("int")))
+    clean = F.col("_cuts").isNull()
+    out = joined.withColumn("new", F.when(clean, F.col("t")).otherwise(F.array_join(kept, MASK)))
     columns = []
     for c in docs.columns:
+        own = F.col("row").getField(c)
         if c == text:
-            columns.append(F.col("_new").alias(c))
+            own = F.col("new")
         elif c == n_chars:
-            kind = docs.schema[c].dataType
-            columns.append(F.when(F.col("_cuts").isNull(), F.col(c)).otherwise(F.char_length("_new").cast(kind)).alias(c))
-        else:
-            columns.append(F.col(c))
+            own = F.when(clean, own).otherwise(F.char_length("new").cast(docs.schema[c].dataType))
+        columns.append(own.alias(c))
     return out.select(*columns)
