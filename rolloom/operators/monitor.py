@@ -84,9 +84,14 @@ def current_step(tail: Column) -> Column:
 
 
 def tail_lines(lines: DataFrame, max_chars: int = MAX_TAIL_CHARS) -> DataFrame:
-    """Lines, or parts of lines, within the last ``max_chars`` characters of each log."""
+    """Lines, or parts of lines, within the last ``max_chars`` characters of each log.
+
+    A line counts one character at least, so only the last ``max_chars`` lines are ordered.
+    """
     size = F.length("line") + 1
-    back = running(lines.withColumn("_back", -F.col("pos")), ["run_id", "source"], "_back", sums={"_end": size})
+    last = lines.groupBy("run_id", "source").agg(F.max("pos").alias("_last"))
+    near = lines.join(last, ["run_id", "source"]).where(F.col("pos") > F.col("_last") - max_chars).select(*lines.columns)
+    back = running(near.withColumn("_back", -F.col("pos")), ["run_id", "source"], "_back", sums={"_end": size})
     room = F.lit(max_chars) - (F.col("_end") - size)
     kept = back.where(room > 0)
     return kept.withColumn("text", F.right(F.concat("line", F.lit("\n")), room.cast("int"))).drop("_back", "_end")

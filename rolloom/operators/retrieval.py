@@ -51,7 +51,9 @@ def retrieve(requests: DataFrame, passages: DataFrame, corpus: DataFrame, search
     hits = search(requests.select("qid", "qvec"), passages, int(largest))
     wanted = asked.select("qid", "_k", "return_scores")
     own = hits.join(wanted, "qid").where(F.col("rank") <= overfetch(F.col("_k")))
-    out = dedup_by_url(attach_docs(own, corpus), F.col("_k"))
+    # only urls travel with the over-fetched hits; titles and texts join the final ones
+    best = dedup_by_url(attach_docs(own, corpus.select("id", "url")), F.col("_k"))
+    out = attach_docs(best, corpus.drop("url"))
     return out.withColumn("score", F.when(F.coalesce("return_scores", F.lit(False)), F.col("score"))).drop("_k", "return_scores")
 
 
