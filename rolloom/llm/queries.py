@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity
+from rolloom.llm import bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity, twins
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -41,7 +41,7 @@ def op5_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
-@query("op6_linked_secrets")
+@query("op6_linked_secrets", twins.linked_secrets())
 def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -53,7 +53,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
-@query("op8_near_duplicates")
+@query("op8_near_duplicates", twins.near_duplicates())
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
 

@@ -58,3 +58,15 @@ def test_query_returns_one_row_per_input_row(spark, name):
     else:
         table = "pages" if name.startswith("op2_") else "documents"
         assert got.count() == spark.read.parquet(f"{DIR}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DIR}/documents.parquet')")
+    got = queries.QUERIES[name](spark, DIR)
+    cur = c.execute(queries.ORACLES[name])
+    assert [d[0] for d in cur.description] == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(cur.fetchall())
