@@ -181,14 +181,16 @@ def _hermes_call(raw: Column, names: Column) -> Column:
             .when((s["given"] == "string") & a["kind"].isNull(), "bad_argument_json")
             .when(a["kind"] != "object", "arguments_not_object")
         )
-        return F.struct(
-            error.alias("error"),
-            F.when((s["kind"] == "object") & (s["name_kind"] == "string"), s["name"]).alias("name"),
-            a["text"].alias("args"),
-            F.lit(None).cast("string").alias("detail"),
-            _type_name(
-                F.when(error == "not_object", s["kind"]).when(error == "name_not_string", s["name_kind"]).when(error == "arguments_not_object", a["kind"])
-            ).alias("value"),
+        wrong = lambda e: F.when(e == "not_object", s["kind"]).when(e == "name_not_string", s["name_kind"]).when(e == "arguments_not_object", a["kind"])
+        return jsonv.let(
+            error,
+            lambda e: F.struct(
+                e.alias("error"),
+                F.when((s["kind"] == "object") & (s["name_kind"] == "string"), s["name"]).alias("name"),
+                a["text"].alias("args"),
+                F.lit(None).cast("string").alias("detail"),
+                jsonv.let(wrong(e), _type_name).alias("value"),
+            ),
         )
 
     return jsonv.let(jsonv.strict_json(raw), lambda v: jsonv.let(facts(v), with_args))
@@ -341,13 +343,13 @@ def parse_xml_calls(
 
     def fold(f: Column) -> Column:
         def keep(settled: Column) -> Column:
-            bad = F.try_element_at(F.filter(settled, lambda p: p["error"].isNotNull()), F.lit(1))
+            first_bad = F.try_element_at(F.filter(settled, lambda p: p["error"].isNotNull()), F.lit(1))
             return jsonv.let(
-                F.struct(F.coalesce(f["error"], bad["error"]).alias("error"), bad["key"].alias("key"), bad["text"].alias("text")),
+                first_bad,
                 lambda b: F.struct(
-                    b["error"].alias("error"),
+                    F.coalesce(f["error"], b["error"]).alias("error"),
                     f["name"].alias("name"),
-                    F.when(b["error"].isNull(), last_values(settled)).alias("args"),
+                    F.when(f["error"].isNull() & b["error"].isNull(), last_values(settled)).alias("args"),
                     F.when(f["error"].isNull(), b["key"]).alias("detail"),
                     F.when(f["error"].isNull(), b["text"]).alias("value"),
                 ),
