@@ -36,7 +36,7 @@ from rolloom.session import checkpointed
 #: A neighbour with this share of equal lines, of both pages, is a copy.
 COPY = 0.8
 #: Element, class, id and role names.
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select option head".split())
+RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("nav footer aside form button dialog menu label fieldset datalist audio video map".split())
 INLINE = frozenset(
@@ -51,7 +51,7 @@ NAMES = frozenset(
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _KEEPS = frozenset("ul ol dl table".split())
 
 
@@ -71,9 +71,7 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "p") and _named(value):
-            return True
-        if name in ("class", "id") and tag == "p" and _named(value):
+        if name in ("class", "id") and tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and _named(value):
             return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -140,7 +138,7 @@ def lines(html: str) -> tuple[list[str], list[bool], list[bool]]:
                 if tag not in INLINE or not any(t not in INLINE for t in stack[depth + 1 :]):
                     pop_to(depth)
             continue
-        if tag in RAW and tag != "option":
+        if tag in RAW:
             raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not attributes.endswith("/") else None
             if raw_end:
                 at = raw_end.end()
