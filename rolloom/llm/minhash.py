@@ -1,10 +1,12 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
 A text is its lower-cased words; five consecutive words are a shingle (a text with fewer
-words is one shingle), weighted by 1 + ln(count). Every shingle's exponential arrivals,
-with its weight as rate, fall on random registers; a register keeps the shingle that
-arrives first, and a shingle stops when its next arrival is later than every register
-(early termination). Equal registers estimate the probability Jaccard similarity.
+words is one shingle). Every different shingle's exponential arrivals, with its weight as
+rate, fall on random registers; a register keeps the shingle that arrives first, and a
+shingle stops when its next arrival is later than every register (early termination).
+Equal registers estimate the probability Jaccard similarity of the weights. A link is
+defined by the plain Jaccard similarity, so all weights of the sketch are 1: weights that
+grow with the count would let one repeated line hide a pair above the threshold.
 
 Texts with the same words are one node. Nodes that agree in all registers of a band share
 a bucket; they are the candidates. Links are found without writing all pairs of a bucket:
@@ -107,7 +109,9 @@ def _sketcher():
         w = words(pc.utf8_lower(column))
         bounds = w.bounds
         n = len(bounds) - 1
-        kept = registers(*weighted(*shingles(w)), n)
+        rows, hashes, _ = weighted(*shingles(w))
+        # what is verified is the plain similarity, and the sketch must estimate the same
+        kept = registers(rows, hashes, np.ones(len(rows)), n)
         # the word sequence: a polynomial in the word hashes, by row
         position = np.arange(len(w.hash)) - np.repeat(bounds[:-1], np.diff(bounds))
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(position.max(initial=0)) + 1, _STEP, np.uint64)]))

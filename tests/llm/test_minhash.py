@@ -91,6 +91,19 @@ def test_registers_estimate_the_similarity():
     assert abs((kept[0] == kept[1]).mean() - 300 / 400) < 0.15
 
 
+def test_repeated_lines_hide_no_pair(spark):
+    """A line repeated a thousand times changes the plain similarity little: 100 shared shingles of 112 to 117."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(104))
+        spam = " ".join(f"s{rng.randrange(10**6)}" for _ in range(12))
+        rows += [(2 * i, text), (2 * i + 1, text + "\n" + "\n".join([spam] * 1000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows} == dict(zip([k for k, _ in rows], _classes(rows), strict=True))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
