@@ -7,14 +7,16 @@ subspace of the kernel's feature space; one-versus-rest ridge regression on the
 values to the landmarks gives a score per language. As that score is linear in the
 presence vector, a batch of texts is scored by one matrix product.
 
-Training reads bounded samples of the labelled rows (parameters below), drawn evenly per
-language by a hash of the text, so that repeated rows count once. Whole texts are read.
+Every language that a labelled row names is learned. Training reads bounded samples of the
+labelled rows of each (parameters below), drawn by a hash of the text, so that repeated
+rows count once. Whole texts are read.
 Texts that are null or have no letter get ``und`` and score 0. With no labelled row at all
 every text gets ``und``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rolloom.llm.arrow_text import code_points, letter_classes, map_text, utf8
+from rolloom.llm.arrow_text import code_points, letter_classes, map_text, slices, utf8
+from rolloom.session import checkpointed
 
-#: Texts per language that the regression is fitted on, landmarks over all languages, and languages at most.
-TRAIN_ROWS, LANDMARKS, LANGUAGES = 900, 192, 64
+#: Texts per language that the regression is fitted on, and landmarks over all languages (with many languages four each).
+TRAIN_ROWS, LANDMARKS = 900, 192
 RIDGE = 1e-3
 _SYMBOLS = 128
 #: Where the codes of 1-, 2- and 3-grams begin.
@@ -93,32 +96,52 @@ def _presence(column: pa.Array, table: np.ndarray, position: np.ndarray, width:
         yield x, has_letter[begin : begin + rows]
 
 
-def sample(labelled: DataFrame, per_language: int, languages: int = LANGUAGES, text: str = "text", label: str = "lang") -> DataFrame:
-    """About ``per_language`` different texts of each of the most frequent languages: ``label``, ``text``, ``h``.
+def sample(labelled: DataFrame, per_language: int, text: str = "text", label: str = "lang") -> DataFrame:
+    """About ``per_language`` different texts of each language: ``label``, ``text``, ``h``.
 
     A hash threshold per language thins the rows before anything is shuffled; the exact
     limit then holds by rank.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(languages).collect()}
-    if not sizes:
-        return rows.select("label", "text", F.lit(0).cast("bigint").alias("h")).limit(0)
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 1.5 * per_language / n))])
+    # one row per language
+    sizes = rows.groupBy("label").agg((F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.count("*")) * (1 << 30)).alias("below"))
     h = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))
-    thin = rows.withColumn("h", h).where(F.col("h") < F.coalesce(share[F.col("label")], F.lit(0.0)) * (1 << 30)).dropDuplicates(["label", "text"])
+    thin = rows.withColumn("h", h).join(F.broadcast(sizes), "label").where(F.col("h") < F.col("below")).select("label", "text", "h").dropDuplicates(["label", "text"])
     ranked = thin.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("h", "text")))
     return ranked.where(F.col("rank") <= per_language).select("label", "text", "h")
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, languages: int = LANGUAGES, ridge: float = RIDGE) -> Model:
+def _summed(drawn: DataFrame, number: dict[str, int], start: Callable[[], Callable[[pa.Array, np.ndarray], np.ndarray]], size: int) -> np.ndarray:
+    """Sum over the sample of arrays of ``size`` numbers that ``start``'s function makes of texts and their language numbers.
+
+    Tasks add up their own rows; the driver holds one task's sum at a time.
+    """
+    shared = drawn.sparkSession.sparkContext.broadcast(number)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        each, total = start(), np.zeros(size)
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                total += each(part.column("text"), np.array([shared.value[x] for x in part.column("label").to_pylist()], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
+
+    parts = checkpointed(drawn.select("label", "text").mapInArrow(run, "sum binary"), "sums")
+    total = np.zeros(size)
+    for r in parts.toLocalIterator():
+        total += np.frombuffer(r[0])
+    return total
+
+
+def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit the model on at most ``rows`` texts of each language.
 
-    The landmarks' n-gram codes (bounded by the number of codes) and the kernel values of
-    the sample (``rows`` times ``landmarks`` numbers a language) come to the driver.
+    The landmarks' n-gram codes (bounded by the number of codes) come to the driver. The
+    kernel values of the sample stay in the tasks, which sum their products: the driver's
+    share grows with the square of the landmarks, not with the texts.
     """
     table = symbols()
     spark = labelled.sparkSession
-    drawn = sample(labelled, rows, languages, text, label)
+    drawn = checkpointed(sample(labelled, rows, text, label), "sample")
 
     def codes_of():
         def each(column):
@@ -129,7 +152,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
 
         return each
 
-    found = sorted({r[0] for r in drawn.select("label").distinct().collect()})
+    sizes = {r[0]: r[1] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    found = sorted(sizes)
     if not found:
         return Model([], np.full(_CODES, -1, np.int32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0)
     each_n = max(4, landmarks // len(found))
@@ -143,37 +167,57 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
         basis[i, position[m]] = 1
     basis /= np.sqrt(np.maximum(basis.sum(1, keepdims=True), 1))
     shared = spark.sparkContext.broadcast((position, basis))
+    number = {x: i for i, x in enumerate(found)}
+    weight = 1.0 / np.array([sizes[x] for x in found])
+    n, k = len(found), len(marks)
 
-    def kernel_of():
+    def products():
         where, marks_ = shared.value
 
-        def each(column):
-            out = []
+        def each(column, y):
+            sums, gram, at = np.zeros((n, k)), np.zeros((k, k)), 0
             for x, _ in _presence(column, table, where, marks_.shape[1]):
-                out.append((x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))) @ marks_.T)
-            return [pa.array(list(np.concatenate(out).astype(np.float32)), pa.list_(pa.float32()))]
+                values = ((x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))) @ marks_.T).astype(np.float64)
+                own = y[at : at + len(x)]
+                np.add.at(sums, own, values)
+                gram += values.T @ (values * weight[own][:, None])
+                at += len(x)
+            return np.concatenate([sums.ravel(), gram.ravel()])
 
         return each
 
-    got = map_text(drawn, "text", ["label", "h"], {"k": "array<float>"}, kernel_of, _SLICE).orderBy("label", "h").collect()
-    y = np.array([found.index(r["label"]) for r in got])
-    kernel = np.array([r["k"] for r in got], np.float64)
+    total = _summed(drawn, number, products, n * k + k * k)
     # Nyström features: kernel values times the inverse root of the landmarks' own kernel
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = kernel @ root
-    weight = 1.0 / np.bincount(y, minlength=len(found))[y]
-    targets = np.where(y[:, None] == np.arange(len(found)), 1.0, -1.0)
-    mean, target_mean = (weight @ phi) / weight.sum(), (weight @ targets) / weight.sum()
-    centred = phi - mean
-    gram = centred.T @ (centred * weight[:, None]) + ridge * weight.sum() * np.eye(phi.shape[1])
-    coef = np.linalg.solve(gram, centred.T @ ((targets - target_mean) * weight[:, None]))
+    # every language weighs 1 in all: the means of the languages, and the products about the mean
+    centres = (total[: n * k].reshape(n, k) * weight[:, None]) @ root
+    mean, target_mean = centres.mean(0), np.full(n, 2.0 / n - 1.0)
+    gram = root.T @ total[n * k :].reshape(k, k) @ root - n * np.outer(mean, mean) + ridge * n * np.eye(root.shape[1])
+    coef = np.linalg.solve(gram, (centres - mean).T @ (np.where(np.eye(n) > 0, 1.0, -1.0) - target_mean))
     bias = target_mean - mean @ coef
-    scores = phi @ coef + bias
     heats = (1.0, 2.0, 4.0, 8.0, 16.0)
-    heat = max(heats, key=lambda t: float((weight * np.log(np.maximum(_softmax(scores * t)[np.arange(len(y)), y], 1e-12))).sum()))
-    return Model(found, position, (basis.T.astype(np.float64) @ (root @ coef)).astype(np.float32), bias.astype(np.float32), heat)
+    model = Model(found, position, (basis.T.astype(np.float64) @ (root @ coef)).astype(np.float32), bias.astype(np.float32), 1.0)
+    fitted = spark.sparkContext.broadcast((model.position, model.weights, model.bias))
+
+    def likelihoods():
+        where, weights_, bias_ = fitted.value
+
+        def each(column, y):
+            out, at = np.zeros(len(heats)), 0
+            for x, _ in _presence(column, table, where, len(weights_)):
+                own = y[at : at + len(x)]
+                z = ((x @ weights_) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + bias_).astype(np.float64)
+                for i, t in enumerate(heats):
+                    out[i] += (weight[own] * np.log(np.maximum(_softmax(z * t)[np.arange(len(own)), own], 1e-12))).sum()
+                at += len(x)
+            return out
+
+        return each
+
+    model.heat = heats[int(_summed(drawn, number, likelihoods, len(heats)).argmax())]
+    return model
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:

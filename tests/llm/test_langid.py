@@ -27,6 +27,21 @@ def test_no_labels_and_empty_table(spark):
     assert [r[1] for r in langid.predict(_table(spark), model, ["doc_id"]).collect()] == ["und"] * 21
 
 
+def test_no_language_is_left_out(spark):
+    """Seventy languages, the rarest too: each has letters of its own."""
+    import random
+
+    rng = random.Random(2)
+    alphabets = [[rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)] for _ in range(70)]
+    text = lambda k: " ".join("".join(rng.choice(alphabets[k]) for _ in range(6)) for _ in range(40))
+    rows = [(k, text(k), f"l{k:02d}") for k in range(70) for _ in range(4 if k % 10 else 3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{k:02d}" for k in range(70)]
+    asked = spark.createDataFrame([(k, text(k)) for k in range(70)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in langid.predict(asked, model, ["doc_id"]).collect()}
+    assert sum(got[k] == f"l{k:02d}" for k in range(70)) >= 68 and len(set(got.values())) > 64
+
+
 def test_kernel_scores_equal_brute_force(spark):
     import math
 
