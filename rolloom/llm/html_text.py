@@ -5,12 +5,17 @@ sidebars, notices, adverts, forms, scripts, styles and reader comments are left
 tags, roles, classes or ids name them. Where a page declares its article (``article``,
 ``main`` or that role), the lines inside it are the text.
 
-Elsewhere the rest of a page's template is found by differencing: pages are ordered by URL
-path within their host, a page's lines are aligned with those of the page before and the
-page after by longest common subsequence, and shared lines are deleted. A neighbour that
-shares nearly all lines in both directions is a copy of the page, not its template, and is
-passed over. Lines inside a declared article are never deleted, because pages of one host
-may well quote the same passage.
+The rest of a page's template is found by differencing, on every page: pages are ordered by
+URL path within their host, a page's lines are aligned with those of the page before and
+the page after by longest common subsequence, and shared lines are deleted. Lines inside a
+declared article meet only such lines, and are deleted only if both neighbours and at least
+half of the host's pages have them and the three pages have different titles, because pages
+of one host may well quote the same passage.
+
+A copy of the page is no neighbour, and the next page by path that is no copy takes its
+place. Pages with equal lines are one page here. A page that shares nearly all lines with
+the one before, in both directions, is its copy if they have the same title, or if that
+also holds without the lines that at least half of the host's pages have, its template.
 
 Null and empty pages have an empty text. Repeated rows give equal results. Pages with a
 null URL share one nameless host. Neighbours are found over range partitions of the order,
@@ -33,8 +38,8 @@ from pyspark.sql.window import Window as W
 from rolloom.llm.arrow_text import map_text, slices
 from rolloom.session import checkpointed
 
-#: A neighbour with this share of equal lines, of both pages, is a copy.
-COPY = 0.8
+#: A neighbour with this share of equal lines, of both pages, may be a copy. Pages that a line of the host's template is on, at least.
+COPY, OFTEN = 0.8, 3
 #: Element, class, id and role names.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,17 +85,15 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(html: str) -> tuple[list[str], list[bool], list[bool]]:
-    """Visible lines of a page, whether each is inside a declared article, and whether it is mostly links."""
-    out, inside, linked = [], [], []
+def lines(html: str) -> tuple[list[str], list[bool]]:
+    """Visible lines of a page, and whether each is inside a declared article."""
+    out, inside = [], []
     parts: list[str] = []
     stack: list[str] = []
-    skip_at = article_at = link_at = -1
-    link_chars = 0
+    skip_at = article_at = -1
     at, raw_end = 0, None
 
     def flush() -> None:
-        nonlocal link_chars
         if parts:
             joined = "".join(parts)
             if "&" in joined:
@@ -99,27 +102,21 @@ def lines(html: str) -> tuple[list[str], list[bool], list[bool]]:
             if text:
                 out.append(text)
                 inside.append(article_at >= 0)
-                linked.append(2 * link_chars > len(joined))
             parts.clear()
-        link_chars = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal skip_at, article_at, link_at
+        nonlocal skip_at, article_at
         del stack[depth:]
         if skip_at >= depth:
             skip_at = -1
         if article_at >= depth:
             article_at = -1
-        if link_at >= depth:
-            link_at = -1
 
     while True:
         m = _TAG.search(html, at)
         text = html[at : m.start() if m else len(html)]
         if text and skip_at < 0:
             parts.append(text)
-            if link_at >= 0:
-                link_chars += len(text)
         if not m:
             break
         at = m.end()
@@ -164,11 +161,9 @@ def lines(html: str) -> tuple[list[str], list[bool], list[bool]]:
                 skip_at = len(stack)
             elif article_at < 0 and (tag in ("article", "main") or "main" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes)):
                 article_at = len(stack)
-            elif tag == "a" and link_at < 0:
-                link_at = len(stack)
         stack.append(tag)
     flush()
-    return out, inside, linked
+    return out, inside
 
 
 def shared_lines(a: list, b: list) -> list[int]:
@@ -202,18 +197,33 @@ def shared_lines(a: list, b: list) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
+#: Turns the hash of a line inside an article into another.
+_INSIDE = 0x1F83D9ABFB41BD6B
+
+
 def _hashed():
     def each(column: pa.Array):
-        rows, declared = [], []
+        rows, insides, titles = [], [], []
         for page in column.to_pylist():
-            found, inside, _ = lines(page or "")
-            rows.append([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, i in zip(found, inside, strict=True) if not i])
-            declared.append(any(inside))
-        return [rows, declared]
+            found, inside = lines(page or "")
+            rows.append([(xxhash.xxh3_64_intdigest(x) - (1 << 63)) ^ (_INSIDE if i else 0) for x, i in zip(found, inside, strict=True)])
+            insides.append(inside)
+            title = _TITLE.search(page or "")
+            titles.append(" ".join(html_lib.unescape(title[1]).split()) or None if title else None)
+        return [rows, insides, titles]
 
     return each
 
 
+def _is_copy(mine: list, theirs: list, same: list[int], one_title: bool, often: set) -> bool:
+    """Whether two pages that share the lines at ``same`` are copies, by title or beyond the template of the host."""
+    if len(same) < COPY * max(len(mine), len(theirs)):
+        return False
+    own, other = sum(x not in often for x in mine), sum(x not in often for x in theirs)
+    return one_title or sum(mine[i] not in often for i in same) >= COPY * max(own, other, 1)
+
+
 def neighbours(pages: DataFrame) -> DataFrame:
     """``row`` with ``before`` and ``after``: the nearest pages by path on the same host.
 
@@ -232,35 +242,68 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return near.select("row", F.when(b["host"] == F.col("host"), b["row"]).alias("before"), F.when(a["host"] == F.col("host"), a["row"]).alias("after"))
 
 
+def _leaders(table: DataFrame, copies: DataFrame) -> DataFrame:
+    """``row``, ``part``, ``host``, ``path`` and ``leader``: the page itself, or the first of the run of copies it is in."""
+    own = W.partitionBy("part").orderBy("host", "path", "row")
+    marked = table.select("row", "host", "path", "part").join(copies.select("row", F.lit(True).alias("copy")), "row", "left")
+    marked = marked.withColumn("lead", F.when(F.col("copy").isNull(), F.col("row")))
+    placed = checkpointed(marked.withColumn("own", F.last("lead", ignorenulls=True).over(own)), "leaders")
+    ends = placed.groupBy("part").agg(F.max_by("own", F.struct("host", "path", "row")).alias("last"))
+    # one row per partition of the table, as in neighbours()
+    ends = ends.select(F.col("part").alias("_part"), F.last("last", ignorenulls=True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("_last"))
+    joined = placed.join(F.broadcast(ends), F.col("part") == F.col("_part"))
+    return joined.select("row", "host", "path", "part", F.coalesce("own", "_last").alias("leader"))
+
+
 def template_lines(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Lines that undeclared pages share with their neighbours: ``id``, ``h`` (hash of the row), ``gone`` (places)."""
+    """Lines that pages share with their neighbours and lose: ``id``, ``h`` (hash of the row), ``gone`` (places)."""
     address = F.coalesce(F.col(url), F.lit(""))
     rows = pages.select(
         F.col(key).alias("id"), F.xxhash64(address, F.coalesce(html, F.lit(""))).alias("h"), F.col(html).alias("t"),
         F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(address, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
-    parsed = map_text(rows, "t", ["id", "h", "host", "path"], {"lines": "array<bigint>", "declared": "boolean"}, _hashed)
-    parsed = parsed.withColumn("row", F.monotonically_increasing_id())
-    ranged = checkpointed(parsed, "lines").repartitionByRange("host", "path", "row").withColumn("part", F.spark_partition_id())
-    table = checkpointed(ranged, "ranged")
-    near = neighbours(table.select("row", "host", "path", "part"))
-    asked = table.where(~F.col("declared") & (F.size("lines") > 0)).select("row", "id", "h", "lines").join(near, "row")
-    sides = asked.select("row", "id", "h", "lines", F.explode(F.array("before", "after")).alias("other")).where("other is not null")
-    met = sides.join(table.select(F.col("row").alias("other"), F.col("lines").alias("theirs")), "other")
+    parsed = map_text(rows, "t", ["id", "h", "host", "path"], {"lines": "array<bigint>", "inside": "array<boolean>", "title": "string"}, _hashed)
+    parsed = parsed.where(F.size("lines") > 0).withColumn("row", F.monotonically_increasing_id()).withColumn("same", F.xxhash64("host", "lines"))
+    parsed = checkpointed(parsed, "lines")
+    # equal line lists of a host are one page, at the first path
+    single = parsed.groupBy("host", "same").agg(F.min_by(F.struct("path", "row", "lines", "inside", "title"), F.struct("path", "row")).alias("p")).select("host", "same", "p.*")
+    table = checkpointed(checkpointed(single, "single").repartitionByRange("host", "path", "row").withColumn("part", F.spark_partition_id()), "ranged")
+    # at most two lines for each line of a page: half of the pages have each of them
+    on = table.select("host", F.explode(F.array_distinct("lines")).alias("x")).groupBy("host", "x").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
+    often = on.join(table.groupBy("host").agg(F.count("*").alias("n")), "host").where(2 * F.col("c") >= F.col("n")).groupBy("host").agg(F.collect_list("x").alias("often"))
+    often = checkpointed(often, "often")
+    theirs = table.select(F.col("row").alias("other"), F.col("lines").alias("theirs"), F.col("title").alias("their_title"))
+
+    def met(sides: DataFrame) -> DataFrame:
+        mine = table.select("row", "host", "lines", "inside", "title").join(sides, "row").join(theirs, "other").join(often, "host", "left")
+        return mine.select("row", "lines", "inside", "title", "theirs", "their_title", "often")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            gone = []
-            for mine, theirs in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
-                same = shared_lines(mine, theirs)
-                gone.append([] if len(same) >= COPY * max(len(mine), len(theirs)) else same)
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(gone, pa.list_(pa.int32()))], ["id", "h", "gone"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    found = met.select("id", "h", "lines", "theirs").mapInArrow(run, f"id {kind}, h bigint, gone array<int>").where(F.size("gone") > 0)
-    # two neighbours at most, and equal rows have equal lists
-    return found.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+            copies, outer, inner = [], [], []
+            for _, mine, inside, title, other, other_title, common in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                same, common = shared_lines(mine, other), set(common or ())
+                copies.append(_is_copy(mine, other, same, bool(title) and title == other_title, common))
+                kept = [] if copies[-1] else same
+                outer.append([i for i in kept if not inside[i]])
+                inner.append([i for i in kept if inside[i] and mine[i] in common] if title and other_title and title != other_title else [])
+            places = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch[0], pa.array(copies, pa.bool_()), pa.array(outer, places), pa.array(inner, places), batch[5]], ["row", "copy", "outer", "inner", "their_title"]
+            )
+
+    shape = "row bigint, copy boolean, outer array<int>, inner array<int>, their_title string"
+    first = neighbours(table.select("row", "host", "path", "part")).select("row", F.col("before").alias("other")).where("other is not null")
+    led = checkpointed(_leaders(table, met(first).mapInArrow(run, shape).where("copy")), "led")
+    near = neighbours(led.where("leader = row").select("row", "host", "path", "part")).withColumnRenamed("row", "leader")
+    sides = led.select("row", "leader").join(near, "leader").select("row", F.explode(F.array("before", "after")).alias("other")).where("other is not null")
+    found = met(sides).mapInArrow(run, shape).groupBy("row").agg(F.flatten(F.collect_list("outer")).alias("outer"), F.collect_list(F.struct("inner", "their_title")).alias("s"))
+    both = F.when((F.size("s") == 2) & (F.col("s")[0]["their_title"] != F.col("s")[1]["their_title"]), F.array_intersect(F.col("s")[0]["inner"], F.col("s")[1]["inner"]))
+    gone = found.select("row", F.array_union("outer", F.coalesce(both, F.array().cast("array<int>"))).alias("gone")).where(F.size("gone") > 0)
+    gone = gone.join(table.select("row", "host", "same"), "row").select("host", "same", "gone")
+    # equal rows have equal lists
+    return parsed.select("id", "h", "host", "same").join(gone, ["host", "same"]).groupBy("id", "h").agg(F.first("gone").alias("gone"))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -275,12 +318,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             for part in slices(batch, "t"):
                 texts = []
                 for page, drop in zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    found, inside, linked = lines(page or "")
-                    if any(inside):
-                        kept = [x for x, i in zip(found, inside, strict=True) if i]
-                    else:
-                        without = set(drop or ())
-                        kept = [x for n, (x, l) in enumerate(zip(found, linked, strict=True)) if n not in without and not l]
+                    found, inside = lines(page or "")
+                    declared, without = any(inside), set(drop or ())
+                    kept = [x for n, (x, i) in enumerate(zip(found, inside, strict=True)) if n not in without and (i or not declared)]
                     texts.append("\n\n".join(kept))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 

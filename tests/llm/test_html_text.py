@@ -27,6 +27,35 @@ def test_differencing_and_edges(spark):
     assert text[53] == "T\n\na\n\nb cd" and text[7] == '1 < 2 <x>\n\nq\n\n<unclosed "quote'
 
 
+def _texts(spark, rows):
+    return {r["page_id"]: r["text"].split("\n\n") for r in html_text.main_text(spark.createDataFrame([(*r, "x") for r in rows], SHAPE)).collect()}
+
+
+def test_declared_articles_are_differenced_too(spark):
+    page = "<title>T %d</title><article><p>Share this page<p>text %d<p>a quoted passage%s</article>"
+    rows = [(i, f"http://d.org/{i}", page % (i, i, "" if i < 2 else f" {i}")) for i in range(5)]
+    got = _texts(spark, rows)
+    # the pages at the ends have one neighbour; a passage that one neighbour has stays
+    assert got[0] == ["Share this page", "text 0", "a quoted passage"] and got[1] == ["text 1", "a quoted passage"] and got[3] == ["text 3", "a quoted passage 3"]
+    alike = [(i, u, h.replace(f"T {i}", "T")) for i, u, h in rows]
+    assert all(x[0] == "Share this page" for x in _texts(spark, alike).values())
+
+
+def test_copies_are_passed_over(spark):
+    frame = "".join(f"<p>template {k}" for k in range(8))
+    short = [(i, f"http://e.org/{i}", f"<title>T {i}</title>{frame}<p>own {i}<p>more {i}") for i in range(5)]
+    body = lambda n: "<p>top of the site" + "".join(f"<p>line {n} {k}" for k in range(9))
+    copies = [(10 + i, f"http://f.org/a/{i}", body(1)) for i in range(4)]
+    edited = [(20 + i, f"http://f.org/b/{i}", body(2).replace("line 2 8", f"line 2 8 edit {i}")) for i in range(3)]
+    rest = [(30 + i, f"http://f.org/c/{i}", body(3 + i)) for i in range(3)]
+    links = [(40 + i, f"http://g.org/{i}", f"<p>motto<p><a href=x>a linked sentence {i}</a><p>words {i}") for i in range(3)]
+    got = _texts(spark, short + copies + edited + rest + links)
+    assert all(got[i] == [f"own {i}", f"more {i}"] for i in range(5))
+    assert all(got[10 + i] == [f"line 1 {k}" for k in range(9)] for i in range(4))
+    assert all(got[20 + i] == [f"line 2 {k}" for k in range(8)] + [f"line 2 8 edit {i}"] for i in range(3))
+    assert all(got[40 + i] == [f"a linked sentence {i}", f"words {i}"] for i in range(3))
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
