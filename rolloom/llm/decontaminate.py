@@ -8,10 +8,17 @@ shorter, from ``LEAST`` tokens) of which at least half are fixed words are hash-
 between documents and benchmark items. A bitmap of fixed size, built from the benchmark,
 is broadcast and drops all other document windows before the shuffle.
 
-A document leaks an item when the windows it shares cover at least ``coverage`` of the
-item's windows and the slots are consistent on an alignment: one value of the item always
-stands against one value of the document. Equal slots throughout make the leak
-``verbatim``, other consistent slots ``reparameterised``.
+A window that opens with a capitalised word is joined with that word both as it is and as
+NAME. Items without a half fixed window (lists of numbers or names) have windows of their
+exact words. Items of fewer than ``GAPPED`` tokens, which one changed word can leave without
+enough windows, also have windows of ``WINDOW`` tokens around one that may differ.
+
+A document leaks an item when the slots are consistent on an alignment and the windows it
+shares cover at least ``coverage`` of the item's windows, or ``RUN`` tokens in a row, or
+``TOKENS`` of an item's tokens with one changed word. Slots are consistent when a name or
+unit of the item always stands against one of the document; equal numbers may become
+different ones. Equal slots throughout make the leak ``verbatim``, other consistent slots
+and a changed word ``reparameterised``.
 
 Null and empty texts, and items of fewer than ``LEAST`` tokens, match nothing. Repeated
 rows count once. A null key is carried like any other value.
@@ -30,6 +37,10 @@ from rolloom.llm.arrow_text import LOWER_ASCII, gathered, map_text, mix, span_ha
 from rolloom.session import checkpointed
 
 WINDOW, LEAST, COVERAGE = 8, 4, 0.5
+#: Tokens in a row that are a leak; items with gapped windows have fewer tokens than GAPPED, of which TOKENS must be shared.
+RUN, GAPPED, TOKENS = 14, 23, 2 / 3
+#: Places of the gap in windows of WINDOW + 1 tokens, and the mark of windows of exact words.
+GAPS, EXACT = (2, 4, 6), 8
 #: Bits of the broadcast bitmap: 8 MB.
 BITS = 1 << 26
 #: Number words and units of measure.
@@ -76,12 +87,17 @@ def _known(listed: list[str]) -> np.ndarray:
 
 @dataclass
 class Template:
-    """Template tokens of a text column: row, symbol, slot value (0 for fixed words), and the tokens before each row."""
+    """Template tokens of a text column: row, symbol, slot value (0 for fixed words), the tokens before each row, word, and which open a sentence like a name.
+
+    The low bits of a slot value are 1 for numbers and 3 for units and names.
+    """
 
     row: np.ndarray
     symbol: np.ndarray
     slot: np.ndarray
     bounds: np.ndarray
+    value: np.ndarray
+    may: np.ndarray
 
 
 def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Template:
@@ -90,7 +106,7 @@ def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Templa
     data, row = w.data, w.row
     n_rows = len(w.offsets) - 1
     if not len(w.start):
-        return Template(row, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64))
+        return Template(row, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
     lower = folded(data)
     start, end = w.start.copy(), w.end.copy()
     # a sentence ends with a mark, also before closing quotes, or with a line
@@ -112,7 +128,7 @@ def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Templa
     opens = opens | np.concatenate([[False], (~kept & mark)[:-1]])
     start, end, row, opens = start[kept], end[kept], row[kept], opens[kept]
     if not len(start):
-        return Template(row, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64))
+        return Template(row, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
     length = end - start
     value = span_hashes(lower, start, length)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
@@ -128,31 +144,46 @@ def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Templa
     ascii_name = _UPPER[data[start]] & (length > 1) & small[second]
     latin_name = (data[start] == 0xC3) & (lower[second] != data[second]) & (length > 2) & small[third]
     name = (ascii_name | latin_name) & ~opens & ~number
+    may = (ascii_name | latin_name) & opens & ~number & ~unit
     symbol = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    slot = np.where(number | unit | name, value | np.uint64(1), np.uint64(0))
-    return Template(row, symbol, slot, np.searchsorted(row, np.arange(n_rows + 1)))
+    slot = np.where(number, value & ~np.uint64(3) | np.uint64(1), np.where(unit | name, value | np.uint64(3), np.uint64(0)))
+    return Template(row, symbol, slot, np.searchsorted(row, np.arange(n_rows + 1)), value, may)
+
 
+def windows(t: Template, length: int, gap: int = 0, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token, hash, and whether the first word is folded to NAME, of each window of ``length`` tokens with at least half fixed words.
 
-def windows(t: Template, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of each window of ``length`` tokens with at least half fixed words."""
+    With ``gap`` that token of the window is left out. With ``exact`` the windows are the others, and of words.
+    """
     n = len(t.symbol) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(length), np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    own = t.value if exact else t.symbol
+    h = np.full(n, np.uint64(length + 16 * gap + 256 * exact), np.uint64)
     for k in range(length):
-        h = h * _P + t.symbol[k : n + k]
+        if not gap or k != gap:
+            h = h * _P + own[k : n + k]
+    powered = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length - 1 - bool(gap), _P, np.uint64)]))
     fixed = np.concatenate([[0], np.cumsum(t.slot == 0)])
-    whole = (t.row[:n] == t.row[length - 1 :]) & (2 * (fixed[length:] - fixed[:n]) >= length)
-    return np.flatnonzero(whole), mix(h[whole])
+    count, size = fixed[length:] - fixed[:n], length
+    if gap:
+        count, size = count - (t.slot[gap : n + gap] == 0), length - 1
+    inside = t.row[:n] == t.row[length - 1 :]
+    if exact:
+        at = np.flatnonzero(inside & (2 * count < size))
+        return at, mix(h[at]), np.zeros(len(at), bool)
+    whole, opened = np.flatnonzero(inside & (2 * count >= size)), np.flatnonzero(inside & t.may[:n] & (2 * (count - 1) >= size))
+    other = h[opened] + (_NAME - t.symbol[opened]) * powered[-1]
+    return np.concatenate([whole, opened]), mix(np.concatenate([h[whole], other])), np.repeat([False, True], [len(whole), len(opened)])
 
 
 def _windowed(docs: DataFrame, text: str, keep: list[str], lengths: list[int] | None, bitmap) -> DataFrame:
-    """Windows of every text: ``pos``, ``window``, ``slots`` and, per row, ``total`` windows.
+    """Windows of every text: ``pos``, ``window``, ``slots``, ``shape`` (0, place of the gap, or EXACT) and ``tokens`` of the text.
 
     With ``lengths`` None each text uses its own length where it is shorter than a window.
     """
     numbers, units = _known(NUMBER_WORDS), _known(UNITS)
-    shape = "array<struct<pos:int,window:bigint,slots:array<bigint>>>"
+    shape = "array<struct<pos:int,window:bigint,slots:array<bigint>,shape:int,tokens:int>>"
 
     def start():
         bits = bitmap.value if bitmap is not None else None
@@ -161,28 +192,34 @@ def _windowed(docs: DataFrame, text: str, keep: list[str], lengths: list[int] |
             t = template(column, numbers, units)
             n_rows = len(t.bounds) - 1
             sizes = np.diff(t.bounds)
-            found_at, found_hash, found_len = [], [], []
-            for length in range(LEAST, WINDOW + 1) if lengths is None else lengths:
-                at, h = windows(t, length)
-                if lengths is None and length < WINDOW:
-                    own = sizes[t.row[at]] == length
-                    at, h = at[own], h[own]
+            parts = []
+            plain = list(range(LEAST, WINDOW + 1)) if lengths is None else lengths
+            for length, kind in [*((x, 0) for x in plain), *((WINDOW + 1, g) for g in GAPS), *((x, EXACT) for x in plain)]:
+                at, h, folds = windows(t, length, kind % EXACT, kind == EXACT)
+                if lengths is None and length != WINDOW:
+                    own = sizes[t.row[at]] < GAPPED if length > WINDOW else sizes[t.row[at]] == length
+                    at, h, folds = at[own], h[own], folds[own]
                 if bits is not None:
                     p = (h % np.uint64(BITS)).astype(np.int64)
                     hit = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                    at, h = at[hit], h[hit]
-                found_at.append(at)
-                found_hash.append(h)
-                found_len.append(np.full(len(at), length))
-            at, h, length = (np.concatenate(x) for x in (found_at, found_hash, found_len))
+                    at, h, folds = at[hit], h[hit], folds[hit]
+                parts.append((at, h, folds, np.full(len(at), length), np.full(len(at), kind, np.int32)))
+            at, h, folds, length, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(at, kind="stable")
-            at, h, length = at[order], h[order], length[order]
+            at, h, folds, length, kind = at[order], h[order], folds[order], length[order], kind[order]
             slots = gathered(t.slot, at, length) if len(at) else np.zeros(0, np.uint64)
+            first = np.cumsum(length) - length
+            slots[first[folds]] = t.value[at[folds]] | np.uint64(3)
+            gapped = (kind > 0) & (kind < EXACT)
+            slots[(first + kind)[gapped]] = 0
+            # equal words have equal slots
+            slots[np.repeat(kind == EXACT, length)] = 0
             owner = np.repeat(np.arange(len(at)), length)[slots != 0]
             bounds = np.searchsorted(owner, np.arange(len(at) + 1)).astype(np.int32)
             slot_lists = pa.ListArray.from_arrays(bounds, pa.array(slots[slots != 0].view(np.int64)))
             structs = pa.StructArray.from_arrays(
-                [pa.array((at - t.bounds[t.row[at]]).astype(np.int32)), pa.array(h.view(np.int64)), slot_lists], ["pos", "window", "slots"]
+                [pa.array((at - t.bounds[t.row[at]]).astype(np.int32)), pa.array(h.view(np.int64)), slot_lists, pa.array(kind), pa.array(sizes[t.row[at]].astype(np.int32))],
+                ["pos", "window", "slots", "shape", "tokens"],
             )
             per_row = np.searchsorted(t.row[at], np.arange(n_rows + 1)).astype(np.int32)
             return [pa.ListArray.from_arrays(per_row, structs)]
@@ -192,14 +229,54 @@ def _windowed(docs: DataFrame, text: str, keep: list[str], lengths: list[int] |
     return map_text(docs, text, keep, {"found": shape}, start)
 
 
+_ITEM = ["id", "h", "item", "total", "tokens"]
+
+
+def _consistent(met: DataFrame) -> DataFrame:
+    """Shared windows on alignments with consistent slots: ``_ITEM``, ``shift``, ``ipos``, ``shape``, and ``other`` where slots differ."""
+    keys = [*_ITEM, "shift"]
+    pairs = met.select(*keys, F.inline(F.arrays_zip(F.col("islots").alias("theirs"), F.col("slots").alias("ours"))))
+    mapped = pairs.groupBy(*keys, "theirs").agg(F.min("ours").alias("least"), F.max("ours").alias("most"))
+    named = F.col("theirs").bitwiseAND(F.lit(2)) != 0
+    aligned = mapped.groupBy(*keys).agg(
+        F.max(named & (F.col("least") != F.col("most"))).alias("clash"), F.max((F.col("least") != F.col("theirs")) | (F.col("most") != F.col("theirs"))).alias("other")
+    )
+    left, right = met.select(*keys, "ipos", "shape").distinct(), aligned.select(*[F.col(k).alias(f"_{k}") for k in keys], "clash", "other")
+    same = left["id"].eqNullSafe(right["_id"]) & left["item"].eqNullSafe(right["_item"])
+    for k in ("h", "total", "tokens", "shift"):
+        same = same & (left[k] == right[f"_{k}"])
+    good = left.join(right, same, "left").where(~F.coalesce("clash", F.lit(False)))
+    return good.select(*keys, "ipos", "shape", F.coalesce("other", F.lit(False)).alias("other"))
+
+
+def _by_alignment(good: DataFrame) -> DataFrame:
+    """Per alignment: ``n`` windows without a gap, ``shared`` tokens, the longest ``run`` of them, whether there is a ``hole`` between them, and ``other``. Lists are as long as an item at most."""
+    gap = (F.col("shape") > 0) & (F.col("shape") < EXACT)
+    last = F.col("ipos") + F.when(gap, WINDOW).otherwise(F.least(F.lit(WINDOW), "tokens") - 1)
+    held = F.filter(F.sequence("ipos", last), lambda p: ~gap | (p != F.col("ipos") + F.col("shape")))
+    sets = good.withColumn("held", held).groupBy(*_ITEM, "shift").agg(
+        F.count_distinct(F.when(~gap, F.col("ipos"))).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("held")))).alias("p"), F.max("other").alias("other")
+    )
+    longest = F.expr(
+        "aggregate(p, named_struct('at', -2, 'run', 0, 'best', 0), (a, x) -> named_struct('at', x, 'run', if(x = a.at + 1, a.run + 1, 1), 'best', greatest(a.best, if(x = a.at + 1, a.run + 1, 1))), a -> a.best)"
+    )
+    return sets.select(*_ITEM, "n", F.size("p").alias("shared"), longest.alias("run"), (F.element_at("p", -1) - F.element_at("p", 1) >= F.size("p")).alias("hole"), "other")
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE
 ) -> DataFrame:
     """One row per document and leaked item: the key, ``h`` (hash of the text), the item, ``coverage`` and ``kind``."""
     spark = docs.sparkSession
-    own = _windowed(benchmark, item_text, [item], None, None).where(F.size("found") > 0).select(F.col(item).alias("item"), F.size("found").alias("total"), F.inline("found"))
+    own = _windowed(benchmark, item_text, [item], None, None).where(F.size("found") > 0).select(F.col(item).alias("item"), "found")
+
+    def places(shape: int):
+        return F.size(F.array_distinct(F.transform(F.filter("found", lambda x: x["shape"] == shape), lambda x: x["pos"])))
+
+    own = own.select("item", places(0).alias("fixed"), places(EXACT).alias("words"), F.inline("found"))
+    own = own.where(F.when(F.col("fixed") > 0, F.col("shape") != EXACT).otherwise(F.col("shape") == EXACT))
     # a repeated item id with other texts counts as one item per text
-    own = checkpointed(own.withColumn("size", F.col("total")).distinct(), "items")
+    own = checkpointed(own.withColumn("total", F.when(F.col("fixed") > 0, F.col("fixed")).otherwise(F.col("words"))).drop("fixed", "words").distinct(), "items")
     # BITS is a power of two, so the remainder is the same for signed hashes; bitmap positions count from 1
     p = F.pmod(F.col("window"), F.lit(BITS)) + 1
     blocks = own.select(p.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
@@ -210,21 +287,21 @@ def leaks(
     lengths = list(range(LEAST, WINDOW + 1))
 
     tagged = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
-    seen = _windowed(tagged, "t", ["id", "h"], lengths, bitmap).where(F.size("found") > 0).select("id", "h", F.inline("found"))
-    items = own.select("item", "total", F.col("pos").alias("ipos"), "window", F.col("slots").alias("islots"))
-    met = checkpointed(seen.join(items, "window").select("id", "h", "item", "total", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots", "islots").distinct(), "met")
-
-    pairs = met.select("id", "h", "item", "total", "shift", F.inline(F.arrays_zip(F.col("islots").alias("theirs"), F.col("slots").alias("ours"))))
-    mapped = pairs.groupBy("id", "h", "item", "total", "shift", "theirs").agg(F.min("ours").alias("least"), F.max("ours").alias("most"))
-    aligned = mapped.groupBy("id", "h", "item", "total", "shift").agg(
-        F.max(F.col("least") != F.col("most")).alias("clash"), F.max((F.col("least") != F.col("theirs")) | (F.col("most") != F.col("theirs"))).alias("other")
-    )
-    keys = ["id", "h", "item", "total", "shift"]
-    left, right = met.select(*keys, "ipos").distinct(), aligned.select(*[F.col(k).alias(f"_{k}") for k in keys], "clash", "other")
-    same = left["id"].eqNullSafe(right["_id"]) & (left["h"] == right["_h"]) & left["item"].eqNullSafe(right["_item"]) & (left["total"] == right["_total"]) & (left["shift"] == right["_shift"])
-    good = left.join(right, same, "left").where(~F.coalesce("clash", F.lit(False)))
-    out = good.groupBy("id", "h", "item", "total").agg(F.countDistinct("ipos").alias("n"), F.max(F.coalesce("other", F.lit(False))).alias("other"))
-    out = out.withColumn("coverage", F.col("n") / F.col("total")).where(F.col("coverage") >= coverage)
+    seen = _windowed(tagged, "t", ["id", "h"], lengths, bitmap).where(F.size("found") > 0).select("id", "h", F.inline("found")).drop("shape", "tokens")
+    items = own.select("item", "total", "tokens", "shape", F.col("pos").alias("ipos"), "window", F.col("slots").alias("islots"))
+    met = checkpointed(seen.join(items, "window").select(*_ITEM, "ipos", "shape", (F.col("pos") - F.col("ipos")).alias("shift"), "slots", "islots").distinct(), "met")
+
+    good = checkpointed(_consistent(met.where(F.col("shape").isin(0, EXACT))), "good")
+    out = good.groupBy(*_ITEM).agg(F.countDistinct("ipos").alias("n"), F.max("other").alias("other")).where(F.col("n") / F.col("total") >= coverage)
+    runs = _by_alignment(good).where(F.col("run") >= RUN)
+    # an alignment with a gapped window, and the gap differs: one word is changed
+    gaps = met.where(~F.col("shape").isin(0, EXACT)).select(*[F.col(k).alias(f"_{k}") for k in [*_ITEM, "shift"]]).distinct()
+    there = met["id"].eqNullSafe(gaps["_id"]) & met["item"].eqNullSafe(gaps["_item"])
+    for k in ("h", "total", "tokens", "shift"):
+        there = there & (met[k] == gaps[f"_{k}"])
+    changed = _by_alignment(_consistent(met.join(gaps, there, "left_semi"))).where(F.col("hole") & (F.col("shared") >= TOKENS * F.col("tokens"))).withColumn("other", F.lit(True))
+    columns = ["id", "h", "item", "total", "n", "other"]
+    out = out.select(columns).union(runs.select(columns)).union(changed.select(columns)).withColumn("coverage", F.col("n") / F.col("total"))
     kind = F.when(F.col("other"), "reparameterised").otherwise("verbatim").alias("kind")
     best = out.groupBy("id", "h", "item").agg(F.max_by(F.struct("coverage", "other"), F.struct("coverage", ~F.col("other"))).alias("b"))
     return best.select(F.col("id").alias(key), "h", F.col("item").alias(item), "b.coverage", "b.other").select(key, "h", item, "coverage", kind)

@@ -55,6 +55,22 @@ def test_plain_windows_equal_brute_force(spark):
     assert {k: v[0] for k, v in _found(spark, docs, items).items()} == want
 
 
+def test_edited_partial_dense_and_short_copies(spark):
+    long = " ".join(f"l{c}{d}" for c in "abcdefgh" for d in "abcdefg")
+    items = [
+        (1, "xa xb xc xd xe xf xg xh xi xj xk xl xm xn xo"), (2, "Then " + long), (3, "12 15 18 21 24 27 30 33 36 39"), (4, "Riders cross the old bridge"),
+        (5, "she had 2 apples and 2 pears in her bag"), (6, "Paul saw five dogs"),
+    ]
+    docs = [
+        (1, "so xa xb xc xd xe xf xg zz xi xj xk xl xm xn xo end"), (2, "it says " + " ".join(long.split()[12:37]) + " and no more"), (3, "numbers 12 15 18 21 24 27 30 33 36 39 end"),
+        (4, "they say Riders cross the old bridge"), (5, "she had 3 apples and 5 pears in her bag"), (6, "Yes. Mary saw nine dogs"), (7, "numbers 11 15 19 21 25 27 31 33 37 39 end"),
+        (8, "so xa xb xc zz xe xf xg xh zz xj xk xl zz xn xo end"), (9, "it says " + " ".join(long.split()[12:25]) + " and no more"),
+    ]
+    got = _found(spark, docs, items)
+    assert set(got) == {(i, i) for i in range(1, 7)}
+    assert [got[(i, i)][1] for i in range(1, 7)] == ["reparameterised", "verbatim", "verbatim", "verbatim", "reparameterised", "reparameterised"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SHAPE)
     assert decontaminate.leaks(none, spark.createDataFrame(ITEMS, ITEM_SHAPE)).collect() == []
