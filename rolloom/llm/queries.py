@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity, twins
+from rolloom.llm import alignment, bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity, twins
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -69,3 +69,8 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("learn", F.coalesce(langid.remainder("doc_id", 7) != 2, F.lit(True)))
     return hmm.score(docs, "learn").withColumn("held_out", ~F.col("learn")).drop("learn")
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), *alignment.default_paths())
