@@ -19,6 +19,7 @@ U+2581, invalid UTF-8), have no tokens. Repeated rows are documents of their own
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -75,6 +76,7 @@ class Units:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         self.a = Tokenizer.from_buffer(self.a_file)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -117,17 +119,21 @@ class Units:
                 setattr(self, f"{side}_{name}", np.concatenate([getattr(self, f"{side}_{name}"), more]))
         self.good = np.concatenate([self.good, good]).astype(bool)
 
-    def of(self, text: str) -> list[int]:
-        """Units of a text, by index."""
-        if _GAP.search(" " + text):
-            units = [u[1:] for u in _BORDER.split(" " + text)]
-        else:
-            units = text.split(" ")
-        found = list(map(self.index.get, units))
-        if None in found:
-            self.add(list(dict.fromkeys(u for u, i in zip(units, found, strict=True) if i is None)))
-            found = list(map(self.index.get, units))
-        return found
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """Units of each text, by index; an empty text has none."""
+        split = [_units(t) if t else [] for t in texts]
+        met = set()
+        for own in split:
+            met.update(own)
+        self.add([u for u in met if u not in self.index])
+        return [np.fromiter(map(self.index.__getitem__, own), np.int64, len(own)) for own in split]
+
+
+def _units(text: str) -> list[str]:
+    """Units of space + text, each without the one space in front of it."""
+    if _GAP.search(" " + text):
+        return [u[1:] for u in _BORDER.split(" " + text)]
+    return text.split(" ")
 
 
 @dataclass
@@ -256,20 +262,15 @@ def _loader(spark: SparkSession, a_path: str, b_path: str):
     return lambda: Units(*files.value)
 
 
-def _text(raw: bytes | None) -> str:
-    return raw.decode("utf-8", "replace") if raw else ""
-
-
 def _read(units: Units, column: pa.Array) -> list[np.ndarray]:
     """Units of each text; none for texts that are empty or not given back byte by byte."""
     if len(units.index) > CACHE_UNITS or units.size > CACHE_BYTES:
         units.clear()
-    out = []
+    texts = []
     for raw in column.cast(pa.binary()).to_pylist():
-        text = _text(raw)
-        own = np.array(units.of(text) if text and text.encode() == raw else [], np.int64)
-        out.append(own if units.good[own].all() else own[:0])
-    return out
+        text = raw.decode("utf-8", "replace") if raw else ""
+        texts.append(text if text.encode() == raw else "")
+    return [own if units.good[own].all() else own[:0] for own in units.of(texts)]
 
 
 def groups(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -103,9 +103,8 @@ def test_small_blocks_give_the_same_rows(whole, monkeypatch):
         v = bpe.Vocabulary(A_PATH)
         units = alignment.Units(a.read(), b.read(), [v.token_bytes[s : s + n].tobytes() for s, n in zip(v.token_start, v.token_len, strict=True)])
     got = [Counter() for _ in texts]
-    read = [units.of(t) for t in texts]
-    read = [r if units.good[r].all() else [] for r in read]
-    for unit, doc in alignment.blocks(units, [alignment.np.array(r, int) for r in read]):
+    read = [r if units.good[r].all() else r[:0] for r in units.of(texts)]
+    for unit, doc in alignment.blocks(units, read):
         for d, p, n in alignment.pair_counts(alignment.aligned(units, unit, doc)):
             for x, y, z in zip(d.tolist(), p.tolist(), n.tolist(), strict=True):
                 got[x][y >> 32, y & 0xFFFFFFFF] += z
@@ -119,7 +118,7 @@ def test_overlaps_are_the_union_of_both_directions(whole):
         v = bpe.Vocabulary(A_PATH)
         units = alignment.Units(a.read(), b.read(), [v.token_bytes[s : s + n].tobytes() for s, n in zip(v.token_start, v.token_len, strict=True)])
     text = "unbelievably 0123456789abcdef tokenization"
-    own = alignment.np.array(units.of(text))
+    (own,) = units.of([text])
     block = alignment.aligned(units, own, alignment.np.zeros(len(own), int))
     got = {(int(x), int(y)) for w in block.overlaps for x, y in zip(w["a"], w["b"], strict=True)}
     want = {(i, j) for i in range(len(block.a.ids)) for j in range(len(block.b.ids)) if max(block.a.start[i], block.b.start[j]) < min(block.a.end[i], block.b.end[j])}
