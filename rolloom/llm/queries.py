@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import alignment, bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity, twins
+from rolloom.llm import alignment, bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity, twins, whitening
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -71,6 +71,24 @@ def op10_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(docs, "learn").withColumn("held_out", ~F.col("learn")).drop("learn")
 
 
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    rows = whitening.transform(vectors, model, ["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*[F.lit(x) for x in model.explained]).cast("array<double>")
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        F.get(explained, "at").alias("explained"),
+        F.lit(whitening.identity_error(vectors, model)).alias("identity_error"),
+        F.col("deviation").alias("deviation_exact"),
+    )
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"), *alignment.default_paths())
