@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloom.llm import alignment, bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity, twins, whitening
+from rolloom.llm import alignment, bpe, decontaminate, hmm, html_text, langid, licenses, minhash, quality, secrets, toxicity, twins, warc, whitening
 from rolloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -71,6 +71,12 @@ def op10_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(docs, "learn").withColumn("held_out", ~F.col("learn")).drop("learn")
 
 
+@query("op11_warc_archives", twins.archived_pages())
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")

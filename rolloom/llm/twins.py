@@ -50,3 +50,13 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT id, id AS other FROM k UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
 g AS (SELECT r.id, min(r.other) AS class_id, CAST(sum(k.n_rows) AS BIGINT) AS class_rows FROM r JOIN k ON k.id = r.other GROUP BY r.id)
 SELECT doc_id, class_id, class_rows FROM w JOIN k ON k.node = array_to_string(w.a, ' ') JOIN g ON g.id = k.id"""
+
+
+def archived_pages() -> str:
+    """What an archive of all pages must give back."""
+    return """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+r AS (SELECT *, n >= 100 AND row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST) > 1 AS again,
+  first_value(page_id) OVER (PARTITION BY d ORDER BY page_id NULLS LAST) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM r"""
