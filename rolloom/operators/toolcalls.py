@@ -67,8 +67,11 @@ ERROR_CLASSES = [
     "too_many_calls",
 ]
 
-_INT = r"(?U)^\s*[+-]?\d+(_\d+)*\s*$"
-_FLOAT = r"(?U)^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
+# numbers with their underscores anywhere, and an underscore that is not between digits; no
+# group is repeated, as the JVM matches repeated groups by recursion
+_INT = r"(?U)^\s*[+-]?\d[\d_]*+\s*$"
+_FLOAT = r"(?U)^\s*[+-]?(?:\d[\d_]*+(?:\.[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d[\d_]*+)?\s*$"
+_LOOSE_UNDERSCORE = r"(?U)(?<!\d)_|_(?!\d)"
 
 
 def _check(tools: Mapping[str, Mapping[str, str]]) -> list[str]:
@@ -219,6 +222,10 @@ def _xml_result(error=None, key=None, kind=None, text=None, literal=None) -> Col
     return F.struct(*[(F.lit(v) if v is None or isinstance(v, str) else v).cast("string").alias(n) for n, v in fields.items()])
 
 
+def _is_number(value: Column, pattern: str) -> Column:
+    return value.rlike(pattern) & ~(value.contains("_") & value.rlike(_LOOSE_UNDERSCORE))
+
+
 def _xml_number(value: Column, name: Column) -> Column:
     def graded(x: Column) -> Column:
         whole = F.when(F.abs(x) < 1e38, x.cast("decimal(38,0)"))
@@ -229,13 +236,13 @@ def _xml_number(value: Column, name: Column) -> Column:
             .otherwise(_xml_result(None, name, "float", s["x"])),
         )
 
-    return jsonv.let(F.when(value.rlike(_FLOAT), F.regexp_replace(value, r"(?U)[\s_]", "").try_cast("double")), graded)
+    return jsonv.let(F.when(_is_number(value, _FLOAT), F.regexp_replace(value, r"(?U)[\s_]", "").try_cast("double")), graded)
 
 
 def _xml_integer(value: Column, name: Column) -> Column:
     digits = F.regexp_replace(F.regexp_replace(value, r"(?U)[\s_]|^\s*\+", ""), r"^\+?(-?)0+(?=\d)", "$1")
     text = F.when(digits == "-0", "0").otherwise(F.ltrim(digits, F.lit("+")))
-    return F.when(value.rlike(_INT), _xml_result(None, name, "int", text)).otherwise(_xml_result("not_int", name, None, value))
+    return F.when(_is_number(value, _INT), _xml_result(None, name, "int", text)).otherwise(_xml_result("not_int", name, None, value))
 
 
 def _xml_nested(value: Column, name: Column) -> Column:
