@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,8 @@ CACHE_UNITS = 1 << 18
 CACHE_BYTES = 1 << 25
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
+#: Pairs whose counts are broadcast: at most as many, of 24 bytes each.
+HOT_PAIRS = 1 << 17
 
 _BORDER = re.compile(r"(?<=\S)(?=\x20)")
 _GAP = re.compile(r"\s\x20")
@@ -64,6 +67,19 @@ def _piece_bytes(piece: str) -> bytes:
     return bytes([int(byte[1], 16)]) if byte else piece.replace(_SPACE, " ").encode()
 
 
+class _Index(dict):
+    """Numbers of units; one that is met first gets the next number and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = at = len(self)
+        self.new.append(unit)
+        return at
+
+
 @dataclass
 class Units:
     """Token ids of distinct units of text, grown as units are met."""
@@ -85,48 +101,60 @@ class Units:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(y == _SPACE != x for p in pieces for x, y in zip(p, p[1:], strict=False)):
             raise ValueError("pieces that go on past a space after other text are not supported")
-        self.b_bytes = [_piece_bytes(p) for p in pieces]
-        self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_flat, self.b_flat = _flat(self.a_bytes), _flat([_piece_bytes(p) for p in pieces])
+        self.a_len, self.b_len = self.a_flat[2], self.b_flat[2]
+        if max(len(self.a_len), len(self.b_len)) > 1 << 20:
+            raise ValueError("vocabularies of over a million tokens are not supported")
         lone = self.b.encode("a")
         self.space = self.b.encode("a ")[len(lone) :]
         self.clear()
 
     def clear(self) -> None:
         none = np.zeros(0, np.int64)
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.size = 0
         self.a_ids, self.b_ids = none, none
         self.a_at, self.a_n, self.b_at, self.b_n = none, none, none, none
         self.good = np.zeros(0, bool)
 
     def add(self, new: list[str]) -> None:
-        """Encode units, each given without the one space in front of it."""
-        whole = [" " + u for u in new]
-        a = [e.ids for e in self.a.encode_batch(whole, add_special_tokens=False)]
+        """Encode new units, each given without the one space in front of it."""
+        raw = [(" " + u).encode() for u in new]
+        want, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+        a = [e.ids for e in self.a.encode_batch([" " + u for u in new], add_special_tokens=False)]
         b = [ids if u else self.space for u, ids in zip(new, self.b.encode(new, num_threads=1), strict=True)]
-        good = []
-        for unit, left, right in zip(whole, a, b, strict=True):
-            raw = unit.encode()
-            good.append(b"".join([self.a_bytes[i] for i in left]) == raw and b"".join([self.b_bytes[i] for i in right]) == raw)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.size += sum(map(len, new))
-        for side, ids in (("a", a), ("b", b)):
+        good = np.ones(len(new), bool)
+        self.size += len(want)
+        for side, ids, flat in (("a", a, self.a_flat), ("b", b, self.b_flat)):
             n = np.array([len(x) for x in ids], np.int64)
             at = len(getattr(self, f"{side}_ids")) + np.cumsum(n) - n
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
-            for name, more in (("ids", flat), ("at", at), ("n", n)):
+            own = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            good &= _same(own, n, flat, want, size)
+            for name, more in (("ids", own), ("at", at), ("n", n)):
                 setattr(self, f"{side}_{name}", np.concatenate([getattr(self, f"{side}_{name}"), more]))
-        self.good = np.concatenate([self.good, good]).astype(bool)
+        self.good = np.concatenate([self.good, good])
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Units of each text, by index; an empty text has none."""
-        split = [_units(t) if t else [] for t in texts]
-        met = set()
-        for own in split:
-            met.update(own)
-        self.add([u for u in met if u not in self.index])
-        return [np.fromiter(map(self.index.__getitem__, own), np.int64, len(own)) for own in split]
+        number = self.index.__getitem__
+        found = [np.fromiter(map(number, own), np.int64, len(own)) for own in (_units(t) if t else [] for t in texts)]
+        if self.index.new:
+            self.add(self.index.new)
+            self.index.new = []
+        return found
+
+
+def _same(ids: np.ndarray, n: np.ndarray, flat: tuple[np.ndarray, np.ndarray, np.ndarray], want: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each unit, given as ``n`` ids and ``size`` bytes, whether its tokens' bytes are those bytes."""
+    data, at, length = flat
+    made = row_sums(length[ids], np.concatenate([[0], np.cumsum(n)]))
+    good = made == size
+    chosen = ids[np.repeat(good, n)]
+    equal = gathered(data, at[chosen], length[chosen]) == want[np.repeat(good, size)]
+    if not equal.all():
+        own = np.repeat(np.flatnonzero(good), size[good])
+        good[own[~equal]] = False
+    return good
 
 
 def _units(text: str) -> list[str]:
@@ -150,6 +178,12 @@ class Side:
         return pd.DataFrame({"doc": self.doc, "start": self.start, name: np.arange(len(self.ids)), f"{name}_end": self.end})
 
 
+def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings as one array, with start and length of each."""
+    length = np.array([len(p) for p in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(length) - length, length
+
+
 @dataclass
 class Block:
     """Aligned tokens of whole units: both sides, all overlaps, and the group ends."""
@@ -173,7 +207,10 @@ def aligned(units: Units, unit: np.ndarray, doc: np.ndarray) -> Block:
     left, right = a.frame("a"), b.frame("b")
     ways = (pd.merge_asof(left, right, on="start", by="doc"), pd.merge_asof(right, left, on="start", by="doc"))
     # overlaps with equal ends, from both directions
-    cuts = np.unique(np.concatenate([w["a_end"].to_numpy()[w["a_end"].to_numpy() == w["b_end"].to_numpy()] for w in ways]))
+    is_cut = np.zeros(len(a.ids), bool)
+    for way in ways:
+        is_cut[way["a"].to_numpy()[way["a_end"].to_numpy() == way["b_end"].to_numpy()]] = True
+    cuts = a.end[is_cut]
     a.group, b.group = (np.searchsorted(cuts, s.start, side="right") for s in (a, b))
     return Block(a, b, ways, cuts)
 
@@ -215,13 +252,19 @@ def pair_counts(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     Within a group only distinct ids are paired, with their number of occurrences.
     """
 
-    def distinct(side):
-        key, n = np.unique(side.group << 32 | side.ids, return_counts=True)
-        return key >> 32, key & 0xFFFFFFFF, n
-
-    doc = np.empty(len(block.cuts), np.int64)
+    n = len(block.cuts)
+    n_a, n_b = np.bincount(block.a.group, minlength=n), np.bincount(block.b.group, minlength=n)
+    doc = np.empty(n, np.int64)
     doc[block.a.group] = block.a.doc
-    (ga, ia, na), (gb, ib, nb) = distinct(block.a), distinct(block.b)
+    plain = (n_a == 1) & (n_b == 1)
+    own_a, own_b = plain[block.a.group], plain[block.b.group]
+    yield summed(doc[plain], block.a.ids[own_a] << 32 | block.b.ids[own_b], np.ones(int(plain.sum()), np.int64))
+
+    def distinct(side, own):
+        key, many = np.unique(side.group[~own] << 32 | side.ids[~own], return_counts=True)
+        return key >> 32, key & 0xFFFFFFFF, many
+
+    (ga, ia, na), (gb, ib, nb) = distinct(block.a, own_a), distinct(block.b, own_b)
     first = np.searchsorted(gb, ga)
     many = np.searchsorted(gb, ga, side="right") - first
     after = np.cumsum(many)
@@ -229,15 +272,17 @@ def pair_counts(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     while at < len(ga):
         stop = max(at + 1, int(np.searchsorted(after, before + BLOCK_PAIRS, side="right")))
         m = many[at:stop]
-        own = np.repeat(np.arange(at, stop), m)
-        other = np.arange(len(own)) + np.repeat(first[at:stop] - (np.cumsum(m) - m), m)
-        yield summed(doc[ga[own]], ia[own] << 32 | ib[other], na[own] * nb[other])
+        each = np.repeat(np.arange(at, stop), m)
+        other = np.arange(len(each)) + np.repeat(first[at:stop] - (np.cumsum(m) - m), m)
+        yield summed(doc[ga[each]], ia[each] << 32 | ib[other], na[each] * nb[other])
         at, before = stop, after[stop - 1]
 
 
 def summed(doc: np.ndarray, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of ``n`` by document and pair, in that order."""
-    order = np.lexsort((pair, doc))
+    # one sort key where it fits: 23 bits for the document and 20 for each id
+    packed = doc.max(initial=0) < 1 << 23
+    order = np.argsort(doc << 40 | (pair >> 32) << 20 | (pair & 0xFFFFFFFF)) if packed else np.lexsort((pair, doc))
     doc, pair, n = doc[order], pair[order], n[order]
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
@@ -247,9 +292,7 @@ def summed(doc: np.ndarray, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 def _digits(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Decimal ids, each with one byte more for a separator."""
-    parts = [b"%d," % i for i in range(size)]
-    length = np.array([len(p) for p in parts], np.int64)
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(length) - length, length
+    return _flat([b"%d," % i for i in range(size)])
 
 
 def _loader(spark: SparkSession, a_path: str, b_path: str):
@@ -369,7 +412,7 @@ def report(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     documents = checkpointed(aligned_documents(docs, a_path, b_path, key, text), "alignment")
     table = pair_table(documents).select("pair", "n_docs", "best")
     rows = documents.select("row", F.explode(F.arrays_zip("pairs", "links")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.links").alias("links"))
-    held = join_counted(rows, table, "pair", "n_docs")
+    held = join_counted(rows, table, "pair", "n_docs", HOT_PAIRS)
     sums = held.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("n_docs")).alias("count_sum"))
     told = documents.drop("pairs", "links").join(sums, "row", "left").drop("row")
     return told.select(key, "n_a", "n_b", "n_groups", "n_links", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], "groups_sha256")
