@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hot keys are fewer than this; the rows of any other key are at most one in as many.
-HOT_KEYS = 1 << 17
+HOT_KEYS = 1 << 14
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, hot_keys: int = HOT_KEYS) -> DataFrame:
