@@ -38,7 +38,7 @@ from rolloom.llm.skew import join_counted
 from rolloom.session import checkpointed
 
 #: Tokens of both sides aligned at once; a longer unit makes a block of its own.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
 #: Id pairs expanded at once.
 BLOCK_PAIRS = 1 << 21
 #: Distinct units kept per task between slices, and bytes of them.

@@ -88,7 +88,7 @@ def test_report_equals_all_pairs(spark, whole):
 def test_a_text_of_several_blocks(spark, whole):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij0123") for _ in range(rng.randint(2, 12))) for _ in range(3000)]
-    texts = ["short one", " ".join(rng.choice(words) for _ in range(250_000)), "x"]
+    texts = ["short one", " ".join(rng.choice(words) for _ in range(80_000)), "x"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = columns(alignment.report(docs, A_PATH, B_PATH).orderBy("doc_id").collect())
     assert got[1][0] + got[1][1] > 1.5 * alignment.BLOCK_TOKENS
