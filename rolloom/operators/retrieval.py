@@ -42,7 +42,8 @@ def retrieve(requests: DataFrame, passages: DataFrame, corpus: DataFrame, search
     """Answer ``requests(qid, qvec, topk, return_scores)`` from ``passages`` and ``corpus(id, url, title, text)``.
 
     Every query uses its own ``topk`` (null means the default). ``search`` is called
-    with the largest over-fetch; each query then keeps its own share of it.
+    with the largest over-fetch; each query then keeps its own share of it. For search
+    through an index, ``passages`` is its table and ``search`` binds its centroids.
     """
     asked = requests.withColumn("_k", F.coalesce("topk", F.lit(default_k)))
     largest = asked.agg(F.max(overfetch(F.col("_k")))).first()[0]

@@ -11,13 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from rolloom.operators.ordered import number_rows
 from rolloom.session import checkpointed
 
 # Defaults of index building and serving.
@@ -26,12 +26,13 @@ TRAINING_SAMPLES = 4_000_000
 NPROBE_SERVE = 256
 NPROBE_CHECK = 32
 MIN_SELF_SCORE = 0.99
+MIN_RECALL = 0.9
 DEFAULT_TOPK = 3
 OVERFETCH_FACTOR, OVERFETCH_MIN = 2, 6
 E5_PREFIXES = {True: "query: ", False: "passage: "}
 BGE_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 
-SCORE_DIGITS, CELL_DIGITS = 6, 12
+SCORE_DIGITS, CELL_DIGITS, CENTROID_DIGITS = 6, 12, 9
 #: Rows per side of one block, and of one tile of scores inside it.
 BLOCK_ROWS = 20_000
 TILE_QUERIES, TILE_VECTORS = 1_024, 4_096
@@ -93,15 +94,37 @@ def embed(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.nda
 # --- coarse cells -----------------------------------------------------------
 
 
-def training_sample(passages: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
-    """Exactly ``min(n, rows)`` passages in the order of a seeded hash; all of them without ``n``.
+def sample_hash(key: Column, seed: int) -> Column:
+    """The seeded order of the training sample."""
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(seed)))
 
-    ``TRAINING_SAMPLES`` is the size that the index builder documents.
+
+def training_sample(passages: DataFrame, n: int | None = None, seed: int = 0, key: str = "id", largest_bin: int = 10_000) -> DataFrame:
+    """Exactly ``min(n, rows)`` passages, the first in the order of a seeded hash; all of them without ``n``.
+
+    Counts of hash prefixes (65,536 at a time) tell the prefix at which the sample ends; it is
+    made longer until the bin it names is small. Tasks then filter by it, and only the bin
+    itself is ordered. ``TRAINING_SAMPLES`` is the size that the index builder documents.
     """
     if n is None:
         return passages
-    hashed = passages.withColumn("_h", F.xxhash64("id", F.lit(seed)))
-    return number_rows(hashed, "_h", "_rn").where(F.col("_rn") <= n).drop("_rn", "_h")
+    h = sample_hash(F.col(key), seed)
+    cut, left = "", n
+    while True:
+        digits = F.substr(h, F.lit(len(cut) + 1), F.lit(4))
+        bins = sorted(passages.where(h.startswith(cut)).groupBy(digits.alias("d")).count().collect())
+        if sum(c for _, c in bins) <= left:
+            return passages.where((h < cut) | h.startswith(cut))
+        for d, c in bins:
+            if c > left:
+                break
+            left -= c
+        cut += d
+        if c <= largest_bin or len(cut) == 32:
+            break
+    hashed = passages.withColumn("_h", h)
+    border = hashed.where(F.col("_h").startswith(cut)).orderBy("_h", key).limit(left)
+    return hashed.where(F.col("_h") < cut).unionByName(border).drop("_h")
 
 
 def train_cells(sample: DataFrame, nlist: int = NLIST, seed: int = 0, vec: str = "embedding") -> DataFrame:
@@ -116,20 +139,59 @@ def train_cells(sample: DataFrame, nlist: int = NLIST, seed: int = 0, vec: str =
     return sample.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
 
 
-def nearest_cells(df: DataFrame, centroids: DataFrame, n: int, vec: str = "embedding", key: str = "id") -> DataFrame:
-    """``key`` and ``cell``: the ``n`` best cells of each row; ties go to the lowest cell.
+def refine_cells(vectors: DataFrame, centroids: DataFrame, steps: int = 1, vec: str = "embedding", key: str = "id") -> DataFrame:
+    """Centroids moved to the direction of their vectors' mean, ``steps`` times; a cell without vectors stays.
+
+    Starts from given centroids, so the same input gives the same cells under any partitioning:
+    entries are rounded to nine places, far above what the order of a sum can change.
+    """
+    for _ in range(steps):
+        nearest = vectors.join(nearest_cells(vectors, centroids, 1, vec, key), key)
+        as_vector = array_to_vector(F.transform(vec, lambda x: x.cast("double")))
+        means = nearest.groupBy("cell").agg(Summarizer.mean(as_vector).alias("m"))
+        moved = means.select("cell", F.transform(l2_normalize(vector_to_array("m")), lambda x: F.round(x, CENTROID_DIGITS)).alias("moved"))
+        centroids = checkpointed(centroids.join(moved, "cell", "left").select("cell", F.coalesce("moved", "centroid").alias("centroid")), "cells")
+    return centroids
+
+
+def ranked_cells(df: DataFrame, centroids: DataFrame, n: int, vec: str = "embedding", key: str = "id") -> DataFrame:
+    """``key``, ``cell``, ``score`` and ``place``: the ``n`` best cells of each row; ties go to the lowest cell.
 
     Cells are searched like passages, block by block, so neither side must fit anywhere;
     vectors are not repeated per cell.
     """
     asked = df.select(F.col(key).alias("qid"), F.col(vec).alias("qvec"))
     cells = centroids.select(F.col("cell").cast("bigint").alias("id"), F.col("centroid").alias("vec"))
-    return topk_exact(asked, cells, n, digits=CELL_DIGITS).select(F.col("qid").alias(key), F.col("id").cast("int").alias("cell"))
+    found = topk_exact(asked, cells, n, digits=CELL_DIGITS)
+    return found.select(F.col("qid").alias(key), F.col("id").cast("int").alias("cell"), "score", F.col("rank").alias("place"))
 
 
-def assign_cells(passages: DataFrame, centroids: DataFrame, vec: str = "embedding", key: str = "id") -> DataFrame:
-    """Passages with their best cell; ``key`` is unique."""
-    return passages.join(nearest_cells(passages, centroids, 1, vec, key), key)
+def nearest_cells(df: DataFrame, centroids: DataFrame, n: int, vec: str = "embedding", key: str = "id") -> DataFrame:
+    """``key`` and ``cell`` of the ``n`` best cells of each row."""
+    return ranked_cells(df, centroids, n, vec, key).select(key, "cell")
+
+
+def assign_cells(passages: DataFrame, centroids: DataFrame, vec: str = "embedding", key: str = "id", copies: int = 1, factor: float = 1.0) -> DataFrame:
+    """Passages with their best cell, and copies in other cells that are almost as near; ``key`` is unique.
+
+    A copy goes to each of the ``copies`` best cells whose distance (1 - score, for unit
+    vectors) is at most ``factor`` times the best cell's: passages at a border are found from
+    either side. There are at most ``copies`` rows of a passage.
+    """
+    if copies == 1:
+        return passages.join(nearest_cells(passages, centroids, 1, vec, key), key)
+    ranked = ranked_cells(passages, centroids, copies, vec, key)
+    best = F.max("score").over(W.partitionBy(key))
+    near = (1 - F.col("score")) <= factor * F.greatest(1 - F.col("best"), F.lit(0.0))
+    held = ranked.withColumn("best", best).where((F.col("place") == 1) | near).select(key, "cell")
+    return passages.join(held, key)
+
+
+def cell_costs(vectors: DataFrame, centroids: DataFrame, vec: str = "embedding", key: str = "id") -> DataFrame:
+    """``cell``, ``n`` and ``cost``: vectors per cell and the sum of their distances (1 - score); empty cells have none."""
+    near = ranked_cells(vectors, centroids, 1, vec, key)
+    costs = near.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.round(1 - F.col("score"), 9).cast("decimal(20,9)")).cast("double").alias("cost"))
+    return centroids.select("cell").join(costs, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
 # --- top-k ------------------------------------------------------------------
@@ -169,9 +231,11 @@ def _blocks(n: str) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
 
 
-def topk_in_cells(queries: DataFrame, passages: DataFrame, k: int, block_rows: int = BLOCK_ROWS, digits: int = SCORE_DIGITS) -> DataFrame:
+def topk_in_cells(queries: DataFrame, passages: DataFrame, k: int, block_rows: int = BLOCK_ROWS, digits: int = SCORE_DIGITS, copies: bool = False) -> DataFrame:
     """Best ``k`` passages per query among shared cells: ``qid, id, score, rank``.
 
+    With ``copies`` a passage may be in several cells; it counts once.
+
     ``queries(qid, qvec, cell)``, ``passages(id, vec, cell)``. Both sides of each cell are
     split into blocks of bounded size, at every size of the input: a cell with a third of
     all passages becomes many blocks, each pair of blocks is one group, and it returns at
@@ -201,6 +265,10 @@ def topk_in_cells(queries: DataFrame, passages: DataFrame, k: int, block_rows: i
     keys = ["cell", "_qb", "_pb"]
     hits = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(pair, schema)
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+    if copies:
+        # copies have equal scores and stand next to each other
+        fresh = F.coalesce(F.lag("id").over(w) != F.col("id"), F.lit(True))
+        hits = hits.withColumn("_fresh", fresh).where("_fresh").drop("_fresh")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -219,15 +287,30 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: i
     """
     probes = checkpointed(nearest_cells(queries, centroids, nprobe, "qvec", "qid"), "probes")
     probed = [r[0] for r in probes.select("cell").distinct().collect()]  # at most nlist values
-    return topk_in_cells(probes.join(queries, "qid"), assigned.where(F.col("cell").isin(probed)), k, **bounds)
+    return topk_in_cells(probes.join(queries, "qid"), assigned.where(F.col("cell").isin(probed)), k, copies=True, **bounds)
 
 
-def check_index(sample: DataFrame, assigned: DataFrame, centroids: DataFrame, nprobe: int = NPROBE_CHECK) -> DataFrame:
-    """Self-retrieval report: every sampled vector should return itself first."""
-    hits = topk_ivf(sample.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), assigned, centroids, 1, nprobe)
-    return hits.agg(
-        F.count("*").alias("n_checked"),
-        F.count_if(F.col("qid") == F.col("id")).alias("self_hits"),
-        F.min("score").alias("min_top1"),
-        (F.min("score") >= MIN_SELF_SCORE).alias("normalized"),
+def cells_read(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    """``qid`` and ``n_read``: stored rows, copies included, of the cells a query probes."""
+    sizes = assigned.groupBy("cell").agg(F.count("*").alias("n"))
+    return nearest_cells(queries, centroids, nprobe, "qvec", "qid").join(sizes, "cell").groupBy("qid").agg(F.sum("n").alias("n_read"))
+
+
+def check_index(
+    sample: DataFrame, passages: DataFrame, assigned: DataFrame, centroids: DataFrame, nprobe: int = NPROBE_CHECK, k: int = 5, min_recall: float = MIN_RECALL
+) -> DataFrame:
+    """Report on an index: what share of the exact ``k`` best it finds, and whether vectors find themselves.
+
+    ``sample(id, vec)`` are the queries, ``passages(id, vec)`` all vectors. ``good`` is false
+    when the index loses more than its share, though every vector may still find itself.
+    """
+    asked = sample.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    near = checkpointed(topk_ivf(asked, assigned, centroids, k, nprobe), "near")
+    exact = topk_exact(asked, passages, k).select("qid", "id")
+    found = exact.join(near.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found")).first()
+    first = near.where("rank = 1").agg(F.count("*").alias("n_checked"), F.count_if(F.col("qid") == F.col("id")).alias("self_hits"), F.min("score").alias("min_top1"))
+    recall = F.lit(found["n_found"] / found["n_exact"] if found["n_exact"] else None).cast("double")
+    return first.select(
+        "n_checked", "self_hits", "min_top1", (F.col("min_top1") >= MIN_SELF_SCORE).alias("normalized"),
+        F.round(recall, 4).alias("recall"), (recall >= min_recall).alias("good"),
     )

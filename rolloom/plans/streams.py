@@ -13,7 +13,7 @@ from rolloom.plans.episodes import event_steps
 from rolloom.plans.registry import as_long, query, table
 from rolloom.session import work_path
 from rolloom.sources import files
-from rolloom.sources.tail import _open, qualified
+from rolloom.sources.store import open_store, qualified
 from rolloom.streaming import monitor_stream
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,7 +32,7 @@ def write_logs(lines: DataFrame, root: str) -> None:
         import os
         import uuid
 
-        system, base = _open(root)
+        system, base = open_store(root)
         at, out, draft = None, None, ""
 
         def finish() -> None:

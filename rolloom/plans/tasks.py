@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,10 +153,26 @@ def sample_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("task_files", "SELECT doc_id, md5(text) AS question_md5, lang FROM documents")
 def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw tasks written as JSON lines and read back."""
-    path = work_path(spark, "tasks")
-    table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"), "lang").write.json(path)
-    return files.read_tasks(spark, path, "doc_id bigint, question string, lang string").select("doc_id", F.md5("question").alias("question_md5"), "lang")
+    """Raw tasks written as JSON lines or as one-line JSON arrays, and read back; arrays in ranges of 64 KiB."""
+    schema = "doc_id bigint, question string, lang string"
+    tasks = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"), "lang")
+    lines, arrays = work_path(spark, "task-lines"), work_path(spark, "task-arrays")
+    odd = F.pmod("doc_id", F.lit(2)) == 1
+    tasks.where(~odd).write.json(lines)
+    listed = tasks.where(odd).select(F.to_json(F.struct("doc_id", "question", "lang")).alias("t"))
+    listed.mapInArrow(_bracketed, "t string").write.option("lineSep", " ").text(arrays)
+    read = files.read_tasks(spark, lines, schema).unionByName(files.read_tasks(spark, arrays, schema, range_bytes=1 << 16))
+    return read.select("doc_id", F.md5("question").alias("question_md5"), "lang")
+
+
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition as one JSON array."""
+    mark = "["
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_pydict({"t": [(mark if i == 0 else ",") + t for i, t in enumerate(batch.column(0).to_pylist())]})
+            mark = ","
+    yield pa.RecordBatch.from_pydict({"t": ["[]" if mark == "[" else "]"]})
 
 
 @query("passage_files", "SELECT CAST(page_id AS VARCHAR) AS id, url, md5(html) AS text_md5 FROM pages")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolloom.sources.json_array import RANGE_BYTES, array_elements
+from rolloom.sources.store import open_store
+
 TRAJECTORY_SCHEMA = (
     "trajectory array<struct<step_idx int, response string, thought string, action string, observation string, "
     "execution_time double, done boolean, exit_reason string>>, execution_time double, "
@@ -18,11 +22,31 @@ ATOM_SCHEMA = (
 )
 
 
-def read_tasks(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Tasks stored as one JSON array or as JSON lines, told apart by the first non-blank character."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    is_array = bool(head) and head[0][0].lstrip().startswith("[")
-    return spark.read.schema(schema).json(path, multiLine=is_array)
+def _first_character(spark: SparkSession, path: str) -> str:
+    """First character of the files of a path that is not blank; empty if there is none."""
+    for row in spark.read.format("binaryFile").load(path).where("length > 0").select("path").orderBy("path").limit(1).collect():
+        store, inner = open_store(row["path"])
+        with store.open_input_stream(inner) as stream:
+            while part := stream.read(4096):
+                if part.strip(b" \t\r\n\xef\xbb\xbf"):
+                    return part.strip(b" \t\r\n\xef\xbb\xbf")[:1].decode("utf-8", "replace")
+    return ""
+
+
+def read_tasks(spark: SparkSession, path: str, schema: str | T.StructType, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Tasks stored as JSON arrays or as JSON lines, told apart by the first non-blank character.
+
+    An array is read by as many tasks as it has byte ranges. Stores that pyarrow cannot open
+    are left to Spark's own reader, which takes an array file as one task.
+    """
+    try:
+        is_array = _first_character(spark, path) == "["
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        return spark.read.schema(schema).json(path, multiLine=bool(head) and head[0][0].lstrip().startswith("["))
+    if not is_array:
+        return spark.read.schema(schema).json(path)
+    return array_elements(spark, path, range_bytes).select(F.from_json("text", schema).alias("task")).select("task.*")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

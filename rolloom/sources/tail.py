@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from rolloom.sources.store import open_store
+
 SCHEMA = (
     "run_id string, path string, kind string, action string, start bigint, end bigint, "
     "range_end bigint, updated_at double, text string"
@@ -20,22 +22,6 @@ SCHEMA = (
 RANGE_BYTES = 8 * 1024 * 1024
 
 
-def qualified(spark: SparkSession, root: str) -> str:
-    """A path with its scheme; one without is on the default file system, as Spark reads it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def _open(root: str):
-    from pyarrow import fs
-
-    if root.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
-    if "://" in root:
-        return fs.FileSystem.from_uri(root)
-    return fs.LocalFileSystem(), root
-
-
 def follows(path: str) -> bool:
     """Python twin of :func:`rolloom.operators.monitor.is_log` for planning ranges."""
     low = path.lower()
@@ -105,7 +91,7 @@ class RunLogReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         from pyarrow import fs
 
-        system, base = _open(self.root)
+        system, base = open_store(self.root)
         infos = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
         runs, files = {}, {}
         for i in infos:
@@ -147,7 +133,7 @@ class RunLogReader(DataSourceStreamReader):
     def _report(self, p: FileRange) -> tuple:
         text = ""
         if p.action == "append" and p.end > p.start:
-            system, base = _open(self.root)
+            system, base = open_store(self.root)
             with system.open_input_file(f"{base}/{p.run_id}/{p.path}") as f:
                 f.seek(p.start)
                 last = p.end >= p.range_end

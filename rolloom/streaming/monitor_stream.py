@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rolloom.operators import monitor
 from rolloom.sources import tail
+from rolloom.sources.store import qualified
 
 UPDATE_SCHEMA = (
     "run_id string, event_type string, status string, current_step bigint, file_count bigint, "
@@ -24,7 +25,7 @@ def file_changes(spark: SparkSession, root: str, **options: str) -> DataFrame:
     reader = spark.readStream.format("run_log_tail")
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load(tail.qualified(spark, root))
+    return reader.load(qualified(spark, root))
 
 
 def slim(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) -> DataFrame:

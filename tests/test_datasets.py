@@ -1,10 +1,13 @@
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rolloom.operators import datasets as ds
 from rolloom.sources import files, sinks
+from rolloom.sources.store import open_store
 from tests.conftest import by
 
 
@@ -77,6 +80,59 @@ def test_task_readers(spark, tmp_path):
     assert files.read_tasks(spark, str(tmp_path / "b.json"), "q string").count() == 3
 
 
+def _elements(raw, range_bytes, chunk):
+    """Both passes over the ranges of a file, without Spark."""
+    from rolloom.sources import json_array as ja
+
+    q = d = 0
+    out = []
+    for start in range(0, max(len(raw), 1), range_bytes):
+        stop = min(start + range_bytes, len(raw))
+        stream = io.BytesIO(raw)
+        out += [e for e in ja._elements(stream, start, stop, len(raw), q, d, chunk) if e.strip()]
+        quotes, outside, inside = ja._counted(stream, start, stop, chunk)
+        d += inside if q else outside
+        q = (q + quotes) % 2
+    return [json.loads(e) for e in out]
+
+
+def test_array_elements_for_any_cut():
+    rng = random.Random(3)
+    rows = [{"q": "".join(rng.choice('\\"[]{},é\n x') for _ in range(rng.randint(0, 12))), "n": [rng.randint(0, 9), {"a": [1, "]"]}]} for _ in range(25)]
+    rows += [[], {}, "a,b", None, 3.5, {"q": "\\" * 9}, {"q": "\\" * 40 + '"'}, [[1, 2], [3]]]
+    for indent in (None, 2):
+        raw = (" \n" + json.dumps(rows, indent=indent, ensure_ascii=False) + "\n").encode()
+        for range_bytes in (1, 2, 3, 7, 31, 500, 10**6):
+            for chunk in (1, 5, 64, 10**6) if range_bytes > 2 else (64,):
+                assert _elements(raw, range_bytes, chunk) == rows
+    assert _elements(b" [ ] ", 2, 3) == [] == _elements(b"", 2, 3) == _elements(b'{"a": [1, 2]}', 3, 3)
+    with pytest.raises(ValueError, match="inside an element"):
+        _elements(b'[{"a": 1}, {"b"', 4, 4)
+
+
+def test_an_array_is_read_by_several_tasks(spark, tmp_path):
+    rows = [{"i": i, "q": f'{i}, "x" [' + "y" * (i % 50), "deep": {"l": [f"{i}]", "}"]}} for i in range(3000)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    schema = "i bigint, q string, deep struct<l array<string>>"
+    got = files.read_tasks(spark, str(tmp_path / "a.json"), schema, range_bytes=8192)
+    assert got.rdd.getNumPartitions() > 8
+    tasks = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(tasks) > 8 and max(t["count"] for t in tasks) < 1500
+    single = spark.read.schema(schema).json(str(tmp_path / "a.json"), multiLine=True)
+    assert sorted(got.collect()) == sorted(single.collect()) and got.schema == single.schema
+    (tmp_path / "one.json").write_text(json.dumps([{"i": 1, "q": "z" * 300_000}, {"i": 2, "q": ""}]))
+    assert sorted((r.i, len(r.q)) for r in files.read_tasks(spark, str(tmp_path / "one.json"), schema, range_bytes=4096).collect()) == [(1, 300_000), (2, 0)]
+    (tmp_path / "none.json").write_text(" [] ")
+    assert files.read_tasks(spark, str(tmp_path / "none.json"), schema).collect() == []
+    (tmp_path / "empty.json").write_text("")
+    assert files.read_tasks(spark, str(tmp_path / "empty.json"), schema).collect() == []
+
+
+def test_paths_without_a_scheme_are_refused_in_tasks():
+    with pytest.raises(ValueError, match="names no file system"):
+        open_store("/tmp/x")
+
+
 def test_passages_skip_broken_files(spark, tmp_path):
     spark.range(5).selectExpr("cast(id as string) id").write.parquet(str(tmp_path / "p"))
     (tmp_path / "p" / "bad.parquet").write_bytes(b"not parquet")

@@ -56,7 +56,7 @@ def test_ranges_do_not_split_characters(tmp_path):
     text = "aé€😀" * 50
     _put(str(tmp_path), "r", "run.log", text)
     for size in (1, 2, 3, 5, 64):
-        reader = RunLogReader({"path": str(tmp_path), "rangebytes": str(size)})
+        reader = RunLogReader({"path": f"file:{tmp_path}", "rangebytes": str(size)})
         parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
         rows = [x for p in parts for x in reader.read(p)]
         assert "".join(r[8] for r in sorted(rows, key=lambda r: r[4])) == text
@@ -66,7 +66,7 @@ def test_ranges_do_not_split_characters(tmp_path):
 def test_same_size_reads_nothing_and_small_changes_share_a_task(tmp_path):
     for i in range(30):
         _put(str(tmp_path), f"r{i}", "run.log", "x\n")
-    reader = RunLogReader({"path": str(tmp_path)})
+    reader = RunLogReader({"path": f"file:{tmp_path}"})
     end = reader.latestOffset()
     assert len(reader.partitions(reader.initialOffset(), end)) == 1
     assert list(reader.partitions(end, reader.latestOffset())) == []

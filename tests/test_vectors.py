@@ -70,16 +70,73 @@ def test_ivf_over_all_cells_equals_exact_and_prunes_folders(spark, tmp_path):
     assert _lists(vectors.topk_ivf(q, stored, cents, 4, nprobe=8, block_rows=50)) == _brute(v, 4)
     one = vectors.topk_ivf(q.where("qid = 0"), stored, cents, 4, nprobe=1)
     assert "PartitionFilters: [isnotnull" in one._jdf.queryExecution().toString() or "PartitionFilters: [cell" in one._jdf.queryExecution().toString()
-    rep = vectors.check_index(df, stored, cents, nprobe=2).first()
-    assert rep.n_checked == len(v) and rep.normalized and rep.min_top1 > 0.99
+    rep = vectors.check_index(df, df, stored, cents, nprobe=8, k=4).first()
+    assert rep.n_checked == len(v) and rep.self_hits > len(v) * 2 / 3 and rep.normalized and rep.recall == 1.0 and rep.good  # near copies tie with themselves
+
+
+def _recall(found, want, k):
+    return np.mean([len(set(found[i]) & set(want[i])) / k for i in want])
+
+
+def test_copies_at_borders_raise_recall_and_count_once(spark, tmp_path):
+    v, df = _data(spark, 600, 24, seed=3)
+    q = df.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    start = df.where("id >= 200 and id < 230").select((F.col("id") - 200).cast("int").alias("cell"), F.col("vec").alias("centroid"))
+    cents = vectors.refine_cells(df, start, 2, "vec")
+    want, recalls = _brute(v, 5), []
+    for copies, factor in ((1, 1.0), (3, 1.4)):
+        assigned = vectors.assign_cells(df, cents, "vec", copies=copies, factor=factor).cache()
+        per = assigned.groupBy("id").count().agg(F.min("count"), F.max("count")).first()
+        assert per[0] == 1 and per[1] <= copies and assigned.count() >= len(v)
+        found = _lists(vectors.topk_ivf(q, assigned, cents, 5, nprobe=4))
+        assert all(len(set(f)) == len(f) == 5 for f in found.values())
+        recalls.append(_recall(found, want, 5))
+        assert vectors.check_index(df, df, assigned, cents, nprobe=4).first().recall == pytest.approx(recalls[-1], abs=1e-4)
+    assert recalls[1] > recalls[0] + 0.02
+    every = vectors.assign_cells(df, cents, "vec", copies=3, factor=1.4)
+    assert _lists(vectors.topk_ivf(q, every, cents, 5, nprobe=30)) == want
+    assert _lists(vectors.topk_ivf(q, every, cents, 5, nprobe=30, block_rows=40)) == want
+
+
+def test_the_index_check_can_fail(spark):
+    _, df = _data(spark, 300, 24, seed=4)
+    cents = df.where("id >= 150 and id < 190").select((F.col("id") - 150).cast("int").alias("cell"), F.col("vec").alias("centroid"))
+    rep = vectors.check_index(df, df, vectors.assign_cells(df, cents, "vec"), cents, nprobe=1).first()
+    assert rep.self_hits >= 200 and rep.normalized and not rep.good
+
+
+def test_cells_move_to_means_and_empty_ones_stay(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    cents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])], "cell int, centroid array<double>")
+    got = {r.cell: r.centroid for r in vectors.refine_cells(df, cents, 1, "vec").collect()}
+    size = np.hypot(0.3, 0.9)
+    assert got[2] == [-1.0, 0.0] and got[0] == [1.0, 0.0] and got[1] == pytest.approx([0.3 / size, 0.9 / size], abs=1e-9)
+    costs = by(vectors.cell_costs(df, cents, "vec"), "cell")
+    assert [(costs[i]["n"], costs[i]["cost"]) for i in range(3)] == [(1, 0.0), (2, 0.2), (0, 0.0)]
+
+
+def test_files_follow_the_size_of_cells(spark, tmp_path):
+    rows = [(i, [1.0, 0.0], 0 if i < 1000 else i % 40 + 1) for i in range(1400)]
+    assigned = spark.createDataFrame(rows, "id bigint, vec array<double>, cell int").repartition(9)
+    cents = spark.createDataFrame([(0, [1.0, 0.0])], "cell int, centroid array<double>")
+    assert sinks.write_index(cents, assigned, str(tmp_path / "ix"), file_rows=100)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "ix" / "passages").glob("cell=*")}
+    assert 10 <= files["cell=0"] <= 20 and all(n == 1 for c, n in files.items() if c != "cell=0") and len(files) == 41
+    assert spark.read.parquet(str(tmp_path / "ix" / "passages")).count() == 1400
+    assert not sinks.write_index(cents, assigned.where("id < 0"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
 
 
 def test_training_sample_is_exact_and_seeded(spark):
     _, df = _data(spark)
-    a = {r.id for r in vectors.training_sample(df, 50, seed=1).collect()}
-    assert len(a) == 50 and a == {r.id for r in vectors.training_sample(df, 50, seed=1).collect()}
-    assert a != {r.id for r in vectors.training_sample(df, 50, seed=2).collect()}
-    assert vectors.training_sample(df, 10_000).count() == 400
+    order = lambda seed: [r.id for r in df.orderBy(vectors.sample_hash(F.col("id"), seed), "id").select("id").collect()]
+    for n, seed, bin_ in ((50, 1, 10_000), (50, 1, 1), (1, 2, 1), (399, 2, 1), (0, 1, 1)):
+        assert {r.id for r in vectors.training_sample(df, n, seed, largest_bin=bin_).collect()} == set(order(seed)[:n])
+    assert order(1)[:50] != order(2)[:50]
+    assert vectors.training_sample(df, 10_000).count() == vectors.training_sample(df).count() == vectors.training_sample(df, 400).count() == 400
+    twice = df.union(df)
+    assert vectors.training_sample(twice, 101, largest_bin=1).count() == 101
+    assert vectors.training_sample(df.where("id < 0"), 5).count() == 0
 
 
 def test_normalise_pool_and_prefix(spark):
