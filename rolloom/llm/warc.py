@@ -32,13 +32,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.llm.skew import join_counted
 from rolloom.session import checkpointed, work_path
-from rolloom.sources.tail import qualified
+from rolloom.sources.store import open_store, qualified
 
 #: Payloads from this many bytes on are compared.
 LEAST_BYTES = 100
@@ -63,15 +62,6 @@ _BATCH_BYTES = 4 << 20
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and inner path of a path that names its scheme."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    if "://" not in path:
-        raise ValueError(f"{path} names no file system")
-    return fs.FileSystem.from_uri(path)
-
-
 def decided(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
     """One row per page with its payload's size and digest, and the row and key of the response it repeats.
 
@@ -170,7 +160,7 @@ class Archive:
     def __post_init__(self):
         import zstandard
 
-        store, inner = _store(self.path)
+        store, inner = open_store(self.path)
         self.out = store.open_output_stream(inner, compression=None)  # frames are made here
         dictionary = trained(self.first)
         if dictionary:
@@ -300,7 +290,7 @@ def read(ranges: DataFrame, payload: bool = True) -> DataFrame:
 
         for batch in batches:
             for path, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                store, inner = _store(path)
+                store, inner = open_store(path)
                 rows, size = [], 0
                 with store.open_input_file(inner) as stream:
                     dictionary, begin = dictionary_of(stream)

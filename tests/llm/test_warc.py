@@ -5,7 +5,6 @@ import random
 import duckdb
 import pytest
 import zstandard
-from pyarrow import fs
 
 from rolloom.llm import queries, skew, warc
 from rolloom.session import work_path
@@ -91,7 +90,7 @@ def test_archives_are_plain_frames_behind_a_dictionary(spark):
 def test_files_outside_the_manifest_are_not_read(spark):
     folder = work_path(spark, "t")
     ranges = warc.write(pages(spark), folder)
-    store, inner = warc._store(warc.qualified(spark, folder))
+    store, inner = warc.open_store(warc.qualified(spark, folder))
     with store.open_output_stream(f"{inner}/lost-attempt.warc.zst", compression=None) as out:
         out.write(b"half a record")
     assert warc.read(ranges).count() == len(ROWS)
