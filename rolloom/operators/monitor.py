@@ -285,22 +285,18 @@ def byte_offsets(lines: DataFrame) -> DataFrame:
     return running(lines, ["run_id", "source"], "pos", sums={"end": n}).withColumn("start", F.col("end") - n)
 
 
-def log_pages(lines: DataFrame, size: int = PAGE_BYTES, before: DataFrame | None = None) -> DataFrame:
-    """One page of text per log, ending at ``before(run_id, source, before)`` or at the end.
-
-    The page starts after the first newline of its byte window, except at the start of
-    the file; a window without a newline keeps its partial line. Bytes of a character that
-    the window cuts become the replacement character. A page is at most
-    ``size`` bytes, which bounds the collect.
-    """
-    keys = ["run_id", "source"]
-    spans = byte_offsets(lines)
-    sizes = spans.groupBy(*keys).agg(F.max("end").alias("file_size"))
+def page_windows(sizes: DataFrame, size: int, before: DataFrame | None = None) -> DataFrame:
+    """Byte window ``_a`` to ``_e`` of one page per log, ending at ``before(run_id, source, before)`` or at the end."""
     if before is None:
         wanted = sizes.withColumn("_e", F.col("file_size"))
     else:
-        wanted = sizes.join(before, keys, "left").withColumn("_e", F.greatest(F.lit(0), F.least(F.coalesce("before", "file_size"), "file_size"))).drop("before")
-    wanted = wanted.withColumn("_a", F.greatest(F.lit(0), F.col("_e") - max(1, size)))
+        wanted = sizes.join(before, ["run_id", "source"], "left").withColumn("_e", F.greatest(F.lit(0), F.least(F.coalesce("before", "file_size"), "file_size"))).drop("before")
+    return wanted.withColumn("_a", F.greatest(F.lit(0), F.col("_e") - max(1, size)))
+
+
+def cut_pages(spans: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Page texts from lines with their byte ``start`` and ``end``; ``wanted`` from :func:`page_windows`."""
+    keys = ["run_id", "source"]
     inside = spans.join(wanted, keys).where((F.col("end") > F.col("_a")) & (F.col("start") < F.col("_e")))
     # a newline inside the window ends a line at or before the window's end
     breaks = inside.where((F.col("end") > F.col("_a")) & (F.col("end") <= F.col("_e"))).groupBy(*keys).agg(F.min("end").alias("_nl"))
@@ -321,6 +317,19 @@ def log_pages(lines: DataFrame, size: int = PAGE_BYTES, before: DataFrame | None
     )
 
 
+def log_pages(lines: DataFrame, size: int = PAGE_BYTES, before: DataFrame | None = None) -> DataFrame:
+    """One page of text per log, ending at ``before(run_id, source, before)`` or at the end.
+
+    The page starts after the first newline of its byte window, except at the start of
+    the file; a window without a newline keeps its partial line. Bytes of a character that
+    the window cuts become the replacement character. A page is at most
+    ``size`` bytes, which bounds the collect. For logs that are paged more than once,
+    :mod:`rolloom.operators.logstore` stores the offsets.
+    """
+    spans = byte_offsets(lines)
+    return cut_pages(spans, page_windows(spans.groupBy("run_id", "source").agg(F.max("end").alias("file_size")), size, before))
+
+
 def block_kind(line: Column) -> Column:
     """Kind announced by a line, or the empty string."""
     out = F.lit("")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.functions.text import count_matches
-from rolloom.operators import monitor
+from rolloom.operators import logstore, monitor
 from rolloom.operators.ordered import ranges, running_in
 from rolloom.plans.registry import as_long, query, table
-from rolloom.session import checkpointed
+from rolloom.session import checkpointed, work_path
 
 TAIL = 1_500
 
@@ -124,16 +126,30 @@ def display_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.order_for_display(statuses(spark, sf_dir)[0]).select("run_id", "status").limit(20)
 
 
+#: What is searched for in each scope.
+SEARCHES = {"all": 'VERIFY  {"k":', "run_id": "N-1 2", "status": "Unn", "files": "RESULT.json", "logs": "step 7"}
+
+
+def _found_sql(scope: str, text: str) -> str:
+    blob = "concat_ws(' ', b_run_id, b_status, b_files, b_logs)" if scope == "all" else f"b_{scope}"
+    return f"SELECT '{scope}' AS scope, run_id, status FROM blob WHERE " + " AND ".join(f"contains({blob}, '{w}')" for w in text.lower().split())
+
+
 @query(
     "run_search",
     f"""WITH {LINES_SQL},
-blob AS (SELECT s.run_id, s.status, lower(s.run_id || ' ' || s.status || ' ' || s.status || ' ' || coalesce((SELECT string_agg(path, ' ') FROM files f WHERE f.run_id = s.run_id), '') || ' '
-  || coalesce((SELECT string_agg(text, '' ORDER BY pos) FROM tail t WHERE t.run_id = s.run_id AND source = 'run.log'), '')) AS b FROM status s)
-SELECT run_id, status FROM blob WHERE contains(b, 'verify') AND contains(b, '{{"k":')""",
+blob AS (SELECT s.run_id, s.status, s.run_id AS b_run_id, lower(s.status || ' ' || s.status) AS b_status,
+  coalesce((SELECT lower(string_agg(path, ' ')) FROM files f WHERE f.run_id = s.run_id), '') AS b_files,
+  coalesce((SELECT lower(string_agg(text, '' ORDER BY pos)) FROM tail t WHERE t.run_id = s.run_id AND source = 'run.log'), '') AS b_logs FROM status s)
+"""
+    + " UNION ALL ".join(_found_sql(scope, text) for scope, text in SEARCHES.items()),
 )
 def run_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = monitor.search_runs(*statuses(spark, sf_dir), 'VERIFY  {"k":')
-    return found.select("run_id", "status")
+    """One search in each scope, through the stored postings."""
+    path = work_path(spark, "search")
+    logstore.write_search_index(*statuses(spark, sf_dir), path)
+    found = [logstore.search(spark, path, text, scope).select(F.lit(scope).alias("scope"), "run_id", "status") for scope, text in SEARCHES.items()]
+    return reduce(DataFrame.union, found)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -257,5 +273,8 @@ SELECT run_id, source, CASE WHEN source = 'run.log' THEN 'Run log' ELSE 'Verify
 FROM n JOIN o USING (run_id, source) GROUP BY run_id, source, size, st""",
 )
 def log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = monitor.log_pages(log_lines(spark, sf_dir).drop("ts"), 2000)
+    """The last page of every log, from the blocks that it shows."""
+    path = work_path(spark, "logs")
+    logstore.write_lines(log_lines(spark, sf_dir).drop("ts"), path, block_lines=16)
+    p = logstore.pages(spark, path, 2000)
     return p.select("run_id", "source", "label", "file_size", "start_offset", "end_offset", "has_more", F.md5("text").alias("text_md5"))
