@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rolloom.functions.jsonv import let
 from rolloom.session import checkpointed
 
 #: Characters between parts of one credential, and characters per block of the interval join.
@@ -32,7 +33,15 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 IDENT = r"""((?i:user|username|login|client_?id|key_?id|account))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})"""
 OPAQUE = r"[A-Za-z0-9+/]{32,}={0,2}"
-ENDPOINT = r"""(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;%=-]{4,}|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5})"""
+#: A URL with a scheme, or a run of host characters with a port. No group is repeated: the JVM
+#: matches those by recursion. A run is tried from its first character only and taken whole,
+#: with what follows the port, so long runs cost linear time; which of them are endpoints is
+#: told from the match.
+_URL, _HOST = r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;%=-]{4,}", "[A-Za-z0-9.-]"
+ENDPOINT = rf"(?:{_URL}|(?<!{_HOST}){_HOST}++:[0-9]{{2,}}{_HOST}*+)"
+#: The same matches for engines that know neither lookbehind nor possessive repeats.
+ENDPOINT_PLAIN = rf"(?:{_URL}|{_HOST}+:[0-9]{{2,}}{_HOST}*)"
+IS_URL, IS_HOST = "://", r"[A-Za-z0-9-]\.[A-Za-z0-9-]+:[0-9]{2,5}$"
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 STRONG = 3
 MASK = "[SECRET]"
@@ -45,10 +54,14 @@ def _matches(text: Column, kind: str, pattern: str, when: Column, group: int = 0
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if least else whole
     if kind == "opaque":
         ok = lambda p: p.rlike("[a-z]") & p.rlike("[A-Z]") & p.rlike("[0-9]")
+    elif kind == "endpoint":
+        ok = lambda p: p.contains(IS_URL) | p.rlike(IS_HOST)
     else:
         ok = lambda p: F.char_length(p) >= least
-    zipped = F.zip_with(whole, parts, lambda m, p: F.struct(F.char_length(m).alias("len"), ok(p).alias("ok")))
-    found = F.transform(zipped, lambda m, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("k"), F.get(gaps, i).alias("gap"), m["len"].alias("len"), m["ok"].alias("ok")))
+    # one pass over the arrays; the last gap, behind all matches, has none and goes
+    zipped = F.zip_with(F.zip_with(whole, parts, lambda m, p: F.struct(F.char_length(m).alias("len"), ok(p).alias("ok"))), gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    found = F.transform(zipped, lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("k"), x["g"].alias("gap"), x["m"]["len"].alias("len"), x["m"]["ok"].alias("ok")))
+    found = F.filter(found, lambda x: x["len"].isNotNull())
     return F.when(when, found).otherwise(F.array().cast("array<struct<kind:int,k:int,gap:int,len:int,ok:boolean>>"))
 
 
@@ -114,6 +127,20 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int
     return joined.select(F.col("id").alias(key), *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def _pieces(text: Column, begins: Column, ends: Column) -> Column:
+    """Parts of a text between given characters, each taken from its blocks: the text is walked once."""
+
+    def of(blocks: Column) -> Column:
+        def one(a: Column, b: Column) -> Column:
+            first = F.floor(a / BLOCK)
+            own = F.slice(blocks, (first + 1).cast("int"), (F.floor(F.greatest(b - 1, a) / BLOCK) - first + 1).cast("int"))
+            return F.substring(F.array_join(own, ""), (a - first * BLOCK + 1).cast("int"), (b - a).cast("int"))
+
+        return F.zip_with(begins, ends, one)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), of)
+
+
 def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """The rows of ``docs`` with every reported span replaced by ``MASK``; overlapping spans become one.
 
@@ -131,9 +158,8 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: st
     joined = packed.join(cuts, packed["id"].eqNullSafe(cuts["_id"]) & (packed["h"] == cuts["_h"]), "left")
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_cuts", lambda x: x["e"]))
     ends = F.concat(F.transform("_cuts", lambda x: x["s"]), F.array(F.char_length("t").cast("bigint")))
-    kept = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("t"), (a + 1).cast("int"), (b - a).cast("int")))
     clean = F.col("_cuts").isNull()
-    out = joined.withColumn("new", F.when(clean, F.col("t")).otherwise(F.array_join(kept, MASK)))
+    out = joined.withColumn("new", F.when(clean, F.col("t")).otherwise(F.array_join(_pieces(F.col("t"), begins, ends), MASK)))
     columns = []
     for c in docs.columns:
         own = F.col("row").getField(c)

@@ -11,7 +11,7 @@ def _quoted(pattern: str) -> str:
 
 def linked_secrets(scope: int = secrets.SCOPE) -> str:
     """The secret report: positions are running sums of matches and the pieces between them."""
-    patterns = [secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.IDENT, secrets.OPAQUE, secrets.ENDPOINT]
+    patterns = [secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.IDENT, secrets.OPAQUE, secrets.ENDPOINT_PLAIN]
     found = " UNION ALL ".join(
         f"SELECT rid, {i} AS kind, regexp_extract_all(t, {_quoted(p)}) AS m, string_split_regex(t, {_quoted(p)}) AS g, "
         + (f"regexp_extract_all(t, {_quoted(p)}, 2)" if i == 0 else "m")
@@ -24,7 +24,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 found AS ({found}),
 each AS (SELECT rid, kind, unnest(range(1, len(m) + 1)) AS i, m, g, p FROM found WHERE len(m) > 0),
 placed AS (SELECT rid, kind, length(m[i]) AS n,
-  CASE kind WHEN 0 THEN length(p[i]) >= 6 WHEN 4 THEN regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[0-9]') ELSE true END AS ok,
+  CASE kind WHEN 0 THEN length(p[i]) >= 6 WHEN 4 THEN regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[0-9]') WHEN 5 THEN contains(m[i], '{secrets.IS_URL}') OR regexp_matches(m[i], '{secrets.IS_HOST}') ELSE true END AS ok,
   sum(length(g[i]) + length(m[i])) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM each),
 parts AS (SELECT rid, kind, e - n AS s, e, CASE WHEN kind IN (0, 2, 4) THEN 'secret' WHEN kind IN (1, 3) THEN 'identifier' ELSE 'endpoint' END AS role FROM placed WHERE ok),
 kept AS (SELECT rid, kind, s, e FROM parts WHERE kind < 3 UNION ALL

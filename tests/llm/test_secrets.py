@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 
 from rolloom.llm import secrets
+from tests.test_long_texts import fresh
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 SHAPE = "doc_id long, text string, h string, n int"
@@ -45,6 +47,18 @@ def test_masking(spark):
     assert secrets.masked(docs).columns == docs.columns and secrets.masked(docs).count() == len(ROWS)
 
 
+def test_many_spans_across_blocks(spark):
+    rng = random.Random(7)
+    text = "".join(rng.choice(["é" * rng.randint(0, 700), "😀 ", f"token={rng.randint(10**6, 10**9)} ", "x\n"]) for _ in range(400))
+    spans = [(m.start(), m.end()) for m in ASSIGN.finditer(text)]
+    want = text
+    for s, e in reversed(spans):
+        want = want[:s] + secrets.MASK + want[e:]
+    docs = spark.createDataFrame([(1, text), (2, "token=abcdef"), (3, "token=abcdef" + "y" * 2000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.masked(docs).collect()}
+    assert len(spans) > 50 and got[1] == want and got[2] == secrets.MASK == got[3]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SHAPE)
     assert secrets.report(docs).collect() == [] and secrets.masked(docs).collect() == []
@@ -53,3 +67,40 @@ def test_empty_table(spark):
 def test_plan_has_no_python(spark):
     plan = secrets.report(spark.createDataFrame([(1, "x", "x", 0)], SHAPE).repartition(2))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan.replace("Scan ExistingRDD", "")) and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_endpoints_are_the_same_for_both_patterns():
+    rng = random.Random(4)
+    java = re.compile(secrets.ENDPOINT, re.A)
+    plain = re.compile(secrets.ENDPOINT_PLAIN, re.A)
+    for _ in range(20_000):
+        t = "".join(rng.choice(["a", "B", "-", ".", "..", ":", ":80", ":8080", "1", "22", " ", "http://", "é", "ab://", "/x"]) for _ in range(rng.randint(1, 14)))
+        assert [m.span() for m in java.finditer(t)] == [m.span() for m in plain.finditer(t)], t
+
+
+def test_endpoints_found_and_refused(spark):
+    lead = "token=abcdefgh "
+    cases = [("db.example.org:5432", True), ("localhost:5432", False), ("a.b:123456", False), ("..a.b:80", True), ("a..b:80", False), ("x.y:80/z", True), ("x.y:8", False), ("ftp://host", True), ("a.b:80801.c:99", False)]
+    docs = spark.createDataFrame([(i, lead + c, "x", 0) for i, (c, _) in enumerate(cases)], SHAPE)
+    got = {r["doc_id"]: "endpoint" in r["spans"] for r in secrets.report(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_texts_of_ten_megabytes(tmp_path):
+    """In a JVM of its own: interpreted code has the deepest frames."""
+    got = fresh(
+        """
+import time
+from rolloom.llm import secrets
+n = 10_000_000
+runs = ["a." * (n // 2), ":" * n, "password=" * (n // 9), "0" * n, "A1b" * (n // 3), "password=hunter22 : " + "a." * (n // 2), "token=abcdefgh " + "x.y:80 " * 100_000]
+for i, t in enumerate(runs):
+    docs = spark.createDataFrame([(i, t)], "doc_id long, text string").repartition(1)
+    s = time.time()
+    r = secrets.report(docs).select("n_assign", "n_access", "n_hex", F.length("spans").alias("n")).first()
+    m = secrets.masked(docs).select(F.length("text").alias("n")).first()
+    print("RESULT" if i == len(runs) - 1 else "", i, r, m, round(time.time() - s), flush=True)
+""",
+        tmp_path,
+    )
+    assert "6 Row(n_assign=1" in got
