@@ -28,7 +28,7 @@ spark.sparkContext.setLogLevel("OFF")
 def fresh(script, folder):
     """Run a script in a new process, and thus a new JVM; returns what it prints."""
     env = os.environ | {"PYTHONPATH": str(ROOT)}
-    done = subprocess.run([sys.executable, "-c", START + script, str(folder)], capture_output=True, text=True, env=env, timeout=600, cwd=folder)
+    done = subprocess.run([sys.executable, "-c", START + script, str(folder)], capture_output=True, text=True, env=env, timeout=240, cwd=folder)
     assert done.returncode == 0, done.stderr[-3000:]
     return done.stdout.split("RESULT ")[-1]
 
