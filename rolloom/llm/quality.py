@@ -189,6 +189,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def examples(found: DataFrame, names: list[str], sample: int) -> DataFrame:
+    """At most ``sample`` different labelled rows, first in the order of a hash: a repeated key adds no more than that."""
+    different = found.select("_key", "bad", *names).distinct()
+    return different.orderBy(F.xxhash64("_key", "bad", *names), "_key", "bad", *names).limit(sample).orderBy("_key", "bad", *names)
+
+
 def judged(docs: DataFrame, labels: DataFrame, learned_from: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[DataFrame, list[list[Condition]]]:
     """Per row the key, the counts, ``base_failed`` and ``kept``; and the rules.
 
@@ -202,7 +208,7 @@ def judged(docs: DataFrame, labels: DataFrame, learned_from: Column | None = Non
     thin = given.where(h < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
     names = [*RATES, *COUNTS]
     # the base rule has its own say: the list learns from what passes it
-    got = stats.where(~base_failed()).join(thin, F.col("id") == F.col("_key")).select("_key", "bad", *names).orderBy("_key", "bad", *names).toPandas()
+    got = examples(stats.where(~base_failed()).join(thin, F.col("id") == F.col("_key")), names, sample).toPandas()
     rules = learn({c: got[c].to_numpy(float) for c in names}, got["bad"].to_numpy(bool)) if len(got) else []
     out = stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
     return out.select(F.col("id").alias(key), *COUNTS, "base_failed", "kept"), rules

@@ -100,11 +100,24 @@ def _sampled(labels: DataFrame, key: str, label: str, positives: int, negatives:
     return given.where(h < share * (1 << 30)).dropDuplicates(["_key", "y"])
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, n_features: int = FEATURES) -> Model:
-    """Fit the classifier on a bounded sample of the labels given."""
+def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, positives: int, negatives: int) -> DataFrame:
+    """``id, y, t``: at most ``positives`` and ``negatives`` labelled texts, whatever the keys hold.
+
+    Equal texts of a key count once, and of the texts that drawn keys have, those first in the
+    order of a hash are taken: a key that repeats a million times adds no more than the bound.
+    """
     drawn = F.broadcast(checkpointed(_sampled(labels, key, label, positives, negatives), "labels"))
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(drawn, F.col("id") == F.col("_key")).select("id", "y", F.coalesce("t", F.lit("")).alias("t"))
-    texts = checkpointed(texts, "labelled")
+    whole = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    held = checkpointed(whole.select("id", "h").join(drawn, F.col("id") == F.col("_key")).select("id", "y", "h").distinct(), "labelled-keys")
+    order = (F.xxhash64("id", "h", F.lit("toxic")), F.col("id"), F.col("h"))
+    kept = held.where("y = 1").orderBy(*order).limit(positives).union(held.where("y = 0").orderBy(*order).limit(negatives))
+    found = whole.join(F.broadcast(checkpointed(kept, "labelled-kept")), ["id", "h"])
+    return found.dropDuplicates(["id", "y", "h"]).select("id", "y", "t")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, n_features: int = FEATURES) -> Model:
+    """Fit the classifier on at most ``positives + negatives`` labelled texts."""
+    texts = checkpointed(labelled(docs, labels, key, text, label, positives, negatives), "labelled")
     total = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), None)

@@ -62,3 +62,9 @@ def test_list_keeps_its_order_and_covers_two_kinds():
     for r in rules:
         hit |= quality._covers(r, {"a": a, "b": b}, 600)
     assert (hit == bad).mean() > 0.97 and len(rules) >= 2
+
+
+def test_a_repeated_key_adds_no_more_than_the_bound(spark):
+    rows = [(1, i % 2 == 0, float(i)) for i in range(3000)] + [(2, True, 1.0)] * 3000
+    found = spark.createDataFrame(rows, "_key long, bad boolean, x double")
+    assert quality.examples(found, ["x"], 20).count() == 20 and quality.examples(found, ["x"], 10_000).count() == 3001

@@ -50,3 +50,12 @@ def test_no_labels_and_empty_table(spark):
     model = toxicity.train(docs, labels.limit(0))
     assert {tuple(r)[1:] for r in toxicity.score(docs, model, ["doc_id"]).collect()} == {(0.0, 0)}
     assert toxicity.score(docs.limit(0), model, ["doc_id"]).collect() == []
+
+
+def test_a_repeated_key_adds_no_more_than_the_bound(spark):
+    rows = [(1, f"you are a fool {i}") for i in range(3000)] + [(2, "kind words")] * 3000 + [(i, f"plain {i}") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 60)], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 10, 200).collect()
+    assert sum(r["y"] for r in got) == 10 and sum(r["id"] == 2 for r in got) <= 1 and len(got) <= 10 + 58
+    assert sorted(map(str, got)) == sorted(map(str, toxicity.labelled(docs.repartition(7), labels, "doc_id", "text", "toxic", 10, 200).collect()))
