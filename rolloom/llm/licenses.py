@@ -1,17 +1,22 @@
 """License scans by a trained paragraph classifier with template confirmation.
 
-A paragraph is a line of a text. Its features are its words, in lower case and without
-outer punctuation, and pairs of neighbouring words, as far as the templates have them.
-Multinomial logistic regression on these sparse features tells license families apart and
-from other text. It is trained on the templates below in many variants (cut, with words
-missing, inside other text), on hard sentences that use the same words otherwise, and on a
-bounded sample of the corpus's own paragraphs. A temperature fitted on variants kept back
-calibrates the probabilities; below ``LEAST`` a paragraph with license words is
-``unknown``. A prediction is confirmed when the paragraph holds enough of a template of
-the family, in word triples.
-
-All lines of whole texts are scored, without a shuffle. Null and empty texts have no
-lines; repeated rows give repeated results; a null key is carried.
+A paragraph is a run of lines with words; lines without any (blank ones, or comment marks
+alone) divide paragraphs. Line ends are white space, and marks at the edges of words fall
+away, so a notice wrapped at any column, with or without comment marks, has the words of its
+template in a row. Scored are all lines, and in paragraphs of several lines or many words also
+overlapping windows of ``WINDOW`` words, so that neither a line end nor text around a notice
+hides it. Features are words in lower case and pairs of neighbouring words, as far as the
+templates have them. Multinomial logistic regression on these sparse features tells license
+families apart and from other text. It is trained on the templates below in many variants
+(cut, with words missing, inside other text), on hard sentences that use the same words
+otherwise, and on a bounded sample of the corpus's own lines and windows. A temperature fitted
+on variants kept back calibrates the probabilities; below ``LEAST`` a line with license words
+is ``unknown``. A prediction is confirmed when its span holds enough of a template of the
+family, in word triples. Overlapping windows of one family are one finding; a line that is
+confirmed by itself stands for the windows over it.
+
+Whole texts are scored, without a shuffle. Null and empty texts have no lines; repeated rows
+give repeated results; a null key is carried.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from rolloom.llm.arrow_text import lookup, map_text, mix, slices, span_hashes, w
 
 #: Corpus paragraphs trained on at most, variants of a template, least probability, and least share of a template's triples.
 PARAGRAPHS, VARIANTS, LEAST, CONFIRM = 4_000, 40, 0.8, 0.6
+#: Words of a window and between the starts of two windows.
+WINDOW, STRIDE = 48, 24
 #: Notices by which licenses are given, by family.
 TEMPLATES = {
     "apache-2.0": [
@@ -112,12 +119,65 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return (span_hashes(w.data, start, end - start) if len(start) else np.zeros(0, np.uint64)), row, feeds[start] - first[row], first
 
 
-def grams(h: np.ndarray, row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature hashes (words and pairs inside lines) with rows, lines and the first token of each."""
-    same = np.flatnonzero((row[:-1] == row[1:]) & (line[:-1] == line[1:])) if len(h) > 1 else np.zeros(0, np.int64)
-    pairs = mix(h[same] * _PAIR + h[same + 1])
-    at = np.concatenate([np.arange(len(h)), same])
-    return np.concatenate([h, pairs]), row[at], line[at], at
+def hits(h: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of features among words: first word, feature, and words it takes (1, or 2 for a pair), by first word."""
+    pairs = mix(h[:-1] * _PAIR + h[1:]) if len(h) > 1 else np.zeros(0, np.uint64)
+    one, two = lookup(feature, h), lookup(feature, pairs)
+    at = np.concatenate([np.flatnonzero(one >= 0), np.flatnonzero(two >= 0)])
+    order = np.argsort(at, kind="stable")
+    found = np.concatenate([one[one >= 0], two[two >= 0]])
+    size = np.concatenate([np.ones(int((one >= 0).sum()), np.int64), np.full(int((two >= 0).sum()), 2)])
+    return at[order], found[order], size[order]
+
+
+@dataclass
+class Units:
+    """What is scored: word ranges with their paragraph, and whether they are lines or windows."""
+
+    start: np.ndarray
+    end: np.ndarray
+    paragraph: np.ndarray
+    is_line: np.ndarray
+
+
+def units(row: np.ndarray, line: np.ndarray) -> Units:
+    """Lines, and windows of the paragraphs that have several lines or more words than a window."""
+    none = np.zeros(0, np.int64)
+    if not len(row):
+        return Units(none, none, none, none.astype(bool))
+    new_row = np.concatenate([[True], row[1:] != row[:-1]])
+    step = np.concatenate([[2], line[1:] - line[:-1]])
+    first = np.flatnonzero(new_row | (step != 0))
+    last = np.append(first[1:], len(row))
+    begins = np.flatnonzero(new_row | (step > 1))
+    ends = np.append(begins[1:], len(row))
+    paragraph = np.searchsorted(begins, first, side="right") - 1
+    n_lines = np.bincount(paragraph, minlength=len(begins))
+    wide = np.flatnonzero((n_lines > 1) | (ends - begins > WINDOW))
+    many = 1 + np.maximum(0, -(-(ends - begins - WINDOW) // STRIDE))[wide]
+    own = np.repeat(wide, many)
+    number = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+    left = begins[own] + number * STRIDE
+    right = np.minimum(left + WINDOW, ends[own])
+    flag = np.concatenate([np.ones(len(first), bool), np.zeros(len(own), bool)])
+    return Units(np.concatenate([first, left]), np.concatenate([last, right]), np.concatenate([paragraph, own]), flag)
+
+
+def features_of(u: Units, h: np.ndarray, feature: np.ndarray, cues: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units that hold features (or cues among them, if given), and each one's different features: unit, owner, feature."""
+    at, x, size = hits(h, feature)
+    a, b = np.searchsorted(at, u.start), np.searchsorted(at, u.end)
+    if cues is None:
+        chosen = np.flatnonzero(b > a)
+    else:
+        total = np.concatenate([[0], np.cumsum(cues[x])])
+        chosen = np.flatnonzero(total[b] > total[a])
+    many = (b - a)[chosen]
+    owner = np.repeat(np.arange(len(chosen)), many)
+    place = np.arange(len(owner)) + np.repeat(a[chosen] - (np.cumsum(many) - many), many)
+    inside = at[place] + size[place] <= u.end[chosen][owner]
+    code = np.unique(owner[inside] * len(feature) + x[place[inside]])
+    return chosen, code // len(feature), code % len(feature)
 
 
 def _triples(h: np.ndarray) -> set[int]:
@@ -155,34 +215,37 @@ def train(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] =
     """Fit the classifier on template variants and at most ``paragraphs`` paragraphs of the corpus."""
     families = [NONE, *templates]
     rng = np.random.default_rng(seed)
-    own = [grams(*tokens(pa.array([t]))[:3])[0] for ts in templates.values() for t in ts]
+    def all_features(text: str) -> np.ndarray:
+        h = tokens(pa.array([text]))[0]
+        return np.concatenate([h, mix(h[:-1] * _PAIR + h[1:])])
+
+    own = [all_features(t) for ts in templates.values() for t in ts]
     feature = np.unique(np.concatenate(own))
     triples = {f: [_triples(tokens(pa.array([t]))[0]) for t in ts] for f, ts in templates.items()}
     filler = sorted({w for t in OTHERS for w in t.lower().strip(".").split()})
 
-    def rows_of(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        h, row, line, _ = grams(*tokens(column)[:3])
-        at = lookup(feature, h)
-        hit = at >= 0
-        code = np.unique((row[hit] << 40 | line[hit]) * len(feature) + at[hit]) if hit.any() else np.zeros(0, np.int64)
-        keys, first = np.unique(code // len(feature), return_index=True)
-        return np.split(code % len(feature), first[1:]) if len(keys) else [], keys >> 40, keys & ((1 << 40) - 1)
+    def rows_of(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Features of the units of texts, and the row of each."""
+        h, row, line, _ = tokens(column)
+        u = units(row, line)
+        chosen, owner, x = features_of(u, h, feature)
+        return np.split(x, np.searchsorted(owner, np.arange(1, len(chosen)))) if len(chosen) else [], row[u.start[chosen]]
 
     def corpus():
         def each(column):
-            lists, row, line = rows_of(column)
+            lists, row = rows_of(column)
             out: list[list] = [[] for _ in range(len(column))]
-            for x, r, n in zip(lists, row, line, strict=True):
-                out[r].append({"line": int(n), "x": x.tolist()})
-            return [pa.array(out, pa.list_(pa.struct([("line", pa.int64()), ("x", pa.list_(pa.int32()))])))]
+            for x, r in zip(lists, row, strict=True):
+                out[r].append({"place": len(out[r]), "x": x.tolist()})
+            return [pa.array(out, pa.list_(pa.struct([("place", pa.int64()), ("x", pa.list_(pa.int32()))])))]
 
         return each
 
     n = docs.count()
     h = F.pmod(F.xxhash64(text, F.lit("licenses")), F.lit(1 << 30))
     thin = docs.where(h < int(min(1.0, paragraphs / 4 / max(n, 1)) * (1 << 30))).select(F.col(text).alias("t"), h.alias("h"))
-    found = map_text(thin, "t", ["h"], {"f": "array<struct<line:bigint,x:array<int>>>"}, corpus).select("h", F.inline("f"))
-    drawn = [np.array(r["x"], np.int64) for r in found.orderBy(F.xxhash64("h", "line"), "h", "line", F.col("x").cast("string")).limit(paragraphs).collect()]
+    found = map_text(thin, "t", ["h"], {"f": "array<struct<place:bigint,x:array<int>>>"}, corpus).select("h", F.inline("f"))
+    drawn = [np.array(r["x"], np.int64) for r in found.orderBy(F.xxhash64("h", "place"), "h", "place", F.col("x").cast("string")).limit(paragraphs).collect()]
     # paragraphs that look like a template are no examples of other text
     whole = [set(lookup(feature, g).tolist()) for g in own]
     drawn = [x for x in drawn if not any(len(w & set(x.tolist())) >= 0.7 * len(w) for w in whole)]
@@ -236,44 +299,102 @@ def _fit(xs: list[np.ndarray], y: np.ndarray, n: int, classes: int, steps: int =
     return w, b
 
 
+@dataclass
+class Finding:
+    """A span of words taken for a notice."""
+
+    start: int
+    end: int
+    family: str
+    probability: float
+    similarity: float = 0.0
+    confirmed: bool = False
+
+
+def _similarity(h: np.ndarray, f: Finding, triples: dict[str, list[set[int]]]) -> float:
+    mine = _triples(h[f.start : f.end])
+    return max(len(mine & t) / len(t) for t in triples[f.family])
+
+
+def _trimmed(h: np.ndarray, f: Finding, triples: dict[str, list[set[int]]]) -> None:
+    """Cut a span of windows to the words of its family's templates."""
+    known = set().union(*triples[f.family])
+    at = [i for i in range(f.start, max(f.start + 1, f.end - 2)) if hash(tuple(h[i : i + 3].tolist())) in known]
+    if at:
+        f.start, f.end = at[0], min(f.end, at[-1] + 3)
+
+
+def findings(h: np.ndarray, u: Units, chosen: np.ndarray, p: np.ndarray, model: Model, least: float, confirm: float) -> list[Finding]:
+    """Findings from the probabilities of units, paragraph by paragraph."""
+    best = p.argmax(1)
+    out: list[Finding] = []
+    by_paragraph: dict[int, list[int]] = {}
+    for i in np.flatnonzero(best > 0).tolist():
+        by_paragraph.setdefault(int(u.paragraph[chosen[i]]), []).append(i)
+    overlap = lambda f, g: f.start < g.end and g.start < f.end
+    for members in by_paragraph.values():
+        lines, windows, doubts = [], [], []
+        for i in members:
+            k = chosen[i]
+            f = Finding(int(u.start[k]), int(u.end[k]), model.families[int(best[i])], float(p[i, best[i]]))
+            if f.probability >= least:
+                (lines if u.is_line[k] else windows).append(f)
+            elif u.is_line[k]:
+                f.similarity, f.family = _similarity(h, f, model.triples), UNKNOWN
+                doubts.append(f)
+        for f in lines:
+            f.similarity = _similarity(h, f, model.triples)
+            f.confirmed = f.similarity >= confirm
+        sure = [f for f in lines if f.confirmed]
+        merged: list[Finding] = []
+        for f in sorted(windows, key=lambda f: f.start):
+            if any(overlap(f, g) and f.family == g.family for g in sure):
+                continue
+            near = next((g for g in merged if g.family == f.family and overlap(f, g)), None)
+            if near:
+                near.end, near.probability = max(near.end, f.end), max(near.probability, f.probability)
+            else:
+                merged.append(f)
+        for f in merged:
+            f.similarity = _similarity(h, f, model.triples)
+            f.confirmed = f.similarity >= confirm
+            _trimmed(h, f, model.triples)
+        wide = [f for f in merged if f.confirmed]
+        sure += wide
+        # what is not confirmed stands only where nothing confirmed does; a line goes before windows
+        rest = [f for f in lines if not f.confirmed and not any(overlap(f, g) for g in wide)]
+        rest += [f for f in merged if not f.confirmed and not any(overlap(f, g) for g in [*sure, *rest])]
+        out += sure + rest + [f for f in doubts if not any(overlap(f, g) for g in [*sure, *rest])]
+    return out
+
+
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
-    """One row per line that gives a license or may: the key, ``line``, ``family``, ``probability``, ``similarity``, ``confirmed``.
+    """One row per finding: the key, ``line`` (its first, from 0), ``last_line``, ``family``, ``probability``, ``similarity``, ``confirmed``.
 
-    ``family`` is ``unknown`` where license words stand but no family is likely enough.
+    ``family`` is ``unknown`` where license words stand in a line but no family is likely enough.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
         now = Model(**shared.value)
-        size, classes = len(now.feature), len(now.families)
+        classes = len(now.families)
         for batch in batches:
             for part in slices(batch, "t"):
                 h, row, line, _ = tokens(part.column(1))
-                g, g_row, g_line, _ = grams(h, row, line)
-                at = lookup(now.feature, g)
-                hit = at >= 0
-                code = np.unique((g_row[hit] << 40 | g_line[hit]) * size + at[hit]) if hit.any() else np.zeros(0, np.int64)
-                keys, first = np.unique(code // size, return_index=True)
-                owner = np.repeat(np.arange(len(keys)), np.diff(np.append(first, len(code))))
-                x = code % size
-                cued = np.bincount(owner, now.cues[x], len(keys)) > 0
-                z = np.stack([np.bincount(owner, now.weight[x, c], len(keys)) for c in range(classes)], 1) + now.bias if len(keys) else np.zeros((0, classes))
-                p = _softmax(z * now.heat)
-                out: list[tuple] = []
-                place = row << 40 | line
-                for i in np.flatnonzero(cued & (p.argmax(1) > 0)):
-                    best = int(p[i].argmax())
-                    a, b = np.searchsorted(place, [keys[i], keys[i] + 1])
-                    mine = _triples(h[a:b])
-                    same = max(len(mine & t) / len(t) for t in now.triples[now.families[best]])
-                    likely = p[i, best] >= least
-                    out.append((int(keys[i] >> 40), int(keys[i] & ((1 << 40) - 1)), now.families[best] if likely else UNKNOWN, float(p[i, best]), same, bool(likely and same >= confirm)))
-                rows, lines_, family, probability, similar, confirmed = zip(*out, strict=True) if out else ([],) * 6
+                u = units(row, line)
+                chosen, owner, x = features_of(u, h, now.feature, now.cues)
+                z = np.stack([np.bincount(owner, now.weight[x, c], len(chosen)) for c in range(classes)], 1) + now.bias if len(chosen) else np.zeros((0, classes))
+                found = findings(h, u, chosen, _softmax(z * now.heat), now, least, confirm) if len(chosen) else []
+                at = np.array([f.start for f in found], np.int64)
+                last = np.array([f.end - 1 for f in found], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(lines_, pa.int64()), pa.array(family, pa.string()), pa.array(probability, pa.float64()), pa.array(similar, pa.float64()), pa.array(confirmed, pa.bool_())],
-                    ["id", "line", "family", "probability", "similarity", "confirmed"],
+                    [
+                        part.column(0).take(pa.array(row[at], pa.int64())), pa.array(line[at], pa.int64()), pa.array(line[last], pa.int64()), pa.array([f.family for f in found], pa.string()),
+                        pa.array([f.probability for f in found], pa.float64()), pa.array([f.similarity for f in found], pa.float64()), pa.array([f.confirmed for f in found], pa.bool_()),
+                    ],
+                    ["id", "line", "last_line", "family", "probability", "similarity", "confirmed"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line bigint, family string, probability double, similarity double, confirmed boolean")
-    return found.toDF(key, "line", "family", "probability", "similarity", "confirmed")
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, line bigint, last_line bigint, family string, probability double, similarity double, confirmed boolean")
+    return found.toDF(key, "line", "last_line", "family", "probability", "similarity", "confirmed")
