@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions import jsonv
 from rolloom.functions.text import render_prompt
-from rolloom.operators.ordered import number_rows
+from rolloom.operators.ordered import Order, number_rows
 
 # Names, templates and commands of the sample formats.
 SEARCH_AGENT = "search_agent"
@@ -103,7 +103,7 @@ def build_search_samples(raw: DataFrame, system: str, prefix: str = QUESTION_PRE
     )
 
 
-def positional_split(df: DataFrame, order: str, n_train: int, n_test: int) -> DataFrame:
+def positional_split(df: DataFrame, order: Order, n_train: int, n_test: int) -> DataFrame:
     """First ``n_train`` rows to train, the next ``n_test`` to test, with a per-split ``index`` from 0.
 
     Too few rows is an error, found by a count before anything is written.

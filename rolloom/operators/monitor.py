@@ -165,9 +165,14 @@ def order_runs(runs: DataFrame) -> DataFrame:
     return runs.orderBy("created_at", "run_id")
 
 
+def display_order() -> list[Column]:
+    """Completed runs last, otherwise oldest first, ties by id."""
+    return [F.col("status") == "completed", F.col("created_at"), F.col("run_id")]
+
+
 def order_for_display(runs: DataFrame) -> DataFrame:
     """Completed runs last, otherwise oldest first."""
-    return runs.orderBy((F.col("status") == "completed").cast("int"), "created_at", "run_id")
+    return runs.orderBy(*display_order())
 
 
 def search_runs(runs: DataFrame, files: DataFrame, tail: DataFrame, text: str, mode: str = "all", status: str = "all") -> DataFrame:

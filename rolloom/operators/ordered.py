@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rolloom.session import checkpointed
+
+Order = str | Column | Sequence[str | Column]
+
 #: Consecutive positions handled by one task-local window.
 CHUNK_ROWS = 65_536
 
@@ -62,17 +65,24 @@ def _running(df, keys, order, sums, lasts):
     return joined.withColumns(out).drop(*inputs, *[f"_k_{k}" for k in keys], "_k_chunk", *[f"_p_{n}" for n in {**sums, **lasts}])
 
 
-def ranges(df: DataFrame, order: str, name: str, buckets: int = 1000) -> DataFrame:
-    """Add the number of the quantile range that ``order``, read as a double, falls in.
+def _parts(df: DataFrame, buckets: int | None) -> int:
+    return buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _listed(order: Order) -> list[str | Column]:
+    return [order] if isinstance(order, str | Column) else list(order)
 
-    The ranges hold about equally many rows, whatever the distribution is; equal values
-    share one.
+
+def ranges(df: DataFrame, order: Order, name: str, buckets: int | None = None) -> DataFrame:
+    """Add the number of the range of ``order`` that a row falls in, rising along it.
+
+    ``order`` is one column or several of any types; as many ranges as shuffle partitions are
+    cut at sampled rows, so they hold about equally many whatever the distribution is. With a
+    tie-break among the columns, a value that a third of all rows share is cut as well. The
+    rows are written once: ranges drawn anew would differ.
     """
-    as_double = df.withColumn("_d", F.col(order).cast("double"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(as_double.approxQuantile("_d", probs, 0.25 / buckets)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol="_d", outputCol=name, handleInvalid="keep").transform(as_double).drop("_d")
+    ranged = df.repartitionByRange(_parts(df, buckets), *_listed(order))
+    return checkpointed(ranged.withColumn(name, F.spark_partition_id()), "ranges")
 
 
 def running_in(
@@ -96,22 +106,19 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     return running_in(df, keys, order, bucket, sums={name: F.lit(1)})
 
 
-def number_rows(df: DataFrame, order: str, name: str = "rn", buckets: int = 1000) -> DataFrame:
-    """1-based global row number by a numeric column without ties.
+def number_rows(df: DataFrame, order: Order, name: str = "rn", buckets: int | None = None) -> DataFrame:
+    """1-based global row number by one column or several, of any types; rows equal in all are in any order.
 
-    The column's quantiles give at most ``buckets`` ranges, so the table of range
-    sizes is small however large the input is; no task sees more than one range.
+    Rows are dealt by range and sorted, and written with their place in their range; the sizes
+    of the ranges, one row each, are summed up and broadcast.
     """
-    ranged = ranges(df, order, "_chunk", buckets)
-    sizes = ranged.groupBy("_chunk").agg(F.count("*").alias("_n"))
-    # at most `buckets` rows: safe to number in one task and to broadcast
-    starts = sizes.select(
-        F.col("_chunk").alias("_s"),
-        F.coalesce(F.sum("_n").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-    )
-    inside = F.row_number().over(W.partitionBy("_chunk").orderBy(order))
-    return (
-        ranged.join(F.broadcast(starts), F.col("_chunk") == F.col("_s"))
-        .withColumn(name, inside + F.col("_before"))
-        .drop("_chunk", "_s", "_before")
-    )
+    by = _listed(order)
+    dealt = df.repartitionByRange(_parts(df, buckets), *by).sortWithinPartitions(*by)
+    placed = checkpointed(dealt.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    # the upper bits of the id are the range, the lower ones the place in it
+    placed = placed.withColumns({"_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_range").alias("_s"), before.alias("_before"))
+    numbered = placed.join(F.broadcast(starts), F.col("_range") == F.col("_s"))
+    return numbered.withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_id", "_range", "_place", "_s", "_before")

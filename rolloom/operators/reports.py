@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.operators.ordered import number_rows
+from rolloom.operators.ordered import Order, number_rows
 
 
 def row_score(token_scores: Column) -> Column:
@@ -98,12 +98,12 @@ def tool_call_counts(steps: DataFrame) -> DataFrame:
     )
 
 
-def limit_samples(samples: DataFrame, n: int, order: str) -> DataFrame:
+def limit_samples(samples: DataFrame, n: int, order: Order) -> DataFrame:
     """The first ``n`` samples by an order column; ``n <= 0`` keeps all."""
     return samples if n <= 0 else samples.orderBy(order).limit(n)
 
 
-def assign_chunks(samples: DataFrame, order: str, workers: int = 8) -> DataFrame:
+def assign_chunks(samples: DataFrame, order: Order, workers: int = 8) -> DataFrame:
     """Contiguous ceil-sized chunks: adds ``chunk`` 0..workers-1."""
     size = (samples.count() - 1) // workers + 1
     numbered = number_rows(samples, order, "_rn")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rolloom.functions.text import completion_tokens
 from rolloom.operators import reports, trajectories
@@ -18,7 +19,7 @@ MAX_TURNS = 20
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as the steps of a run, in time order."""
     e = table(spark, sf_dir, "events")
-    e = ranges(e.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), "_us", "_range", 200)
+    e = ranges(e, ["ts", "event_id"], "_range")
     e = number_within(e, ["user_id"], ["ts", "event_id"], F.col("_range"), "step_idx")
     kind = F.col("event_type")
     return e.select(
@@ -292,8 +293,10 @@ def turn_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM conversations GROUP BY conv_id""",
 )
 def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a run whose loop failed; its turn numbers stand for the prompt."""
-    prompts = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.array_sort(F.collect_list("turn")).alias("prompt_ids"))
+    """Every conversation as a run whose loop failed; its turn numbers stand for the prompt, cut before they are collected."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    first = table(spark, sf_dir, "conversations").select("conv_id", "turn").withColumn("place", place).where("place <= 4")
+    prompts = first.groupBy(F.col("conv_id").alias("run_id")).agg(F.array_sort(F.collect_list("turn")).alias("prompt_ids"))
     rows = trajectories.failed_rows(prompts, 4, 100, pad_id=7)
     total = F.aggregate("response_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
     flat = rows.select("run_id", F.size("prompt_ids").alias("n_prompt"), F.size("response_ids").alias("n_response"), total.alias("pad_sum"), "reward_score", "traj_masked", "traj_exit_reason")
@@ -307,9 +310,10 @@ def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def routed_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty expert ids per run, cut to its prompt (all turns) and response (assistant turns)."""
-    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(
-        F.collect_list("turn").alias("prompt_ids"), F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("response_ids")
-    )
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.count("*").alias("p"), F.count_if(F.col("role") == "assistant").alias("r"))
+    # no more than the forty experts can be kept: longer arrays need not be built
+    ids = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(1).cast("bigint"), F.least(F.col(n), F.lit(40)))).otherwise(F.array().cast("array<bigint>"))
+    c = c.select("run_id", ids("p").alias("prompt_ids"), ids("r").alias("response_ids"))
     cut = trajectories.cut_routed_experts(c.withColumn("routed_experts", F.sequence(F.lit(1), F.lit(40))))
     total = F.aggregate("routed_experts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return as_long(cut.select("run_id", F.size("routed_experts").alias("n_kept"), total.alias("expert_sum")), "n_kept")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.text import count_matches
 from rolloom.operators import logstore, monitor
-from rolloom.operators.ordered import ranges, running_in
+from rolloom.operators.ordered import number_rows, ranges, running_in
 from rolloom.plans.registry import as_long, query, table
 from rolloom.session import checkpointed, work_path
 
@@ -31,7 +31,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     texts = F.when(kind == "view", F.array(F.concat(head, message), F.concat(F.lit("payload "), "props"))).otherwise(F.array(F.concat(head, message)))
     e = e.withColumn("_t", texts)
-    e = ranges(e.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), "_us", "_range", 200)
+    e = ranges(e, ["ts", "event_id"], "_range")
     e = running_in(e, ["user_id"], ["ts", "event_id"], F.col("_range"), sums={"_end": F.size("_t")})
     source = F.when(F.pmod("user_id", F.lit(10)) == 9, "verify.log").otherwise("run.log")
     lines = e.select(
@@ -106,12 +106,8 @@ def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("run_order", f"WITH {LINES_SQL} SELECT run_id, status, row_number() OVER (ORDER BY CAST(status = 'completed' AS INT), created_at, run_id) AS place FROM status")
 def run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rolloom.operators.ordered import number_rows
-
-    s, _, _ = statuses(spark, sf_dir)
-    # completed runs are placed behind every creation time
-    key = F.col("created_at") + F.when(F.col("status") == "completed", 1e12).otherwise(0.0)
-    return number_rows(s.withColumn("_key", key), "_key", "place").select("run_id", "status", "place")
+    """Place of every run in the order of display."""
+    return number_rows(statuses(spark, sf_dir)[0], monitor.display_order(), "place").select("run_id", "status", "place")
 
 
 @query("oldest_runs", f"WITH {LINES_SQL} SELECT run_id, created_at FROM status ORDER BY created_at, run_id LIMIT 20")

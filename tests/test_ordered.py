@@ -49,3 +49,23 @@ def test_ranges_bound_a_skewed_order(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 2900, F.col("id") / 1e6).otherwise(F.col("id")).alias("v"))
     sizes = [r["count"] for r in ranges(df, "v", "_r", 30).groupBy("_r").count().collect()]
     assert max(sizes) < 3000 / 10
+
+
+def test_one_value_of_a_third_of_the_rows_is_cut_by_the_tie_break(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), F.col("id") * 7919 % 6000)).alias("t"), (F.col("id") * 31 % 6000).alias("tie"))
+    ranged = ranges(df, ["t", "tie"], "_r", 24)
+    sizes = [r["count"] for r in ranged.groupBy("_r").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) < 600 and ranged.where("t = 'same'").select("_r").distinct().count() >= 6
+    got = number_rows(df, ["t", "tie"], buckets=24).orderBy("rn").collect()
+    assert [r["rn"] for r in got] == list(range(1, 6001)) and [(r["t"], r["tie"]) for r in got] == sorted((r["t"], r["tie"]) for r in got)
+    keyed = ranged.withColumn("k", F.lit("hot"))
+    inside = number_within(keyed, ["k"], ["t", "tie"], F.col("_r")).orderBy("rn").collect()
+    assert [(r["t"], r["tie"], r["rn"]) for r in inside] == [(r["t"], r["tie"], r["rn"]) for r in got]
+
+
+def test_orders_of_any_type_and_direction_nulls_and_repeats(spark):
+    rows = [(None, 1), ("b", None), ("a", 2), ("a", 2), ("a", 1), (None, None)]
+    df = spark.createDataFrame(rows, "s string, n int")
+    got = number_rows(df, [F.desc("s"), "n"], buckets=3).orderBy("rn").collect()
+    assert [(r["s"], r["n"]) for r in got] == [("b", None), ("a", 1), ("a", 2), ("a", 2), (None, None), (None, 1)]
+    assert number_rows(df.limit(0), "s").collect() == [] and number_rows(df, F.col("n"), buckets=50).count() == 6
