@@ -15,6 +15,9 @@ MISSING_TEXT = "Text field missing"
 NO_RESULTS = "No results found for this query."
 QUERY_RULE = "---"
 
+#: Hash ranges of urls with a sketch each, and the binary logarithm of a sketch's registers.
+URL_PARTS, SKETCH_LG = 64, 12
+
 
 def _has_url(c: str = "url") -> Column:
     return F.coalesce(F.col(c) != "", F.lit(False))
@@ -107,6 +110,37 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
     return per_url.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_docs"), F.count("url").alias("n_urls"))
 
 
+def url_sketches(corpus: DataFrame, parts: int = URL_PARTS, lg_size: int = SKETCH_LG) -> DataFrame:
+    """``part, n_docs, n_with_url, sketch``: counts and a sketch of the urls of each hash range.
+
+    Sketches of the same part merge, so those of new passages are stored beside the old ones.
+    """
+    url = F.when(_has_url(), F.col("url"))
+    part = F.pmod(F.xxhash64(url), F.lit(parts)).cast("int").alias("part")
+    return corpus.groupBy(part).agg(F.count("*").alias("n_docs"), F.count(url).alias("n_with_url"), F.hll_sketch_agg(F.coalesce(url, F.lit("")), F.lit(lg_size)).alias("sketch"))
+
+
+def add_sketches(corpus: DataFrame, path: str, **sizes: int) -> None:
+    """Store the sketches of passages that arrived, beside those already there."""
+    url_sketches(corpus, **sizes).write.mode("append").parquet(path)
+
+
+def sketched_stats(sketches: DataFrame) -> DataFrame:
+    """Documents, and about how many unique urls, from stored sketches; parts share no url, so their numbers add up.
+
+    Passages without a url are sketched as one empty url in the part of null; it is taken off.
+    """
+    merged = sketches.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_with_url").alias("u"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+    without = (F.col("u") < F.col("n_docs")).cast("bigint")
+    urls = F.sum(F.when(F.col("u") > 0, F.greatest(F.col("n") - without, F.lit(1))).otherwise(0))
+    return merged.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(urls, F.lit(0)).alias("n_urls"))
+
+
+def sketch_error(lg_size: int = SKETCH_LG) -> float:
+    """Three standard errors of a sketch's estimate, as a share of it."""
+    return 3 * 1.04 / 2 ** (lg_size / 2)
+
+
 def crawl(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     """Passages of each requested url, one row each, in corpus order.
 

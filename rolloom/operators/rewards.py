@@ -247,27 +247,66 @@ def score(rows: DataFrame, name: str = "reward_name") -> DataFrame:
     return rows.withColumn("score", chain.otherwise(F.raise_error(F.concat(F.lit("unknown reward "), F.col(name))).cast("double")))
 
 
-_GRADERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+Tables = Mapping[str, DataFrame]
+Grader = Callable[[DataFrame, Tables], DataFrame]
+_GRADERS: dict[str, Grader] = {}
 
 
-def register_grader(name: str, grade_runs: Callable[[DataFrame], DataFrame]) -> None:
-    """Register how runs with a reward name are graded: from ``run_id`` and the runs' other columns to ``run_id, score``."""
+def register_grader(name: str, grade_runs: Grader) -> None:
+    """Register how runs with a reward name are graded.
+
+    ``grade_runs`` gets its own runs, ``run_id`` and their other columns, and the tables that
+    :func:`grade` was given by name; it returns ``run_id, score``.
+    """
     if name in _GRADERS and _GRADERS[name] is not grade_runs:
         raise ValueError(f"grader {name!r} is already registered")
     _GRADERS[name] = grade_runs
 
 
-def grade(runs: DataFrame, graders: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, name: str = "reward_name") -> DataFrame:
-    """``run_id``, reward name and ``score`` of every run: each grader gets its own runs, from logs or answers to scores.
+def own_rows(tables: Tables, name: str, runs: DataFrame) -> DataFrame:
+    """Rows of a named table that belong to the runs."""
+    if name not in tables:
+        raise ValueError(f"grading needs a table {name!r}, given: {sorted(tables)}")
+    return tables[name].join(runs.select("run_id"), "run_id", "left_semi")
+
+
+def _by_tests(rule: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Grader:
+    """Grade by ``parsed`` statuses, ``required`` tests and ``found`` sections."""
+
+    def graded(runs: DataFrame, tables: Tables) -> DataFrame:
+        resolved = rule(*[own_rows(tables, t, runs) for t in ("parsed", "required", "found")])
+        return resolved.select("run_id", F.col("resolved").cast("double").alias("score"))
+
+    return graded
+
+
+def _by_matching(runs: DataFrame, tables: Tables) -> DataFrame:
+    """Grade by ``statuses`` against ``expected``; a run without any is resolved."""
+    resolved = score_r2e(own_rows(tables, "statuses", runs), own_rows(tables, "expected", runs), runs)
+    return resolved.select("run_id", F.col("resolved").cast("double").alias("score"))
+
+
+def _by_answer(runs: DataFrame, tables: Tables) -> DataFrame:
+    """Grade by ``answers`` against ``targets``."""
+    return score_search(own_rows(tables, "answers", runs), own_rows(tables, "targets", runs))
+
+
+for _name, _grader in {
+    "swe_bench": _by_tests(score_swe), "swe_rebench": _by_tests(score_swe), "swe_bench_live": _by_tests(score_swe_live),
+    "r2e_gym": _by_matching, "search": _by_answer,
+}.items():
+    register_grader(_name, _grader)
+
+
+def grade(runs: DataFrame, tables: Tables, name: str = "reward_name") -> DataFrame:
+    """``run_id``, reward name and ``score`` of every run: each registered grader gets its own runs and the tables.
 
     A run without a reward name scores -100, one that its grader returns no row for 0.0; an
-    unknown name is an error. ``graders`` adds to the registered ones.
+    unknown name is an error.
     """
-    known = {**_GRADERS, **(graders or {})}
-    scored = [fn(runs.where(F.col(name) == reward)).select("run_id", F.col("score").cast("double").alias("score")) for reward, fn in known.items()]
-    if not scored:
-        scored = [runs.select("run_id", F.lit(0.0).alias("score")).limit(0)]
-    every = reduce(DataFrame.union, scored)
+    used = [r[0] for r in runs.where(F.col(name).isin(*_GRADERS)).select(name).distinct().collect()]  # at most the registered names
+    scored = [_GRADERS[reward](runs.where(F.col(name) == reward), tables).select("run_id", F.col("score").cast("double").alias("score")) for reward in sorted(used)]
+    every = reduce(DataFrame.union, scored, runs.select("run_id", F.lit(0.0).alias("score")).limit(0))
     unknown = F.raise_error(F.concat(F.lit("unknown reward "), F.col(name))).cast("double")
-    score_ = F.when(F.col(name).isNull(), F.lit(NO_REWARD_SCORE)).when(F.col(name).isin(*known), F.coalesce("score", F.lit(0.0))).otherwise(unknown)
+    score_ = F.when(F.col(name).isNull(), F.lit(NO_REWARD_SCORE)).when(F.col(name).isin(*_GRADERS), F.coalesce("score", F.lit(0.0))).otherwise(unknown)
     return runs.select("run_id", name).join(every, "run_id", "left").select("run_id", name, score_.alias("score"))

@@ -203,6 +203,75 @@ def toolcall_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(F.col("error_class").isNotNull()).select("run_id", "turn", toolcalls.error_message().alias("error_message"))
 
 
+#: Tools with a number and a switch, for calls with wrong values of these types.
+MEASURES = {"measure": {"x": "number", "on": "boolean"}, "search": toolcalls.TOOLS["search"]}
+
+# the same text in both engines: what kind of call a turn makes, from its numbers and role
+_BROKEN_SQL = """
+b AS (SELECT conv_id AS run_id, turn, role, CASE (conv_id + turn) % 9
+  WHEN 0 THEN '<tool_call>' || chr(10) || '<function=' || role || chr(10) || '</function></tool_call>'
+  WHEN 1 THEN '<tool_call>' || chr(10) || '<function=search>' || chr(10) || '<parameter=' || role || '</parameter></function></tool_call>'
+  WHEN 2 THEN '<tool_call>' || chr(10) || '<function=measure>' || chr(10) || '<parameter=x>' || chr(10) || turn || ' m' || chr(10) || '</parameter></function></tool_call>'
+  WHEN 3 THEN '<tool_call>' || chr(10) || '<function=measure>' || chr(10) || '<parameter=on>' || chr(10) || 'Maybe ' || role || chr(10) || '</parameter></function></tool_call>'
+  WHEN 4 THEN '<tool_call>{"arguments": {"topk": ' || turn || '}}</tool_call>' WHEN 5 THEN '<tool_call>{"name": ' || CASE WHEN turn % 2 = 0 THEN '7' ELSE '["' || role || '"]' END || ', "arguments": {}}</tool_call>'
+  WHEN 6 THEN '<tool_call>{"name": "search", "arguments": "{' || role || '"}</tool_call>' WHEN 7 THEN '<tool_call>{"name": "search", "arguments": [' || turn || ']}</tool_call>'
+  ELSE '{"topk": ' || role || '}' END AS text FROM conversations)"""
+
+
+def broken_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call with one mistake per turn, in one of the three forms."""
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(9))
+    role, turn = F.col("role"), F.col("turn").cast("string")
+    joined = lambda parts: [F.lit(x) if isinstance(x, str) else x for x in parts]
+    xml = lambda *inner: F.concat(F.lit("<tool_call>\n"), *joined(inner), F.lit("</function></tool_call>"))
+    js = lambda *inner: F.concat(F.lit("<tool_call>"), *joined(inner), F.lit("</tool_call>"))
+    named = F.when(F.pmod("turn", F.lit(2)) == 0, F.lit("7")).otherwise(F.concat(F.lit('["'), role, F.lit('"]')))
+    text = (
+        F.when(kind == 0, xml("<function=", role, "\n"))
+        .when(kind == 1, xml("<function=search>\n<parameter=", role, "</parameter>"))
+        .when(kind == 2, xml("<function=measure>\n<parameter=x>\n", turn, " m\n</parameter>"))
+        .when(kind == 3, xml("<function=measure>\n<parameter=on>\nMaybe ", role, "\n</parameter>"))
+        .when(kind == 4, js('{"arguments": {"topk": ', turn, "}}"))
+        .when(kind == 5, js('{"name": ', named, ', "arguments": {}}'))
+        .when(kind == 6, js('{"name": "search", "arguments": "{', role, '"}'))
+        .when(kind == 7, js('{"name": "search", "arguments": [', turn, "]}"))
+        .otherwise(F.concat(F.lit('{"topk": '), role, F.lit("}")))
+    )
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), "turn", text.alias("text"))
+
+
+@query(
+    "call_feedback",
+    f"""WITH {_BROKEN_SQL},
+j AS (SELECT *, CASE WHEN contains(text, '<tool_call>{{') THEN regexp_extract(text, '<tool_call>(.*)</tool_call>', 1, 's') WHEN text LIKE '{{%' THEN text END AS js,
+  regexp_extract(text, '<function=([a-z]+)>', 1) AS fn, regexp_extract(text, '<parameter=([a-z]+)>', 1) AS pm, regexp_extract(text, '<parameter=[a-z]+>\\n([^<]*)\\n</parameter>', 1) AS pv FROM b),
+k AS (SELECT *, CASE WHEN json_valid(js) THEN json_type(js, '$.name') END AS nt, CASE WHEN json_valid(js) THEN json_type(js, '$.arguments') END AS ak FROM j)
+SELECT run_id, turn, CASE
+  WHEN js IS NULL AND fn = '' THEN 'Invalid function call format: Cannot find function name.'
+  WHEN js IS NULL AND pm = '' THEN 'Invalid function call format: Cannot find parameter name in tool call ''' || fn || '''.'
+  WHEN js IS NULL AND pm = 'x' AND TRY_CAST(pv AS DOUBLE) IS NULL THEN 'Invalid action: value ''' || pv || ''' of parameter ''x'' is not a float in tool call ''' || fn || '''.'
+  WHEN js IS NULL AND pm = 'on' AND lower(pv) NOT IN ('true', 'false') THEN 'Invalid action: value ''' || lower(pv) || ''' of parameter ''on'' is not a boolean (`true` of `false`) in tool call ''' || fn || '''.'
+  WHEN NOT json_valid(js) THEN 'Invalid action: arguments for function ''search'' are not valid JSON.'
+  WHEN nt IS NULL THEN 'Invalid tool_call: missing ''name'' field.'
+  WHEN nt <> 'VARCHAR' THEN 'Invalid tool_call: ''name'' must be a string, got ' || CASE nt WHEN 'ARRAY' THEN 'list' ELSE 'int' END || '.'
+  WHEN ak = 'VARCHAR' AND NOT json_valid(json_extract_string(js, '$.arguments')) THEN 'Invalid arguments JSON for ''' || json_extract_string(js, '$.name') || '''.'
+  WHEN ak <> 'OBJECT' THEN 'Invalid arguments for ''' || json_extract_string(js, '$.name') || ''': expected a JSON object, got ' || CASE ak WHEN 'ARRAY' THEN 'list' ELSE 'str' END || '.' END AS error_message
+FROM k""",
+)
+def call_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence each broken call is answered with, by the parser of its form."""
+    broken = broken_calls(spark, sf_dir)
+    is_xml, is_json = F.col("text").contains("<function="), F.col("text").startswith("<tool_call>{")
+    call = F.array(F.struct(F.lit("c").alias("id"), F.lit("search").alias("name"), F.col("text").alias("arguments")))
+    parsed = [
+        toolcalls.parse_xml_calls(broken.where(is_xml), MEASURES),
+        toolcalls.parse_hermes_calls(broken.where(is_json), MEASURES),
+        toolcalls.parse_structured_calls(broken.where(~is_xml & ~is_json).withColumn("tool_calls", call), MEASURES),
+    ]
+    told = [p.select("run_id", "turn", toolcalls.error_message(MEASURES).alias("error_message")) for p in parsed]
+    return told[0].union(told[1]).union(told[2])
+
+
 @query(
     "toolcall_actions",
     """

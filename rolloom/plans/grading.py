@@ -260,18 +260,10 @@ def reward_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
         named = named.when(fifth == i, n)
     runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id")).distinct().withColumn("reward_name", named)
 
-    def tests(rule):
-        def graded(own: DataFrame) -> DataFrame:
-            mine = lambda df: df.join(own.select("run_id"), "run_id", "left_semi")
-            resolved = rule(_parsers(mine(log_lines(spark, sf_dir))), mine(_required(spark, sf_dir)), mine(_found(spark, sf_dir)))
-            return resolved.select("run_id", F.col("resolved").cast("double").alias("score"))
-
-        return graded
-
-    def answers(own: DataFrame) -> DataFrame:
-        order = F.concat(F.lit("order "), F.col("run_id").cast("string"))
-        given = own.select("run_id", F.when(F.pmod("run_id", F.lit(2)) == 0, F.concat(F.lit("The "), F.upper(order))).otherwise("none").alias("answer"))
-        return rewards.score_search(given, own.select("run_id", F.array(order).alias("targets")))
-
-    graders = {"swe_rebench": tests(rewards.score_swe), "swe_bench": tests(rewards.score_swe), "swe_bench_live": tests(rewards.score_swe_live), "search": answers}
-    return rewards.grade(runs, graders)
+    order = F.concat(F.lit("order "), F.col("run_id").cast("string"))
+    given = F.when(F.pmod("run_id", F.lit(2)) == 0, F.concat(F.lit("The "), F.upper(order))).otherwise("none")
+    tables = {
+        "parsed": _parsers(log_lines(spark, sf_dir)), "required": _required(spark, sf_dir), "found": _found(spark, sf_dir),
+        "answers": runs.select("run_id", given.alias("answer")), "targets": runs.select("run_id", F.array(order).alias("targets")),
+    }
+    return rewards.grade(runs, tables)

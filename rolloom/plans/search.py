@@ -215,6 +215,19 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.corpus_stats(corpus(spark, sf_dir))
 
 
+@query("corpus_sketch", "SELECT count(*) AS n_docs, count(DISTINCT url) AS n_urls, true AS within_bound FROM pages")
+def corpus_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique pages told from stored sketches of two arrivals, and whether that is as near the exact number as promised."""
+    pages = table(spark, sf_dir, "pages")
+    path = work_path(spark, "sketches")
+    for half in (0, 1):
+        retrieval.add_sketches(pages.where(F.pmod("page_id", F.lit(2)) == half), path)
+    told = retrieval.sketched_stats(spark.read.parquet(path)).select("n_docs", F.col("n_urls").alias("told"))
+    exact = retrieval.corpus_stats(pages).select(F.col("n_docs").alias("all_docs"), "n_urls")
+    near = F.abs(F.col("told") - F.col("n_urls")) <= retrieval.sketch_error() * F.col("n_urls")
+    return told.join(exact, told["n_docs"] == exact["all_docs"]).select("n_docs", "n_urls", near.alias("within_bound"))
+
+
 @query(
     "corpus_roundtrip",
     """SELECT CAST(page_id AS VARCHAR) AS id, url, NULLIF(length(html) % 5, 0)::VARCHAR AS title, md5(html) AS text_md5 FROM pages""",

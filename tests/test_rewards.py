@@ -132,3 +132,33 @@ def test_reports(spark):
     ch = by(reports.assign_chunks(spark.range(10), "id", 8), "id")
     assert [ch[i]["chunk"] for i in range(10)] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
     assert reports.limit_samples(spark.range(10), 0, "id").count() == 10
+
+
+def test_a_new_name_is_graded_through_its_grader(spark):
+    runs = spark.createDataFrame([(1, "search", 3), (2, "length", 5), (3, None, 1), (4, "length", 0), (5, "search", 1)], "run_id long, reward_name string, n int")
+    tables = {
+        "answers": spark.createDataFrame([(1, "The Cat"), (5, "dog")], "run_id long, answer string"),
+        "targets": spark.createDataFrame([(1, ["cat"]), (5, ["cat"])], "run_id long, targets array<string>"),
+    }
+    calls = []
+
+    def by_length(own, given):
+        calls.append(sorted(given))
+        return own.where("n > 0").select("run_id", (F.col("n") / 10).alias("score"))
+
+    with pytest.raises(Exception, match="unknown reward length"):
+        rewards.grade(runs, tables).collect()
+    rewards.register_grader("length", by_length)
+    try:
+        rewards.register_grader("length", by_length)
+        with pytest.raises(ValueError, match="already registered"):
+            rewards.register_grader("length", lambda own, given: own)
+        got = {r.run_id: r.score for r in rewards.grade(runs, tables).collect()}
+    finally:
+        rewards._GRADERS.pop("length")
+    assert got == {1: 1.0, 2: 0.5, 3: rewards.NO_REWARD_SCORE, 4: 0.0, 5: 0.0} and calls == [["answers", "targets"]]
+    with pytest.raises(ValueError, match="needs a table 'parsed'"):
+        rewards.grade(runs.withColumn("reward_name", F.lit("swe_bench")), tables)
+    expected = {"statuses": spark.createDataFrame([(1, "a.t", "PASSED")], "run_id long, test string, status string"), "expected": spark.createDataFrame([(1, "a.t", "PASSED"), (2, "b.t", "PASSED")], "run_id long, test string, status string")}
+    r2e = {r.run_id: r.score for r in rewards.grade(runs.withColumn("reward_name", F.lit("r2e_gym")), expected).collect()}
+    assert r2e[1] == 1.0 and r2e[2] == 0.0

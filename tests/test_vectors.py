@@ -197,3 +197,19 @@ def test_hits_text(spark):
     asked = spark.createDataFrame([(3,)], "qid int")
     assert retrieval.format_hits(asked, bodies).first()["result"].endswith("Snippet: long")
     assert retrieval.format_hits(asked, bodies.drop("content")).first()["result"].endswith("Snippet: short")
+
+
+def test_sketches_of_arrivals_merge(spark, tmp_path):
+    path, shape = str(tmp_path / "sk"), "url string"
+    urls = spark.range(60_000).select(F.concat(F.lit("u"), F.col("id") % 20_000).alias("url"))
+    none = spark.createDataFrame([(None,), ("",), (None,)], shape)
+    retrieval.add_sketches(urls.where("url < 'u5'").union(none), path)
+    retrieval.add_sketches(urls.where("url > 'u4'"), path)  # partly the same urls
+    n_rows = urls.where("url < 'u5'").count() + urls.where("url > 'u4'").count() + 3
+    got = retrieval.sketched_stats(spark.read.parquet(path)).first()
+    assert got.n_docs == n_rows and abs(got.n_urls - 20_000) <= retrieval.sketch_error() * 20_000
+    retrieval.add_sketches(none, str(tmp_path / "none"))
+    assert tuple(retrieval.sketched_stats(spark.read.parquet(str(tmp_path / "none"))).first()) == (3, 0)
+    few = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], shape)
+    assert tuple(retrieval.sketched_stats(retrieval.url_sketches(few)).first()) == (4, 2)
+    assert tuple(retrieval.sketched_stats(retrieval.url_sketches(few.limit(0))).first()) == (0, 0)
