@@ -16,6 +16,8 @@ from rolloom.operators.ordered import running
 STATUS_LABELS = {"queued": "Queued", "running": "Running", "verify": "Verify", "completed": "Completed"}
 RESULT_FILE = "interaction_result.json"
 RUN_LOG = "run.log"
+# files followed as logs; the pattern means the same to Spark and to Python, which plans reads by it
+LOG_NAME = r"(?is)\A(?:run\.log|.*(?:verify|eval).*\.(?:log|txt))(?!.)"
 VERIFY_MARKERS = ["reward_spec", "Eval report:", "Beginning environment shutdown", "Environment shutdown completed", "num_turns:"]
 RUNNING_MARKERS = ["Beginning environment startup", "Runtime initialized", "STEP ", "MODEL INPUT", "ACTION:"]
 STEP_PATTERN = r"STEP\s+(\d+)"
@@ -54,8 +56,7 @@ def _has_any(c: Column, words: list[str]) -> Column:
 
 def is_log(path: Column) -> Column:
     """Whether a file is followed as a log."""
-    low = F.lower(path)
-    return (low == RUN_LOG) | ((low.endswith(".log") | low.endswith(".txt")) & _has_any(low, ["verify", "eval"]))
+    return path.rlike(LOG_NAME)
 
 
 def log_label(path: Column) -> Column:

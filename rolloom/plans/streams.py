@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.plans.monitoring import LINES_SQL, log_lines
@@ -61,8 +61,25 @@ def write_logs(lines: DataFrame, root: str) -> None:
     ordered.mapInPandas(run, "done boolean").write.format("noop").mode("overwrite").save()
 
 
-def followed(spark: SparkSession, sf_dir: str) -> str:
-    """Run the monitor over the first half of January, then over the whole month; returns its output folder."""
+def remove_runs(runs: DataFrame, root: str) -> None:
+    """Delete the directories of ``runs(run_id)``, as a clean-up would."""
+    root = qualified(runs.sparkSession, root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_store(root)
+        for f in frames:
+            for run_id in f["run_id"]:
+                system.delete_dir(f"{base}/{run_id}")
+        yield pd.DataFrame({"done": [True]})
+
+    runs.mapInPandas(run, "done boolean").write.format("noop").mode("overwrite").save()
+
+
+def followed(spark: SparkSession, sf_dir: str, remove: Column | None = None) -> str:
+    """Run the monitor over the first half of January, then over the whole month; returns its output folder.
+
+    With ``remove``, a condition on ``run_id``, a last step follows the removal of those runs.
+    """
     conf = spark.conf
     key = "spark.sql.streaming.stateStore.providerClass"
     old = conf.get(key, None)
@@ -79,6 +96,9 @@ def followed(spark: SparkSession, sf_dir: str) -> str:
         results = results.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), F.lit("interaction_result.json").alias("source"), F.lit(1).alias("pos"), F.lit("{}").alias("line"))
         write_logs(results, root)
         monitor_stream.follow(spark, root, out, ckpt, max_chars=TAIL).awaitTermination()
+        if remove is not None:
+            remove_runs(lines.select("run_id").distinct().where(remove), root)
+            monitor_stream.follow(spark, root, out, ckpt, max_chars=TAIL).awaitTermination()
         return out
     finally:
         conf.set(key, old) if old else conf.unset(key)
@@ -97,16 +117,26 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_events",
     f"""WITH {LINES_SQL},
-n AS (SELECT run_id, count(*) FILTER (ts < TIMESTAMP '2024-01-16') > 0 AS b0, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') > 0 AS l1, CAST(substr(run_id, 5) AS BIGINT) % 4 = 0 AS f1 FROM lines GROUP BY run_id)
+n AS (SELECT run_id, count(*) FILTER (ts < TIMESTAMP '2024-01-16') > 0 AS b0, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') > 0 AS l1, CAST(substr(run_id, 5) AS BIGINT) % 4 = 0 AS f1,
+  CAST(substr(run_id, 5) AS BIGINT) % 10 = 3 AS gone FROM lines GROUP BY run_id),
+early AS (SELECT run_id, source, right(line || chr(10), CAST({TAIL} - fe AS BIGINT)) AS text FROM (
+  SELECT *, sum(length(line) + 1) OVER (PARTITION BY run_id, source ORDER BY pos DESC) - length(line) - 1 AS fe FROM lines WHERE ts < TIMESTAMP '2024-01-16') WHERE fe < {TAIL}),
+first AS (SELECT run_id, CASE WHEN NOT bool_or(source = 'run.log') THEN 'queued'
+  WHEN bool_or(source = 'run.log' AND regexp_matches(text, 'reward_spec|Eval report:|Beginning environment shutdown|Environment shutdown completed|num_turns:')) THEN 'verify'
+  WHEN bool_or(source = 'run.log' AND regexp_matches(text, 'Beginning environment startup|Runtime initialized|STEP |MODEL INPUT|ACTION:')) THEN 'running' ELSE 'queued' END AS was FROM early GROUP BY run_id),
+moved AS (SELECT run_id, coalesce(was, 'queued') AS was, status FROM status LEFT JOIN first USING (run_id))
 SELECT event_type, batch_id, n FROM (
   SELECT 'run_update' AS event_type, 0 AS batch_id, count(*) FILTER (b0) AS n FROM n
   UNION ALL SELECT 'run_update', 1, count(*) FILTER (l1 OR f1) FROM n UNION ALL SELECT 'log_append', 0, count(*) FILTER (b0) FROM n
-  UNION ALL SELECT 'log_append', 1, count(*) FILTER (l1) FROM n UNION ALL SELECT 'file_changed', 1, count(*) FILTER (f1) FROM n)""",
+  UNION ALL SELECT 'log_append', 1, count(*) FILTER (l1) FROM n UNION ALL SELECT 'file_changed', 1, count(*) FILTER (f1) FROM n
+  UNION ALL SELECT 'status_changed', 0, count(*) FILTER (was <> 'queued') FROM moved UNION ALL SELECT 'status_changed', 1, count(*) FILTER (was <> status) FROM moved
+  UNION ALL SELECT 'run_removed', 2, count(*) FILTER (gone) FROM n)""",
 )
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run updates, log appends and file changes per batch; status changes are checked in the tests."""
-    ev = monitor_stream.stored_events_after(monitor_stream.stored_events(spark, followed(spark, sf_dir)), -1, -1)
-    return ev.where("event_type IN ('run_update', 'log_append', 'file_changed')").groupBy("event_type", "batch_id").agg(F.count("*").alias("n"))
+    """Events of all five kinds per batch; in the third one each tenth run is gone."""
+    out = followed(spark, sf_dir, remove=F.pmod(F.substring("run_id", 5, 20).cast("bigint"), F.lit(10)) == 3)
+    ev = monitor_stream.stored_events_after(monitor_stream.stored_events(spark, out), -1, -1)
+    return ev.groupBy("event_type", "batch_id").agg(F.count("*").alias("n"))
 
 
 @query("run_directories", f"WITH {LINES_SQL} SELECT run_id, source AS path, CAST(sum(strlen(line) + 1) AS BIGINT) AS size FROM lines GROUP BY run_id, source")

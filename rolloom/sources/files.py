@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolloom.sources.json_array import RANGE_BYTES, array_elements
-from rolloom.sources.store import open_store
+from rolloom.sources.store import open_store, qualified
 
 TRAJECTORY_SCHEMA = (
     "trajectory array<struct<step_idx int, response string, thought string, action string, observation string, "
@@ -68,10 +71,39 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     """Files below each run directory: ``run_id, path, size, mtime``.
 
-    Directory sizes come from listing alone: the content column is pruned. A run
-    directory without files appears with a null path, from one listing of the root.
+    One task lists the root, and its directories are dealt to tasks that list one run after
+    the other: no list of runs or files comes to the driver. A run directory without files
+    appears with a null path. Stores that pyarrow cannot open are listed by Spark's reader.
     """
-    root = root.rstrip("/")
+    root = qualified(spark, root).rstrip("/")
+    try:
+        open_store(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return _scan_by_reader(spark, root)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            store, base = open_store(root)
+            found = store.get_file_info(fs.FileSelector(base))
+            yield pa.RecordBatch.from_pydict({"run_id": pa.array([i.base_name for i in found if i.type == fs.FileType.Directory], pa.string())})
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(root)
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                inside = f"{base}/{run}"
+                found = [i for i in store.get_file_info(fs.FileSelector(inside, recursive=True)) if i.type == fs.FileType.File]
+                rows = [(i.path[len(inside) + 1 :], i.size, i.mtime) for i in found] or [(None, None, None)]
+                path, size, mtime = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(rows)), pa.array(path, pa.string()), pa.array(size, pa.int64()), pa.array(mtime, pa.timestamp("us", "UTC"))], ["run_id", "path", "size", "mtime"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = spark.range(1, numPartitions=1).mapInArrow(runs, "run_id string").repartition(n)
+    return named.mapInArrow(files, "run_id string, path string, size long, mtime timestamp")
+
+
+def _scan_by_reader(spark: SparkSession, root: str) -> DataFrame:
+    """The same by Spark's file listing; the content column is pruned."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

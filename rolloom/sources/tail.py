@@ -6,12 +6,14 @@ size per file as its offset, and reads only the new bytes, in bounded ranges.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from rolloom.operators import monitor
 from rolloom.sources.store import open_store
 
 SCHEMA = (
@@ -23,9 +25,8 @@ RANGE_BYTES = 8 * 1024 * 1024
 
 
 def follows(path: str) -> bool:
-    """Python twin of :func:`rolloom.operators.monitor.is_log` for planning ranges."""
-    low = path.lower()
-    return low == "run.log" or (low.endswith((".log", ".txt")) and ("verify" in low or "eval" in low))
+    """Whether a file is read as a log; otherwise only its changes are told."""
+    return re.match(monitor.LOG_NAME, path) is not None
 
 
 @dataclass

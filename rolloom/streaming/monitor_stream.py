@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,12 +16,6 @@ from rolloom.operators import monitor
 from rolloom.sources import tail
 from rolloom.sources.store import qualified
 
-UPDATE_SCHEMA = (
-    "run_id string, event_type string, status string, current_step bigint, file_count bigint, "
-    "tail string, updated_at double, path string, action string"
-)
-
-
 def file_changes(spark: SparkSession, root: str, **options: str) -> DataFrame:
     """Stream of log appends and file changes below a root of run directories."""
     tail.register(spark)
@@ -39,91 +36,88 @@ def slim(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) -> DataFra
 
 
 class RunState(StatefulProcessor):
-    """Per run: status, the tail of each log and the set of other files."""
+    """Per run: its facts, how many files it has, the tail of each log and the other files.
+
+    The number of files and the facts follow each change; the maps are asked for single keys
+    only, and a removed run's state goes as a whole. Rows tell the facts before and after;
+    what status they mean is left to :func:`rolloom.operators.monitor.status_of`.
+    """
 
     def __init__(self, max_chars: int):
         self.max_chars = max_chars
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status string, updated_at double")
+        self.facts = handle.getValueState("facts", "updated_at double, file_count bigint, " + ", ".join(f"{f} boolean" for f in FACTS))
         self.tails = handle.getMapState("tails", "path string", "tail string")
         self.files = handle.getMapState("files", "path string", "size bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        import re
-
         (run_id,) = key
-        known = self.status.get() if self.status.exists() else None
-        is_new = known is None
-        before, updated = ("queued", 0.0) if is_new else known
+        is_new = not self.facts.exists()
+        updated, count, *before = (0.0, 0, False, False, False, False) if is_new else self.facts.get()
+        has_result, has_log = before[:2]
         # small per row: slim() bounded the texts, and a file changes once per batch
         frame = pd.concat(list(rows)).sort_values(["path", "start"])
-        out: list[tuple] = []
-        changed = False
-        removed = False
+        changed = removed = False
         appended: dict[str, str] = {}
         touched: list[tuple[str, str]] = []
         for r in frame.itertuples():
             updated = max(updated, float(r.updated_at))
             if r.kind == "run":
                 removed = r.action == "deleted"
-            elif r.action == "deleted":
+                continue
+            here = r.action != "deleted"
+            state = self.tails if r.kind == "log" else self.files
+            known = state.containsKey((r.path,))
+            count += int(here) - int(known)
+            has_result = here if r.path == monitor.RESULT_FILE else has_result
+            has_log = here if r.path == monitor.RUN_LOG else has_log
+            if not here:
                 changed = True
                 touched.append((r.path, "deleted"))
-                self.tails.removeKey((r.path,))
-                self.files.removeKey((r.path,))
+                if known:
+                    state.removeKey((r.path,))
             elif r.kind == "log":
-                old = self.tails.getValue((r.path,))
-                text = (old[0] if old else "") + r.text
+                text = (self.tails.getValue((r.path,))[0] if known else "") + r.text
                 self.tails.updateValue((r.path,), (text[-self.max_chars :],))
                 if r.end > r.start:
                     changed = True
                     appended[r.path] = (appended.get(r.path, "") + r.text)[-self.max_chars :]
             else:
                 changed = True
-                touched.append((r.path, "modified" if self.files.containsKey((r.path,)) else "created"))
+                touched.append((r.path, "modified" if known else "created"))
                 self.files.updateValue((r.path,), (int(r.end),))
         if removed:
-            for p in list(self.tails.keys()):
-                self.tails.removeKey(p)
-            for p in list(self.files.keys()):
-                self.files.removeKey(p)
-            self.status.clear()
-            yield pd.DataFrame([(run_id, "run_removed", None, None, 0, None, updated, None, None)], columns=_COLUMNS)
+            self.tails.clear()
+            self.files.clear()
+            self.facts.clear()
+            nothing = [False] * (2 * len(FACTS))
+            yield pd.DataFrame([(run_id, "run_removed", None, None, None, None, updated, 0, *nothing, True)], columns=_STATE_COLUMNS)
             return
-        names = {p[0] for p in self.files.keys()} | {p[0] for p in self.tails.keys()}
-        found = self.tails.getValue((monitor.RUN_LOG,))
-        log = found[0] if found else ""
-        if monitor.RESULT_FILE in names:
-            status = "completed"
-        elif monitor.RUN_LOG not in names:
-            status = "queued"
-        elif any(m in log for m in monitor.VERIFY_MARKERS):
-            status = "verify"
-        elif any(m in log for m in monitor.RUNNING_MARKERS):
-            status = "running"
-        else:
-            status = "queued"
-        steps = re.findall(monitor.STEP_PATTERN, log)
-        step = int(steps[-1]) if steps else None
-        row = (status, step, len(names), log, updated, None, None)
+        log = self.tails.getValue((monitor.RUN_LOG,))[0] if has_log else ""
+        now = [has_result, has_log, any(m in log for m in monitor.VERIFY_MARKERS), any(m in log for m in monitor.RUNNING_MARKERS)]
+        self.facts.update((updated, count, *now))
+        rest = (updated, count, *now, *before, changed or is_new)
         # appended text is as bounded as a tail; a batch has one event per log and per changed file
-        out += [(run_id, "log_append", status, step, len(names), text, updated, path, None) for path, text in appended.items()]
-        out += [(run_id, "file_changed", status, step, len(names), None, updated, path, action) for path, action in touched]
-        if status != before:
-            changed = True
-            out.append((run_id, "status_changed", *row))
-        if changed or is_new:
-            out.append((run_id, "run_update", *row))
-        self.status.update((status, updated))
-        if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+        out = [(run_id, "log_append", path, None, text, log, *rest) for path, text in appended.items()]
+        out += [(run_id, "file_changed", path, action, None, log, *rest) for path, action in touched]
+        out.append((run_id, "state", None, None, None, log, *rest))
+        yield pd.DataFrame(out, columns=_STATE_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-_COLUMNS = ["run_id", "event_type", "status", "current_step", "file_count", "tail", "updated_at", "path", "action"]
+#: What a run's status is told from, as :func:`rolloom.operators.monitor.status_of` takes it.
+FACTS = ("has_result", "has_log", "in_verify", "in_running")
+_STATE_SCHEMA = (
+    "run_id string, event_type string, path string, action string, text string, log string, updated_at double, file_count bigint, "
+    + ", ".join(f"{f} boolean" for f in FACTS)
+    + ", "
+    + ", ".join(f"was_{f} boolean" for f in FACTS)
+    + ", fresh boolean"
+)
+_STATE_COLUMNS = [c.split(" ")[0] for c in _STATE_SCHEMA.split(", ")]
 
 
 def run_updates(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) -> DataFrame:
@@ -133,15 +127,28 @@ def run_updates(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) ->
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    return (
-        slim(changes, max_chars)
-        .groupBy("run_id")
-        .transformWithStateInPandas(RunState(max_chars), outputStructType=UPDATE_SCHEMA, outputMode="update", timeMode="None")
+    rows = slim(changes, max_chars).groupBy("run_id").transformWithStateInPandas(RunState(max_chars), outputStructType=_STATE_SCHEMA, outputMode="update", timeMode="None")
+    status = monitor.status_of(*[F.col(f) for f in FACTS])
+    moved = status != monitor.status_of(*[F.col(f"was_{f}") for f in FACTS])
+    told = F.filter(F.array(F.when(moved, "status_changed"), F.when(moved | F.col("fresh"), "run_update")), lambda e: e.isNotNull())
+    kind, removed = F.col("event_type"), F.col("event_type") == "run_removed"
+    return rows.withColumn("events", F.when(kind == "state", told).otherwise(F.array(kind))).select(
+        "run_id",
+        F.explode("events").alias("event_type"),
+        F.when(~removed, status).alias("status"),
+        monitor.current_step(F.col("log")).alias("current_step"),
+        "file_count",
+        F.when(kind == "log_append", F.col("text")).when(kind == "state", F.col("log")).alias("tail"),
+        "updated_at",
+        "path",
+        "action",
     )
 
 
 #: Parts of the run table; a batch rewrites only the parts whose runs changed.
 BUCKETS = 64
+#: Manifests that stay readable, and how long a folder of an older one is left to its readers.
+KEEP_MANIFESTS, GRACE_SECONDS = 2, 600
 
 
 def _folder(spark: SparkSession, path: str):
@@ -150,46 +157,79 @@ def _folder(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
-def _numbered(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the ``name=number`` folders below a path."""
-    system, folder = _folder(spark, path)
+def _manifests(spark: SparkSession, out: str) -> list[tuple[int, int]]:
+    """Batch numbers of the committed manifests and when they were committed, in milliseconds."""
+    system, folder = _folder(spark, f"{out}/manifests")
     if not system.exists(folder):
         return []
-    names = [s.getPath().getName() for s in system.listStatus(folder)]
-    return sorted(int(n.split("=")[1]) for n in names if "=" in n)
-
-
-def _newest(spark: SparkSession, runs: str, buckets: list[int], before: int | None = None) -> list[str]:
-    """Folder of the newest version of each bucket, older than batch ``before`` if given."""
-    out = []
-    for b in buckets:
-        versions = [v for v in _numbered(spark, f"{runs}/bucket={b}") if before is None or v < before]
-        out += [f"{runs}/bucket={b}/batch_id={versions[-1]}"] if versions else []
-    return out
-
-
-def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+    named = [(s.getPath().getName(), s.getModificationTime()) for s in system.listStatus(folder)]
+    return sorted((int(n.removesuffix(".json")), t) for n, t in named if n.endswith(".json") and not n.startswith("."))
+
+
+def _manifest(spark: SparkSession, out: str, batch_id: int) -> dict[int, int]:
+    """The batch that wrote each bucket's folder, as of a batch."""
+    system, path = _folder(spark, f"{out}/manifests/{batch_id}.json")
+    stream = system.open(path)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {int(b): v for b, v in json.loads(text).items()}
+
+
+def _commit(spark: SparkSession, out: str, batch_id: int, versions: dict[int, int]) -> None:
+    """Write a manifest under another name and rename it: readers see all of a batch or nothing."""
+    system, draft = _folder(spark, f"{out}/manifests/.{batch_id}-{uuid.uuid4().hex}")
+    stream = system.create(draft)
+    stream.write(bytearray(json.dumps(versions).encode()))
+    stream.close()
+    _, path = _folder(spark, f"{out}/manifests/{batch_id}.json")
+    if not system.rename(draft, path) and not system.exists(path):
+        raise OSError(f"the manifest of batch {batch_id} could not be committed")
+
+
+def _expire(spark: SparkSession, out: str, keep: int, grace: float) -> None:
+    """Delete manifests beyond the newest ``keep`` once they are older than ``grace`` seconds, and folders that only they name."""
+    found = _manifests(spark, out)
+    old = [b for b, t in found[:-keep] if t < (time.time() - grace) * 1000]
+    if not old:
+        return
+    stay = {(b, v) for batch, _ in found if batch not in old for b, v in _manifest(spark, out, batch).items()}
+    for batch in old:
+        for b, v in _manifest(spark, out, batch).items():
+            if (b, v) not in stay:
+                system, folder = _folder(spark, f"{out}/runs/bucket={b}/batch_id={v}")
+                system.delete(folder, True)
+        system, path = _folder(spark, f"{out}/manifests/{batch}.json")
+        system.delete(path, False)
+
+
+def write_batch(batch: DataFrame, batch_id: int, out: str, keep: int = KEEP_MANIFESTS, grace: float = GRACE_SECONDS) -> None:
     """``foreachBatch`` sink: the event log of this batch and the merged parts of the run table.
 
-    Only buckets with changed runs are read and written; versions below the newest two of
-    such a bucket are deleted. Folders are named by the batch and are overwritten, so a
-    retried batch leaves the same result. Events are ordered by ``(batch_id, seq)``.
+    Only buckets with changed runs are read and written, in folders named by the batch. A
+    manifest that names every bucket's folder makes the batch visible, all at once; a batch
+    that has one is not written again, and one that failed before leaves folders that its next
+    try overwrites. Events are ordered by ``(batch_id, seq)``.
     """
     spark = batch.sparkSession
+    committed = [b for b, _ in _manifests(spark, out)]
+    if committed and committed[-1] >= batch_id:
+        return
+    versions = _manifest(spark, out, committed[-1]) if committed else {}
     events, runs = f"{out}/events/batch_id={batch_id}", f"{out}/runs"
     batch.withColumn("seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(events)
     order = F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("seq").alias("row"))
     newest = spark.read.parquet(events).where(F.col("event_type").isin("run_update", "run_removed")).drop("path", "action").withColumn("seq", order)
     newest = newest.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).cast("int"))
     touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-    older = _newest(spark, runs, touched, batch_id)
+    older = [f"{runs}/bucket={b}/batch_id={versions[b]}" for b in touched if b in versions]
     current = spark.read.option("basePath", runs).parquet(*older).drop("batch_id") if older else newest.limit(0)
-    merged = monitor.merge_runs(current, newest).withColumn("batch_id", F.lit(batch_id))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(runs)
-    for b in touched:
-        for old in [v for v in _numbered(spark, f"{runs}/bucket={b}") if v <= batch_id][:-2]:
-            system, folder = _folder(spark, f"{runs}/bucket={b}/batch_id={old}")
-            system.delete(folder, True)
+    if touched:
+        merged = monitor.merge_runs(current, newest).withColumn("batch_id", F.lit(batch_id))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(runs)
+    _commit(spark, out, batch_id, versions | {b: batch_id for b in touched})
+    _expire(spark, out, keep, grace)
 
 
 def follow(spark: SparkSession, root: str, out: str, checkpoint: str, *, once: bool = True, max_chars: int = monitor.MAX_TAIL_CHARS, interval: str = "1 second", **options: str):
@@ -201,17 +241,20 @@ def follow(spark: SparkSession, root: str, out: str, checkpoint: str, *, once: b
 
 
 def latest_runs(spark: SparkSession, out: str) -> DataFrame:
-    """Newest version of the run table, removed runs left out."""
-    runs = f"{out}/runs"
-    newest = _newest(spark, runs, _numbered(spark, runs))
-    if not newest:
+    """The run table as of the newest batch, from one manifest; removed runs are left out."""
+    committed = _manifests(spark, out)
+    versions = _manifest(spark, out, committed[-1][0]) if committed else {}
+    if not versions:
         raise FileNotFoundError(f"no run table below {out}")
-    return spark.read.option("basePath", runs).parquet(*newest).drop("bucket", "batch_id").where(F.col("event_type") != "run_removed")
+    runs = f"{out}/runs"
+    found = spark.read.option("basePath", runs).parquet(*[f"{runs}/bucket={b}/batch_id={v}" for b, v in sorted(versions.items())])
+    return found.drop("bucket", "batch_id").where(F.col("event_type") != "run_removed")
 
 
 def stored_events(spark: SparkSession, out: str) -> DataFrame:
-    """Event log with its ``batch_id`` partition column."""
-    return spark.read.parquet(f"{out}/events")
+    """Event log of the committed batches, with its ``batch_id`` partition column."""
+    committed = _manifests(spark, out)
+    return spark.read.parquet(f"{out}/events").where(F.col("batch_id") <= (committed[-1][0] if committed else -1))
 
 
 def stored_events_after(events: DataFrame, batch_id: int, seq: int) -> DataFrame:

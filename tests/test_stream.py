@@ -1,6 +1,10 @@
 import os
 
-from rolloom.sources.tail import RunLogReader, _aligned
+import pytest
+from pyspark.sql import functions as F
+
+from rolloom.operators import monitor
+from rolloom.sources.tail import RunLogReader, _aligned, follows
 from rolloom.streaming import monitor_stream as ms
 
 
@@ -52,6 +56,52 @@ def test_follow_growth_truncation_deletion_and_removal(spark, tmp_path):
     assert ms.stored_events_after(ev, 1, 1 << 60).where("batch_id < 2").count() == 0
 
 
+def _batch(spark, rows):
+    shape = "run_id string, event_type string, status string, current_step bigint, file_count bigint, tail string, updated_at double, path string, action string"
+    return spark.createDataFrame([(r, k, s, None, 1, "", 1.0, None, None) for r, k, s in rows], shape)
+
+
+def test_a_reader_sees_whole_batches(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    runs = [f"r{i}" for i in range(40)]
+    look = lambda: {r.status for r in ms.latest_runs(spark, out).collect()}
+    with pytest.raises(FileNotFoundError):
+        ms.latest_runs(spark, out)
+    ms.write_batch(_batch(spark, [(r, "run_update", "queued") for r in runs]), 0, out)
+    assert look() == {"queued"}
+
+    def broken(*_):
+        raise OSError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(ms, "_commit", broken)
+        with pytest.raises(OSError):
+            ms.write_batch(_batch(spark, [(r, "run_update", "running") for r in runs]), 1, out)
+    # the folders of the second batch are there, its manifest is not
+    assert look() == {"queued"} and ms.stored_events(spark, out).select("batch_id").distinct().count() == 1
+    before = ms.latest_runs(spark, out)
+    ms.write_batch(_batch(spark, [(r, "run_update", "running") for r in runs[:35]] + [(r, "run_removed", None) for r in runs[35:]]), 1, out)
+    assert look() == {"running"} and ms.latest_runs(spark, out).count() == 35
+    assert {r.status for r in before.collect()} == {"queued"} and before.count() == 40  # a reader between two batches
+    ms.write_batch(_batch(spark, [(r, "run_update", "verify") for r in runs]), 1, out)  # a batch is committed once
+    assert look() == {"running"}
+    ms.write_batch(_batch(spark, [("r0", "run_update", "verify")]), 2, out, keep=1, grace=0.0)
+    assert look() == {"running", "verify"} and ms.latest_runs(spark, out).count() == 35
+    assert [b for b, _ in ms._manifests(spark, out)] == [2]
+    kept = {p.name for p in (tmp_path / "out" / "runs").glob("bucket=*/batch_id=*")}
+    assert kept == {"batch_id=1", "batch_id=2"}
+    ms.write_batch(_batch(spark, []), 3, out)
+    assert ms.latest_runs(spark, out).count() == 35
+
+
+def test_one_rule_for_log_names(spark):
+    names = ["run.log", "RUN.LOG", "a/run.log", "verify.log", "x/Verify/y.TXT", "eval.txt", "evaluate.json", "my.log", "run.log\n", "verify.log\n", "log.eval", "é eval\n.log"]
+    got = spark.createDataFrame([(n,) for n in names], "p string").select("p", monitor.is_log(F.col("p")).alias("l")).collect()
+    low = lambda n: n.lower()
+    want = {n: low(n) == "run.log" or (low(n).endswith((".log", ".txt")) and ("verify" in low(n) or "eval" in low(n))) for n in names}
+    assert {r.p: r.l for r in got} == want == {n: follows(n) for n in names}
+
+
 def test_ranges_do_not_split_characters(tmp_path):
     text = "aé€😀" * 50
     _put(str(tmp_path), "r", "run.log", text)
