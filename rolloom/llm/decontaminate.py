@@ -3,7 +3,10 @@
 A text becomes a sequence of template tokens: words are stripped of outer punctuation and
 folded to lower case; numbers (digits and number words), units after a number, and
 capitalised words inside a sentence become the placeholders NUM, UNIT and NAME, and what
-they stood for is kept as a slot. Windows of ``WINDOW`` tokens (whole items where they are
+they stood for is kept as a slot. Names in a row are one NAME, number words behind a number
+one NUM: "Anna Maria" may stand for "Alice", "twenty five" for "12". A name's slot is its last word. Capitals are those of
+ASCII and Latin-1; number words and units are English, in other languages only digits and
+names are slots. Windows of ``WINDOW`` tokens (whole items where they are
 shorter, from ``LEAST`` tokens) of which at least half are fixed words are hash-joined
 between documents and benchmark items. A bitmap of fixed size, built from the benchmark,
 is broadcast and drops all other document windows before the shuffle.
@@ -55,7 +58,7 @@ UNITS = (
     "degree degrees percent dollar dollars cent cents euro euros"
 ).split()
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1))
-_P = np.uint64(0xD6E8FEB86659FD93)
+_P, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -99,6 +102,9 @@ class Template:
     value: np.ndarray
     may: np.ndarray
 
+    def __post_init__(self):
+        self.of_symbols, self.of_values = Rolling(self.symbol), Rolling(self.value)
+
 
 def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Template:
     """Template tokens of a text column."""
@@ -126,14 +132,15 @@ def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Templa
     kept = start < end
     # a mark of its own still ends the sentence before the next word
     opens = opens | np.concatenate([[False], (~kept & mark)[:-1]])
-    start, end, row, opens = start[kept], end[kept], row[kept], opens[kept]
+    start, end, row, opens, whole_start, whole_end = start[kept], end[kept], row[kept], opens[kept], w.start[kept], w.end[kept]
     if not len(start):
         return Template(row, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
     length = end - start
     value = span_hashes(lower, start, length)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     others = np.concatenate([[0], np.cumsum(~_IN_NUMBER[data])])
-    number = ((digits[end] > digits[start]) & ((others[end] == others[start]) | _DIGIT[data[start]])) | np.isin(value, numbers)
+    worded = np.isin(value, numbers)
+    number = ((digits[end] > digits[start]) & ((others[end] == others[start]) | _DIGIT[data[start]])) | worded
     after_number = np.zeros(len(start), bool)
     after_number[1:] = number[:-1] & (row[1:] == row[:-1])
     unit = after_number & np.isin(value, units) & ~number
@@ -145,9 +152,46 @@ def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Templa
     latin_name = (data[start] == 0xC3) & (lower[second] != data[second]) & (length > 2) & small[third]
     name = (ascii_name | latin_name) & ~opens & ~number
     may = (ascii_name | latin_name) & opens & ~number & ~unit
-    symbol = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    slot = np.where(number, value & ~np.uint64(3) | np.uint64(1), np.where(unit | name, value | np.uint64(3), np.uint64(0)))
-    return Template(row, symbol, slot, np.searchsorted(row, np.arange(n_rows + 1)), value, may)
+    # names in a row with nothing between them are one name, number words behind a number one number
+    tight = np.zeros(len(start), bool)
+    tight[1:] = (row[1:] == row[:-1]) & (end[:-1] == whole_end[:-1]) & (start[1:] == whole_start[1:]) & ~opens[1:]
+    joins = np.zeros(len(start), bool)
+    joins[1:] = tight[1:] & ((name[1:] & name[:-1]) | (worded[1:] & number[:-1]))
+    lead = np.flatnonzero(~joins)
+    size = np.diff(np.append(lead, len(start)))
+    # a name is told by its last word: the first one may open a sentence, where it is no name yet
+    run, told = value[lead].copy(), value[lead + size - 1]
+    for k in range(1, int(size.max())):
+        more = np.flatnonzero(size > k)
+        run[more] = mix(run[more] * _PAIR + value[lead[more] + k])
+    row, number, unit, name, may = row[lead], number[lead], unit[lead], name[lead], may[lead]
+    symbol = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, run)))
+    slot = np.where(number, run & ~np.uint64(3) | np.uint64(1), np.where(unit, run | np.uint64(3), np.where(name, told | np.uint64(3), np.uint64(0))))
+    return Template(row, symbol, slot, np.searchsorted(row, np.arange(n_rows + 1)), run, may)
+
+
+class Rolling:
+    """Polynomial hashes of every stretch of a sequence, from its running sums; two operations each."""
+
+    _up, _down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    _inverse = np.uint64(pow(int(_P), -1, 1 << 64))
+
+    def __init__(self, values: np.ndarray):
+        n = len(values) + 64
+        if len(Rolling._up) < n:
+            steps = np.full(2 * n, _P, np.uint64)
+            steps[0] = 1
+            Rolling._up = np.cumprod(steps)
+            steps[1:] = Rolling._inverse
+            Rolling._down = np.cumprod(steps)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self._down[: len(values)])])
+
+    def of(self, first: int, length: int, n: int) -> np.ndarray:
+        """Hashes of the stretches of ``length`` that begin at ``first`` and the ``n - 1`` places behind it."""
+        if not length:
+            return np.zeros(n, np.uint64)
+        parts = self.sums[first + length : first + length + n] - self.sums[first : first + n]
+        return parts * self._up[first + length - 1 : first + length - 1 + n]
 
 
 def windows(t: Template, length: int, gap: int = 0, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,12 +202,13 @@ def windows(t: Template, length: int, gap: int = 0, exact: bool = False) -> tupl
     n = len(t.symbol) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    own = t.value if exact else t.symbol
-    h = np.full(n, np.uint64(length + 16 * gap + 256 * exact), np.uint64)
-    for k in range(length):
-        if not gap or k != gap:
-            h = h * _P + own[k : n + k]
-    powered = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length - 1 - bool(gap), _P, np.uint64)]))
+    own = t.of_values if exact else t.of_symbols
+    if gap:
+        h = own.of(0, gap, n) * Rolling._up[length - 1 - gap] + own.of(gap + 1, length - 1 - gap, n)
+    else:
+        h = own.of(0, length, n)
+    h = h + np.uint64((length + 16 * gap + 256 * exact) * int(_PAIR) % (1 << 64))
+    top = Rolling._up[length - 1 - bool(gap)]
     fixed = np.concatenate([[0], np.cumsum(t.slot == 0)])
     count, size = fixed[length:] - fixed[:n], length
     if gap:
@@ -173,7 +218,7 @@ def windows(t: Template, length: int, gap: int = 0, exact: bool = False) -> tupl
         at = np.flatnonzero(inside & (2 * count < size))
         return at, mix(h[at]), np.zeros(len(at), bool)
     whole, opened = np.flatnonzero(inside & (2 * count >= size)), np.flatnonzero(inside & t.may[:n] & (2 * (count - 1) >= size))
-    other = h[opened] + (_NAME - t.symbol[opened]) * powered[-1]
+    other = h[opened] + (_NAME - t.symbol[opened]) * top
     return np.concatenate([whole, opened]), mix(np.concatenate([h[whole], other])), np.repeat([False, True], [len(whole), len(opened)])
 
 

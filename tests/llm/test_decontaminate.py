@@ -1,3 +1,5 @@
+import numpy as np
+
 from rolloom.llm import decontaminate
 
 ITEMS = [(1, "If Alice has 12 apples and gives Bob 5 apples, how many apples does Alice keep for 3 days?"), (2, "short one here"), (3, "we saw four big dogs"), (4, None)]
@@ -71,6 +73,36 @@ def test_edited_partial_dense_and_short_copies(spark):
     assert [got[(i, i)][1] for i in range(1, 7)] == ["reparameterised", "verbatim", "verbatim", "verbatim", "reparameterised", "reparameterised"]
 
 
+def test_names_of_several_words(spark):
+    def told(alice, bob, n=("12", "5", "3")):
+        return f"If {alice} has {n[0]} apples and gives {bob} {n[1]} apples, how many apples does {alice} keep for {n[2]} days?"
+
+    names = ["Carol", "Anna Maria", "Anna Maria Lopez", "Élise Marie"]
+    docs = [(i * 10 + j, "Read this. " + told(a, b, ("twenty five", "one hundred", "9"))) for i, a in enumerate(names) for j, b in enumerate(names) if a != b]
+    docs += [(90, told("Anna Maria", "Dave").replace("does Anna Maria", "does Anna Lucia")), (91, told("Anna Maria", "Dave").replace("does Anna Maria", "does Anna"))]
+    got = _found(spark, docs)
+    assert set(got) == {(d, 1) for d, _ in docs[:-2]} and {v for v in got.values()} == {(1.0, "reparameterised")}
+    # at the opening of a sentence, and an item whose name has several words
+    items = [(1, "Alice has 12 red apples in her old bag. How many apples does Alice keep at home?"), (2, "we gave Anna Maria Lopez a box with green pens and Anna Maria Lopez lost one")]
+    docs = [(1, "Anna Maria has 7 red apples in her old bag. How many apples does Anna Maria keep at home?"), (2, "we gave Bob a box with green pens and Bob lost one"), (3, "so we gave Bob a box with green pens and Eve lost one")]
+    assert set(_found(spark, docs, items)) == {(1, 1), (2, 2)}
+    listed = [(1, "today Alice, Bob and Carol went to the big old market by bus")]
+    assert set(_found(spark, [(1, "today Dan, Eve and Fay went to the big old market by bus"), (2, "today Dan Eve and Fay went to the big old market by bus")], listed)) >= {(1, 1)}
+
+
+def test_rolling_hashes_equal_plain_ones():
+    values = np.random.default_rng(5).integers(0, 1 << 63, 200, dtype=np.uint64)
+    r = decontaminate.Rolling(values)
+    with np.errstate(over="ignore"):
+        for length in (1, 2, 8):
+            got = r.of(3, length, 100)
+            for i in range(100):
+                h = np.uint64(0)
+                for v in values[3 + i : 3 + i + length]:
+                    h = h * decontaminate._P + v
+                assert got[i] == h
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SHAPE)
     assert decontaminate.leaks(none, spark.createDataFrame(ITEMS, ITEM_SHAPE)).collect() == []
