@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from rolloom.llm import minhash
@@ -81,8 +82,6 @@ def test_empty_table(spark):
 
 
 def test_registers_estimate_the_similarity():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     shared, own = rng.integers(1, 1 << 62, 300, dtype=np.uint64), rng.integers(1, 1 << 62, 100, dtype=np.uint64)
     rows = np.repeat([0, 1], [350, 350])
@@ -91,6 +90,36 @@ def test_registers_estimate_the_similarity():
     assert abs((kept[0] == kept[1]).mean() - 300 / 400) < 0.15
 
 
+def _probability_jaccard(x, y):
+    """The definition: over shared shingles, one over the sum of the larger of the scaled weights."""
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in {*x, *y}) for d in x.keys() & y.keys())
+
+
+def test_registers_estimate_the_probability_jaccard_of_weights():
+    rng = np.random.default_rng(3)
+    shared, own = rng.integers(1, 1 << 62, 60, dtype=np.uint64), rng.integers(1, 1 << 62, 60, dtype=np.uint64)
+    for heavy in (0, 1, 2):
+        texts = []
+        for r in range(2):
+            mine = np.concatenate([shared, own[30 * r : 30 * r + 30]])
+            counts = np.ones(len(mine), int)
+            counts[[slice(0, 0), slice(0, 30), slice(60, 90)][heavy]] = 1000
+            texts.append(np.repeat(mine, counts))
+        rows = np.repeat([0, 1], [len(t) for t in texts])
+        r, h, w = minhash.weighted(rows, np.concatenate(texts))
+        assert w.min() == 1.0 and w.max() <= minhash.HEAVIEST
+        sets = [dict(zip(h[r == i].tolist(), w[r == i].tolist(), strict=True)) for i in (0, 1)]
+        want = _probability_jaccard(*sets)
+        # many sketches of renamed shingles
+        hits = []
+        for k in range(60):
+            kept = minhash.registers(r, minhash.mix(h + np.uint64(k)), w, 2)
+            hits.append((kept[0] == kept[1]).mean())
+        assert abs(np.mean(hits) - want) < 0.02
+        plain = len(sets[0].keys() & sets[1].keys()) / len(sets[0].keys() | sets[1].keys())
+        assert want >= plain / (plain + (1 - plain) * minhash.HEAVIEST) - 1e-9
+
+
 def test_repeated_lines_hide_no_pair(spark):
     """A line repeated a thousand times changes the plain similarity little: 100 shared shingles of 112 to 117."""
     rng = random.Random(8)
