@@ -27,8 +27,10 @@ from __future__ import annotations
 import html as html_lib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +44,8 @@ from rolloom.session import checkpointed
 COPY, OFTEN = 0.8, 3
 #: Element, class, id and role names.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select head".split())
+#: Those of them whose content a page shows where the end tag is missing.
+OPEN_RAW = frozenset("head object svg math canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("nav footer aside form button dialog menu label fieldset datalist audio video map".split())
 INLINE = frozenset(
@@ -60,10 +64,12 @@ _ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 _KEEPS = frozenset("ul ol dl table".split())
 
 
-def _named(value: str) -> bool:
-    """Whether a class or id names a part that is no main text."""
+def _named(value: str, in_article: bool) -> bool:
+    """Whether a class or id names a part that is no main text; the header of an article holds its headline."""
     for one in value.lower().split():
         parts = re.split(r"[-_]+", one)
+        if in_article and "header" in (parts[0], parts[-1]):
+            continue
         if parts[0] not in ("has", "no", "with", "without") and (parts[0] in NAMES or parts[-1] in NAMES):
             return True
     return False
@@ -76,7 +82,7 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and _named(value):
+        if name in ("class", "id") and tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and _named(value, in_article):
             return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -125,7 +131,7 @@ def lines(html: str) -> tuple[list[str], list[bool]]:
             continue
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
         if tag not in INLINE:
-            if article_at >= 0 or skip_at < 0:
+            if skip_at < 0:
                 flush()
         elif tag == "br" and skip_at < 0:
             parts.append(" ")
@@ -133,13 +139,15 @@ def lines(html: str) -> tuple[list[str], list[bool]]:
             if tag in stack:
                 depth = len(stack) - 1 - stack[::-1].index(tag)
                 if tag not in INLINE or not any(t not in INLINE for t in stack[depth + 1 :]):
+                    if tag not in INLINE and skip_at >= depth:
+                        flush()  # a skipped inline part ends with its block
                     pop_to(depth)
             continue
         if tag in RAW:
             raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not attributes.endswith("/") else None
             if raw_end:
                 at = raw_end.end()
-            elif tag != "head" and not attributes.endswith("/"):
+            elif tag not in OPEN_RAW and not attributes.endswith("/"):
                 at = len(html)
             continue
         if tag in VOID or attributes.endswith("/") and tag not in ("p", "div", "a", "li"):
@@ -147,6 +155,8 @@ def lines(html: str) -> tuple[list[str], list[bool]]:
         if tag in _CLOSES_P and "p" in stack:
             depth = len(stack) - 1 - stack[::-1].index("p")
             if all(t in INLINE for t in stack[depth + 1 :]):
+                if skip_at > depth:
+                    flush()
                 pop_to(depth)
         if tag in _ALIKE:
             for depth in range(len(stack) - 1, -1, -1):
@@ -157,7 +167,8 @@ def lines(html: str) -> tuple[list[str], list[bool]]:
                     break
         if skip_at < 0:
             if _boilerplate(tag, attributes, article_at >= 0):
-                flush()
+                if tag not in INLINE:
+                    flush()
                 skip_at = len(stack)
             elif article_at < 0 and (tag in ("article", "main") or "main" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes)):
                 article_at = len(stack)
@@ -166,22 +177,73 @@ def lines(html: str) -> tuple[list[str], list[bool]]:
     return out, inside
 
 
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each beginning of ``b``, a bit per line of ``b``."""
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        met = row & masks.get(x, 0)
+        if met:
+            row = ((row + met) | (row - met)) & full
+    packed = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    grown = 1 - np.unpackbits(packed, bitorder="little")[: len(b)].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(grown)])
+
+
+def _halved(a: list, b: list) -> list[int]:
+    """Places in ``a`` of a longest common subsequence, in memory that grows with the lines alone: halves of ``a`` are solved apart."""
+    out: list[int] = []
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        i, k, j, m = work.pop()
+        if i >= k or j >= m:
+            continue
+        if k - i == 1:
+            if a[i] in b[j:m]:
+                out.append(i)
+            continue
+        middle = (i + k) // 2
+        left, right = _lengths(a[i:middle], b[j:m]), _lengths(a[middle:k][::-1], b[j:m][::-1])[::-1]
+        cut = j + int(np.argmax(left + right))
+        if left[cut - j] + right[cut - j]:
+            work += [(middle, k, cut, m), (i, middle, j, cut)]
+    return out
+
+
 def shared_lines(a: list, b: list) -> list[int]:
-    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``."""
+    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``.
+
+    Pages whose lines are mostly different have few equal pairs, which are followed one by one;
+    where lines repeat so often that the pairs outnumber the lines, bits stand for them.
+    """
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
+    a_rest, b_rest = a[head : len(a) - tail], b[head : len(b) - tail]
+    counts = Counter(b_rest)
+    if sum(counts[x] for x in a_rest) > 8 * (len(a_rest) + len(b_rest)):
+        middle = _halved(a_rest, b_rest)
+    else:
+        middle = _paired(a_rest, b_rest)
+    return [*range(head), *(head + i for i in middle), *range(len(a) - tail, len(a))]
+
+
+def _paired(a: list, b: list) -> list[int]:
+    """Places in ``a`` of a longest common subsequence, from the pairs of equal lines."""
     where: dict = {}
-    for j in range(head, len(b) - tail):
-        where.setdefault(b[j], []).append(j)
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
     ends: list[int] = []
     nodes: list[tuple] = []
     last: list[int] = []
-    for i in range(head, len(a) - tail):
-        for j in reversed(where.get(a[i], ())):
+    for i, x in enumerate(a):
+        for j in reversed(where.get(x, ())):
             k = bisect_left(ends, j)
             nodes.append((i, last[k - 1] if k else -1))
             if k == len(ends):
@@ -190,11 +252,11 @@ def shared_lines(a: list, b: list) -> list[int]:
             else:
                 ends[k] = j
                 last[k] = len(nodes) - 1
-    middle, n = [], last[-1] if last else -1
+    out, n = [], last[-1] if last else -1
     while n >= 0:
-        middle.append(nodes[n][0])
+        out.append(nodes[n][0])
         n = nodes[n][1]
-    return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
+    return out[::-1]
 
 
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
@@ -307,7 +369,7 @@ def template_lines(pages: DataFrame, key: str = "page_id", url: str = "url", htm
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per row the key, the URL, ``text`` (blocks joined by two line ends) and ``n_chars``."""
+    """Per row the key, the URL, ``text`` (blocks joined by two line ends), ``n_chars``, and ``n_shared``, the lines lost to neighbours."""
     gone = checkpointed(template_lines(pages, key, url, html), "template").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "gone")
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("t"))
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("t", F.lit(""))))
@@ -316,13 +378,13 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, "t"):
-                texts = []
+                texts, lost = [], [len(x or ()) for x in part.column(2).to_pylist()]
                 for page, drop in zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True):
                     found, inside = lines(page or "")
                     declared, without = any(inside), set(drop or ())
                     kept = [x for n, (x, i) in enumerate(zip(found, inside, strict=True)) if n not in without and (i or not declared)]
                     texts.append("\n\n".join(kept))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(lost, pa.int64())], ["id", "url", "text", "n_chars", "n_shared"])
 
     kind, link = (pages.schema[c].dataType.simpleString() for c in (key, url))
-    return joined.mapInArrow(run, f"id {kind}, url {link}, text string, n_chars bigint").toDF(key, url, "text", "n_chars")
+    return joined.mapInArrow(run, f"id {kind}, url {link}, text string, n_chars bigint, n_shared bigint").toDF(key, url, "text", "n_chars", "n_shared")

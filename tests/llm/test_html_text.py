@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 from rolloom.llm import html_text
 
@@ -84,3 +86,60 @@ def test_neighbours_cross_partitions(spark):
 
 def test_empty_table(spark):
     assert html_text.main_text(spark.createDataFrame([], SHAPE)).collect() == []
+
+
+def _length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_halving_finds_a_longest_common_subsequence():
+    rng = random.Random(9)
+    for _ in range(150):
+        letters = rng.choice(["ab", "abc", "abcdefgh"])
+        a, b = ([rng.choice(letters) for _ in range(rng.randint(0, 70))] for _ in range(2))
+        for solve in (html_text._halved, html_text._paired):
+            got = solve(a, b)
+            assert got == sorted(set(got)) and len(got) == _length(a, b)
+            picked, rest = [a[i] for i in got], iter(b)
+            assert all(x in rest for x in picked)
+
+
+def test_long_repetitive_pages_take_little_time_and_memory():
+    rng = random.Random(2)
+    a, b = ([rng.choice(["0", "0", "0", "1", f"x{rng.randint(0, 9)}"]) for _ in range(20_000)] for _ in range(2))
+    tracemalloc.start()
+    began = time.time()
+    got = html_text.shared_lines(a, b)
+    took, (_, peak) = time.time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 8 and peak < 60e6 and len(got) > 13_000  # with tracing on; about 1 s without
+
+
+def test_inline_skips_unclosed_parts_and_headlines():
+    for page, want in [
+        ('<p>foo <span class="ad">x</span> bar</p>', ["foo bar"]),
+        ('<article><p>foo <span class="ad">x<b>y</b></span> bar<div>z</div></article>', ["foo bar", "z"]),
+        ('<p>foo <span class="ad">x</p><p>bar</p>', ["foo", "bar"]),
+        ("<p>one<object data=x><p>two</p>", ["one", "two"]),
+        ("<p>one<svg><p>two</p>", ["one", "two"]),
+        ("<p>one<object data=x>in</object><p>two</p>", ["one", "two"]),
+        ("<p>one<script>x<p>two</p>", ["one"]),
+        ('<article><div class="entry-header"><h1>Head</h1></div><p>text</article>', ["Head", "text"]),
+        ("<article><header><h1>Head</h1></header><p>text</article>", ["Head", "text"]),
+        ('<div class="page-header">site</div><p>text', ["text"]),
+        ('<article><div class="entry-header share">buttons</div><p>text</article>', ["text"]),
+        ("<div>a <span hidden>x <div>y</div></span> b</div>", ["a b"]),
+    ]:
+        assert html_text.lines(page)[0] == want, page
+
+
+def test_shared_line_numbers(spark):
+    rows = [(i, f"http://a.org/x/{i}", PAGE % (i, i, i), "x") for i in range(4)]
+    got = {r["page_id"]: r["n_shared"] for r in html_text.main_text(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert all(n >= 2 for n in got.values())
