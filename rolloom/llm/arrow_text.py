@@ -116,8 +116,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
     return mix(out)
 
 
-def words(column: pa.Array, lower_ascii: bool = False) -> Words:
-    """All words of a string column."""
+def words(column: pa.Array, lower_ascii: bool = False, hashed: bool = True) -> Words:
+    """All words of a string column; not ``hashed``, their hashes are left empty."""
     data, offsets = utf8(column)
     if lower_ascii:
         data = LOWER_ASCII[data]
@@ -134,7 +134,7 @@ def words(column: pa.Array, lower_ascii: bool = False) -> Words:
     ends_row = offsets[1:][np.diff(offsets) > 0] - 1
     last[ends_row] = inner[ends_row]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Words(data, offsets, start, end, span_hashes(data, start, end - start) if len(start) else np.zeros(0, np.uint64))
+    return Words(data, offsets, start, end, span_hashes(data, start, end - start) if hashed and len(start) else np.zeros(0, np.uint64))
 
 
 def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.arrow_text import LOWER_ASCII, gathered, map_text, mix, span_hashes, words
+from rolloom.llm.arrow_text import LOWER_ASCII, gathered, lookup, map_text, mix, span_hashes, words
 from rolloom.session import checkpointed
 
 WINDOW, LEAST, COVERAGE = 8, 4, 0.5
@@ -82,6 +82,27 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bits of a byte: a digit, no part of a number, a line end.
+_CLASS = _DIGIT * np.uint8(1) + ~_IN_NUMBER * np.uint8(2) + _flags(b"\n") * np.uint8(4)
+
+
+def _spans(marks: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bits of the bytes of each span, and of those between it and the next one."""
+    edges = np.empty(2 * len(start), np.int64)
+    edges[::2], edges[1::2] = start, end
+    edges = np.append(edges, len(marks))
+    out = np.bitwise_or.reduceat(np.append(marks, np.uint8(0)), edges)
+    # an empty stretch gives the byte at its begin
+    out[:-1][edges[:-1] == edges[1:]] = 0
+    return out[:-1:2], out[1:-1:2]
+
+
+def _small(data: np.ndarray, lower: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a lower-case letter, or one that has no case here, begins at a byte."""
+    after = np.minimum(at + 1, len(data) - 1)
+    return _LOWER[data[at]] | (data[at] > 0xC3) | ((data[at] == 0xC3) & (at + 1 < len(data)) & (lower[after] == data[after]))
+
+
 def _known(listed: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(listed).encode(), np.uint8)
     length = np.array([len(x) for x in listed])
@@ -108,7 +129,7 @@ class Template:
 
 def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Template:
     """Template tokens of a text column."""
-    w = words(column)
+    w = words(column, hashed=False)
     data, row = w.data, w.row
     n_rows = len(w.offsets) - 1
     if not len(w.start):
@@ -118,9 +139,10 @@ def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Templa
     # a sentence ends with a mark, also before closing quotes, or with a line
     last = end - 1
     mark = _ENDS[data[last]] | (_CLOSES[data[last]] & _ENDS[data[np.maximum(last - 1, start)]])
-    line = np.concatenate([[0], np.cumsum(data == 10)])
+    marks = _CLASS[data]
+    _, between = _spans(marks, start, end)
     opens = np.ones(len(start), bool)
-    opens[1:] = mark[:-1] | (line[start[1:]] > line[end[:-1]]) | (row[1:] != row[:-1])
+    opens[1:] = mark[:-1] | (between[:-1] & 4 > 0) | (row[1:] != row[:-1])
     going = np.arange(len(start))
     while len(going):
         going = going[(start[going] < end[going]) & _PUNCTUATION[data[np.minimum(start[going], len(data) - 1)]]]
@@ -137,19 +159,19 @@ def template(column: pa.Array, numbers: np.ndarray, units: np.ndarray) -> Templa
         return Template(row, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
     length = end - start
     value = span_hashes(lower, start, length)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    others = np.concatenate([[0], np.cumsum(~_IN_NUMBER[data])])
-    worded = np.isin(value, numbers)
-    number = ((digits[end] > digits[start]) & ((others[end] == others[start]) | _DIGIT[data[start]])) | worded
+    holds, _ = _spans(marks, start, end)
+    worded = lookup(numbers, value) >= 0
+    number = ((holds & 1 > 0) & ((holds & 2 == 0) | _DIGIT[data[start]])) | worded
     after_number = np.zeros(len(start), bool)
     after_number[1:] = number[:-1] & (row[1:] == row[:-1])
-    unit = after_number & np.isin(value, units) & ~number
+    unit = after_number & (lookup(units, value) >= 0) & ~number
     # the next letter must be lower case, else the word is in capitals
-    small = _LOWER[data] | (data > 0xC3)
-    small[:-1] |= (data[:-1] == 0xC3) & (lower[1:] == data[1:])
-    second, third = np.minimum(start + 1, len(data) - 1), np.minimum(start + 2, len(data) - 1)
-    ascii_name = _UPPER[data[start]] & (length > 1) & small[second]
-    latin_name = (data[start] == 0xC3) & (lower[second] != data[second]) & (length > 2) & small[third]
+    ascii_name, latin_name = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    at = np.flatnonzero(_UPPER[data[start]] & (length > 1))
+    ascii_name[at] = _small(data, lower, start[at] + 1)
+    at = np.flatnonzero((data[start] == 0xC3) & (length > 2))
+    at = at[lower[start[at] + 1] != data[start[at] + 1]]
+    latin_name[at] = _small(data, lower, start[at] + 2)
     name = (ascii_name | latin_name) & ~opens & ~number
     may = (ascii_name | latin_name) & opens & ~number & ~unit
     # names in a row with nothing between them are one name, number words behind a number one number
