@@ -72,6 +72,10 @@ def grams(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(codes), has_letter
 
 
+#: Languages whose sizes are broadcast; those of more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+
+
 @dataclass
 class Model:
     """Languages, the position of each n-gram code among the landmarks' n-grams, and weights by position and language."""
@@ -106,7 +110,9 @@ def sample(labelled: DataFrame, per_language: int, text: str = "text", label: st
     # one row per language
     sizes = rows.groupBy("label").agg((F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.count("*")) * (1 << 30)).alias("below"))
     h = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))
-    thin = rows.withColumn("h", h).join(F.broadcast(sizes), "label").where(F.col("h") < F.col("below")).select("label", "text", "h").dropDuplicates(["label", "text"])
+    sizes = checkpointed(sizes, "languages")
+    side = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
+    thin = rows.withColumn("h", h).join(side, "label").where(F.col("h") < F.col("below")).select("label", "text", "h").dropDuplicates(["label", "text"])
     ranked = thin.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("h", "text")))
     return ranked.where(F.col("rank") <= per_language).select("label", "text", "h")
 
@@ -156,8 +162,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
     found = sorted(sizes)
     if not found:
         return Model([], np.full(_CODES, -1, np.int32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    each_n = max(4, landmarks // len(found))
+    # as many landmarks for any number of languages; with more languages than landmarks some have none of their own
+    each_n = max(1, landmarks // len(found))
     first = drawn.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("h", "text"))).where(F.col("rank") <= each_n)
+    first = first.orderBy("rank", F.xxhash64("label", F.lit("landmarks")), "label").limit(landmarks)
     marks = [np.array(r[1], np.int64) for r in map_text(first, "text", ["label", "h"], {"codes": "array<int>"}, codes_of, _SLICE).select("label", "codes", "h").orderBy("label", "h").collect() if r[1]]
     used = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
     position = np.full(_CODES, -1, np.int32)

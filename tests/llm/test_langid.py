@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from rolloom.llm import langid
@@ -60,3 +63,19 @@ def test_kernel_scores_equal_brute_force(spark):
     assert [len(m) for m in mine] == [len(brute(a)), len(brute(b))]
     kernel = len(mine[0] & mine[1]) / math.sqrt(len(mine[0]) * len(mine[1]))
     assert np.isclose(kernel, len(brute(a) & brute(b)) / math.sqrt(len(brute(a)) * len(brute(b))))
+
+
+def test_many_languages_share_a_fixed_number_of_landmarks(spark, monkeypatch):
+    """Dirty labels: the driver's share does not grow with their square."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tongues = {f"l{i:03d}": rng.sample(letters, 6) for i in range(300)}
+    rows = [(k, "".join(rng.choice(v) for _ in range(80))) for k, v in tongues.items() for _ in range(3)]
+    widths = []
+    solve = np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: widths.append(m.shape) or solve(m))
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.train(docs, landmarks=64)
+    assert len(model.languages) == 300 and widths == [(64, 64)]
+    told = langid.predict(docs, model, ["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in told) > 60 * len(told) / 300  # chance is one in 300
