@@ -17,12 +17,16 @@ from rolloom.sources import tail
 from rolloom.sources.store import qualified
 
 def file_changes(spark: SparkSession, root: str, **options: str) -> DataFrame:
-    """Stream of log appends and file changes below a root of run directories."""
+    """Stream of log appends and file changes below a root of run directories.
+
+    ``offsets`` names the folder of the file tables, by default beside the root.
+    """
     tail.register(spark)
-    reader = spark.readStream.format("run_log_tail")
+    root, tasks = qualified(spark, root), spark.conf.get("spark.sql.shuffle.partitions")
+    reader = spark.readStream.format("run_log_tail").option("shares", tasks)
     for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.load(qualified(spark, root))
+        reader = reader.option(k, qualified(spark, v) if k == "offsets" else v)
+    return tail.read_text(reader.load(root), root, int(tasks))
 
 
 def slim(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) -> DataFrame:
@@ -234,7 +238,7 @@ def write_batch(batch: DataFrame, batch_id: int, out: str, keep: int = KEEP_MANI
 
 def follow(spark: SparkSession, root: str, out: str, checkpoint: str, *, once: bool = True, max_chars: int = monitor.MAX_TAIL_CHARS, interval: str = "1 second", **options: str):
     """Start the monitor stream; ``once`` processes what is there and stops."""
-    updates = run_updates(file_changes(spark, root, **options), max_chars)
+    updates = run_updates(file_changes(spark, root, **{"offsets": f"{checkpoint}-listing", **options}), max_chars)
     writer = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: write_batch(df, i, out))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
     return writer.start()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolloom.operators import monitor
-from rolloom.sources.tail import RunLogReader, _aligned, follows
+from rolloom.sources.tail import RunLogReader, _aligned, follows, range_text
 from rolloom.streaming import monitor_stream as ms
 
 
@@ -102,21 +102,58 @@ def test_one_rule_for_log_names(spark):
     assert {r.p: r.l for r in got} == want == {n: follows(n) for n in names}
 
 
+def _read(reader, start, end):
+    return [x for p in reader.partitions(start, end) for x in reader.read(p)]
+
+
 def test_ranges_do_not_split_characters(tmp_path):
     text = "aé€😀" * 50
-    _put(str(tmp_path), "r", "run.log", text)
+    _put(str(tmp_path / "logs"), "r", "run.log", text)
+    root = f"file:{tmp_path}/logs"
     for size in (1, 2, 3, 5, 64):
-        reader = RunLogReader({"path": f"file:{tmp_path}", "rangebytes": str(size)})
-        parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
-        rows = [x for p in parts for x in reader.read(p)]
-        assert "".join(r[8] for r in sorted(rows, key=lambda r: r[4])) == text
+        reader = RunLogReader({"path": root, "rangebytes": str(size), "offsets": f"file:{tmp_path}/o{size}"})
+        rows = [r for r in _read(reader, reader.initialOffset(), reader.latestOffset()) if r[2] == "log"]
+        assert "".join(range_text(root, r[0], r[1], *r[4:7]) for r in sorted(rows, key=lambda r: r[4])) == text
     assert _aligned(b"ab", 0, True, 2) == b"ab"
 
 
-def test_same_size_reads_nothing_and_small_changes_share_a_task(tmp_path):
+def test_versions_tell_changes_once_and_again_alike(tmp_path):
+    root = str(tmp_path / "logs")
     for i in range(30):
-        _put(str(tmp_path), f"r{i}", "run.log", "x\n")
-    reader = RunLogReader({"path": f"file:{tmp_path}"})
-    end = reader.latestOffset()
-    assert len(reader.partitions(reader.initialOffset(), end)) == 1
-    assert list(reader.partitions(end, reader.latestOffset())) == []
+        _put(root, f"r{i}", "run.log", "x\n")
+    options = {"path": f"file:{root}", "shares": "4"}
+    reader = RunLogReader(options)
+    zero, one = reader.initialOffset(), reader.latestOffset()
+    assert (zero, one) == ({"version": 0}, {"version": 1}) and len(reader.partitions(zero, one)) == 4
+    first = _read(reader, zero, one)
+    assert len(first) == 60 and {r[2:4] for r in first} == {("run", "created"), ("log", "append")}
+    _put(root, "r7", "run.log", "more\n", "a")
+    _put(root, "r8", "a/b.json", "{}") if os.makedirs(f"{root}/r8/a") is None else None
+    # a batch that is run again, also by a new reader with other settings, tells what it told before
+    again = RunLogReader({**options, "shares": "9"})
+    assert _read(again, zero, one) == first
+    two = again.latestOffset()
+    assert sorted(r[:6] for r in _read(again, one, two)) == [("r7", "run.log", "log", "append", 2, 7), ("r8", "a/b.json", "file", "created", 0, 2)]
+    os.remove(f"{root}/r7/run.log")
+    os.rmdir(f"{root}/r7")
+    three = reader.latestOffset()
+    assert sorted(r[:4] for r in _read(reader, two, three)) == [("r7", "", "run", "deleted"), ("r7", "run.log", "log", "deleted")]
+    assert _read(reader, three, reader.latestOffset()) == [] and reader.partitions(three, three) == []
+    reader.commit(three)
+    assert reader._versions() == [2, 3, 4]
+
+
+def test_a_share_that_failed_lists_anew_and_the_others_do_not(tmp_path):
+    root = str(tmp_path / "logs")
+    for i in range(20):
+        _put(root, f"r{i}", "run.log", "x\n")
+    reader = RunLogReader({"path": f"file:{root}", "shares": "3"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    done = [list(reader.read(p)) for p in parts[:2]]
+    for i in range(20, 40):
+        _put(root, f"r{i}", "run.log", "x\n")
+    assert [list(reader.read(p)) for p in parts[:2]] == done
+    late = list(reader.read(parts[2]))
+    rest = _read(reader, {"version": 1}, {"version": 2})
+    told = [r[0] for rows in [*done, late, rest] for r in rows if r[2] == "log"]
+    assert sorted(told) == sorted(f"r{i}" for i in range(40))
