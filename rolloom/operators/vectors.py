@@ -178,13 +178,12 @@ def assign_cells(passages: DataFrame, centroids: DataFrame, vec: str = "embeddin
     vectors) is at most ``factor`` times the best cell's: passages at a border are found from
     either side. There are at most ``copies`` rows of a passage.
     """
-    if copies == 1:
-        return passages.join(nearest_cells(passages, centroids, 1, vec, key), key)
     ranked = ranked_cells(passages, centroids, copies, vec, key)
     best = F.max("score").over(W.partitionBy(key))
     near = (1 - F.col("score")) <= factor * F.greatest(1 - F.col("best"), F.lit(0.0))
     held = ranked.withColumn("best", best).where((F.col("place") == 1) | near).select(key, "cell")
-    return passages.join(held, key)
+    # keys and cells only: the search for cells runs once, however often the result is read
+    return passages.join(checkpointed(held, "assignment"), key)
 
 
 def cell_costs(vectors: DataFrame, centroids: DataFrame, vec: str = "embedding", key: str = "id") -> DataFrame:
