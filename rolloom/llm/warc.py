@@ -48,6 +48,8 @@ RANGE_BYTES = 64 << 20
 SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
+#: Payloads whose pages are not shuffled: those met most often, at most as many. Their table is broadcast, about 120 bytes each.
+HOT_PAYLOADS = 1 << 17
 
 #: Fixed values of the formats: magic numbers of a dictionary's skippable frame and of a frame, and the revisit profile.
 SKIPPABLE = bytes.fromhex("5d2a4d18")
@@ -70,11 +72,14 @@ def decided(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     raw = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("page"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
-    rows = checkpointed(rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)}), "pages")
+    rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    path = work_path(pages.sparkSession, "pages")
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = pages.sparkSession.read.schema(rows.schema).parquet(path)
     long = F.col("n_bytes") >= least_bytes
     place = F.struct(F.col("page").isNull().alias("nil"), "page", "row")
     first = rows.where(long).groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    held = join_counted(rows.where(long), checkpointed(first, "payloads"), "digest", "n")
+    held = join_counted(rows.where(long), checkpointed(first, "payloads"), "digest", "n", HOT_PAYLOADS)
     again = F.col("row") != F.col("first.row")
     held = held.select("row", "page", "url", F.when(~again, F.col("payload")).alias("payload"), "n_bytes", "digest", F.when(again, F.col("first.row")).alias("first_row"), F.when(again, F.col("first.page")).alias("first_page"))
     none = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("first_row", "first_page")]
