@@ -1,4 +1,4 @@
-"""Session helpers: shared working folder and size checks for broadcasts."""
+"""Session helpers: the shared working folder, and written tables that cut lineage."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest table we hand to every executor as a broadcast, in bytes.
-BROADCAST_BYTES = 256 * 1024 * 1024
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read and write, as named by ``spark.checkpoint.dir``.
