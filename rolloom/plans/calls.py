@@ -161,20 +161,33 @@ def xml_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("conv_id").alias("run_id"), "turn", shape.alias("shape"), text.alias("text"))
 
 
+_XML_TEXT_SQL = """
+x AS (SELECT conv_id AS run_id, turn, text || chr(10) || '<tool_call>' || chr(10) || '<function=' || CASE (conv_id + turn) % 8
+    WHEN 0 THEN 'search>\n<parameter=command>\nsearch\n</parameter>\n<parameter=query_list>\n' || CAST(json_array(text, role) AS VARCHAR) || '\n</parameter>\n<parameter=topk>\n 0' || turn
+    WHEN 1 THEN 'search>\n<parameter=command>\nsearch\n</parameter>\n<parameter=topk>\n' || turn || '.5' WHEN 2 THEN 'execute_bash>\n<parameter=command>\n' || text
+    WHEN 3 THEN 'execute_bash>\n<parameter=cmd>\n' || text WHEN 4 THEN 'finish>\n<parameter=answer>\nNULL' WHEN 5 THEN 'look_up>\n<parameter=answer>\n' || text
+    WHEN 6 THEN 'search>\n<parameter=query_list>\n[' || text || '\n</parameter>\n<parameter=topk>\n' || turn ELSE 'submit>\n<parameter=note>\n' || text END
+    || '\n</parameter>\n</function>\n</tool_call>' AS t FROM conversations),
+c AS (SELECT *, regexp_extract(t, '(?s)<tool_call>\n<function=(.*?)</function>', 1) AS body FROM x),
+p AS (SELECT *, split_part(body, '>', 1) AS tool, regexp_extract_all(body, '(?s)<parameter=([^>]*)>', 1) AS keys, regexp_extract_all(body, '(?s)<parameter=[^>]*>\n(.*?)\n</parameter>', 1) AS raw FROM c),
+a AS (SELECT *, unnest(range(1, len(keys) + 1)) AS i FROM p),
+typed AS (SELECT run_id, turn, i, keys[i] AS key, raw[i] AS v, tool IN ('execute_bash', 'finish', 'search', 'search_arxiv', 'str_replace_editor', 'submit') AS known,
+  CASE WHEN tool = 'submit' THEN 'string' WHEN tool = 'search' AND keys[i] = 'topk' THEN 'integer' WHEN tool = 'search' AND keys[i] IN ('query_list', 'url_list') THEN 'array'
+    WHEN (tool = 'search' OR tool = 'execute_bash') AND keys[i] = 'command' OR tool = 'finish' AND keys[i] = 'answer' THEN 'string' END AS kind FROM a),
+graded AS (SELECT *, CASE WHEN NOT known THEN 'unknown_function' WHEN lower(v) = 'null' THEN NULL WHEN kind IS NULL THEN 'unknown_parameter'
+  WHEN kind = 'integer' AND NOT regexp_matches(v, '^\\s*[+-]?\\d+\\s*$') THEN 'not_int' WHEN kind = 'array' AND NOT json_valid(v) THEN 'bad_literal' END AS e FROM typed),
+shown AS (SELECT *, CASE WHEN lower(v) = 'null' THEN 'null' WHEN kind = 'integer' THEN 'int' WHEN kind = 'array' THEN lower(json_type(v)) ELSE 'string' END AS k,
+  CASE WHEN lower(v) = 'null' THEN 'null' WHEN kind = 'integer' THEN CAST(CAST(trim(v) AS BIGINT) AS VARCHAR) WHEN kind = 'array' THEN CAST(CAST(v AS JSON) AS VARCHAR) ELSE v END AS s FROM graded WHERE e IS NULL),
+calls AS (SELECT run_id, turn, arg_min(e, i) FILTER (e IS NOT NULL) AS error_class, arg_min(key, i) FILTER (e IS NOT NULL AND e <> 'unknown_function') AS detail FROM graded GROUP BY ALL),
+args AS (SELECT run_id, turn, string_agg(key, '|' ORDER BY i) AS keys, string_agg(k, '|' ORDER BY i) AS kinds, string_agg(s, '|' ORDER BY i) AS vals FROM shown GROUP BY ALL)"""
+
+
 @query(
     "toolcall_xml_args",
-    """
-WITH t AS (SELECT *, (conv_id + turn) % 8 AS shape FROM conversations)
-SELECT conv_id AS run_id, turn,
-  CASE shape WHEN 1 THEN 'not_int' WHEN 3 THEN 'unknown_parameter' WHEN 5 THEN 'unknown_function' WHEN 6 THEN 'bad_literal' END AS error_class,
-  CASE shape WHEN 0 THEN 'search' WHEN 1 THEN 'search' WHEN 2 THEN 'execute_bash' WHEN 3 THEN 'execute_bash' WHEN 4 THEN 'finish'
-     WHEN 5 THEN 'look_up' WHEN 6 THEN 'search' ELSE 'submit' END AS tool,
-  CASE shape WHEN 1 THEN 'topk' WHEN 3 THEN 'cmd' WHEN 6 THEN 'query_list' END AS detail,
-  CASE shape WHEN 0 THEN 'command|query_list|topk' WHEN 2 THEN 'command' WHEN 4 THEN 'answer' WHEN 7 THEN 'note' END AS keys,
-  CASE shape WHEN 0 THEN 'string|array|int' WHEN 2 THEN 'string' WHEN 4 THEN 'null' WHEN 7 THEN 'string' END AS kinds,
-  CASE shape WHEN 0 THEN 'search|' || CAST(json_array(text, role) AS VARCHAR) || '|' || turn WHEN 2 THEN text WHEN 4 THEN 'null' WHEN 7 THEN text END AS vals,
-  CASE WHEN shape IN (0, 2, 4, 7) THEN text || chr(10) END AS content
-FROM t""",
+    f"""WITH {_XML_TEXT_SQL}
+SELECT p.run_id, p.turn, error_class, tool, detail, CASE WHEN error_class IS NULL THEN args.keys END AS keys, CASE WHEN error_class IS NULL THEN kinds END AS kinds,
+  CASE WHEN error_class IS NULL THEN vals END AS vals, CASE WHEN error_class IS NULL THEN split_part(t, '<tool_call>', 1) END AS content
+FROM p JOIN calls USING (run_id, turn) LEFT JOIN args USING (run_id, turn)""",
 )
 def toolcall_xml_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = toolcalls.parse_xml_calls(xml_transcripts(spark, sf_dir))
