@@ -231,7 +231,8 @@ def write_batch(batch: DataFrame, batch_id: int, out: str, keep: int = KEEP_MANI
     current = spark.read.option("basePath", runs).parquet(*older).drop("batch_id") if older else newest.limit(0)
     if touched:
         merged = monitor.merge_runs(current, newest).withColumn("batch_id", F.lit(batch_id))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(runs)
+        # a bucket is written by one task, as one file
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(runs)
     _commit(spark, out, batch_id, versions | {b: batch_id for b in touched})
     _expire(spark, out, keep, grace)
 
