@@ -5,12 +5,15 @@ ranges do: the first counts, per range, its quotes and what its brackets add to
 once as if the range began outside a string and once as if inside. Running sums of these
 small rows tell how every range begins. In the second pass each task finds the borders of
 top-level elements in its range, and returns the elements that begin there as text; the last
-one is read on past the range's end. JSON is parsed by Spark.
+one is read on past the range's end, in pieces that start small. Neighbouring ranges share a
+task, so that small ranges make no more tasks than their bytes ask for. JSON is parsed by Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,10 @@ from rolloom.sources.store import open_store
 
 #: Bytes whose borders one task finds, and bytes it holds at once.
 RANGE_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
+#: Tasks among which ranges are dealt one by one; beyond them a task has ``RANGE_BYTES`` of ranges.
+LEAST_TASKS, MOST_TASKS = 64, 10_000
+#: First piece that is read past the end of a range; each next one is twice as long.
+BEYOND_BYTES = 4096
 
 _QUOTE, _ESCAPE = ord('"'), ord("\\")
 _STEP = np.zeros(256, np.int8)
@@ -54,12 +61,16 @@ def _quotes(data: np.ndarray, escapes: int) -> tuple[np.ndarray, int]:
     return (data == _QUOTE) & (run[:-1] % 2 == 0), int(run[-1])
 
 
-def _chunks(stream, start: int, stop: int, chunk: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Place, bytes and quotes of a range, piece by piece."""
+def _chunks(stream, start: int, stop: int, chunk: int, border: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Place, bytes and quotes of a range, piece by piece; no piece crosses ``border``, and those behind it grow from a small one."""
     escapes = _escapes_before(stream, start)
+    border, beyond = stop if border is None else border, BEYOND_BYTES
     while start < stop:
+        wanted = border - start
+        if wanted <= 0:
+            wanted, beyond = beyond, 2 * beyond
         stream.seek(start)
-        data = np.frombuffer(stream.read(min(chunk, stop - start)), np.uint8)
+        data = np.frombuffer(stream.read(min(chunk, wanted, stop - start)), np.uint8)
         if not len(data):
             return
         marks, escapes = _quotes(data, escapes)
@@ -82,7 +93,7 @@ def _counted(stream, start: int, stop: int, chunk: int) -> tuple[int, int, int]:
 def _elements(stream, start: int, stop: int, size: int, quotes: int, depth: int, chunk: int) -> Iterator[bytes]:
     """Texts of the elements whose left border is in a range that begins in a known state."""
     parts: list[bytes] | None = None
-    for at, data, marks in _chunks(stream, start, size, chunk):
+    for at, data, marks in _chunks(stream, start, size, chunk, stop):
         within = (quotes + np.cumsum(marks)) % 2 == 1
         steps = np.where(within, 0, _STEP[data])
         after = depth + np.cumsum(steps)
@@ -108,6 +119,15 @@ def _elements(stream, start: int, stop: int, size: int, quotes: int, depth: int,
         raise ValueError("a JSON array ends inside an element")
 
 
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of ranges, each behind the open file that its ``path`` names; neighbours share it."""
+    for name, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=itemgetter(0)):
+        store, inner = open_store(name)
+        with store.open_input_file(inner) as stream:
+            for row in rows:
+                yield stream, *row
+
+
 def array_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Elements of the JSON arrays in files: ``path``, ``start`` (of the range an element begins in), ``place`` in it, and ``text``.
 
@@ -118,19 +138,22 @@ def array_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTE
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.select("path", "size", cuts.alias("start"))
     ranges = ranges.withColumn("stop", F.least(F.col("start") + range_bytes, "size"))
-    ranges = ranges.repartition(max(1, min(ranges.count(), 10_000)))
+    held = ranges.agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("size")).first()
+    tasks = max(1, min(held["n"], max(LEAST_TASKS, -(-(held["size"] or 0) // RANGE_BYTES)), MOST_TASKS))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """Neighbouring ranges in one task, equally many in each."""
+        return df.repartitionByRange(tasks, "path", "start").sortWithinPartitions("path", "start")
 
     def count(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             rows = []
-            for name, size, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store, inner = open_store(name)
-                with store.open_input_file(inner) as stream:
-                    rows.append((name, size, start, stop, *_counted(stream, start, stop, chunk_bytes)))
+            for stream, name, size, start, stop in _opened(batch):
+                rows.append((name, size, start, stop, *_counted(stream, start, stop, chunk_bytes)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "size", "start", "stop", "quotes", "outside", "inside"])
 
-    counted = checkpointed(ranges.mapInArrow(count, "path string, size long, start long, stop long, quotes long, outside long, inside long"), "json-ranges")
+    counted = checkpointed(dealt(ranges).mapInArrow(count, "path string, size long, start long, stop long, quotes long, outside long, inside long"), "json-ranges")
     # one small row per range
     before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     state = counted.withColumn("q", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
@@ -141,19 +164,16 @@ def array_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTE
     def read(batches: Iterator[pa.RecordBatch]):
         names = ["path", "start", "place", "text"]
         for batch in batches:
-            for name, size, start, stop, quotes, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store, inner = open_store(name)
-                with store.open_input_file(inner) as stream:
-                    rows, held = [], 0
-                    for place, raw in enumerate(_elements(stream, start, stop, size, quotes, depth, chunk_bytes)):
-                        if raw.strip():
-                            rows.append((name, start, place, raw.decode("utf-8", "replace")))
-                            held += len(raw)
-                        if held > chunk_bytes:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
-                            rows, held = [], 0
-                    if rows:
+            rows, held = [], 0
+            for stream, name, size, start, stop, quotes, depth in _opened(batch):
+                for place, raw in enumerate(_elements(stream, start, stop, size, quotes, depth, chunk_bytes)):
+                    if raw.strip():
+                        rows.append((name, start, place, raw.decode("utf-8", "replace")))
+                        held += len(raw)
+                    if held > chunk_bytes:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
-    spread = known.repartition(max(1, min(known.count(), 10_000)))
-    return spread.mapInArrow(read, "path string, start long, place long, text string")
+    return dealt(known).mapInArrow(read, "path string, start long, place long, text string")

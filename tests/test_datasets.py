@@ -160,3 +160,33 @@ def test_rollouts_and_empty_index(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).first().response_ids == [1, 2]
     assert not sinks.write_index(rows, rows.limit(0), str(tmp_path / "i"))
     assert not (tmp_path / "i").exists()
+
+
+class _Counting(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        part = super().read(n)
+        self.taken += len(part)
+        return part
+
+
+def test_small_ranges_read_little_beyond_them_and_share_tasks(spark, tmp_path):
+    from rolloom.sources import json_array as ja
+
+    rows = [{"i": i, "q": "é," * 40} for i in range(40_000)]
+    raw = json.dumps(rows).encode()
+    stream = _Counting(raw)
+    found, q, d, step = [], 0, 0, 1 << 14
+    for start in range(0, len(raw), step):
+        stop = min(start + step, len(raw))
+        found += ja._elements(stream, start, stop, len(raw), q, d, ja.CHUNK_BYTES)
+        quotes, outside, inside = ja._counted(io.BytesIO(raw), start, stop, ja.CHUNK_BYTES)
+        d += inside if q else outside
+        q = (q + quotes) % 2
+    assert len(found) == len(rows) and stream.taken < 2 * len(raw)
+    (tmp_path / "a.json").write_bytes(raw)
+    (tmp_path / "b.json").write_bytes(raw)
+    got = ja.array_elements(spark, str(tmp_path), step)
+    assert len(raw) // step > 2 * ja.LEAST_TASKS and got.rdd.getNumPartitions() == ja.LEAST_TASKS
+    assert [tuple(r) for r in got.groupBy("path").agg(F.count("*"), F.count_distinct("text")).select(F.count("*"), F.sum("count(1)"), F.sum("count(DISTINCT text)")).collect()] == [(2, 80_000, 80_000)]
