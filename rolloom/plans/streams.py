@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,13 @@ def write_logs(lines: DataFrame, root: str) -> None:
     """Write each run's lines to its log file, as the run's own logger would: one writer per file.
 
     Rows stream through in order and are never collected. A file is written whole under
-    another name and renamed, so a retried task leaves the same file.
+    another name and renamed, so a retried task leaves the same file. Files are dealt to a
+    fixed number of tasks: what they cost is their number, not the bytes that partitions are
+    joined by.
     """
     root = qualified(lines.sparkSession, root)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         system, base = open_store(root)
@@ -42,23 +46,30 @@ def write_logs(lines: DataFrame, root: str) -> None:
                 system.delete_file(path)
             system.move(draft, path)
 
-        for f in frames:
-            for (run_id, source), g in f.groupby(["run_id", "source"], sort=False):
-                if at != (run_id, source):
-                    if out is not None:
+        for batch in batches:
+            for log, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=itemgetter(0, 1)):
+                if None in log:
+                    continue
+                if at != log:
+                    if out is None:
+                        system.create_dir(f"{base}-drafts", recursive=True)
+                    else:
                         finish()
-                    at = (run_id, source)
-                    system.create_dir(f"{base}/{run_id}", recursive=True)
-                    system.create_dir(os.path.dirname(f"{base}-drafts/x"), recursive=True)
+                    at = log
+                    system.create_dir(f"{base}/{log[0]}", recursive=True)
                     draft = f"{base}-drafts/{uuid.uuid4().hex}"
                     out = system.open_output_stream(draft)
-                out.write("".join(line + "\n" for line in g["line"]).encode())
+                out.write("".join(line + "\n" for _, _, line in rows).encode())
         if out is not None:
             finish()
-        yield pd.DataFrame({"done": [True]})
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    ordered = lines.repartition(_tasks(lines), "run_id", "source").sortWithinPartitions("run_id", "source", "pos")
+    ordered.select("run_id", "source", "line").mapInArrow(run, "done boolean").write.format("noop").mode("overwrite").save()
+
 
-    ordered = lines.repartition("run_id", "source").sortWithinPartitions("run_id", "source", "pos")
-    ordered.mapInPandas(run, "done boolean").write.format("noop").mode("overwrite").save()
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def remove_runs(runs: DataFrame, root: str) -> None:
@@ -72,7 +83,7 @@ def remove_runs(runs: DataFrame, root: str) -> None:
                 system.delete_dir(f"{base}/{run_id}")
         yield pd.DataFrame({"done": [True]})
 
-    runs.mapInPandas(run, "done boolean").write.format("noop").mode("overwrite").save()
+    runs.repartition(_tasks(runs), "run_id").mapInPandas(run, "done boolean").write.format("noop").mode("overwrite").save()
 
 
 def followed(spark: SparkSession, sf_dir: str, remove: Column | None = None) -> str:

@@ -131,13 +131,14 @@ class RunLogReader(DataSourceStreamReader):
         from pyarrow import fs
 
         store, base = open_store(self.root)
-        runs = [i.base_name for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.type == fs.FileType.Directory]
+        found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+        runs = [i.base_name for i in found if zlib.crc32(i.base_name.encode()) % share.of == share.number and i.type == fs.FileType.Directory]
+        del found
         rows: list[tuple[str, int, int]] = []
         for run in runs:
-            if zlib.crc32(run.encode()) % share.of == share.number:
-                rows.append((run, -1, 0))
-                inside = store.get_file_info(fs.FileSelector(f"{base}/{run}", recursive=True, allow_not_found=True))
-                rows += [(f"{run}/{i.path[len(base) + len(run) + 2 :]}", i.size, i.mtime_ns) for i in inside if i.type == fs.FileType.File]
+            rows.append((run, -1, 0))
+            inside = store.get_file_info(fs.FileSelector(f"{base}/{run}", recursive=True, allow_not_found=True))
+            rows += [(f"{run}/{i.path[len(base) + len(run) + 2 :]}", i.size, i.mtime_ns) for i in inside if i.type == fs.FileType.File]
         path, size, mtime = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"path": pa.array(path, pa.string()), "size": pa.array(size, pa.int64()), "mtime": pa.array(mtime, pa.int64())})
 

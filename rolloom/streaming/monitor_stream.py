@@ -7,8 +7,7 @@ import time
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,11 +18,13 @@ from rolloom.sources.store import qualified
 def file_changes(spark: SparkSession, root: str, **options: str) -> DataFrame:
     """Stream of log appends and file changes below a root of run directories.
 
-    ``offsets`` names the folder of the file tables, by default beside the root.
+    ``offsets`` names the folder of the file tables, by default beside the root. ``shares``
+    is not bound to the shuffle partitions: every share lists the root, so more of them for
+    more runs would cost their product.
     """
     tail.register(spark)
     root, tasks = qualified(spark, root), spark.conf.get("spark.sql.shuffle.partitions")
-    reader = spark.readStream.format("run_log_tail").option("shares", tasks)
+    reader = spark.readStream.format("run_log_tail")
     for k, v in options.items():
         reader = reader.option(k, qualified(spark, v) if k == "offsets" else v)
     return tail.read_text(reader.load(root), root, int(tasks))
@@ -55,58 +56,68 @@ class RunState(StatefulProcessor):
         self.tails = handle.getMapState("tails", "path string", "tail string")
         self.files = handle.getMapState("files", "path string", "size bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         (run_id,) = key
         is_new = not self.facts.exists()
         updated, count, *before = (0.0, 0, False, False, False, False) if is_new else self.facts.get()
         has_result, has_log = before[:2]
-        # small per row: slim() bounded the texts, and a file changes once per batch
-        frame = pd.concat(list(rows)).sort_values(["path", "start"])
         changed = removed = False
         appended: dict[str, str] = {}
         touched: list[tuple[str, str]] = []
-        for r in frame.itertuples():
+        # what this batch asked the maps for or changed: every key is fetched once and stored once
+        held: dict[str, bool] = {}
+        tails: dict[str, str] = {}
+        # small per row: slim() bounded the texts, and a file changes once per batch
+        for r in sorted(rows, key=lambda r: (r.path, r.start)):
+            path = r.path
             updated = max(updated, float(r.updated_at))
             if r.kind == "run":
                 removed = r.action == "deleted"
                 continue
             here = r.action != "deleted"
             state = self.tails if r.kind == "log" else self.files
-            known = state.containsKey((r.path,))
+            if path not in held:
+                held[path] = not is_new and state.containsKey((path,))
+            known, held[path] = held[path], here
             count += int(here) - int(known)
-            has_result = here if r.path == monitor.RESULT_FILE else has_result
-            has_log = here if r.path == monitor.RUN_LOG else has_log
+            has_result = here if path == monitor.RESULT_FILE else has_result
+            has_log = here if path == monitor.RUN_LOG else has_log
             if not here:
                 changed = True
-                touched.append((r.path, "deleted"))
+                touched.append((path, "deleted"))
+                tails.pop(path, None)
                 if known:
-                    state.removeKey((r.path,))
+                    state.removeKey((path,))
             elif r.kind == "log":
-                text = (self.tails.getValue((r.path,))[0] if known else "") + r.text
-                self.tails.updateValue((r.path,), (text[-self.max_chars :],))
+                if path not in tails:
+                    tails[path] = self.tails.getValue((path,))[0] if known else ""
+                tails[path] = (tails[path] + r.text)[-self.max_chars :]
                 if r.end > r.start:
                     changed = True
-                    appended[r.path] = (appended.get(r.path, "") + r.text)[-self.max_chars :]
+                    appended[path] = (appended.get(path, "") + r.text)[-self.max_chars :]
             else:
                 changed = True
-                touched.append((r.path, "modified" if known else "created"))
-                self.files.updateValue((r.path,), (int(r.end),))
+                touched.append((path, "modified" if known else "created"))
+                self.files.updateValue((path,), (int(r.end),))
         if removed:
             self.tails.clear()
             self.files.clear()
             self.facts.clear()
             nothing = [False] * (2 * len(FACTS))
-            yield pd.DataFrame([(run_id, "run_removed", None, None, None, None, updated, 0, *nothing, True)], columns=_STATE_COLUMNS)
+            yield _STATE_ROW(run_id, "run_removed", None, None, None, None, updated, 0, *nothing, True)
             return
-        log = self.tails.getValue((monitor.RUN_LOG,))[0] if has_log else ""
+        for path, text in tails.items():
+            self.tails.updateValue((path,), (text,))
+        log = "" if not has_log else tails[monitor.RUN_LOG] if monitor.RUN_LOG in tails else self.tails.getValue((monitor.RUN_LOG,))[0]
         now = [has_result, has_log, any(m in log for m in monitor.VERIFY_MARKERS), any(m in log for m in monitor.RUNNING_MARKERS)]
         self.facts.update((updated, count, *now))
         rest = (updated, count, *now, *before, changed or is_new)
         # appended text is as bounded as a tail; a batch has one event per log and per changed file
-        out = [(run_id, "log_append", path, None, text, log, *rest) for path, text in appended.items()]
-        out += [(run_id, "file_changed", path, action, None, log, *rest) for path, action in touched]
-        out.append((run_id, "state", None, None, None, log, *rest))
-        yield pd.DataFrame(out, columns=_STATE_COLUMNS)
+        for path, text in appended.items():
+            yield _STATE_ROW(run_id, "log_append", path, None, text, log, *rest)
+        for path, action in touched:
+            yield _STATE_ROW(run_id, "file_changed", path, action, None, log, *rest)
+        yield _STATE_ROW(run_id, "state", None, None, None, log, *rest)
 
     def close(self) -> None:
         pass
@@ -121,7 +132,7 @@ _STATE_SCHEMA = (
     + ", ".join(f"was_{f} boolean" for f in FACTS)
     + ", fresh boolean"
 )
-_STATE_COLUMNS = [c.split(" ")[0] for c in _STATE_SCHEMA.split(", ")]
+_STATE_ROW = Row(*[c.split(" ")[0] for c in _STATE_SCHEMA.split(", ")])
 
 
 def run_updates(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) -> DataFrame:
@@ -131,7 +142,7 @@ def run_updates(changes: DataFrame, max_chars: int = monitor.MAX_TAIL_CHARS) ->
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    rows = slim(changes, max_chars).groupBy("run_id").transformWithStateInPandas(RunState(max_chars), outputStructType=_STATE_SCHEMA, outputMode="update", timeMode="None")
+    rows = slim(changes, max_chars).groupBy("run_id").transformWithState(RunState(max_chars), outputStructType=_STATE_SCHEMA, outputMode="update", timeMode="None")
     status = monitor.status_of(*[F.col(f) for f in FACTS])
     moved = status != monitor.status_of(*[F.col(f"was_{f}") for f in FACTS])
     told = F.filter(F.array(F.when(moved, "status_changed"), F.when(moved | F.col("fresh"), "run_update")), lambda e: e.isNotNull())

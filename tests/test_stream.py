@@ -157,3 +157,42 @@ def test_a_share_that_failed_lists_anew_and_the_others_do_not(tmp_path):
     rest = _read(reader, {"version": 1}, {"version": 2})
     told = [r[0] for rows in [*done, late, rest] for r in rows if r[2] == "log"]
     assert sorted(told) == sorted(f"r{i}" for i in range(40))
+
+
+def test_shares_do_not_follow_the_shuffle_partitions(spark, tmp_path):
+    import json
+
+    from rolloom.sources.tail import SHARES
+
+    root, out, ckpt = (str(tmp_path / x) for x in ("logs", "out", "ckpt"))
+    for i in range(SHARES * 3):
+        _put(root, f"r{i}", "run.log", "STEP 1\n")
+    key, old = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "3")
+    try:
+        ms.follow(spark, root, out, ckpt, rangebytes="3").awaitTermination()
+        # every range of a batch reaches the tail, which is stored once
+        got = {r.run_id: (r.tail, r.file_count, r.status) for r in ms.latest_runs(spark, out).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert got == {f"r{i}": ("STEP 1\n", 1, "running") for i in range(SHARES * 3)}
+    with open(f"{ckpt}-listing/shares.json") as f:
+        assert json.load(f) == SHARES
+
+
+def test_logs_are_written_whole_by_a_fixed_number_of_tasks(spark, tmp_path):
+    from rolloom.plans import streams
+
+    rows = [(f"r{i}", "run.log", p, f"é {i} {p}") for i in range(20) for p in range(7)] + [(None, "run.log", 1, "lost")]
+    lines = spark.createDataFrame(rows, "run_id string, source string, pos bigint, line string")
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "3")  # a log is in several batches
+    try:
+        streams.write_logs(lines, str(tmp_path / "logs"))
+        streams.write_logs(lines, str(tmp_path / "logs"))
+    finally:
+        spark.conf.set(key, old)
+    got = {d: (tmp_path / "logs" / d / "run.log").read_text() for d in os.listdir(tmp_path / "logs")}
+    assert got == {f"r{i}": "".join(f"é {i} {p}\n" for p in range(7)) for i in range(20)} and not os.listdir(f"{tmp_path}/logs-drafts")
+    streams.remove_runs(lines.where("run_id < 'r15'").select("run_id").distinct(), str(tmp_path / "logs"))
+    assert sorted(os.listdir(tmp_path / "logs")) == sorted(r for r in got if r >= "r15")
