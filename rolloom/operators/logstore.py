@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from rolloom.functions.jsonv import let
 from rolloom.operators import monitor
 from rolloom.operators.ordered import running
 from rolloom.session import checkpointed
@@ -99,13 +100,13 @@ def pages(spark: SparkSession, path: str, size: int = monitor.PAGE_BYTES, before
 
 def pieces(c: Column) -> Column:
     """Different pieces of one to ``GRAM`` characters of a lower-cased text."""
-    low = F.lower(c)
 
-    def of(n: int) -> Column:
+    def of(low: Column, n: int) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))
         return F.when(F.length(low) >= n, every).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+    # bound once: a text lowered inside the inner functions would be lowered for every piece
+    return let(F.lower(c), lambda low: F.array_distinct(F.concat(*[of(low, n) for n in range(1, GRAM + 1)])))
 
 
 def pieces_of_word(word: str) -> list[str]:
@@ -119,23 +120,27 @@ def write_search_index(status: DataFrame, files: DataFrame, tail: DataFrame, pat
     """Store runs, files and tail lines by run, and the postings of their pieces.
 
     ``status`` as from :func:`monitor.run_status`, ``files(run_id, path)``, ``tail(run_id, source, pos, text)``.
+    Each is worked out once: postings are made from the stored tables. The pieces of a run's
+    tail, which is bounded, meet where its lines are, and only different ones are shuffled.
     """
-    here = _part(parts, "run_id")
-    held = status.withColumn("part", here)
-    status.sparkSession.createDataFrame([(parts, held.schema.json())], "parts int, runs string").write.mode("overwrite").parquet(f"{path}/layout")
-    logs = tail.where(F.col("source") == monitor.RUN_LOG).select("run_id", "pos", "text")
+    spark, here = status.sparkSession, _part(parts, "run_id")
+    held = checkpointed(status, "runs").withColumn("part", here)
+    spark.createDataFrame([(parts, held.schema.json())], "parts int, runs string").write.mode("overwrite").parquet(f"{path}/layout")
+    logs = checkpointed(tail.where(F.col("source") == monitor.RUN_LOG).select("run_id", "pos", "text"), "tails").withColumn("part", here)
+    named = checkpointed(files.select("run_id", "path"), "files").withColumn("part", here)
     _sorted_into(held, f"{path}/runs", "run_id")
-    _sorted_into(files.select("run_id", "path").withColumn("part", here), f"{path}/files", "run_id")
-    _sorted_into(logs.withColumn("part", here), f"{path}/logs", "run_id", "pos")
+    _sorted_into(named, f"{path}/files", "run_id")
+    _sorted_into(logs, f"{path}/logs", "run_id", "pos")
     label = monitor.status_label(F.col("status"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = {
-        "run_id": status.select("run_id", F.col("run_id").alias("t")),
-        "status": status.select("run_id", F.explode(F.array("status", label)).alias("t")),
-        "files": files.select("run_id", F.col("path").alias("t")),
-        "logs": logs.select("run_id", F.col("text").alias("t")),
+        "run_id": held.select("run_id", F.col("run_id").alias("t")).repartition(n, "run_id"),
+        "status": held.repartition(n, "run_id").select("run_id", F.explode(F.array("status", label)).alias("t")),
+        "files": named.select("run_id", F.col("path").alias("t")).repartition(n, "run_id", "t").distinct(),
+        "logs": logs.select("run_id", F.col("text").alias("t")).repartition(n, "run_id"),
     }
-    posted = [d.select(F.lit(s).alias("scope"), "run_id", F.explode(pieces(F.col("t"))).alias("piece")) for s, d in texts.items()]
-    every = posted[0].union(posted[1]).union(posted[2]).union(posted[3]).distinct()
+    posted = [d.select(F.lit(s).alias("scope"), "run_id", F.explode(pieces(F.col("t"))).alias("piece")).distinct() for s, d in texts.items()]
+    every = checkpointed(posted[0].union(posted[1]).union(posted[2]).union(posted[3]), "pieces")
     _sorted_into(every.withColumn("part", _part(parts, "piece")), f"{path}/postings", "piece", "scope", "run_id")
 
 

@@ -112,3 +112,27 @@ def test_a_rare_word_reads_few_lines(spark, tmp_path):
     assert [r.run_id for r in found.collect()] == ["run-77"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ (IN|=|INSET)", plan) and "run-77" in plan
+
+
+def test_a_text_is_lowered_once_and_tables_are_worked_out_once(spark, tmp_path):
+    rows = [("Ab🤖b",), ("",), (None,), ("É" * 3,)]
+    d = spark.createDataFrame(rows, "t string").select("t", logstore.pieces(F.col("t")).alias("p"))
+    got = {r.t: set(r.p) for r in d.collect()}
+    assert got == {"Ab🤖b": {"a", "b", "🤖", "ab", "b🤖", "🤖b", "ab🤖", "b🤖b"}, "": set(), None: set(), "ÉÉÉ": {"é", "éé", "ééé"}}
+    assert d._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    worked = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            worked.add(b.num_rows)
+            yield b
+
+    tail = spark.createDataFrame([("r1", "run.log", 1, "Ab"), ("r2", "run.log", 1, "cD")], "run_id string, source string, pos bigint, text string")
+    status = spark.createDataFrame([("r1", "running"), ("r2", "queued")], "run_id string, status string")
+    files = spark.createDataFrame([("r1", "run.log"), ("r1", "run.log"), ("r2", "run.log")], "run_id string, path string")
+    path = str(tmp_path / "index")
+    logstore.write_search_index(*(x.mapInArrow(told, x.schema) for x in (status, files, tail)), path, parts=4)
+    assert worked.value == 7
+    posted = spark.read.parquet(f"{path}/postings").drop("part")
+    assert posted.where("scope = 'logs'").count() == 6 and posted.count() == posted.distinct().count()
+    assert [r.run_id for r in logstore.search(spark, path, "CD", "logs").collect()] == ["r2"]
