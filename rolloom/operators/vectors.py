@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -36,6 +38,8 @@ SCORE_DIGITS, CELL_DIGITS, CENTROID_DIGITS = 6, 12, 9
 #: Rows per side of one block, and of one tile of scores inside it.
 BLOCK_ROWS = 20_000
 TILE_QUERIES, TILE_VECTORS = 1_024, 4_096
+#: Bytes of text an encoder is given at once.
+ENCODE_BYTES = 4 << 20
 
 
 def l2_normalize(vec: Column) -> Column:
@@ -77,18 +81,35 @@ def pool(method: str, tokens: Column, mask: Column, pooled: Column | None = None
     return F.transform(total, lambda x: x / kept)
 
 
+def _slices(part: pa.RecordBatch, text: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of at most so many rows and ``ENCODE_BYTES`` of text, or of one longer text."""
+    begin = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(part.column(text)), 0).to_pylist()):
+        if i > begin and (i - begin >= rows or held + n > ENCODE_BYTES):
+            yield part.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < part.num_rows:
+        yield part.slice(begin)
+
+
 def embed(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str, out: str = "embedding", batch: int = 2048) -> DataFrame:
-    """Add embeddings from a caller-supplied encoder, created once per task and fed in batches."""
+    """Add embeddings from a caller-supplied encoder, created once per task and fed in batches.
+
+    Other columns stay in Arrow; only the texts of one call are Python objects, ``batch`` and ``ENCODE_BYTES`` of them at most.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
-        for f in frames:
-            for i in range(0, len(f), batch):
-                part = f.iloc[i : i + batch]
-                yield part.assign(**{out: list(np.asarray(encode(part[text].tolist()), dtype=np.float64))})
-
-    return df.mapInPandas(run, schema)
+        for whole in batches:
+            for part in _slices(whole, text, batch):
+                found = np.asarray(encode(part.column(text).to_pylist()), dtype=np.float64)
+                ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+                vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], [*part.schema.names, out])
+
+    return df.mapInArrow(run, schema)
 
 
 # --- coarse cells -----------------------------------------------------------

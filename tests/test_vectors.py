@@ -213,3 +213,17 @@ def test_sketches_of_arrivals_merge(spark, tmp_path):
     few = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], shape)
     assert tuple(retrieval.sketched_stats(retrieval.url_sketches(few)).first()) == (4, 2)
     assert tuple(retrieval.sketched_stats(retrieval.url_sketches(few.limit(0))).first()) == (0, 0)
+
+
+def test_an_encoder_gets_bounded_texts_and_other_columns_pass(spark):
+    import numpy as np
+
+    texts = ["x" * (vectors.ENCODE_BYTES // 2)] * 5 + ["y" * (vectors.ENCODE_BYTES + 1)] + ["ab"] * 50
+    df = spark.createDataFrame([(i, t, [i]) for i, t in enumerate(texts)], "id bigint, text string, other array<bigint>").coalesce(1)
+
+    def told():
+        return lambda ts: np.array([[len(t), len(ts), sum(len(x) for x in ts)] for t in ts], float)
+
+    got = vectors.embed(df, told, "text", batch=20).select("id", F.length("text").alias("n"), "other", "embedding").orderBy("id").collect()
+    assert [(r.id, r.n, r.other, r.embedding[0]) for r in got] == [(i, len(t), [i], len(t)) for i, t in enumerate(texts)]
+    assert all(r.embedding[1] <= 20 and (r.embedding[2] <= vectors.ENCODE_BYTES or r.embedding[1] == 1) for r in got)
