@@ -38,6 +38,8 @@ SCORE_DIGITS, CELL_DIGITS, CENTROID_DIGITS = 6, 12, 9
 #: Rows per side of one block, and of one tile of scores inside it.
 BLOCK_ROWS = 20_000
 TILE_QUERIES, TILE_VECTORS = 1_024, 4_096
+#: Queries of a tile whose k-th scores are found at once.
+STRIP_QUERIES = 64
 #: Bytes of text an encoder is given at once.
 ENCODE_BYTES = 4 << 20
 
@@ -230,15 +232,19 @@ def _best(rows, scores, ids, k):
 def _candidates(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, digits: int):
     """Rows, scores and ids of each query's ``k`` best vectors, tile by tile.
 
-    One tile of scores is all that is ever held; after each tile a query keeps its k best.
+    One tile of scores is all that is ever held, in memory taken once; the k-th scores are found
+    in strips of it, as that takes a copy. After each tile a query keeps its k best.
     """
-    found = []
+    found, tile = [], np.empty(min(TILE_QUERIES, len(q)) * min(TILE_VECTORS, len(v)))
     for i in range(0, len(q), TILE_QUERIES):
         rows, scores, best = np.zeros(0, np.int64), np.zeros(0), ids[:0]
         for j in range(0, len(v), TILE_VECTORS):
-            s = np.round(q[i : i + TILE_QUERIES] @ v[j : j + TILE_VECTORS].T, digits)
+            left, right = q[i : i + TILE_QUERIES], v[j : j + TILE_VECTORS]
+            s = np.matmul(left, right.T, out=tile[: len(left) * len(right)].reshape(len(left), len(right)))
+            np.round(s, digits, out=s)
             if s.shape[1] > k:
-                kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                at = s.shape[1] - k
+                kth = np.concatenate([np.partition(s[x : x + STRIP_QUERIES], at, axis=1)[:, at] for x in range(0, len(s), STRIP_QUERIES)])
                 r, c = np.nonzero(s >= kth[:, None])
             else:
                 r, c = np.nonzero(np.ones_like(s, dtype=bool))

@@ -227,3 +227,21 @@ def test_an_encoder_gets_bounded_texts_and_other_columns_pass(spark):
     got = vectors.embed(df, told, "text", batch=20).select("id", F.length("text").alias("n"), "other", "embedding").orderBy("id").collect()
     assert [(r.id, r.n, r.other, r.embedding[0]) for r in got] == [(i, len(t), [i], len(t)) for i, t in enumerate(texts)]
     assert all(r.embedding[1] <= 20 and (r.embedding[2] <= vectors.ENCODE_BYTES or r.embedding[1] == 1) for r in got)
+
+
+def test_a_tile_of_scores_is_not_copied_whole():
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    q, v = rnd.normal(size=(3_000, 16)), rnd.normal(size=(9_000, 16))
+    v[100:140] = v[7]  # equal scores go to the lowest ids
+    tile = 8 * vectors.TILE_QUERIES * vectors.TILE_VECTORS
+    tracemalloc.start()
+    rows, scores, ids = vectors._candidates(q, v, np.arange(9_000), 5, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = np.round(q @ v.T, 6)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert (ids.reshape(-1, 5) == want).all() and (rows == np.repeat(np.arange(3_000), 5)).all()
+    assert np.allclose(scores.reshape(-1, 5), np.take_along_axis(s, want, 1), atol=2e-6)
+    assert peak < 2.5 * tile
